@@ -1,0 +1,308 @@
+"""Adapters: the driver's TPC-H-like tables -> the commerce feeds.
+
+Each feed is a deterministic projection of the given tables (see FIXTURES.md
+section 2), written as DataFrame transformations so that its size, and the
+work of every report built on it, grows with the input tables.  Money is cast
+to ``decimal`` before any arithmetic so sums are exact.
+
+Small fixed lookups (25 countries, 25 source/medium strings, ...) are literal
+arrays indexed by a key expression: no join, no shuffle.
+"""
+from __future__ import annotations
+
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+MONEY = "decimal(18,2)"
+
+# ---------------------------------------------------------------------------
+# FIXED VALUES of the test adapters (FIXTURES.md section 2)
+# ---------------------------------------------------------------------------
+COUNTRIES = ["GB", "United States", "us", " DE ", "France", "IE", "Australia", "CA", "IT",
+             "Spain", "NO", "Poland", "JP", "Brazil", "USA", "United Kingdom", "UK",
+             "Germany", "FR", "XK", "NZ", "IN", "", "Vatican City", None]
+SOURCE_MEDIUMS = ["google / organic", "(direct) / (none)", "google / cpc",
+                  "facebook / paid_social", "tiktok / paid_social", "klaviyo / email",
+                  "bing / cpc", "instagram / referral", "amazon / cpc", "youtube / paid",
+                  "partner / cpm", "etsy / referral", "t.co / social", "vimeo / video",
+                  "awin / affiliate", "blog.example / referral", "sms / text",
+                  "newsletter / retargeting", "www.youtube.com / referral", "foo",
+                  "vimeo / cpc", "instagram / paid_social", "microsoft / ppc",
+                  "fb / paid_social", "a / b / c"]
+DEVICES = ["mobile", "Desktop", "tablet", "smarttv"]
+SOCIAL_CAMPAIGNS = ["TOFU_Prospecting", "BOFU_Retargeting", "MOFU_Consideration",
+                    "Brand_Always_On"]
+SEARCH_CAMPAIGNS = ["Brand_Search", "Generic_Search", "PMax_All", "Shopping_Feed"]
+SEARCH_CAMPAIGN_TYPES = ["SEARCH", "SEARCH", "PERFORMANCE_MAX", "SHOPPING"]
+WAREHOUSES = ["UK", "EU", "US"]
+EMAIL_SENDS = [("flow", "Welcome Series"), ("flow", "Abandoned Cart"),
+               ("flow", "Browse Abandonment"), ("flow", "Post Purchase"),
+               ("flow", "Win Back"), ("campaign", "Weekly Newsletter")]
+SEO_QUERIES = ["tillroll", "tillroll boots", "tillroll sale", "waterproof jacket",
+               "ski gloves", "motorcycle helmet", "thermal base layer", "snow goggles",
+               "riding boots", "winter coat mens", "heated gloves", "rain trousers",
+               "neck warmer"]
+SEO_BRANDED = 3
+RETURN_REASONS = ["Too small", "Too large", "Not as described", "Faulty",
+                  "Changed mind", "Arrived late", "Better price elsewhere"]
+EVENT_SHIFT_A = 9464      # days: 2024-01-01 -> 1998-02-02 (whole weeks)
+EVENT_SHIFT_B = 9828      # days: 364 more, copy B only for event_id % 3 <> 0
+REF_DATE = "1998-03-03"   # last day of copy A; the reports' "today" in tests
+TARGET_CONSTANTS = {"target_spend": 50, "target_visits": 600, "target_engaged_visits": 400,
+                    "target_add_to_carts": 80, "target_checkouts": 40}
+# ---------------------------------------------------------------------------
+
+
+def pick(values: list, index: Column) -> Column:
+    """values[index] for a 0-based integer index column (null when out of range)."""
+    return F.get(F.array(*[F.lit(v).cast("string") for v in values]), index.cast("int"))
+
+
+def money(c) -> Column:
+    return (F.col(c) if isinstance(c, str) else c).cast(MONEY)
+
+
+def dec_round(c: Column) -> Column:
+    return F.round(c, 2).cast(MONEY)
+
+
+class DriverFeeds:
+    """Lazily builds every feed from the parquet tables in ``sf_dir``."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark = spark
+        self.sf_dir = sf_dir.rstrip("/")
+        self._cache: dict[str, DataFrame] = {}
+
+    def table(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+
+    def _memo(self, key, build):
+        if key not in self._cache:
+            self._cache[key] = build()
+        return self._cache[key]
+
+    # ── shop ──────────────────────────────────────────────────────────────
+    def lines_base(self) -> DataFrame:
+        """Line items with the helper columns other adapters need."""
+        def build():
+            li = self.table("lineitem").select(
+                "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
+                "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus", "l_shipdate")
+            o = self.table("orders").select("o_orderkey", "o_custkey", "o_orderdate",
+                                            "o_orderstatus")
+            c = self.table("customer").select("c_custkey", "c_nationkey")
+            p = self.table("part").select("p_partkey", "p_name", "p_type", "p_brand",
+                                          "p_size", "p_retailprice")
+            j = (li.join(o, li.l_orderkey == o.o_orderkey)
+                 .join(c, F.col("o_custkey") == c.c_custkey)
+                 .join(p, F.col("l_partkey") == p.p_partkey))
+            gross = money("l_extendedprice")
+            discounts = dec_round(gross * F.col("l_discount").cast("decimal(4,2)"))
+            return j.select(
+                F.col("l_orderkey").alias("order_id"),
+                F.col("o_orderdate").alias("created_at"),
+                F.col("o_custkey").alias("customer_id"),
+                pick(COUNTRIES, F.col("c_nationkey")).alias("country"),
+                F.col("l_partkey").cast("string").alias("product_id"),
+                F.col("p_name").alias("product_title"),
+                F.when(F.col("p_type").isin("ECONOMY", "STANDARD"), "Moto")
+                 .when(F.col("p_type") == "PROMO", "Snow").otherwise("Other").alias("category_l1"),
+                F.col("p_type").alias("category"),
+                F.col("p_brand").alias("style"),
+                F.col("p_size").cast("string").alias("size"),
+                F.concat_ws("-", F.col("l_partkey").cast("string"),
+                            F.col("p_size").cast("string")).alias("sku"),
+                F.col("l_quantity").cast("bigint").alias("quantity"),
+                gross.alias("gross_sales"),
+                discounts.alias("discounts"),
+                (gross - discounts).cast(MONEY).alias("net_sales"),
+                dec_round(gross * F.lit(Decimal("0.45"))).alias("cogs"),
+                pick(WAREHOUSES, F.col("l_suppkey") % 3).alias("warehouse"),
+                "l_suppkey", "l_partkey", "l_linenumber", "l_returnflag", "l_linestatus",
+                "l_shipdate", "o_orderstatus", "p_retailprice",
+            )
+        return self._memo("lines_base", build)
+
+    LINE_ITEM_COLUMNS = ["order_id", "created_at", "customer_id", "country", "product_id",
+                         "product_title", "category_l1", "category", "style", "size", "sku",
+                         "quantity", "gross_sales", "discounts", "net_sales", "cogs"]
+
+    def line_items(self) -> DataFrame:
+        return self.lines_base().select(*self.LINE_ITEM_COLUMNS)
+
+    def orders(self) -> DataFrame:
+        from tillroll.operators.facts import orders_from_lines
+        return self._memo("orders", lambda: orders_from_lines(self.line_items()))
+
+    def returns(self) -> DataFrame:
+        b = self.lines_base().filter(F.col("l_returnflag").isin("A", "R"))
+        kind = (F.when(F.col("l_returnflag") == "R", "return")
+                .when(F.col("l_linestatus") == "F", "cancellation").otherwise("exchange"))
+        return b.select(
+            F.concat(F.lit("R"), F.col("order_id").cast("string"), F.lit("-"),
+                     F.col("l_linenumber").cast("string")).alias("return_id"),
+            "order_id", F.to_date("l_shipdate").alias("date"), "product_id", "category",
+            "country", kind.alias("kind"), "quantity", F.col("net_sales").alias("value"),
+            pick(RETURN_REASONS, F.col("l_suppkey") % 7).alias("reason"))
+
+    def inventory(self) -> DataFrame:
+        b = self.lines_base()
+        return b.select(
+            F.to_date("created_at").alias("date"), "product_id", "warehouse",
+            ((F.col("l_partkey") * 7 + F.col("l_suppkey")) % 120).cast("bigint").alias("on_hand"),
+            ((F.col("l_suppkey") % 3) * 50).cast("bigint").alias("in_transit"),
+            dec_round(money("p_retailprice") * F.lit(Decimal("0.45"))).alias("stock_value_per_unit"),
+        ).distinct()
+
+    def traffic_items(self) -> DataFrame:
+        b = self.lines_base().filter(F.col("l_partkey") % 10 < 7)
+        return (b.groupBy(F.to_date("created_at").alias("date"), "product_id",
+                          "product_title", "category")
+                .agg((F.sum("quantity") * 20).alias("item_views"),
+                     (F.sum("quantity") * 3).alias("item_add_to_carts"),
+                     F.sum("quantity").alias("item_purchases")))
+
+    def orderbank(self) -> DataFrame:
+        b = self.lines_base().filter(F.col("o_orderstatus") == "O")
+        return (b.groupBy(F.to_date(F.date_trunc("week", "created_at")).alias("date"),
+                          "category_l1", "warehouse")
+                .agg(F.countDistinct("order_id").alias("open_orders"),
+                     F.sum("quantity").alias("open_items"),
+                     F.sum("net_sales").cast(MONEY).alias("open_value")))
+
+    def targets(self) -> DataFrame:
+        o = self.table("orders")
+        g = o.groupBy(F.to_date("o_orderdate").alias("date")).agg(
+            (F.count(F.lit(1)) + 1).alias("target_orders"),
+            dec_round(F.sum(money("o_totalprice")) * F.lit(Decimal("0.9"))).alias("target_revenue"))
+        cols = [F.col("date"), F.col("target_orders"), F.col("target_revenue"),
+                dec_round(F.col("target_revenue") * F.lit(Decimal("0.4"))).alias("target_gross_profit")]
+        for name, v in TARGET_CONSTANTS.items():
+            cols.append((F.lit(v).cast(MONEY) if name == "target_spend"
+                         else F.lit(v).cast("bigint")).alias(name))
+        return g.select(*cols)
+
+    # ── events-derived feeds ──────────────────────────────────────────────
+    def ev(self) -> DataFrame:
+        """Events shifted into the orders' calendar: copy A plus a 364-day-earlier copy B."""
+        def build():
+            e = self.table("events").select(
+                "event_id", "ts", "user_id", "event_type", "value",
+                F.get_json_object("props", "$.k").cast("int").alias("k"))
+            day = F.to_date("ts")
+            a = e.withColumn("date", F.date_sub(day, EVENT_SHIFT_A))
+            b = e.filter(F.col("event_id") % 3 != 0).withColumn("date", F.date_sub(day, EVENT_SHIFT_B))
+            return a.unionByName(b)
+        return self._memo("ev", build)
+
+    @staticmethod
+    def _n(cond: Column) -> Column:
+        return F.count(F.when(cond, 1))
+
+    @staticmethod
+    def _v(cond: Column) -> Column:
+        return F.coalesce(F.sum(F.when(cond, money("value"))), F.lit(0).cast(MONEY)).cast(MONEY)
+
+    def traffic(self) -> DataFrame:
+        e = self.ev()
+        et = F.col("event_type")
+        g = e.groupBy("date", "k", (F.col("user_id") % 100).alias("u")).agg(
+            (F.count(F.lit(1)) * 10).alias("sessions"),
+            (self._n(et != "error") * 8).alias("engaged_sessions"),
+            (self._n(et.isin("click", "purchase")) * 5).alias("sessions_with_atc"),
+            (self._n(et == "purchase") * 3).alias("sessions_with_checkout"),
+            self._n(et == "purchase").alias("purchases"),
+            self._v(et == "purchase").alias("purchase_revenue"))
+        return g.select(
+            F.date_format("date", "yyyyMMdd").alias("event_date"),
+            pick(SOURCE_MEDIUMS, F.col("k") % 25).alias("source_medium"),
+            pick(SOCIAL_CAMPAIGNS, F.floor(F.col("k") / 25)).alias("campaign"),
+            pick(DEVICES, F.col("u") % 4).alias("device"),
+            pick(COUNTRIES, F.col("u") % 25).alias("country"),
+            "sessions", "engaged_sessions", "sessions_with_atc", "sessions_with_checkout",
+            "purchases", "purchase_revenue")
+
+    def _ads(self, platform: int) -> DataFrame:
+        e = self.ev().filter(F.col("k") % 4 == platform)
+        et = F.col("event_type")
+        purchase = et == "purchase"
+        g = e.groupBy("date", (F.floor(F.col("k") / 4) % 4).alias("ci"),
+                      (F.col("user_id") % 25).alias("ui")).agg(
+            F.sum(money("value")).cast(MONEY).alias("spend"),
+            (F.count(F.lit(1)) * 100).alias("impressions"),
+            (F.count(F.lit(1)) * 3).alias("clicks"),
+            self._n(purchase).alias("conv"),
+            (self._v(purchase) * 2).cast(MONEY).alias("conv_value"),
+            self._n(purchase & (F.col("k") < 50)).alias("conv_1d"),
+            (self._v(purchase & (F.col("k") < 50)) * 2).cast(MONEY).alias("conv_value_1d"),
+            (self._n(purchase) + self._n(et == "signup")).alias("conv_28d"),
+            (self._v(purchase) * 2 + self._v(et == "signup")).cast(MONEY).alias("conv_value_28d"),
+            (self._n(et == "click") * 2).alias("link_clicks"),
+            (F.count(F.lit(1)) * 60).alias("reach"))
+        return g.withColumn("country", pick(COUNTRIES, F.col("ui")))
+
+    def meta(self) -> DataFrame:
+        g = self._ads(0)
+        return g.select("date", pick(SOCIAL_CAMPAIGNS, F.col("ci")).alias("campaign_name"),
+                        "country", "spend", "impressions", "clicks", "link_clicks", "reach",
+                        F.col("conv_1d").alias("purchase_1d"), F.col("conv").alias("purchase_7d"),
+                        F.col("conv_28d").alias("purchase_28d"),
+                        F.col("conv_value_1d").alias("purchase_value_1d"),
+                        F.col("conv_value").alias("purchase_value_7d"),
+                        F.col("conv_value_28d").alias("purchase_value_28d"))
+
+    def _search_ads(self, platform: int) -> DataFrame:
+        g = self._ads(platform)
+        return g.select("date", pick(SEARCH_CAMPAIGNS, F.col("ci")).alias("campaign_name"),
+                        pick(SEARCH_CAMPAIGN_TYPES, F.col("ci")).alias("campaign_type"),
+                        "country", "spend", "impressions", "clicks",
+                        F.col("conv").alias("conversions"),
+                        F.col("conv_value").alias("conversions_value"))
+
+    def google(self) -> DataFrame:
+        return self._search_ads(1)
+
+    def microsoft(self) -> DataFrame:
+        return self._search_ads(2)
+
+    def tiktok(self) -> DataFrame:
+        g = self._ads(3)
+        return g.select("date", pick(SOCIAL_CAMPAIGNS, F.col("ci")).alias("campaign_name"),
+                        "country", "spend", "impressions", "clicks",
+                        F.col("conv").alias("conversions_7d"),
+                        F.col("conv_value").alias("conversion_value_7d"))
+
+    def email(self) -> DataFrame:
+        e = self.ev()
+        et = F.col("event_type")
+        g = e.groupBy("date", (F.col("k") % 6).alias("si")).agg(
+            (F.count(F.lit(1)) * 40).alias("recipients"),
+            (F.count(F.lit(1)) * 12).alias("opens"),
+            self._n(et == "click").alias("clicks"),
+            self._n(et == "purchase").alias("orders"),
+            self._v(et == "purchase").alias("revenue"))
+        return g.select("date", pick([n for _, n in EMAIL_SENDS], F.col("si")).alias("name"),
+                        pick([t for t, _ in EMAIL_SENDS], F.col("si")).alias("type"),
+                        "recipients", "opens", "clicks", "orders", "revenue")
+
+    def seo(self) -> DataFrame:
+        e = self.ev()
+        g = e.groupBy("date", (F.col("k") % 13).alias("qi")).agg(
+            (F.count(F.lit(1)) * 25).alias("impressions"),
+            (self._n(F.col("event_type") == "click") * 2).alias("clicks"),
+            F.sum(money("value")).alias("sv"), F.count(F.lit(1)).alias("n"))
+        return g.select("date", pick(SEO_QUERIES, F.col("qi")).alias("query"),
+                        (F.col("qi") < SEO_BRANDED).alias("branded"), "clicks", "impressions",
+                        F.round(F.col("sv").cast("double") / F.col("n"), 6).alias("position"))
+
+    def feeds(self) -> dict[str, DataFrame]:
+        """All feeds by name (lazy DataFrames)."""
+        return {"orders": self.orders(), "line_items": self.line_items(),
+                "inventory": self.inventory(), "returns": self.returns(),
+                "traffic": self.traffic(), "traffic_items": self.traffic_items(),
+                "meta": self.meta(), "google": self.google(), "microsoft": self.microsoft(),
+                "tiktok": self.tiktok(), "email": self.email(), "seo": self.seo(),
+                "orderbank": self.orderbank(), "targets": self.targets()}
