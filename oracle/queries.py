@@ -186,3 +186,6 @@ SQL["channel_table"] = with_ctes(
   {comparison_select(M.KPI_GROUPS['Overview Metrics'])}
 FROM ({rollup_sql(['marketing_channel_group', 'marketing_channel'], CUR, LY)})
 WHERE n_cur > 0 AND (gid = 3 OR marketing_channel_group IN ('Paid', 'Unpaid'))""", "fact")
+
+
+from oracle import queries_reports  # noqa: E402,F401  (registers the rest)

@@ -32,3 +32,4 @@ def query(name: str):
 
 # modules register their queries on import
 from tillroll.plans import registry  # noqa: E402,F401
+from tillroll.plans import registry_reports  # noqa: E402,F401

@@ -114,8 +114,9 @@ def with_geo(df, country: str = "country"):
     }).drop("_geo_n", "_geo_m", "_geo_r")
 
 
-GEO = {"geo_region": F.col("geo_region"), "geo_market": F.col("geo_market"),
-       "geo_country": F.col("geo_country")}
+def geo_refs() -> dict[str, Column]:
+    """References to the columns added by :func:`with_geo`."""
+    return {n: F.col(n) for n in ("geo_region", "geo_market", "geo_country")}
 
 
 # ── marketing channel ───────────────────────────────────────────────────

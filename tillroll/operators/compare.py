@@ -19,11 +19,15 @@ from tillroll.functions import metrics as MX
 from tillroll.functions.periods import Range, as_date
 
 
+def _bound(v) -> Column:
+    return v if isinstance(v, Column) else F.lit(as_date(v))
+
+
 def in_range(rng: Range | None, date_col: str = "date") -> Column:
+    """Inclusive date range; ends are dates/ISO strings or Columns (e.g. scalar subqueries)."""
     if rng is None:
         return F.lit(False)
-    s, e = as_date(rng[0]), as_date(rng[1])
-    return F.col(date_col).between(F.lit(s), F.lit(e))
+    return F.col(date_col).between(_bound(rng[0]), _bound(rng[1]))
 
 
 def dim_filter(df: DataFrame, filters: dict | None) -> DataFrame:
@@ -144,6 +148,20 @@ def target_metric(metric: str, available: dict[str, str], resolve) -> Column:
     return MX.metric_column(metric, resolve)
 
 
+def target_rows(targets: DataFrame | None, rng: Range, metrics: list[str]) -> DataFrame | None:
+    """(metric, target) over a date range: direct column sums (0 for an empty
+    range, null without a column) or implied targets for derived metrics."""
+    available = target_columns_for(targets)
+    needed = sorted({b for m in metrics for b in MX.formula_inputs(m)} & set(available))
+    g = targets.filter(in_range(rng)).agg(
+        F.count(F.lit(1)).alias("_rows"),
+        *[MX.base_sum(b, col=available[b]).alias(f"_t_{b}") for b in needed])
+    rows = [F.struct(F.lit(m).alias("metric"),
+                     target_metric(m, available, lambda b: F.col(f"_t_{b}")).cast("double")
+                     .alias("target")) for m in metrics]
+    return g.select(F.inline(F.array(*rows)))
+
+
 def kpi_rows(fact: DataFrame, metrics: list[str], cur: Range, cmp: Range | None,
              targets: DataFrame | None = None, filters: dict | None = None) -> DataFrame:
     """Per metric: value, comparison, delta %, target and vs-target % in one job.
@@ -161,7 +179,6 @@ def kpi_rows(fact: DataFrame, metrics: list[str], cur: Range, cmp: Range | None,
     aggs = side_aggs(bases, cur, cmp)
     aggs += [MX.base_sum(b, col=f"_t_{b}").alias(f"_t_{b}") for b in needed_targets]
     g = f.agg(*aggs)
-    cmp_present = F.lit(cmp is not None) & (F.col("_n_cmp") > 0) if cmp is not None else F.lit(False)
     rows = []
     for m in metrics:
         value = MX.metric_column(m, lambda b: F.col(f"{b}_cur"))
@@ -173,7 +190,6 @@ def kpi_rows(fact: DataFrame, metrics: list[str], cur: Range, cmp: Range | None,
             cmpv.cast("double").alias("cmp"), MX.pct_change(value, cmpv).alias("delta_pct"),
             tgt.cast("double").alias("target"),
             F.when(tgt != 0, MX.pct_change(value, tgt)).alias("vtarg_pct")))
-    del cmp_present
     return g.select(F.inline(F.array(*rows)))
 
 

@@ -48,7 +48,7 @@ def map_orders(orders: DataFrame) -> DataFrame:
         F.sum("gross_sales").alias("gross_sales"),
         F.sum("discounts").alias("discounts"),
         F.sum("cogs").alias("cogs"))
-    return _assemble(D.with_geo(g), {"date": F.col("date"), "source": "shopify", **D.GEO}, {
+    return _assemble(D.with_geo(g), {"date": F.col("date"), "source": "shopify", **D.geo_refs()}, {
         "orders": F.col("orders"),
         "revenue": F.round("revenue", 2),
         "gross_sales": F.round("gross_sales", 2),
@@ -74,7 +74,7 @@ def map_traffic(traffic: DataFrame) -> DataFrame:
         "marketing_campaign": F.when(platform == "Meta", D.campaign_prefix(camp_raw)).otherwise(camp_raw),
         "paid_ad_platform": platform,
         "paid_campaign_type": D.campaign_type(camp_raw, channel),
-        **D.GEO,
+        **D.geo_refs(),
         "device": D.device("device"),
     }, {
         "visits": F.col("sessions"),
@@ -100,7 +100,7 @@ def _ad_lane(df: DataFrame, source: str, channel: str, platform: str, prefix_cam
         "marketing_campaign": D.campaign_prefix(name) if prefix_campaign else name,
         "paid_ad_platform": platform,
         "paid_campaign_type": D.campaign_type(name, channel, ptype),
-        **D.GEO,
+        **D.geo_refs(),
     }, {"spend": F.col("spend"), "impressions": F.col("impressions"),
         "clicks": F.col("clicks"), **metrics})
 
