@@ -120,9 +120,15 @@ def geo_refs() -> dict[str, Column]:
 
 
 # ── marketing channel ───────────────────────────────────────────────────
+def category_regex(category: str) -> str:
+    """One Java regex for "s = m, or s starts with m + '.', or s contains '.' + m"
+    over every member m of a source category (members quoted literally)."""
+    alts = "|".join(r"\Q" + m.strip().lower() + r"\E" for m in M.SOURCE_CATEGORIES[category])
+    return rf"^(?:{alts})(?:\.|$)|\.(?:{alts})"
+
+
 def _source_in_category(s: Column, category: str) -> Column:
-    members = [m.strip().lower() for m in M.SOURCE_CATEGORIES[category]]
-    return _any([(s == m) | s.startswith(m + ".") | s.contains("." + m) for m in members])
+    return s.rlike(category_regex(category))
 
 
 def is_paid_medium(med: Column) -> Column:
@@ -158,10 +164,23 @@ def channel_from_parts(s: Column, m: Column) -> Column:
 
 
 def channel(source_medium_col) -> Column:
+    """Self-contained channel expression; prefer :func:`with_channel` on a frame."""
     s, m = source_medium(source_medium_col)
     return channel_from_parts(s, m)
 
 
+def with_channel(df, sm_col: str = "source_medium"):
+    """Add ``marketing_channel``, ``marketing_channel_group`` and
+    ``paid_ad_platform``, parsing source/medium once into helper columns."""
+    s, m = source_medium(sm_col)
+    df = df.withColumns({"_sm_s": s, "_sm_m": m})
+    ch = channel_from_parts(F.col("_sm_s"), F.col("_sm_m"))
+    df = df.withColumns({"marketing_channel": ch,
+                         "paid_ad_platform": platform_from_parts(F.col("_sm_s"), F.col("_sm_m"))})
+    return df.withColumn("marketing_channel_group", channel_group("marketing_channel")) \
+        .drop("_sm_s", "_sm_m")
+
+
 def channel_group(channel_col) -> Column:
     return F.when(_c(channel_col).isin(M.PAID_CHANNELS), M.PAID_LABEL).otherwise(M.UNPAID_LABEL)
 

@@ -60,17 +60,14 @@ def map_orders(orders: DataFrame) -> DataFrame:
 
 def map_traffic(traffic: DataFrame) -> DataFrame:
     """Web analytics -> traffic lane, one fact row per feed row."""
-    s, m = D.source_medium("source_medium")
-    t = D.with_geo(traffic).withColumns({"_s": s, "_m": m})
-    t = t.withColumns({"_ch": D.channel_from_parts(F.col("_s"), F.col("_m")),
-                       "_pf": D.platform_from_parts(F.col("_s"), F.col("_m"))})
-    channel, platform = F.col("_ch"), F.col("_pf")
+    t = D.with_channel(D.with_geo(traffic))
+    channel, platform = F.col("marketing_channel"), F.col("paid_ad_platform")
     camp_raw = F.coalesce(F.col("campaign"), F.lit(""))
     return _assemble(t, {
         "date": D.compact_date("event_date"),
         "source": "ga4",
         "marketing_channel": channel,
-        "marketing_channel_group": D.channel_group(channel),
+        "marketing_channel_group": F.col("marketing_channel_group"),
         "marketing_campaign": F.when(platform == "Meta", D.campaign_prefix(camp_raw)).otherwise(camp_raw),
         "paid_ad_platform": platform,
         "paid_campaign_type": D.campaign_type(camp_raw, channel),

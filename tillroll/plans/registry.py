@@ -39,18 +39,16 @@ def q_dim_source_medium(ws):
 @query("dim_channel")
 def q_dim_channel(ws):
     t = ws.feed("traffic")
-    ch = D.channel("source_medium")
     return (t.groupBy("source_medium").agg(F.sum("sessions").alias("sessions"))
-            .select("source_medium", ch.alias("marketing_channel"),
-                    D.channel_group(ch).alias("marketing_channel_group"), "sessions"))
+            .transform(D.with_channel)
+            .select("source_medium", "marketing_channel", "marketing_channel_group", "sessions"))
 
 
 @query("dim_platform")
 def q_dim_platform(ws):
     t = ws.feed("traffic")
     return (t.groupBy("source_medium").agg(F.sum("sessions").alias("sessions"))
-            .select("source_medium", D.platform("source_medium").alias("paid_ad_platform"),
-                    "sessions"))
+            .transform(D.with_channel).select("source_medium", "paid_ad_platform", "sessions"))
 
 
 @query("dim_geo")
