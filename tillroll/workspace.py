@@ -43,6 +43,21 @@ def _fingerprint(spark: SparkSession, sf_dir: str) -> tuple:
     return tuple(out)
 
 
+TARGET_FILE_BYTES = 256 * 1024 * 1024
+
+
+def output_partitions(df: DataFrame) -> int:
+    """Files for a stored table: ~256 MB each by the optimizer's size estimate,
+    never fewer than the shuffle partitions (so every core writes)."""
+    spark = df.sparkSession
+    floor = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    try:
+        est = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:  # pragma: no cover - estimate unavailable (e.g. Spark Connect)
+        return floor
+    return max(floor, min(200_000, -(-est // TARGET_FILE_BYTES)))
+
+
 class Workspace:
     def __init__(self, spark: SparkSession, sf_dir: str, materialize: bool | None = None):
         self.spark = spark
@@ -67,7 +82,7 @@ class Workspace:
                 df = build()
                 sort_key = SORT_KEYS.get(name)
                 if sort_key:
-                    n = int(self.spark.conf.get("spark.sql.shuffle.partitions", "8"))
+                    n = output_partitions(df)
                     df = df.repartitionByRange(n, sort_key).sortWithinPartitions(sort_key)
                 df.write.mode("overwrite").parquet(path)
                 _BUILT[key] = path
