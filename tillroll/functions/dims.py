@@ -217,6 +217,9 @@ def campaign_type(name, channel_col, platform_type=None) -> Column:
     social_branch = (F.when(n.contains(M.TOFU_KEYWORD), "ToFu")
                      .when(_any([n.contains(k) for k in M.BOFU_KEYWORDS]), "BoFu")
                      .otherwise(M.PAID_SOCIAL_OTHER))
+    if isinstance(channel_col, str):      # literal channel: pick the branch on the driver
+        return {"Paid Search": search_branch, "Paid Social": social_branch}.get(
+            channel_col, F.lit(M.NA))
     return (F.when(ch == "Paid Search", search_branch)
             .when(ch == "Paid Social", social_branch)
             .otherwise(M.NA))
