@@ -49,11 +49,10 @@ def q_kpi_favourability(ws):
 
 @query("kpi_delta_units")
 def q_kpi_delta_units(ws):
-    from tillroll.functions.metrics import delta_in_units
+    """Change in each metric's own unit: percentage points for percent metrics."""
     rows = C.kpi_rows(ws.fact, SUMMARY + ["spend", "roas"], CUR, LY)
     pct = [m for m in M.ALL_METRICS if M.metric_format(m) == "percent"]
     d = F.col("value") - F.col("cmp")
-    del delta_in_units
     return rows.select("metric", "value", "cmp",
                        F.when(F.col("metric").isin(pct), d * 100.0).otherwise(d).alias("delta_units"))
 
@@ -328,10 +327,18 @@ def q_source_coverage(ws):
     return union_all(parts)
 
 
+PAYLOAD_PAGES = 1024
+
+
 def _payload(ws):
-    """Orders as nested JSON payloads, landed under the scratch folder."""
-    li = ws.line_items
-    p = li.groupBy("order_id").agg(
+    """Orders as nested JSON payloads, landed under the scratch folder.
+
+    An order's line items are split into pages by a hash of the line, so no
+    payload array grows with a hot order (pages are merged after flattening)."""
+    li = ws.feeds.lines_base()
+    page = F.pmod(F.xxhash64("order_id", "l_linenumber", "l_suppkey", "product_id"),
+                  F.lit(PAYLOAD_PAGES))
+    p = li.groupBy("order_id", page.alias("page")).agg(
         F.min("created_at").alias("created_at"), F.min_by("customer_id", "created_at").alias("cid"),
         F.min_by("country", "created_at").alias("cc"),
         F.collect_list(F.struct(F.col("gross_sales").cast("string").alias("price"),
@@ -352,7 +359,8 @@ def _payload(ws):
 
 @query("orders_from_json")
 def q_orders_from_json(ws):
-    flat = IO.flatten_payload(IO.read_payload(ws.spark, _payload(ws)))
+    pages = IO.flatten_payload(IO.read_payload(ws.spark, _payload(ws)))
+    flat = IO.merge_payload_pages(pages)
     return out(flat.withColumn("created_at", F.to_date("created_at")).withColumnRenamed(
         "created_at", "order_date"))
 

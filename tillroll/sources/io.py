@@ -111,6 +111,28 @@ def flatten_payload(raw: DataFrame) -> DataFrame:
         F.coalesce(F.col("currency"), F.lit("GBP")).alias("currency"))
 
 
+def merge_payload_pages(flat: DataFrame) -> DataFrame:
+    """Orders whose line items arrive over several payload pages -> one row per
+    order.  Money is re-derived from the merged gross (exact decimal sums), so a
+    split order gives the same row as one whole payload.  Partial aggregation
+    keeps an order with very many pages cheap."""
+    g = flat.groupBy("order_id").agg(
+        F.min("created_at").alias("created_at"),
+        F.min_by("customer_id", "created_at").alias("customer_id"),
+        F.min_by("channel", "created_at").alias("channel"),
+        F.min_by("country", "created_at").alias("country"),
+        F.sum("gross_sales").alias("gross"), F.sum("discounts").alias("disc"),
+        F.sum("shipping").cast(MONEY).alias("shipping"),
+        F.sum("total_price").cast(MONEY).alias("total_price"),
+        F.min("currency").alias("currency"))
+    return g.select(
+        "order_id", "created_at", "customer_id", "channel", "country",
+        F.col("gross").cast(MONEY).alias("gross_sales"), F.col("disc").cast(MONEY).alias("discounts"),
+        F.round(F.col("gross") - F.col("disc"), 2).cast(MONEY).alias("net_sales"),
+        F.round(F.col("gross") * F.lit(0.45).cast("decimal(3,2)"), 2).cast(MONEY).alias("cogs"),
+        "shipping", "total_price", "currency")
+
+
 def read_payload(spark: SparkSession, path: str) -> DataFrame:
     """Landed JSON order payloads (one object per line) with a declared schema."""
     return spark.read.schema(PAYLOAD_SCHEMA).json(path)
