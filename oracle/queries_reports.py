@@ -503,7 +503,8 @@ reg("sink_roundtrip", """SELECT strftime(date, '%Y-%m') AS month, count(*) AS ro
 _feeds = [("orders", "shop_orders"), ("line_items", "line_items"), ("inventory", "inventory"),
           ("returns", "shop_returns"), ("traffic", "traffic"), ("traffic_items", "traffic_items"),
           ("meta", "meta"), ("google", "google"), ("microsoft", "microsoft"), ("tiktok", "tiktok"),
-          ("email", "email"), ("seo", "seo"), ("orderbank", "orderbank"), ("targets", "targets")]
+          ("email", "email"), ("seo", "seo"), ("orderbank", "orderbank"), ("targets", "targets"),
+          ("fact", "fact"), ("fact_product", "fact_product"), ("fact_email", "email"), ("fact_seo", "seo")]
 reg("source_coverage", "\nUNION ALL\n".join(
     f"SELECT '{n}' AS feed, count(*) AS rows, count(*) > 0 AS present FROM {c}" for n, c in _feeds),
     *[c for _, c in _feeds])

@@ -318,13 +318,15 @@ def q_sink_roundtrip(ws):
 
 @query("source_coverage")
 def q_source_coverage(ws):
-    """Row count and presence of every feed."""
+    """Row count and presence of every feed and every fact."""
     from tillroll.plans.common import union_all
-    parts = [ws.feed(n).agg(F.count(F.lit(1)).alias("rows")).select(
-        F.lit(n).alias("feed"), "rows", (F.col("rows") > 0).alias("present"))
-        for n in ["orders", "line_items", "inventory", "returns", "traffic", "traffic_items",
-                  "meta", "google", "microsoft", "tiktok", "email", "seo", "orderbank", "targets"]]
-    return union_all(parts)
+    frames = [(n, ws.feed(n)) for n in ["orders", "line_items", "inventory", "returns", "traffic",
+                                        "traffic_items", "meta", "google", "microsoft", "tiktok",
+                                        "email", "seo", "orderbank", "targets"]]
+    frames += [("fact", ws.fact), ("fact_product", ws.product_fact), ("fact_email", ws.email_fact),
+               ("fact_seo", ws.seo_fact)]
+    return union_all([df.agg(F.count(F.lit(1)).alias("rows")).select(
+        F.lit(n).alias("feed"), "rows", (F.col("rows") > 0).alias("present")) for n, df in frames])
 
 
 PAYLOAD_PAGES = 1024
