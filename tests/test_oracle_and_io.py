@@ -134,3 +134,12 @@ def test_streaming_orders_exactly_once(spark):
         batch.agg(F.sum("gross_sales")).first()[0]
     lane = sales_lane_stream(orders_stream(spark, land))
     assert lane.isStreaming
+
+
+@pytest.mark.parametrize("name", ["channel_table", "customer_kpis", "category_table", "order_insight"])
+def test_stored_facts_equal_lazy_plan(spark, name, monkeypatch):
+    """Reports on the stored (materialized) facts equal the single lazy plan."""
+    stored = entry.queries()[name](spark, SF_SMALL).toPandas()
+    monkeypatch.setenv("TILLROLL_MATERIALIZE", "0")
+    lazy = entry.queries()[name](spark, SF_SMALL).toPandas()
+    assert _rows(stored) == _rows(lazy)

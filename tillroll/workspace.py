@@ -43,6 +43,11 @@ def _fingerprint(spark: SparkSession, sf_dir: str) -> tuple:
     return tuple(out)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    from tillroll.sources.io import path_exists
+    return path_exists(spark, path)
+
+
 class Workspace:
     def __init__(self, spark: SparkSession, sf_dir: str, materialize: bool | None = None):
         self.spark = spark
@@ -62,6 +67,8 @@ class Workspace:
                _fingerprint(self.spark, self.sf_dir))
         with _LOCK:
             path = _BUILT.get(key)
+            if path is not None and not _exists(self.spark, path):
+                path = None                     # scratch folder was cleaned: rebuild
             if path is None:
                 path = scratch_path(self.spark, name)
                 df = build()
