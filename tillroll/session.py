@@ -36,7 +36,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     the local fallback is for tests only."""
     cur = spark.conf.get("spark.checkpoint.dir", None)
     if not cur:
-        cur = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
+        try:
+            cur = spark.sparkContext.getCheckpointDir()
+        except Exception:  # pragma: no cover - Spark Connect
+            cur = None
     if not cur:
         cur = tempfile.mkdtemp(prefix="tillroll-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", cur)

@@ -89,10 +89,9 @@ class DriverFeeds:
         path = f"{self.sf_dir}/{name}.parquet"
         df = self.spark.read.parquet(path)
         if name in self.FACT_TABLES:
-            jvm = self.spark._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
-            if fs.getContentSummary(p).getLength() < self.SMALL_INPUT_BYTES:
+            from tillroll.sources.io import path_bytes
+            size = path_bytes(self.spark, path)
+            if size is not None and size < self.SMALL_INPUT_BYTES:
                 df = df.repartition(self.spark.sparkContext.defaultParallelism)
         return df
 

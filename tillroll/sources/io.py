@@ -17,14 +17,32 @@ from tillroll import model as M
 MONEY = T.DecimalType(18, 2)
 
 
+def has_jvm(spark: SparkSession) -> bool:
+    """Classic session with a JVM gateway (not Spark Connect)."""
+    return getattr(spark, "_jsc", None) is not None
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Dataset existence probe through the Hadoop FileSystem of the path."""
+    if not has_jvm(spark):
+        import os
+        return os.path.exists(path.replace("file:", "", 1))
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
     return bool(fs.exists(p))
 
 
+def path_bytes(spark: SparkSession, path: str) -> int | None:
+    """Total bytes under a path, or None when unknown."""
+    if not has_jvm(spark):
+        return None
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return int(fs.getContentSummary(p).getLength()) if fs.exists(p) else None
+
+
 def scan_parquet(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """Parquet scan where an absent dataset is a legal, empty result.
 
@@ -55,6 +73,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     """Full-overwrite parquet sink, optionally partitioned (e.g. by month)."""
+    if partition_by:
+        # AQE rebalance: evenly sized files per partition value; a hot value is
+        # split across tasks instead of landing in one
+        df = df.hint("rebalance", *partition_by)
     w = df.write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(*partition_by)

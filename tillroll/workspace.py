@@ -54,6 +54,8 @@ class Workspace:
         self.sf_dir = sf_dir.rstrip("/")
         if materialize is None:
             materialize = os.environ.get("TILLROLL_MATERIALIZE", "1") != "0"
+        from tillroll.sources.io import has_jvm
+        materialize = materialize and has_jvm(spark)   # Spark Connect: stay lazy
         self.materialize = materialize
         self.feeds = DriverFeeds(spark, self.sf_dir, store=self._store if materialize else None)
         self.ref = REF_DATE
