@@ -23,15 +23,17 @@ from pyspark.sql import Window as W
 
 
 def exact_percentiles(df: DataFrame, col: str, ps: list[float],
-                      slices: int | None = None) -> list[Column]:
-    """Scalar Columns with the exact ``ps`` percentiles of ``df[col]`` (nulls ignored)."""
+                      slices: int | None = None, names: list[str] | None = None) -> DataFrame:
+    """One-row DataFrame with the exact ``ps`` percentiles of ``df[col]`` (nulls
+    ignored); columns ``names`` (default ``p0, p1, ...``)."""
     spark = df.sparkSession
     if slices is None:
         slices = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    names = names or [f"p{i}" for i in range(len(ps))]
     v = F.col(col)
     vals = df.filter(v.isNotNull()).select(v.cast("double").alias("_v"))
-    n = vals.select(F.count(F.lit(1))).scalar()
     counts = vals.groupBy("_v").agg(F.count(F.lit(1)).alias("_c"))
+    n = counts.select(F.sum("_c")).scalar()          # one scalar subquery, reused below
     ranged = counts.repartitionByRange(slices, "_v").withColumn("_slice", F.spark_partition_id())
     ranged = ranged.withColumn(
         "_run", F.sum("_c").over(W.partitionBy("_slice").orderBy("_v")
@@ -42,18 +44,17 @@ def exact_percentiles(df: DataFrame, col: str, ps: list[float],
         F.lit(0)).alias("_off"))
     j = ranged.join(F.broadcast(offsets), "_slice")
     j = j.withColumn("_end", F.col("_off") + F.col("_run"))   # ranks [_end - _c, _end)
-    picks, positions = [], []
+    j = j.withColumn("_n", n)
+    picks = [F.max("_n").alias("_n")]
     for i, p in enumerate(ps):
-        pos = (n - F.lit(1)).cast("double") * F.lit(float(p))
-        lo, hi = F.floor(pos), F.ceil(pos)
-        positions.append((pos, lo))
-        for tag, r in (("lo", lo), ("hi", hi)):
+        pos = (F.col("_n") - F.lit(1)).cast("double") * F.lit(float(p))
+        for tag, r in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
             hit = (F.col("_end") - F.col("_c") <= r) & (r < F.col("_end"))
-            picks.append(F.max(F.when(hit, F.col("_v"))).alias(f"{tag}{i}"))
-    names = [f"{t}{i}" for i in range(len(ps)) for t in ("lo", "hi")]
-    row = j.agg(*picks).select(F.struct(*names)).scalar()
+            picks.append(F.max(F.when(hit, F.col("_v"))).alias(f"_{tag}{i}"))
+    row = j.agg(*picks)
     out = []
-    for i, (pos, lo) in enumerate(positions):
-        lo_v, hi_v = row.getField(f"lo{i}"), row.getField(f"hi{i}")
-        out.append(lo_v + (hi_v - lo_v) * (pos - lo))
-    return out
+    for i, p in enumerate(ps):
+        pos = (F.col("_n") - F.lit(1)).cast("double") * F.lit(float(p))
+        lo_v, hi_v = F.col(f"_lo{i}"), F.col(f"_hi{i}")
+        out.append((lo_v + (hi_v - lo_v) * (pos - F.floor(pos))).alias(names[i]))
+    return row.select(*out)

@@ -33,11 +33,12 @@ def order_insight(li: DataFrame, cur, cmp, filters=None) -> DataFrame:
                       F.avg(F.when(F.col("items") == 1, 1.0).otherwise(0.0)).alias(f"single{sfx}"),
                       dsum("items").alias(f"units{sfx}"))
 
-    q = exact_percentiles(o.select(F.col("value").cast("double").alias("v")), "v", [0.5, 0.9])
+    q = exact_percentiles(o, "value", [0.5, 0.9], names=["median", "p90"])
+    # three one-row frames merged by union + max: no join
     g = (stats(o, "").unionByName(stats(oc, "_c"), allowMissingColumns=True)
-         .agg(*[F.max(c).alias(c) for c in ["n", "aov", "items", "single", "units",
-                                             "n_c", "aov_c", "items_c", "units_c"]]))
-    g = g.withColumns({"median": q[0], "p90": q[1]})
+         .unionByName(q, allowMissingColumns=True)
+         .agg(*[F.max(c).alias(c) for c in ["n", "aov", "items", "single", "units", "n_c",
+                                             "aov_c", "items_c", "units_c", "median", "p90"]]))
     has = F.col("n_c") > 0
     return long_rows(g, [
         ("orders", F.col("n"), F.when(has, F.col("n_c"))),

@@ -33,11 +33,11 @@ CUSTOM = (dt.date(1998, 1, 20), dt.date(2003, 12, 31))
 
 @query("kpi_custom_range")
 def q_kpi_custom_range(ws):
-    """Custom range clamped into the data bounds (scalar subqueries), no comparison."""
-    b = ws.fact.agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
-    lo, hi = b.select("lo").scalar(), b.select("hi").scalar()
-    clamp = lambda d: F.greatest(lo, F.least(hi, F.lit(d)))
-    return C.kpi_rows(ws.fact, SUMMARY, (clamp(CUSTOM[0]), clamp(CUSTOM[1])), None, ws.targets)
+    """Custom range clamped into the data bounds, no comparison.
+
+    The bounds are one bounded driver fetch (a 1-row min/max aggregate)."""
+    lo, hi = ws.fact.agg(F.min("date"), F.max("date")).first()
+    return C.kpi_rows(ws.fact, SUMMARY, P.clamp_range(CUSTOM, lo, hi), None, ws.targets)
 
 
 @query("kpi_favourability")
