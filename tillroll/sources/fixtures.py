@@ -224,6 +224,9 @@ class DriverFeeds:
         return F.coalesce(F.sum(F.when(cond, money("value"))), F.lit(0).cast(MONEY)).cast(MONEY)
 
     def traffic(self) -> DataFrame:
+        return self._memo("traffic", self._traffic, stored=True)
+
+    def _traffic(self) -> DataFrame:
         e = self.ev()
         et = F.col("event_type")
         g = e.groupBy("date", "k", (F.col("user_id") % 100).alias("u")).agg(
@@ -263,7 +266,7 @@ class DriverFeeds:
                 (self._n(et == "click") * 2).alias("link_clicks"),
                 (F.count(F.lit(1)) * 60).alias("reach"))
             return g.withColumn("country", pick(COUNTRIES, F.col("ui")))
-        return self._memo("ads", build)
+        return self._memo("ads", build, stored=True)
 
     def _ads(self, platform: int) -> DataFrame:
         # every platform filters the same aggregate, so the shuffle is planned once and reused
