@@ -329,17 +329,17 @@ def q_source_coverage(ws):
         F.lit(n).alias("feed"), "rows", (F.col("rows") > 0).alias("present")) for n, df in frames])
 
 
-PAYLOAD_PAGES = 1024
+PAGE_LINES = 1000
 
 
 def _payload(ws):
     """Orders as nested JSON payloads, landed under the scratch folder.
 
-    An order's line items are split into pages by a hash of the line, so no
-    payload array grows with a hot order (pages are merged after flattening)."""
+    Line items are paged by line position (``PAGE_LINES`` per payload), so a
+    normal order is one payload and no payload array grows with a huge order;
+    pages are merged per order after flattening."""
     li = ws.feeds.lines_base()
-    page = F.pmod(F.xxhash64("order_id", "l_linenumber", "l_suppkey", "product_id"),
-                  F.lit(PAYLOAD_PAGES))
+    page = F.floor((F.col("l_linenumber") - 1) / PAGE_LINES)
     p = li.groupBy("order_id", page.alias("page")).agg(
         F.min("created_at").alias("created_at"), F.min_by("customer_id", "created_at").alias("cid"),
         F.min_by("country", "created_at").alias("cc"),
