@@ -24,6 +24,9 @@ from tillroll.sources.fixtures import REF_DATE, DriverFeeds
 _BUILT: dict[tuple, str] = {}
 _LOCK = threading.RLock()
 INPUT_TABLES = ["customer", "part", "orders", "lineitem", "events"]
+# name -> bucket column: stored as a bucketed table so grouping by that key
+# (the order roll-up, order payloads) reads it without another shuffle
+BUCKET_KEYS = {"lines_base": "order_id"}
 # name -> column the stored table is sorted by (within partitions)
 SORT_KEYS = {"lines_base": "created_at", "ev": "date", "orders": "created_at",
              "fact": "date", "fact_product": "date"}
@@ -69,18 +72,28 @@ class Workspace:
                _fingerprint(self.spark, self.sf_dir))
         with _LOCK:
             path = _BUILT.get(key)
-            if path is not None and not _exists(self.spark, path):
+            if path is not None and not path.startswith("table:") and not _exists(self.spark, path):
                 path = None                     # scratch folder was cleaned: rebuild
             if path is None:
                 path = scratch_path(self.spark, name)
                 df = build()
+                bucket = BUCKET_KEYS.get(name)
                 sort_key = SORT_KEYS.get(name)
-                if sort_key:
-                    # sort inside the existing partitions: no extra shuffle or sampling
-                    # pass, no hot-day partition; row groups carry tight date ranges
-                    df = df.sortWithinPartitions(sort_key)
-                df.write.mode("overwrite").parquet(path)
+                if bucket:
+                    n = int(self.spark.conf.get("spark.sql.shuffle.partitions", "200"))
+                    table = "tillroll_" + path.rstrip("/").rsplit("/", 1)[-1].replace("-", "_")
+                    (df.write.mode("overwrite").option("path", path).bucketBy(n, bucket)
+                     .sortBy(bucket).saveAsTable(table))
+                    path = "table:" + table
+                else:
+                    if sort_key:
+                        # sort inside the existing partitions: no extra shuffle or sampling
+                        # pass, no hot-day partition; row groups carry tight date ranges
+                        df = df.sortWithinPartitions(sort_key)
+                    df.write.mode("overwrite").parquet(path)
                 _BUILT[key] = path
+        if path.startswith("table:"):
+            return self.spark.table(path[len("table:"):])
         return self.spark.read.parquet(path)
 
     def _memo(self, key, build):
