@@ -34,3 +34,16 @@ def test_no_cartesian_and_bounded_broadcasts(spark):
         assert "CartesianProduct" not in plan, name
         if "BroadcastNestedLoopJoin" in plan:
             assert name == "period_totals", name      # 36-row period table only
+
+
+def test_large_fact_is_day_partitioned_and_pruned(spark, monkeypatch):
+    """Above the size threshold the fact is stored by day; date filters prune directories."""
+    monkeypatch.setenv("TILLROLL_PARTITION_BYTES", "0")
+    df = entry.queries()["breakdown"](spark, SF_SMALL)
+    plan = _plan(df)
+    assert re.search(r"PartitionFilters: \[[^\n]*date", plan)
+    monkeypatch.setenv("TILLROLL_PARTITION_BYTES", str(8 << 30))
+    ref = entry.queries()["breakdown"](spark, SF_SMALL)
+    assert sorted(map(tuple, df.collect())) == sorted(map(tuple, ref.collect()))
+    fact = Workspace(spark, SF_SMALL).fact
+    assert fact.columns[:2] == ["date", "source"]

@@ -24,6 +24,9 @@ from tillroll.sources.fixtures import REF_DATE, DriverFeeds
 _BUILT: dict[tuple, str] = {}
 _LOCK = threading.RLock()
 INPUT_TABLES = ["customer", "part", "orders", "lineitem", "events"]
+# name -> day column: above PARTITION_BYTES (optimizer estimate) the table is
+# stored partitioned by day, so report date filters prune whole directories
+PARTITION_KEYS = {"fact": "date", "fact_product": "date"}
 # name -> bucket column: stored as a bucketed table so grouping by that key
 # (the order roll-up, order payloads) reads it without another shuffle
 BUCKET_KEYS = {"lines_base": "order_id"}
@@ -46,6 +49,17 @@ def _fingerprint(spark: SparkSession, sf_dir: str) -> tuple:
     return tuple(out)
 
 
+def partition_threshold() -> int:
+    return int(os.environ.get("TILLROLL_PARTITION_BYTES", str(8 << 30)))
+
+
+def _estimated_bytes(df: DataFrame) -> int | None:
+    try:
+        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:  # pragma: no cover
+        return None
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     from tillroll.sources.io import path_exists
     return path_exists(spark, path)
@@ -69,10 +83,11 @@ class Workspace:
         """Build ``name`` once per (application, inputs) and read it back from parquet."""
         from tillroll.sources.io import scratch_path
         key = (self.spark.sparkContext.applicationId, self.sf_dir, name,
-               _fingerprint(self.spark, self.sf_dir))
+               _fingerprint(self.spark, self.sf_dir), partition_threshold())
         with _LOCK:
             path = _BUILT.get(key)
-            if path is not None and not path.startswith("table:") and not _exists(self.spark, path):
+            if (path is not None and not path.startswith(("table:", "parts:"))
+                    and not _exists(self.spark, path)):
                 path = None                     # scratch folder was cleaned: rebuild
             if path is None:
                 path = scratch_path(self.spark, name)
@@ -85,6 +100,13 @@ class Workspace:
                     (df.write.mode("overwrite").option("path", path).bucketBy(n, bucket)
                      .sortBy(bucket).saveAsTable(table))
                     path = "table:" + table
+                elif (PARTITION_KEYS.get(name) and
+                      (_estimated_bytes(df) or 0) >= partition_threshold()):
+                    day = PARTITION_KEYS[name]
+                    cols = ",".join(df.columns)
+                    # AQE rebalance: evenly sized files per day, a hot day split over tasks
+                    df.hint("rebalance", day).write.mode("overwrite").partitionBy(day).parquet(path)
+                    path = f"parts:{cols}:{path}"
                 else:
                     if sort_key:
                         # sort inside the existing partitions: no extra shuffle or sampling
@@ -94,6 +116,9 @@ class Workspace:
                 _BUILT[key] = path
         if path.startswith("table:"):
             return self.spark.table(path[len("table:"):])
+        if path.startswith("parts:"):
+            _, cols, real = path.split(":", 2)
+            return self.spark.read.parquet(real).select(*cols.split(","))
         return self.spark.read.parquet(path)
 
     def _memo(self, key, build):
