@@ -158,3 +158,20 @@ def test_metric_lanes_fill_only_their_columns(spark):
     assert lane.visits == 10 and lane.revenue is None and lane.marketing_channel == "Paid Search"
     assert lane.paid_ad_platform == "Google" and lane.date == d(1998, 2, 2)
     assert list(L.map_traffic(g).columns) == M.DIMENSIONS + list(M.BASE_METRICS)
+
+
+def test_stacked_fact_absent_and_empty_feeds(spark):
+    """An absent feed contributes nothing; an empty feed contributes no rows; schema is fixed."""
+    tiktok = spark.createDataFrame(
+        [(d(1998, 2, 2), "TOFU_x", "GB", Decimal("5.00"), 100, 3, 1, Decimal("9.00"))],
+        "date date, campaign_name string, country string, spend decimal(18,2), impressions long, "
+        "clicks long, conversions_7d long, conversion_value_7d decimal(18,2)")
+    empty_meta = spark.createDataFrame([], "date date, campaign_name string, country string, "
+                                           "spend decimal(18,2), impressions long, clicks long")
+    f = L.stacked_fact({"orders": None, "traffic": None, "meta": empty_meta, "tiktok": tiktok})
+    rows = f.collect()
+    assert f.columns == M.DIMENSIONS + list(M.BASE_METRICS)
+    assert len(rows) == 1 and rows[0].source == "tiktok" and rows[0].paid_campaign_type == "ToFu"
+    assert rows[0].device == "(n/a)" and rows[0].marketing_campaign == "TOFU"
+    t = C.totals(f, ["spend", "revenue", "platform_roas"]).first()
+    assert (t.spend, t.revenue, t.platform_roas) == (5.0, 0.0, 1.8)
