@@ -29,20 +29,22 @@ def get_session(master: str | None = None, partitions: int | None = None) -> Spa
     return spark
 
 
+_LOCAL_FALLBACK: dict[str, str] = {}
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's ``spark.checkpoint.dir``; set a scratch one only if unset.
 
     On a cluster the setting names a shared folder that survives executor loss;
     the local fallback is for tests only."""
-    cur = spark.conf.get("spark.checkpoint.dir", None)
-    if not cur:
-        try:
-            cur = spark.sparkContext.getCheckpointDir()
-        except Exception:  # pragma: no cover - Spark Connect
-            cur = None
+    cur = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL_FALLBACK.get("dir")
     if not cur:
         cur = tempfile.mkdtemp(prefix="tillroll-ckpt-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", cur)
+        _LOCAL_FALLBACK["dir"] = cur
+        try:
+            spark.conf.set("spark.checkpoint.dir", cur)
+        except Exception:  # core config may be read-only at runtime; keep the local value
+            pass
     try:
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(cur)
