@@ -4,8 +4,10 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = {
+    "op5_toxicity": "op5_toxicity",
     "op6_decontamination": "op6_decontamination",
     "op7_token_count": "op7_token_count",
+    "op10_packing": "op10_packing",
 }
 
 QUERIES, SQL = {}, {}
