@@ -1,8 +1,8 @@
 """Toxic spans by a linear-chain conditional random field, and document scores from its marginals.
 
-Training (bounded: at most ``TRAIN_ROWS`` labelled documents of each class, of at most
-``TRAIN_CHARS`` characters, the first by a hash of the id):
-1. Words and word beginnings that occur in toxic documents far more often than in the others form
+Training (bounded: at most ``TRAIN_ROWS`` labelled documents of class 0 and 1, of
+at most ``TRAIN_CHARS`` characters, the first by a hash of the id):
+1. Near repeats aside, words and word beginnings that occur in toxic documents far more often than in the others form
    the lexicon, in steps of their log-odds.  A token is labelled toxic if it is of the lexicon and
    its document is labelled toxic.
 2. A two-state chain is fitted to the labelled tokens: a weight for each step of the lexicon and
@@ -33,13 +33,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-TRAIN_ROWS, TRAIN_CHARS = 2000, 10_000
+from tillroll.llm import texthash as H
+
+TRAIN_ROWS, TRAIN_CHARS = (6000, 3000), 10_000
 THRESHOLD = 0.3
 #: Log-odds at which the lexicon's steps begin; below the first a token is neutral.
 STEPS = (2.5, 3.5, 4.5, 5.5)
-#: A lexicon entry occurs in this many toxic training documents at least, and this share of its documents is toxic.
-LEAST, PURE = 12, 0.9
-SEGMENT, SEGMENTS, ROUNDS = 64, 3000, 150
+#: A lexicon entry occurs in this many toxic training documents at least, none a near repeat of
+#: another, and this share of its documents is toxic, were both classes of one size,
+#: which would come by chance with at most this probability (Chernoff's bound).
+LEAST, PURE, CHANCE = 4, 0.98, 3e-5
+#: Lengths of the word beginnings that are features; hashes by which near repeats are told.
+BEGINNINGS, REPEAT_HASHES = (8, 7, 6, 5, 4), 4
+SEGMENT, SEGMENTS, ROUNDS = 64, 1500, 100
 WORD = re.compile(r"[^\W\d_]+")
 SPANS = "array<struct<start:int,end:int,score:double>>"
 
@@ -51,27 +57,60 @@ class Model(NamedTuple):
     curve: tuple[float, float, float]
 
 
-def features(word: str) -> tuple[str, str, str]:
-    return word, word[:4] + "*", word[:5] + "*"
+def features(word: str) -> list[str]:
+    """A word and its beginnings, the longest first."""
+    return [word, *(f"{word[:k]}*" for k in BEGINNINGS if len(word) >= k)]
+
+
+def _varied(texts: list[str]) -> list[bool]:
+    """False for a text that nearly repeats an earlier one: they share one of several least shingle hashes."""
+    seen, out = set(), []
+    for text in texts:
+        data = np.frombuffer(text.encode(), np.uint8)
+        hashed = H.shingles(H.words(data, np.zeros(1, np.int64)), 1, 5)[1]
+        least = {(i, int(H.mix(hashed ^ H.U(i + 1)).min())) for i in range(REPEAT_HASHES)} if len(hashed) else set()
+        out.append(not least & seen)
+        seen |= least
+    return out
+
+
+def _telling(t: int, c: int, n: tuple[int, int]) -> bool:
+    """Whether t toxic and c other documents of n are too many toxic ones for chance."""
+    if t * n[0] < PURE * (t * n[0] + c * n[1]):
+        return False
+    p, q = n[1] / (n[0] + n[1]), t / (t + c)
+    apart = q * math.log(q / p) + ((1 - q) * math.log((1 - q) / (1 - p)) if c else 0)
+    return (t + c) * apart >= -math.log(CHANCE)
 
 
 def _lexicon(texts: list[str], toxic: list[int]) -> dict[str, int]:
-    counts = (Counter(), Counter())
-    for text, label in zip(texts, toxic, strict=True):
-        counts[label].update({f for w in set(WORD.findall(text.lower())) for f in features(w)})
-    n = (len(toxic) - sum(toxic), sum(toxic))
-    out = {}
-    for feature, t in counts[1].items():
-        c = counts[0][feature]
-        odds = math.log((t + 0.5) / (n[1] - t + 0.5)) - math.log((c + 0.5) / (n[0] - c + 0.5))
-        step = sum(odds >= s for s in STEPS)
-        if step and t >= LEAST and t / n[1] >= PURE * (t / n[1] + c / n[0]):
-            out[feature] = step
+    known: dict[str, str] = {}
+    docs = [(label, {known.setdefault(w, w) for w in WORD.findall(text.lower())})
+            for text, label, varied in zip(texts, toxic, _varied(texts), strict=True) if varied]
+    n = (sum(not label for label, _ in docs), sum(label for label, _ in docs))
+    out: dict[str, int] = {}
+    kept: set[str] = set()  # features of enough toxic documents; only words that begin so go on
+    last = 0
+    for k in [*sorted(BEGINNINGS), 0]:
+        counts = (Counter(), Counter())
+        for label, words in docs:
+            counts[label].update({f"{w[:k]}*" if k else w for w in words
+                                  if len(w) >= k and (not last or len(w) < last or f"{w[:last]}*" in kept)})
+        kept = {f for f, t in counts[1].items() if t >= LEAST} | {f for f, c in counts[0].items() if c >= LEAST and k}
+        for feature in kept | set(counts[0]):
+            t, c = counts[1][feature], counts[0][feature]
+            odds = math.log((t + 0.5) / (n[1] - t + 0.5)) - math.log((c + 0.5) / (n[0] - c + 0.5)) if n[0] and n[1] else 0
+            step = sum(odds >= s for s in STEPS) if t >= LEAST and _telling(t, c, n) else 0
+            # a longer beginning that is known to be harmless overrules a shorter one that is not
+            if step or (t + c >= LEAST and any(out.get(f) for f in features(feature.rstrip("*")))):
+                out[feature] = step
+        last = k
     return out
 
 
 def step_of(lexicon: dict[str, int], word: str) -> int:
-    return max(lexicon.get(f, 0) for f in features(word))
+    """The step of the longest known feature of ``word``."""
+    return next((lexicon[f] for f in features(word) if f in lexicon), 0)
 
 
 def _marginals(steps: np.ndarray, emit: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -240,7 +279,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     n = {r.y: r["count"] for r in usable.groupBy("y").count().collect()}
     rows = []
     for y in (0, 1):
-        sample = usable.filter(F.col("y") == y).select("i").distinct().orderBy(F.xxhash64("i"), "i").limit(TRAIN_ROWS)
+        sample = usable.filter(F.col("y") == y).select("i").distinct().orderBy(F.xxhash64("i"), "i").limit(TRAIN_ROWS[y])
         texts = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t")).filter(F.length("t") <= TRAIN_CHARS)
         rows += [(r.d, r.t, y) for r in texts.join(F.broadcast(sample), F.col("d") == F.col("i")).select("d", "t").collect()]
     rows.sort()

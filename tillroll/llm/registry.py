@@ -3,16 +3,19 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = {
-    "op5_toxicity": "op5_toxicity",
-    "op6_decontamination": "op6_decontamination",
-    "op7_token_count": "op7_token_count",
-    "op10_packing": "op10_packing",
-}
+MODULES = [
+    "op1_exact_dedup",
+    "op2_warc",
+    "op4_chat_format",
+    "op5_toxicity",
+    "op6_decontamination",
+    "op7_token_count",
+    "op10_packing",
+]
 
 QUERIES, SQL = {}, {}
-for name, module in MODULES.items():
-    part = import_module(f"tillroll.llm.{module}")
+for name in MODULES:
+    part = import_module(f"tillroll.llm.{name}")
     QUERIES[name] = part.query
     if getattr(part, "ORACLE_SQL", None):
         SQL[name] = part.ORACLE_SQL
