@@ -10,6 +10,7 @@ MODULES = [
     "op5_toxicity",
     "op6_decontamination",
     "op7_token_count",
+    "op8_pii",
     "op10_packing",
 ]
 
