@@ -6,6 +6,7 @@ from importlib import import_module
 MODULES = [
     "op1_exact_dedup",
     "op2_warc",
+    "op3_ngram_join",
     "op4_chat_format",
     "op5_toxicity",
     "op6_decontamination",
