@@ -306,6 +306,17 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int")).withColumnRenamed("doc_id", id_col)
 
 
+def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, whole, that the model does not find toxic."""
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tagger = Tagger(model)
+        for batch in batches:
+            scores = [tagger.score(*tagger.tag(t.as_py() or "")[:2]) for t in batch.column(text_col)]
+            yield batch.filter(pa.array([x < THRESHOLD for x in scores], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))

@@ -12,6 +12,7 @@ MODULES = [
     "op6_decontamination",
     "op7_token_count",
     "op8_pii",
+    "op9_line_dedup",
     "op10_packing",
 ]
 
