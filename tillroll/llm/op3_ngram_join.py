@@ -6,12 +6,12 @@
    holds the same shingles in both.  A block is a class, a group and its content.  (Empty groups
    are no blocks; a class has spare groups for them, and the odds that a similar pair has no common
    block are below 1e-5 for the smallest sets and far less for others.)
-3. A block yields pairs of each member with its smallest and with the next member; of three members
-   that is every pair.  Members of larger blocks are kept as rows (block, set).
-4. Pairs are verified against the full sets, first the likeliest of each set; components follow.
-   Pairs and blocks inside one component need no more work.  What remains is searched exactly: pairs
-   by the overlap bound of their count vectors, blocks with several components by an R-tree over the
-   members' count vectors; survivors are verified.
+3. A block of up to three members yields its pairs.  Members of larger blocks are kept as rows
+   (block, set), and an R-tree over their count vectors finds the nearest of each member by the
+   overlap bound.
+4. The pairs that the bound lets through are verified against the full sets; components follow.
+   Blocks inside one component need no more work; those with several are searched in full, by R-tree
+   again, for pairs across components, and survivors are verified.
 
 No group is expanded into all its pairs, and none is gathered in one task: a block that is frequent
 within a task leaves one representative in the shuffle and its members as rows; blocks of more than
@@ -105,17 +105,14 @@ def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.append(starts, len(key)))
 
 
-def _star(key: np.ndarray, sid: np.ndarray) -> np.ndarray:
-    """Unordered pairs (smaller, larger) of each member with the first and the next of its key; key, sid sorted."""
+def _pairs(key: np.ndarray, sid: np.ndarray) -> list[np.ndarray]:
+    """The distinct pairs (smaller, larger) of keys with two or three members; key, sid sorted."""
     starts, sizes = _runs(key)
-    first = np.repeat(sid[starts], sizes)
-    inner = np.ones(len(key), bool)
-    inner[starts] = False
-    to_first = np.stack([first[inner], sid[inner]], 1)
-    third = inner.copy()
-    third[starts[sizes > 1] + 1] = False
-    at = np.flatnonzero(third)
-    return np.concatenate([to_first, np.stack([sid[at - 1], sid[at]], 1)])
+    two, three = starts[sizes == 2], starts[sizes == 3]
+    left = np.concatenate([sid[two], sid[three], sid[three], sid[three + 1]])
+    right = np.concatenate([sid[two + 1], sid[three + 1], sid[three + 2], sid[three + 2]])
+    left, right = _sorted_unique(left, right)
+    return [left, right]
 
 
 def _sorted_unique(key: np.ndarray, sid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,14 +123,6 @@ def _sorted_unique(key: np.ndarray, sid: np.ndarray) -> tuple[np.ndarray, np.nda
     return key[keep], sid[keep]
 
 
-def _count_pairs(pairs: np.ndarray) -> list[np.ndarray]:
-    """a, b and how often each pair occurs."""
-    order = np.lexsort((pairs[:, 1], pairs[:, 0]))
-    pairs = pairs[order]
-    starts = np.flatnonzero(np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(1)])) if len(pairs) else np.zeros(0, int)
-    return [pairs[starts, 0], pairs[starts, 1], np.diff(np.append(starts, len(pairs))).astype("<u4")]
-
-
 def _emit(kind: int, bucket: int, blob: bytes) -> pa.RecordBatch:
     return pa.record_batch([pa.array([kind], pa.int8()), pa.array([bucket], pa.int32()), pa.array([blob], pa.binary())], schema=OUT)
 
@@ -144,8 +133,6 @@ def _map(k: int, percent: int, buckets: int):
         starts, sizes = _runs(key)
         often = np.repeat(sizes > FREQUENT, sizes)
         if often.any():
-            pairs = _count_pairs(_star(key[often], sid[often]))
-            yield from (_emit(PAIRS, b, x) for b, x in B.deal(pairs, (pairs[0] % H.U(buckets)).astype(np.int32)))
             members = [B.to48(key[often]), sid[often]]
             yield from (_emit(MEMBERS, b, x) for b, x in B.deal(members, (sid[often] % H.U(buckets)).astype(np.int32)))
             lead = starts[sizes > FREQUENT]
@@ -202,12 +189,12 @@ def _reduce(buckets: int):
             key, sid = _sorted_unique(np.concatenate([x[1] for x in read]), np.concatenate([x[2] for x in read]))
             led = [x[1] for x in read if x[0] == LEADERS]
             starts, sizes = _runs(key)
-            some = np.repeat(sizes > 1, sizes)
             wide = sizes > 3
             if led:
                 wide |= np.isin(key[starts], np.concatenate(led))
-            if some.any():
-                yield _emit(PAIRS, bucket, B.pack(_count_pairs(_star(key[some], sid[some]))))
+            few = np.repeat((sizes > 1) & ~wide, sizes)
+            if few.any():
+                yield _emit(PAIRS, bucket, B.pack(_pairs(key[few], sid[few])))
             if wide.any():
                 wide = np.repeat(wide, sizes)
                 yield _emit(MEMBERS, bucket, B.pack([B.to48(key[wide]), sid[wide]]))
@@ -268,6 +255,17 @@ def _with_both(pairs: DataFrame, full: DataFrame, column: str, percent: int) ->
     return out.filter((F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)).select("a", "b", "x", "y")
 
 
+def _asked(full: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The sets that the pairs may need, told by a filter of fixed size before anything is shuffled."""
+    bits = B.membership(pairs.select(F.explode(F.array("a", "b")).alias("sid")), "sid")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(B.may_contain(bits, batch.column("sid").to_numpy().view("<u8")), pa.bool_()))
+
+    return full.select("sid", "n", "members").mapInArrow(run, "sid bigint, n bigint, members binary")
+
+
 def bounded(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """Pairs whose count vectors allow the similarity."""
     def test(batch: pa.RecordBatch) -> list[bool]:
@@ -289,20 +287,15 @@ def verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
             common = int((both[1:] == both[:-1]).sum())
             out.append(100 * common >= percent * (len(both) - common))
         return out
-    return _filtered(_with_both(pairs, full, "members", percent), test)
-
+    pairs = store(pairs, "candidates")
+    return _filtered(_with_both(pairs, _asked(full, pairs), "members", percent), test)
 
-def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of sets in different components."""
-    a = labels.withColumnsRenamed({"node": "a", "label": "la"})
-    b = labels.withColumnsRenamed({"node": "b", "label": "lb"})
-    out = pairs.join(a, "a", "left").join(b, "b", "left")
-    return out.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
 
+def _searched(told: DataFrame, full: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """Pairs of differently labelled sets of a block, by R-trees over its members' count vectors.
 
-def _searched(members: DataFrame, labels: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """Pairs across components within a block, by R-trees over its members' count vectors."""
-    told = store(members.join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("block", "sid", F.coalesce("label", "sid").alias("label")), "members")
+    ``told`` has (block, sid, label); with ``nearest``, only the best pair of each member by the bound.
+    """
     mixed = told.groupBy("block").agg(F.count("*").alias("m"), F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most")
     parts = F.ceil(F.col("m") / CHUNK).cast("int")
     own = F.pmod(F.xxhash64("sid"), F.col("parts"))
@@ -315,9 +308,12 @@ def _searched(members: DataFrame, labels: DataFrame, full: DataFrame, percent: i
     def search(held: list[dict]) -> Iterator[pa.RecordBatch]:
         points = np.frombuffer(b"".join(h["vec"] for h in held), "<u4").reshape(-1, rtree.GROUPS).astype(np.int64)
         own, p, q = (np.array([h[c] for h in held]) for c in ("own", "p", "q"))
-        pairs = {(min(held[i]["sid"], held[j]["sid"]), max(held[i]["sid"], held[j]["sid"]))
-                 for i, j in rtree.candidate_pairs(points, np.flatnonzero(own == p[0]), np.flatnonzero(own == q[0]), percent)
-                 if held[i]["label"] != held[j]["label"]}
+        label = np.array([h["label"] for h in held])
+        left, right = np.flatnonzero(own == p[0]), np.flatnonzero(own == q[0])
+        found = list(rtree.candidate_pairs(points, left, right, percent, nearest, label))
+        if nearest and p[0] != q[0]:
+            found += rtree.candidate_pairs(points, right, left, percent, nearest, label)
+        pairs = {(min(held[i]["sid"], held[j]["sid"]), max(held[i]["sid"], held[j]["sid"])) for i, j in found}
         if pairs:
             a, b = zip(*sorted(pairs), strict=True)
             yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -349,20 +345,20 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
     nodes = _decode(table, DOCS, ["<i8", "u1", "<u4", "<u8"], "doc_id bigint, n bigint, sid bigint", lambda c: [
         ("doc_id", pa.array(c[0], pa.int64(), mask=c[1] == 0)), ("n", pa.array(c[2].astype(np.int64))),
         ("sid", pa.array(c[3].view("<i8"), pa.int64(), mask=c[2] == 0))])
-    pairs = _decode(table, PAIRS, ["<u8", "<u8", "<u4"], "a bigint, b bigint, times bigint", lambda c: [
-        ("a", _long(c[0])), ("b", _long(c[1])), ("times", pa.array(c[2].astype(np.int64)))])
-    pairs = store(pairs.groupBy("a", "b").agg(F.sum("times").alias("times")), "pairs")
-    members = _decode(table, MEMBERS, ["u6", "<u8"], "block bigint, sid bigint", lambda c: [("block", _long(c[0])), ("sid", _long(c[1]))]).distinct()
+    pairs = _decode(table, PAIRS, ["<u8", "<u8"], "a bigint, b bigint", lambda c: [("a", _long(c[0])), ("b", _long(c[1]))])
+    pairs = store(pairs.distinct(), "pairs")
+    members = _decode(table, MEMBERS, ["u6", "<u8"], "block bigint, sid bigint", lambda c: [("block", _long(c[0])), ("sid", _long(c[1]))])
+    members = store(members.distinct(), "members")
 
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("sid"))
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("sid")).unionAll(members.select("sid"))
     full = store(_full_sets(source, B.membership(asked, "sid"), k), "sets")
 
-    ends = pairs.select(F.col("a").alias("own"), "a", "b", "times").unionAll(pairs.select(F.col("b").alias("own"), "a", "b", "times"))
-    likely = ends.groupBy("own").agg(F.max_by(F.struct("a", "b"), F.struct("times", -F.col("a"), -F.col("b"))).alias("p")).select("p.a", "p.b").distinct()
-    first = store(verified(likely, full, percent), "links")
+    alone = members.select("block", "sid", F.col("sid").alias("label"))
+    near = bounded(pairs, full, percent).unionByName(_searched(alone, full, percent, nearest=True)).distinct()
+    first = store(verified(near, full, percent), "links")
     labels = components(first)
-    rest = bounded(_labelled(pairs.select("a", "b"), labels), full, percent).unionByName(_searched(members, labels, full, percent)).distinct()
-    more = verified(rest, full, percent)
+    told = members.join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("block", "sid", F.coalesce("label", "sid").alias("label"))
+    more = verified(_searched(store(told, "told"), full, percent, nearest=False), full, percent)
     labels = components(first.unionByName(more))
 
     # the smallest identifier of every set, then of every component, then back to the sets

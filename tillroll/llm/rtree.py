@@ -39,10 +39,10 @@ class RTree:
             self.high.append(np.maximum.reduceat(self.high[-1], starts))
             self.low_size.append(np.minimum.reduceat(self.low_size[-1], starts))
 
-    def search(self, point: np.ndarray, percent: int) -> np.ndarray:
-        """Points that may be similar, as positions in the array given."""
+    def search(self, point: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """Points that may be similar, as positions in the array given, and the bounds of their similarity."""
         if not self.high:
-            return np.zeros(0, int)
+            return np.zeros(0, int), np.zeros(0)
         n = int(point.sum())
         nodes = np.arange(len(self.high[-1]))
         for high, low in zip(reversed(self.high), reversed(self.low_size), strict=True):
@@ -52,12 +52,23 @@ class RTree:
             nodes = (nodes[:, None] * FANOUT + np.arange(FANOUT)).ravel()
         nodes = nodes[nodes < len(self.points)]
         bound = np.minimum(self.points[nodes], point).sum(1)
-        return self.order[nodes[bound >= least_overlap(n, self.size[nodes], percent)]]
+        keep = bound >= least_overlap(n, self.size[nodes], percent)
+        nodes, bound = nodes[keep], bound[keep]
+        return self.order[nodes], bound / (n + self.size[nodes] - bound)
 
 
-def candidate_pairs(points: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
-    """Pairs (i of left, j of right), as positions, that the bound lets through."""
+def candidate_pairs(points: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int, nearest: bool, names: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Pairs (i of left, j of right), as positions, that the bound lets through and whose names differ.
+
+    With ``nearest``, only the pair of the highest bound for each i.
+    """
     tree = RTree(points[right])
     for i in left.tolist():
-        for j in right[tree.search(points[i], percent)].tolist():
-            yield i, j
+        at, bound = tree.search(points[i], percent)
+        j = right[at]
+        other = names[j] != names[i]
+        j, bound = j[other], bound[other]
+        if nearest and len(j):
+            j = j[np.lexsort((names[j], -bound))[:1]]
+        for k in j.tolist():
+            yield i, k
