@@ -6,16 +6,19 @@ are left alone.
 
 1. Word frequencies of all documents are counted in ``1 << FREQUENCY_BITS`` hash cells, a table of
    fixed size that every task gets.  Words are ordered by the frequency of their cell, then by hash:
-   any fixed order keeps the join exact, and this one puts rare words first.
+   any fixed order keeps the join exact, and this one puts rare words first.  A cell that counts one
+   occurrence holds no word that two lines share.
 2. Prefix filter: two similar lines share a word among the first ``n - ceil(t n) + 1`` of each.  Each
-   task deals these postings to buckets by word, equal lines once.  A word's lines are paired with
-   the earliest and with the next line, if length and position allow the overlap.
-3. Pairs are verified against full word sets.  A line that has an earlier similar line needs no more
-   work.  For the others, the lists of words with more than three lines are searched in full, again
-   under the length and positional filters, and survivors are verified.
+   task deals these postings to buckets by word, equal lines once, with length, position and a 128-bit
+   parity of the line's words: lines of different parity in b bits differ in b words at least.
+3. In the list of a word, each line is paired with the earlier lines that the length, positional and
+   parity filters allow.  One earlier similar line suffices, so a line gets its ``NEAREST`` of them
+   by parity; a line that had more is noted.
+4. Pairs are verified against full word sets.  Noted lines of which no pair held are searched again,
+   without that limit, in the lists of their words alone; so nothing is lost.
 
 A word that is frequent within a task leaves one representative in the shuffle and its lines as
-rows; lists of more than ``CHUNK`` lines are searched chunk against chunk, so no list is gathered
+rows; its list is searched chunk against chunk (``CHUNK`` lines each), so no such list is gathered
 in one task.
 
 Defined cases: null and empty texts have no lines to remove; equal lines in one document are
@@ -34,19 +37,29 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tillroll.llm import blobs as B, texthash as H
 from tillroll.llm.scratch import store, tasks
 
-PERCENT, MIN_WORDS = 80, 5
-FREQUENCY_BITS = 16
-FLUSH, FREQUENT, CHUNK, SEEN = 1 << 20, 256, 2048, 1 << 20
+PERCENT, MIN_WORDS, NEAREST = 80, 5, 2
+FREQUENCY_BITS, FREQUENCY_PARTS = 20, 64
+FLUSH, FREQUENT, CHUNK, SEEN = 1 << 20, 256, 2048, 1 << 19
+#: Candidate pairs that a task looks at in one go.
+SLAB = 1 << 17
 LAST = np.iinfo(np.int64).max
-LINES, POSTINGS, LEADERS, PAIRS, MEMBERS = range(5)
+LINES, POSTINGS, LEADERS, PAIRS, MEMBERS, NOTED = range(6)
 OUT = pa.schema([("kind", pa.int8()), ("bucket", pa.int32()), ("blob", pa.binary())])
 DDL = "kind tinyint, bucket int, blob binary"
-POSTING = ["u6", "<u8", "<u4", "<u4", "<i8"]  # word, line, words of the line, position, document
+POSTING = ["u6", "<u8", "<i8", "<u4", "<u2", "<u2", "<u8", "<u8"]
+WORD, LINE, DOC, NUMBER, SIZE, PLACE, PARITY, PARITY_UP = range(8)
+#: A size or place of this many words or more is only known to be so.
+MOST = (1 << 16) - 1
 
 
 def frequencies(source: DataFrame) -> np.ndarray:
     """Occurrences of words by hash cell, over all documents."""
     cells = 1 << FREQUENCY_BITS
+    each = cells // FREQUENCY_PARTS
+
+    def emit(total: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in range(FREQUENCY_PARTS):
+            yield pa.record_batch({"part": pa.array([i], pa.int32()), "counts": pa.array([total[i * each:(i + 1) * each].astype("<i8").tobytes()], pa.binary())})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(cells, np.int64)
@@ -54,26 +67,36 @@ def frequencies(source: DataFrame) -> np.ndarray:
             for chunk in H.chunks(batch.column("text")):
                 found = H.words(chunk.data, chunk.offsets[:-1]).hash
                 total += np.bincount((found & H.U(cells - 1)).astype(np.int64), minlength=cells)
-        at = np.flatnonzero(total)
-        yield pa.record_batch({"cell": pa.array(at, pa.int32()), "n": pa.array(total[at], pa.int64())})
+        if total.any():
+            yield from emit(total)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, counts in zip(batch.column("part").to_pylist(), batch.column("counts"), strict=True):
+                sums[part] = sums.get(part, 0) + np.frombuffer(counts.as_buffer(), "<i8")
+        for part, total in sums.items():
+            yield pa.record_batch({"part": pa.array([part], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
-    counted = source.select("text").mapInArrow(count, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    counted = source.select("text").mapInArrow(count, "part int, counts binary").repartition("part").mapInArrow(add, "part int, counts binary")
     out = np.zeros(cells, np.int64)
-    out[counted["cell"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
+    for row in counted.collect():  # one row a part
+        out[row.part * each:(row.part + 1) * each] = np.frombuffer(row.counts, "<i8")
     return out
 
 
-def ordered(frequency: np.ndarray) -> np.ndarray:
-    """The place of each cell, rarest first, for the top bits of a word's key."""
-    place = np.empty(len(frequency), H.U)
-    place[np.lexsort((np.arange(len(frequency)), frequency))] = np.arange(len(frequency), dtype=H.U)
-    return place << H.U(64 - FREQUENCY_BITS)
+def ordered(frequency: np.ndarray) -> tuple[np.ndarray, int]:
+    """The place of each cell, rarest first, and how many cells count one occurrence at most."""
+    place = np.empty(len(frequency), "<u4")
+    place[np.lexsort((np.arange(len(frequency)), frequency))] = np.arange(len(frequency), dtype="<u4")
+    return place, int((frequency <= 1).sum())
 
 
 class Lines:
     """The lines of a chunk of at least MIN_WORDS distinct words: keys of each, rarest first."""
 
-    def __init__(self, chunk: H.Chunk, place: np.ndarray) -> None:
+    def __init__(self, chunk: H.Chunk, order: tuple[np.ndarray, int]) -> None:
+        place, single = order
         breaks = np.flatnonzero(chunk.data == 10) + 1
         starts = np.unique(np.concatenate([chunk.offsets[:-1], breaks[breaks < len(chunk.data)]]))
         starts = starts[starts < len(chunk.data)]
@@ -81,7 +104,7 @@ class Lines:
             starts = np.zeros(1, np.int64)
         found = H.words(chunk.data, starts)
         cell = (found.hash & H.U((1 << FREQUENCY_BITS) - 1)).astype(np.int64)
-        key = place[cell] | (found.hash >> H.U(FREQUENCY_BITS))
+        key = place[cell].astype(H.U) << H.U(64 - FREQUENCY_BITS) | (found.hash >> H.U(FREQUENCY_BITS))
         line, key = H.distinct(found.row, key, len(starts))
         n = np.bincount(line, minlength=len(starts))
         keep = (n >= MIN_WORDS)[line]
@@ -90,32 +113,40 @@ class Lines:
         self.n = n[number]
         self.first = np.cumsum(self.n) - self.n
         self.line = np.repeat(np.arange(len(number)), self.n)
-        self.id = H.mix(H.group_sums(H.mix(self.key ^ H.U(0x9FB21C651E98DF25)), self.first) + self.n.astype(H.U))
+        scrambled = H.mix(self.key ^ H.U(0x9FB21C651E98DF25))
+        self.id = H.mix(H.group_sums(scrambled, self.first) + self.n.astype(H.U))
+        bits = H.U(1) << (scrambled >> H.U(58))
+        upper = (scrambled >> H.U(57)) & H.U(1) == 1
+        self.parity, self.parity_up = (np.bitwise_xor.reduceat(np.where(half, bits, H.U(0)), self.first) if len(self.n) else bits for half in (~upper, upper))
+        self.shared = self.key >> H.U(64 - FREQUENCY_BITS) >= H.U(single)
         at = starts[number]
         self.row = np.searchsorted(chunk.offsets[:-1], at, "right") - 1
         # a line's number: the line breaks between its text's beginning and its own
         self.number = np.searchsorted(breaks, at, "right") - np.searchsorted(breaks, chunk.offsets[self.row], "right")
 
 
-def _need(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-    return -(-percent * (a + b) // (100 + percent))
+def _differ(columns: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The words, at least, in which the lines of two postings differ."""
+    return np.bitwise_count(columns[PARITY][a] ^ columns[PARITY][b]) + np.bitwise_count(columns[PARITY_UP][a] ^ columns[PARITY_UP][b])
+
+
+def allowed(a: list[np.ndarray], b: list[np.ndarray], percent: int) -> np.ndarray:
+    """Whether length, position and parity allow the similarity of postings of one word."""
+    na, nb, at, bt = (c.astype(np.int64) for c in (a[SIZE], b[SIZE], a[PLACE], b[PLACE]))
+    need = -(-percent * (na + nb) // (100 + percent))
+    most = np.minimum(at, bt) + 1 + np.minimum(na - at - 1, nb - bt - 1)
+    differ = np.bitwise_count(a[PARITY] ^ b[PARITY]) + np.bitwise_count(a[PARITY_UP] ^ b[PARITY_UP])
+    ok = (np.minimum(na, nb) * 100 >= np.maximum(na, nb) * percent) & (most >= need) & (na + nb - 2 * need >= differ)
+    return (ok | (np.maximum(na, nb) >= MOST)) & (a[LINE] != b[LINE])
 
 
-def allowed(na: np.ndarray, pa_: np.ndarray, nb: np.ndarray, pb: np.ndarray, percent: int) -> np.ndarray:
-    """Length and positional filters for lines that share the word at these positions."""
-    na, pa_, nb, pb = (x.astype(np.int64) for x in (na, pa_, nb, pb))
-    most = np.minimum(pa_, pb) + 1 + np.minimum(na - pa_ - 1, nb - pb - 1)
-    return (np.minimum(na, nb) * 100 >= np.maximum(na, nb) * percent) & (most >= _need(na, nb, percent))
+def _take(columns: list[np.ndarray], at: np.ndarray) -> list[np.ndarray]:
+    return [c[at] for c in columns]
 
 
 def _sorted(columns: list[np.ndarray]) -> list[np.ndarray]:
-    """Postings by word, document and line, each line of a word once."""
-    word, line, n, place, doc = columns
-    order = np.lexsort((line, doc, word))
-    columns = [c[order] for c in columns]
-    keep = np.ones(len(word), bool)
-    keep[1:] = (columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1])
-    return [c[keep] for c in columns]
+    """Postings by word (48 bits) and size (16 bits)."""
+    return _take(columns, np.argsort(columns[WORD] << H.U(16) | columns[SIZE].astype(H.U)))
 
 
 def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,21 +154,56 @@ def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.append(starts, len(key)))
 
 
-def _star(columns: list[np.ndarray], percent: int) -> list[np.ndarray]:
-    """Pairs of each line with the earliest and with the one before it, of the same word."""
-    word, line, n, place, _ = columns
-    starts, sizes = _runs(word)
-    first = np.repeat(starts, sizes)
-    at = np.arange(len(word))
-    left = np.concatenate([first[at != first], at[at > first + 1] - 1])
-    right = np.concatenate([at[at != first], at[at > first + 1]])
-    ok = (line[left] != line[right]) & allowed(n[left], place[left], n[right], place[right], percent)
-    pairs = np.stack([np.minimum(line[left], line[right]), np.maximum(line[left], line[right])], 1)[ok]
-    order = np.lexsort((pairs[:, 1], pairs[:, 0]))
-    pairs = pairs[order]
+def _passing(columns: list[np.ndarray], right: np.ndarray, start: np.ndarray, count: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(left, right) of the allowed pairs of each posting ``right`` with the ``count`` from ``start`` on."""
+    size = columns[SIZE].astype(np.int64)
+    # the other line has at most size * 100 / percent words, which bounds the words that differ
+    wide = size[right] * 100 // percent + size[right]
+    least = np.minimum(wide - 2 * (-(-percent * wide // (100 + percent))) + 2, 255).astype(np.uint8)
+    least[size[right] * 100 // percent >= MOST] = 255
+    parity, ends, out, lo = columns[PARITY], np.cumsum(count), [], 0
+    while lo < len(right):
+        done = int(ends[lo - 1]) if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, done + SLAB, "right")))
+        times = count[lo:hi]
+        left = np.repeat(start[lo:hi] - (ends[lo:hi] - times - done), times) + np.arange(int(ends[hi - 1]) - done)
+        near = np.bitwise_count(parity[left] ^ np.repeat(parity[right[lo:hi]], times)) <= np.repeat(least[lo:hi], times)
+        own = np.repeat(right[lo:hi], times)[near]
+        left = left[near]
+        ok = allowed(_take(columns, left), _take(columns, own), percent)
+        out.append((left[ok], own[ok]))
+        lo = hi
+    if not out:
+        return np.zeros(0, int), np.zeros(0, int)
+    return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
+
+
+def _nearest(columns: list[np.ndarray], left: np.ndarray, right: np.ndarray, limit: int, queries=None) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs, those of each later posting with its ``limit`` nearest earlier ones by parity (0: all), as
+    distinct pairs of lines; and the lines that had more.  ``queries`` filters the later lines."""
+    doc, number, line = columns[DOC], columns[NUMBER], columns[LINE]
+    swap = (doc[left] > doc[right]) | ((doc[left] == doc[right]) & (number[left] > number[right]))
+    left, right = np.where(swap, right, left), np.where(swap, left, right)
+    if queries is not None:
+        keep = B.may_contain(queries, line[right])
+        left, right = left[keep], right[keep]
+    noted = np.zeros(0, H.U)
+    if limit and len(left):
+        order = np.lexsort((number[left], doc[left], _differ(columns, left, right), right))
+        left, right = left[order], right[order]
+        first, size = _runs(right)
+        rank = np.arange(len(right)) - np.repeat(first, size)
+        noted = np.unique(line[right[rank == limit]])
+        left, right = left[rank < limit], right[rank < limit]
+    a, b = line[left], line[right]
+    return _distinct(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)), noted
+
+
+def _distinct(pairs: np.ndarray) -> np.ndarray:
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
     new = np.ones(len(pairs), bool)
     new[1:] = (pairs[1:] != pairs[:-1]).any(1)
-    return [pairs[new, 0], pairs[new, 1]]
+    return pairs[new]
 
 
 def _emit(kind: int, bucket: int, blob: bytes) -> pa.RecordBatch:
@@ -145,60 +211,67 @@ def _emit(kind: int, bucket: int, blob: bytes) -> pa.RecordBatch:
 
 
 def _packed(columns: list[np.ndarray]) -> list[np.ndarray]:
-    return [B.to48(columns[0]), *columns[1:]]
+    return [B.to48(columns[WORD]), *columns[1:]]
 
 
-def _map(place: np.ndarray, percent: int, buckets: int):
+def _map(order, percent: int, buckets: int, words=None):
+    """Lines and prefix postings of the texts; with a filter ``words``, postings of those words alone."""
     def flush(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        columns = _sorted([np.concatenate(c) for c in zip(*held, strict=True)])
-        starts, sizes = _runs(columns[0])
-        often = np.repeat(sizes > FREQUENT, sizes)
-        if often.any():
-            hot = [c[often] for c in columns]
-            pairs = _star(hot, percent)
-            yield from (_emit(PAIRS, b, x) for b, x in B.deal(pairs, (pairs[0] % H.U(buckets)).astype(np.int32)))
-            yield from (_emit(MEMBERS, b, x) for b, x in B.deal(_packed(hot), (hot[1] % H.U(buckets)).astype(np.int32)))
-            lead = [c[starts[sizes > FREQUENT]] for c in columns]
-            yield from (_emit(LEADERS, b, x) for b, x in B.deal(_packed(lead), (lead[0] % H.U(buckets)).astype(np.int32)))
-            columns = [c[~often] for c in columns]
-        yield from (_emit(POSTINGS, b, x) for b, x in B.deal(_packed(columns), (columns[0] % H.U(buckets)).astype(np.int32)))
+        columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+        words_, sizes = _runs(np.sort(columns[WORD]))
+        words_ = np.sort(columns[WORD])[words_[sizes > FREQUENT]]
+        if len(words_):
+            often = np.isin(columns[WORD], words_)
+            hot = _take(columns, often)
+            yield from (_emit(MEMBERS, b, x) for b, x in B.deal(_packed(hot), (hot[LINE] % H.U(buckets)).astype(np.int32)))
+            lead = _take(hot, np.unique(hot[WORD], return_index=True)[1])
+            yield from (_emit(LEADERS, b, x) for b, x in B.deal(_packed(lead), (lead[WORD] % H.U(buckets)).astype(np.int32)))
+            columns = _take(columns, ~often)
+        yield from (_emit(POSTINGS, b, x) for b, x in B.deal(_packed(columns), (columns[WORD] % H.U(buckets)).astype(np.uint16 if buckets < MOST else np.int32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, seen = [], 0, set()
+        held, size, seen = [], 0, {}
         for batch in batches:
             ids = batch.column("doc_id")
             known = ids.is_valid().to_numpy(False)
             docs = ids.fill_null(int(LAST)).to_numpy(False).astype("<i8")
             for chunk in H.chunks(batch.column("text")):
-                lines = Lines(chunk, place)
+                lines = Lines(chunk, order.value)
                 if not len(lines.n):
                     continue
                 doc, valid = docs[chunk.lo + lines.row], known[chunk.lo + lines.row].astype(np.uint8)
-                yield _emit(LINES, int(lines.id[0] % H.U(buckets)), B.pack([doc, valid, lines.number.astype("<u4"), lines.id]))
+                if words is None:
+                    yield _emit(LINES, int(lines.id[0] % H.U(buckets)), B.pack([doc, valid, lines.number.astype("<u4"), lines.id]))
                 if len(seen) > SEEN:
                     seen.clear()
-                _, first = np.unique(lines.id, return_index=True)
                 new = np.zeros(len(lines.n), bool)
-                for i in first.tolist():
-                    if (s := int(lines.id[i])) not in seen:
-                        seen.add(s)
+                # an equal line is passed on again only if it occurs earlier
+                for i, (s, at) in enumerate(zip(lines.id.tolist(), zip(doc.tolist(), lines.number.tolist(), strict=True), strict=True)):
+                    before = seen.get(s)
+                    if before is None or at < before:
+                        seen[s] = at
                         new[i] = True
                 prefix = lines.n - -(-percent * lines.n // 100) + 1
                 at = np.arange(len(lines.key)) - lines.first[lines.line]
-                pick = new[lines.line] & (at < prefix[lines.line])
+                pick = new[lines.line] & (at < prefix[lines.line]) & lines.shared
                 own = lines.line[pick]
                 word = H.mix(lines.key[pick]) & H.U((1 << 48) - 1)
-                held.append([word, lines.id[own], lines.n[own].astype("<u4"), at[pick].astype("<u4"), doc[own]])
-                size += len(word)
+                columns = [word, lines.id[own], doc[own], lines.number[own].astype("<u4"), np.minimum(lines.n[own], MOST).astype("<u2"),
+                           np.minimum(at[pick], MOST).astype("<u2"), lines.parity[own], lines.parity_up[own]]
+                if words is not None:
+                    columns = _take(columns, B.may_contain(words, word))
+                held.append(columns)
+                size += len(columns[0])
                 if size > FLUSH:
                     yield from flush(held)
                     held, size = [], 0
-        if held:
+        if size:
             yield from flush(held)
     return run
 
 
-def _reduce(percent: int):
+def _reduce(percent: int, limit: int, queries=None):
+    """Pairs within the lists of words; with a filter ``queries``, those of its lines with earlier ones."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[int, bytes]]] = {}
         for batch in batches:
@@ -209,20 +282,23 @@ def _reduce(percent: int):
                     yield _emit(kind, bucket, blob.as_py())
         for bucket in list(held):
             read = [(kind, B.unpack(blob, POSTING)) for kind, blob in held.pop(bucket)]
-            columns = _sorted([np.concatenate([c[i] for _, c in read]) for i in range(5)])
-            led = [c[0] for kind, c in read if kind == LEADERS]
-            starts, sizes = _runs(columns[0])
-            some = np.repeat(sizes > 1, sizes)
-            if some.any():
-                pairs = _star([c[some] for c in columns], percent)
-                if len(pairs[0]):
-                    yield _emit(PAIRS, bucket, B.pack(pairs))
-            wide = sizes > 3
-            if led:
-                wide |= np.isin(columns[0][starts], np.concatenate(led))
-            if wide.any():
-                wide = np.repeat(wide, sizes)
-                yield _emit(MEMBERS, bucket, B.pack(_packed([c[wide] for c in columns])))
+            columns = _sorted([np.concatenate([c[i] for _, c in read]) for i in range(len(POSTING))])
+            starts, sizes = _runs(columns[WORD])
+            if led := [c[WORD] for kind, c in read if kind == LEADERS]:
+                wide = np.repeat(np.isin(columns[WORD][starts], np.concatenate(led)), sizes)
+                yield _emit(MEMBERS, bucket, B.pack(_packed(_take(columns, wide))))
+                columns = _take(columns, ~wide)
+                starts, sizes = _runs(columns[WORD])
+            # smaller lines of the list that are long enough: those before it, from there on
+            key, size = columns[WORD] << H.U(16), columns[SIZE].astype(np.int64)
+            start = np.searchsorted(key | size.astype(H.U), key | (-(-size * percent // 100)).astype(H.U))
+            right = np.arange(len(key))
+            left, right = _passing(columns, right, start, right - start, percent)
+            pairs, noted = _nearest(columns, left, right, limit, queries)
+            if len(pairs):
+                yield _emit(PAIRS, bucket, B.pack([pairs[:, 0], pairs[:, 1]]))
+            if len(noted):
+                yield _emit(NOTED, bucket, B.pack([noted]))
     return run
 
 
@@ -240,13 +316,13 @@ def _long(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype("<u8").view("<i8"), pa.int64())
 
 
-def _full_sets(source: DataFrame, bits: np.ndarray, place: np.ndarray) -> DataFrame:
+def _full_sets(source: DataFrame, bits: np.ndarray, order) -> DataFrame:
     """(line, members) of the lines that the filter lets through."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             for chunk in H.chunks(batch.column("text")):
-                lines = Lines(chunk, place)
+                lines = Lines(chunk, order.value)
                 if len(seen) > SEEN:
                     seen.clear()
                 pick = [i for i in np.flatnonzero(B.may_contain(bits, lines.id)).tolist() if not (int(lines.id[i]) in seen or seen.add(int(lines.id[i])))]
@@ -282,33 +358,39 @@ def _later(links: DataFrame, firsts: DataFrame) -> DataFrame:
     return both.select(F.when(F.col("x") < F.col("y"), F.col("b")).otherwise(F.col("a")).alias("line")).distinct()
 
 
-def _searched(members: DataFrame, firsts: DataFrame, late: DataFrame, percent: int) -> DataFrame:
-    """Pairs within a word's list, of an unresolved line with an earlier one, that the filters allow."""
-    told = members.join(firsts.select("line", "doc", "number"), "line").join(late.withColumn("late", F.lit(True)), "line", "left")
-    told = store(told.withColumn("open", F.col("late").isNull()).drop("late"), "lists")
-    sizes = (told.groupBy("word").agg(F.count("*").alias("m"), F.min(F.struct("doc", "number")).alias("least"),
-                                      F.max(F.when(F.col("open"), F.struct("doc", "number"))).alias("most")).filter("least < most"))
-    rows = (told.join(sizes.select("word", F.ceil(F.col("m") / CHUNK).cast("int").alias("parts")), "word")
-            .withColumn("own", F.pmod(F.xxhash64("line"), F.col("parts")).cast("int"))
+def _searched(table: DataFrame, percent: int, limit: int, queries=None) -> DataFrame:
+    """(a, b) within the lists of frequent words, chunk against chunk; b is null where a is a line that had more."""
+    kinds = ["word", "line", "doc", "number", "n", "place", "parity", "parity_up"]
+    rows = _decode(table, MEMBERS, POSTING, ", ".join(f"{c} bigint" for c in kinds), lambda c: [
+        (name, _long(x) if x.dtype.kind == "u" else pa.array(x, pa.int64())) for name, x in zip(kinds, c, strict=True)])
+    rows = rows.groupBy("word", "line").agg(F.min(F.struct("doc", "number", "n", "place", "parity", "parity_up")).alias("p")).select("word", "line", "p.*")
+    parts = rows.groupBy("word").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts"))
+    rows = (rows.join(parts, "word").withColumn("own", F.pmod(F.xxhash64("line"), F.col("parts")).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-            .select("word", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "line", "n", "place", "doc", "number", "open")
-            .repartition("word", "p", "q").sortWithinPartitions("word", "p", "q"))
+            .select("word", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", *kinds[1:])
+            .repartition("word", "p", "q").sortWithinPartitions("word", "p", "q", "doc", "number", "line"))
+    names = ["word", "p", "q", "own", *kinds[1:]]
 
-    def search(held: dict[str, np.ndarray]) -> pa.RecordBatch | None:
-        order = np.lexsort((held["number"], held["doc"]))
-        held = {k: v[order] for k, v in held.items()}
+    def search(held: dict[str, np.ndarray]) -> pa.RecordBatch:
+        columns = [held[c].astype(t) for c, t in zip(kinds, ["<u8", "<u8", "<i8", "<u4", "<u2", "<u2", "<u8", "<u8"], strict=True)]
         own, p, q = held["own"], held["p"][0], held["q"][0]
-        found = []
-        for i in np.flatnonzero(held["open"]).tolist():
-            other = q if own[i] == p else p
-            j = np.flatnonzero(own[:i] == other)
-            j = j[allowed(held["n"][j], held["place"][j], held["n"][i:i + 1], held["place"][i:i + 1], percent) & (held["line"][j] != held["line"][i])]
-            found.append(np.stack([np.minimum(held["line"][j], held["line"][i]), np.maximum(held["line"][j], held["line"][i])], 1))
-        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        return pa.record_batch({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())}) if len(pairs) else None
+        pairs, noted = [np.zeros((0, 2), H.U)], [np.zeros(0, H.U)]
+        left, right = np.flatnonzero(own == p), np.flatnonzero(own == q)
+        if p == q:  # each pair of a chunk once
+            left, right = _passing(columns, right, np.zeros(len(right), int), np.arange(len(right)), percent)
+        else:
+            both = _take(columns, np.concatenate([left, right]))
+            at = len(left) + np.arange(len(right))
+            columns, (left, right) = both, _passing(both, at, np.zeros(len(right), int), np.full(len(right), len(left)), percent)
+        found, more = _nearest(columns, left, right, limit, queries)
+        pairs.append(found)
+        noted.append(more)
+        pairs, noted = _distinct(np.concatenate(pairs)), np.unique(np.concatenate(noted))
+        return pa.record_batch({"a": _long(np.concatenate([pairs[:, 0], noted])),
+                                "b": pa.array(np.concatenate([pairs[:, 1], noted]).view("<i8"), pa.int64(), mask=np.arange(len(pairs) + len(noted)) >= len(pairs))})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, rest = ["word", "p", "q", "own", "line", "n", "place", "doc", "number", "open"], None
+        rest = None
         for batch in batches:
             columns = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
             if rest is not None:
@@ -319,37 +401,60 @@ def _searched(members: DataFrame, firsts: DataFrame, late: DataFrame, percent: i
             new[1:] = (columns["word"][1:] != columns["word"][:-1]) | (columns["p"][1:] != columns["p"][:-1]) | (columns["q"][1:] != columns["q"][:-1])
             cuts = np.flatnonzero(new).tolist()
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                if out := search({c: columns[c][lo:hi] for c in names}):
-                    yield out
+                yield search({c: columns[c][lo:hi] for c in names})
             rest = {c: columns[c][cuts[-1]:] for c in names}
-        if rest is not None and (out := search(rest)):
-            yield out
+        if rest is not None:
+            yield search(rest)
+
+    return rows.select(*names).mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _join(source: DataFrame, order, percent: int, limit: int, words=None, queries=None) -> tuple[DataFrame, DataFrame]:
+    """The lines, where no filter is given, and pairs (a, b); b is null where a is a line that had more."""
+    buckets = 4 * tasks(source.sparkSession)
+    table = store(source.mapInArrow(_map(order, percent, buckets, words), DDL).repartition("bucket").mapInArrow(_reduce(percent, limit, queries), DDL), "lines")
+    lines = _decode(table, LINES, ["<i8", "u1", "<u4", "<u8"], "doc bigint, known boolean, number bigint, line bigint", lambda c: [
+        ("doc", pa.array(c[0], pa.int64())), ("known", pa.array(c[1] == 1)), ("number", pa.array(c[2].astype(np.int64))), ("line", _long(c[3]))])
+    pairs = _decode(table, PAIRS, ["<u8", "<u8"], "a bigint, b bigint", lambda c: [("a", _long(c[0])), ("b", _long(c[1]))])
+    noted = _decode(table, NOTED, ["<u8"], "a bigint", lambda c: [("a", _long(c[0]))]).select("a", F.lit(None).cast("long").alias("b"))
+    found = pairs.unionAll(noted).unionAll(_searched(table, percent, limit, queries)).distinct()
+    return lines, store(found, "pairs")
 
-    return rows.mapInArrow(run, "a bigint, b bigint").distinct()
+
+def _held(source: DataFrame, order, pairs: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
+    """The later lines of the pairs that verification holds."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("line"))
+    return store(_later(verified(pairs, _full_sets(source, B.membership(asked, "line"), order), percent), firsts), "late")
+
+
+def _words_of(source: DataFrame, order, lines: np.ndarray, percent: int) -> DataFrame:
+    """(word): the prefix words of the lines that the filter lets through."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in H.chunks(batch.column("text")):
+                found = Lines(chunk, order.value)
+                prefix = found.n - -(-percent * found.n // 100) + 1
+                pick = B.may_contain(lines, found.id)[found.line] & (np.arange(len(found.key)) - found.first[found.line] < prefix[found.line])
+                yield pa.record_batch({"word": _long(np.unique(H.mix(found.key[pick]) & H.U((1 << 48) - 1)))})
+
+    return source.select("text").mapInArrow(run, "word bigint")
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """(id, removed): places, from 0, of the lines to remove from each document that has any."""
     spark = docs.sparkSession
-    buckets = 4 * tasks(spark)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    place = ordered(frequencies(source))
-    met = source.mapInArrow(_map(place, percent, buckets), DDL).repartition("bucket").mapInArrow(_reduce(percent), DDL)
-    table = store(met, "lines")
-
-    lines = _decode(table, LINES, ["<i8", "u1", "<u4", "<u8"], "doc bigint, known boolean, number bigint, line bigint", lambda c: [
-        ("doc", pa.array(c[0], pa.int64())), ("known", pa.array(c[1] == 1)), ("number", pa.array(c[2].astype(np.int64))), ("line", _long(c[3]))])
+    order = spark.sparkContext.broadcast(ordered(frequencies(source)))  # of fixed size
+    lines, found = _join(source, order, percent, NEAREST)
     firsts = lines.groupBy("line").agg(F.min(F.struct("doc", "number")).alias("f"), F.count("*").alias("rows"))
     firsts = store(firsts.select("line", "f.doc", "f.number", "rows"), "firsts")
-    pairs = store(_decode(table, PAIRS, ["<u8", "<u8"], "a bigint, b bigint", lambda c: [("a", _long(c[0])), ("b", _long(c[1]))]).distinct(), "pairs")
-    members = _decode(table, MEMBERS, POSTING, "word bigint, line bigint, n bigint, place bigint", lambda c: [
-        ("word", _long(c[0])), ("line", _long(c[1])), ("n", pa.array(c[2].astype(np.int64))), ("place", pa.array(c[3].astype(np.int64)))]).dropDuplicates(["word", "line"])
-
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("line")).unionAll(members.select("line"))
-    full = store(_full_sets(source, B.membership(asked, "line"), place), "sets")
-    late = store(_later(verified(pairs, full, percent), firsts), "late")
-    rest = _searched(members, firsts, late, percent).join(pairs, ["a", "b"], "left_anti")
-    late = late.unionAll(_later(verified(rest, full, percent), firsts)).distinct()
+    late = _held(source, order, found.filter("b IS NOT NULL"), firsts, percent)
+    open_lines = store(found.filter("b IS NULL").select(F.col("a").alias("line")).join(late, "line", "left_anti"), "open")
+    if not open_lines.isEmpty():
+        queries = B.membership(open_lines, "line")
+        words = B.membership(_words_of(source, order, queries, percent), "word")
+        _, rest = _join(source, order, percent, 0, words, queries)
+        late = late.unionAll(_held(source, order, rest.join(found, ["a", "b"], "left_anti"), firsts, percent)).distinct()
 
     told = firsts.join(late.withColumn("late", F.lit(True)), "line", "left").filter("late OR rows > 1")
     told = told.withColumnsRenamed({"doc": "first_doc", "number": "first_number"})

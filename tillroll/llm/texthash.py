@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 17
 _BASE = U(0x9E3779B97F4A7C15)
 _BASE_INVERSE = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
