@@ -66,7 +66,7 @@ def frequencies(source: DataFrame) -> np.ndarray:
         for batch in batches:
             for chunk in H.chunks(batch.column("text")):
                 found = H.words(chunk.data, chunk.offsets[:-1]).hash
-                total += np.bincount((found & H.U(cells - 1)).astype(np.int64), minlength=cells)
+                np.add.at(total, (found & H.U(cells - 1)).astype(np.int64), 1)
         if total.any():
             yield from emit(total)
 
@@ -93,36 +93,62 @@ def ordered(frequency: np.ndarray) -> tuple[np.ndarray, int]:
 
 
 class Lines:
-    """The lines of a chunk of at least MIN_WORDS distinct words: keys of each, rarest first."""
+    """The lines of a chunk of at least MIN_WORDS distinct words: keys of each, rarest first.
 
-    def __init__(self, chunk: H.Chunk, order: tuple[np.ndarray, int]) -> None:
+    A line is known by a hash of its bytes, which needs no words: with a filter ``wanted``, words are
+    taken of the lines that it lets through alone.
+    """
+
+    def __init__(self, chunk: H.Chunk, order: tuple[np.ndarray, int], wanted: np.ndarray | None = None) -> None:
         place, single = order
-        breaks = np.flatnonzero(chunk.data == 10) + 1
-        starts = np.unique(np.concatenate([chunk.offsets[:-1], breaks[breaks < len(chunk.data)]]))
-        starts = starts[starts < len(chunk.data)]
-        if not len(starts):
-            starts = np.zeros(1, np.int64)
-        found = H.words(chunk.data, starts)
+        data = chunk.data
+        breaks = np.flatnonzero(data == 10) + 1
+        starts = np.concatenate([chunk.offsets[:-1], breaks])
+        starts.sort()
+        starts = starts[starts < len(data)]
+        if len(starts):
+            starts = starts[np.concatenate([[True], starts[1:] != starts[:-1]])]
+        ends = np.append(starts[1:], len(data)).astype(np.int64)
+        body = ends - (data[ends - 1] == 10) if len(starts) else ends[:0]  # without the line break
+        sums = H.prefix_sums(data) if wanted is not None else None
+        number = np.arange(len(starts))
+        if wanted is not None:
+            number = np.flatnonzero(B.may_contain(wanted, H.run_hash(sums, starts, body)))
+            sizes = ends[number] - starts[number]
+            into = np.cumsum(sizes) - sizes
+            data = data[np.repeat(starts[number] - into, sizes) + np.arange(int(sizes.sum()))]
+            found = H.words(data, into)
+        else:
+            found = H.words(data, starts)
+            sums = found.sums
+        ids = H.run_hash(sums, starts[number], body[number])
         cell = (found.hash & H.U((1 << FREQUENCY_BITS) - 1)).astype(np.int64)
         key = place[cell].astype(H.U) << H.U(64 - FREQUENCY_BITS) | (found.hash >> H.U(FREQUENCY_BITS))
-        line, key = H.distinct(found.row, key, len(starts))
-        n = np.bincount(line, minlength=len(starts))
-        keep = (n >= MIN_WORDS)[line]
-        self.key = key[keep]
-        number = np.flatnonzero(n >= MIN_WORDS)
-        self.n = n[number]
+        line, key = H.distinct(found.row, key, len(number))
+        n = np.bincount(line, minlength=len(number))
+        long = n >= MIN_WORDS
+        self.key = key[long[line]]
+        self.n, self.id = n[long], ids[long]
         self.first = np.cumsum(self.n) - self.n
-        self.line = np.repeat(np.arange(len(number)), self.n)
-        scrambled = H.mix(self.key ^ H.U(0x9FB21C651E98DF25))
-        self.id = H.mix(H.group_sums(scrambled, self.first) + self.n.astype(H.U))
-        bits = H.U(1) << (scrambled >> H.U(58))
-        upper = (scrambled >> H.U(57)) & H.U(1) == 1
-        self.parity, self.parity_up = (np.bitwise_xor.reduceat(np.where(half, bits, H.U(0)), self.first) if len(self.n) else bits for half in (~upper, upper))
-        self.shared = self.key >> H.U(64 - FREQUENCY_BITS) >= H.U(single)
-        at = starts[number]
+        self.line = np.repeat(np.arange(len(self.n)), self.n)
+        at = starts[number[long]]
         self.row = np.searchsorted(chunk.offsets[:-1], at, "right") - 1
         # a line's number: the line breaks between its text's beginning and its own
         self.number = np.searchsorted(breaks, at, "right") - np.searchsorted(breaks, chunk.offsets[self.row], "right")
+        self.single = single
+
+    def shared(self) -> np.ndarray:
+        """Whether the cell of each key has more than one occurrence: they come after the others."""
+        return self.key >= H.U(self.single) << H.U(64 - FREQUENCY_BITS)
+
+    def parities(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each line, which of 128 hash classes have an odd number of its words."""
+        scrambled = self.key * H.U(0x9E3779B97F4A7C15)
+        bits = H.U(1) << (scrambled >> H.U(58))
+        upper = (scrambled >> H.U(57)) & H.U(1)
+        if not len(self.n):
+            return bits, bits
+        return np.bitwise_xor.reduceat(bits * (H.U(1) - upper), self.first), np.bitwise_xor.reduceat(bits * upper, self.first)
 
 
 def _differ(columns: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -180,20 +206,20 @@ def _passing(columns: list[np.ndarray], right: np.ndarray, start: np.ndarray, co
 
 def _nearest(columns: list[np.ndarray], left: np.ndarray, right: np.ndarray, limit: int, queries=None) -> tuple[np.ndarray, np.ndarray]:
     """Of the pairs, those of each later posting with its ``limit`` nearest earlier ones by parity (0: all), as
-    distinct pairs of lines; and the lines that had more.  ``queries`` filters the later lines."""
+    distinct pairs of lines; and the postings that had more.  ``queries`` filters the later lines."""
     doc, number, line = columns[DOC], columns[NUMBER], columns[LINE]
     swap = (doc[left] > doc[right]) | ((doc[left] == doc[right]) & (number[left] > number[right]))
     left, right = np.where(swap, right, left), np.where(swap, left, right)
     if queries is not None:
         keep = B.may_contain(queries, line[right])
         left, right = left[keep], right[keep]
-    noted = np.zeros(0, H.U)
+    noted = np.zeros(0, np.int64)
     if limit and len(left):
         order = np.lexsort((number[left], doc[left], _differ(columns, left, right), right))
         left, right = left[order], right[order]
         first, size = _runs(right)
         rank = np.arange(len(right)) - np.repeat(first, size)
-        noted = np.unique(line[right[rank == limit]])
+        noted = right[rank == limit]
         left, right = left[rank < limit], right[rank < limit]
     a, b = line[left], line[right]
     return _distinct(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)), noted
@@ -253,11 +279,11 @@ def _map(order, percent: int, buckets: int, words=None):
                         new[i] = True
                 prefix = lines.n - -(-percent * lines.n // 100) + 1
                 at = np.arange(len(lines.key)) - lines.first[lines.line]
-                pick = new[lines.line] & (at < prefix[lines.line]) & lines.shared
-                own = lines.line[pick]
+                pick = new[lines.line] & (at < prefix[lines.line]) & lines.shared()
+                own, (low, high) = lines.line[pick], lines.parities()
                 word = H.mix(lines.key[pick]) & H.U((1 << 48) - 1)
                 columns = [word, lines.id[own], doc[own], lines.number[own].astype("<u4"), np.minimum(lines.n[own], MOST).astype("<u2"),
-                           np.minimum(at[pick], MOST).astype("<u2"), lines.parity[own], lines.parity_up[own]]
+                           np.minimum(at[pick], MOST).astype("<u2"), low[own], high[own]]
                 if words is not None:
                     columns = _take(columns, B.may_contain(words, word))
                 held.append(columns)
@@ -298,7 +324,7 @@ def _reduce(percent: int, limit: int, queries=None):
             if len(pairs):
                 yield _emit(PAIRS, bucket, B.pack([pairs[:, 0], pairs[:, 1]]))
             if len(noted):
-                yield _emit(NOTED, bucket, B.pack([noted]))
+                yield _emit(NOTED, bucket, B.pack([columns[LINE][noted], columns[WORD][noted]]))
     return run
 
 
@@ -322,10 +348,10 @@ def _full_sets(source: DataFrame, bits: np.ndarray, order) -> DataFrame:
         seen: set[int] = set()
         for batch in batches:
             for chunk in H.chunks(batch.column("text")):
-                lines = Lines(chunk, order.value)
+                lines = Lines(chunk, order.value, bits)
                 if len(seen) > SEEN:
                     seen.clear()
-                pick = [i for i in np.flatnonzero(B.may_contain(bits, lines.id)).tolist() if not (int(lines.id[i]) in seen or seen.add(int(lines.id[i])))]
+                pick = [i for i in range(len(lines.n)) if not (int(lines.id[i]) in seen or seen.add(int(lines.id[i])))]
                 if pick:
                     yield pa.record_batch({"line": _long(lines.id[pick]), "members": pa.array([lines.key[lines.first[i]:lines.first[i] + lines.n[i]].tobytes() for i in pick], pa.binary())})
 
@@ -359,7 +385,7 @@ def _later(links: DataFrame, firsts: DataFrame) -> DataFrame:
 
 
 def _searched(table: DataFrame, percent: int, limit: int, queries=None) -> DataFrame:
-    """(a, b) within the lists of frequent words, chunk against chunk; b is null where a is a line that had more."""
+    """(a, b, word) within the lists of frequent words, chunk against chunk, as ``_join`` has them."""
     kinds = ["word", "line", "doc", "number", "n", "place", "parity", "parity_up"]
     rows = _decode(table, MEMBERS, POSTING, ", ".join(f"{c} bigint" for c in kinds), lambda c: [
         (name, _long(x) if x.dtype.kind == "u" else pa.array(x, pa.int64())) for name, x in zip(kinds, c, strict=True)])
@@ -374,7 +400,6 @@ def _searched(table: DataFrame, percent: int, limit: int, queries=None) -> DataF
     def search(held: dict[str, np.ndarray]) -> pa.RecordBatch:
         columns = [held[c].astype(t) for c, t in zip(kinds, ["<u8", "<u8", "<i8", "<u4", "<u2", "<u2", "<u8", "<u8"], strict=True)]
         own, p, q = held["own"], held["p"][0], held["q"][0]
-        pairs, noted = [np.zeros((0, 2), H.U)], [np.zeros(0, H.U)]
         left, right = np.flatnonzero(own == p), np.flatnonzero(own == q)
         if p == q:  # each pair of a chunk once
             left, right = _passing(columns, right, np.zeros(len(right), int), np.arange(len(right)), percent)
@@ -382,12 +407,11 @@ def _searched(table: DataFrame, percent: int, limit: int, queries=None) -> DataF
             both = _take(columns, np.concatenate([left, right]))
             at = len(left) + np.arange(len(right))
             columns, (left, right) = both, _passing(both, at, np.zeros(len(right), int), np.full(len(right), len(left)), percent)
-        found, more = _nearest(columns, left, right, limit, queries)
-        pairs.append(found)
-        noted.append(more)
-        pairs, noted = _distinct(np.concatenate(pairs)), np.unique(np.concatenate(noted))
-        return pa.record_batch({"a": _long(np.concatenate([pairs[:, 0], noted])),
-                                "b": pa.array(np.concatenate([pairs[:, 1], noted]).view("<i8"), pa.int64(), mask=np.arange(len(pairs) + len(noted)) >= len(pairs))})
+        pairs, noted = _nearest(columns, left, right, limit, queries)
+        more = np.arange(len(pairs) + len(noted)) >= len(pairs)
+        return pa.record_batch({"a": _long(np.concatenate([pairs[:, 0], columns[LINE][noted]])),
+                                "b": pa.array(np.concatenate([pairs[:, 1], columns[LINE][noted]]).view("<i8"), pa.int64(), mask=more),
+                                "word": pa.array(np.concatenate([pairs[:, 1], columns[WORD][noted]]).view("<i8"), pa.int64(), mask=~more)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -406,19 +430,28 @@ def _searched(table: DataFrame, percent: int, limit: int, queries=None) -> DataF
         if rest is not None:
             yield search(rest)
 
-    return rows.select(*names).mapInArrow(run, "a bigint, b bigint").distinct()
+    return rows.select(*names).mapInArrow(run, "a bigint, b bigint, word bigint")
+
+
+def _lines(table: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
+    """(doc, known, number, line) of the lines, those alone that the filter ``wanted`` lets through."""
+    def convert(c: list[np.ndarray]) -> list[tuple[str, pa.Array]]:
+        if wanted is not None:
+            c = _take(c, B.may_contain(wanted, c[3]))
+        return [("doc", pa.array(c[0], pa.int64())), ("known", pa.array(c[1] == 1)), ("number", pa.array(c[2].astype(np.int64))), ("line", _long(c[3]))]
+    return _decode(table, LINES, ["<i8", "u1", "<u4", "<u8"], "doc bigint, known boolean, number bigint, line bigint", convert)
 
 
 def _join(source: DataFrame, order, percent: int, limit: int, words=None, queries=None) -> tuple[DataFrame, DataFrame]:
-    """The lines, where no filter is given, and pairs (a, b); b is null where a is a line that had more."""
+    """The table of lines, where no filter is given, and pairs (a, b); where a line a had more in the list of a word, b is null."""
     buckets = 4 * tasks(source.sparkSession)
     table = store(source.mapInArrow(_map(order, percent, buckets, words), DDL).repartition("bucket").mapInArrow(_reduce(percent, limit, queries), DDL), "lines")
-    lines = _decode(table, LINES, ["<i8", "u1", "<u4", "<u8"], "doc bigint, known boolean, number bigint, line bigint", lambda c: [
-        ("doc", pa.array(c[0], pa.int64())), ("known", pa.array(c[1] == 1)), ("number", pa.array(c[2].astype(np.int64))), ("line", _long(c[3]))])
     pairs = _decode(table, PAIRS, ["<u8", "<u8"], "a bigint, b bigint", lambda c: [("a", _long(c[0])), ("b", _long(c[1]))])
-    noted = _decode(table, NOTED, ["<u8"], "a bigint", lambda c: [("a", _long(c[0]))]).select("a", F.lit(None).cast("long").alias("b"))
+    pairs = pairs.withColumn("word", F.lit(None).cast("long"))
+    noted = _decode(table, NOTED, ["<u8", "<u8"], "a bigint, word bigint", lambda c: [("a", _long(c[0])), ("word", _long(c[1]))])
+    noted = noted.select("a", F.lit(None).cast("long").alias("b"), "word")
     found = pairs.unionAll(noted).unionAll(_searched(table, percent, limit, queries)).distinct()
-    return lines, store(found, "pairs")
+    return table, store(found, "pairs")
 
 
 def _held(source: DataFrame, order, pairs: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
@@ -427,38 +460,26 @@ def _held(source: DataFrame, order, pairs: DataFrame, firsts: DataFrame, percent
     return store(_later(verified(pairs, _full_sets(source, B.membership(asked, "line"), order), percent), firsts), "late")
 
 
-def _words_of(source: DataFrame, order, lines: np.ndarray, percent: int) -> DataFrame:
-    """(word): the prefix words of the lines that the filter lets through."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for chunk in H.chunks(batch.column("text")):
-                found = Lines(chunk, order.value)
-                prefix = found.n - -(-percent * found.n // 100) + 1
-                pick = B.may_contain(lines, found.id)[found.line] & (np.arange(len(found.key)) - found.first[found.line] < prefix[found.line])
-                yield pa.record_batch({"word": _long(np.unique(H.mix(found.key[pick]) & H.U((1 << 48) - 1)))})
-
-    return source.select("text").mapInArrow(run, "word bigint")
-
-
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """(id, removed): places, from 0, of the lines to remove from each document that has any."""
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     order = spark.sparkContext.broadcast(ordered(frequencies(source)))  # of fixed size
-    lines, found = _join(source, order, percent, NEAREST)
-    firsts = lines.groupBy("line").agg(F.min(F.struct("doc", "number")).alias("f"), F.count("*").alias("rows"))
+    table, found = _join(source, order, percent, NEAREST)
+    firsts = _lines(table).groupBy("line").agg(F.min(F.struct("doc", "number")).alias("f"), F.count("*").alias("rows"))
     firsts = store(firsts.select("line", "f.doc", "f.number", "rows"), "firsts")
     late = _held(source, order, found.filter("b IS NOT NULL"), firsts, percent)
-    open_lines = store(found.filter("b IS NULL").select(F.col("a").alias("line")).join(late, "line", "left_anti"), "open")
+    open_lines = store(found.filter("b IS NULL").select(F.col("a").alias("line"), "word").join(late, "line", "left_anti"), "open")
     if not open_lines.isEmpty():
         queries = B.membership(open_lines, "line")
-        words = B.membership(_words_of(source, order, queries, percent), "word")
+        words = B.membership(open_lines, "word")
         _, rest = _join(source, order, percent, 0, words, queries)
-        late = late.unionAll(_held(source, order, rest.join(found, ["a", "b"], "left_anti"), firsts, percent)).distinct()
+        late = late.unionAll(_held(source, order, rest.select("a", "b").join(found, ["a", "b"], "left_anti"), firsts, percent)).distinct()
 
     told = firsts.join(late.withColumn("late", F.lit(True)), "line", "left").filter("late OR rows > 1")
     told = told.withColumnsRenamed({"doc": "first_doc", "number": "first_number"})
-    gone = lines.join(told, "line").filter(F.col("late").isNotNull() | (F.col("doc") != F.col("first_doc")) | (F.col("number") != F.col("first_number")))
+    told = store(told.drop("rows"), "told")
+    gone = _lines(table, B.membership(told, "line")).join(told, "line").filter(F.col("late").isNotNull() | (F.col("doc") != F.col("first_doc")) | (F.col("number") != F.col("first_number")))
     gone = gone.select(F.when(F.col("known"), F.col("doc")).alias("doc"), F.col("number").cast("int").alias("number"))
     return gone.groupBy("doc").agg(F.sort_array(F.collect_set("number")).alias("removed")).withColumnRenamed("doc", id_col)
 

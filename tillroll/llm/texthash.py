@@ -57,6 +57,7 @@ class Words(NamedTuple):
     hash: np.ndarray
     start: np.ndarray   # byte offsets within the chunk
     end: np.ndarray
+    sums: np.ndarray    # prefix sums of the chunk, for run_hash
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -79,6 +80,18 @@ def chunks(column: pa.Array, size: int = CHUNK_BYTES) -> Iterator[Chunk]:
         lo = hi
 
 
+def prefix_sums(data: np.ndarray) -> np.ndarray:
+    sums = np.zeros(len(data) + 1, U)
+    np.cumsum(_CODES[data] * _power("up", len(data)), out=sums[1:])
+    return sums
+
+
+def run_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of runs of bytes, wherever in the chunk they are."""
+    hashed = (sums[end] - sums[start]) * _power("down", len(sums))[start]
+    return mix(hashed ^ ((end - start).astype(U) * U(0xD6E8FEB86659FD93)))
+
+
 def words(data: np.ndarray, starts: np.ndarray) -> Words:
     """Words of texts that begin at ``starts`` (ascending, from 0) in ``data``."""
     n = len(data)
@@ -91,11 +104,8 @@ def words(data: np.ndarray, starts: np.ndarray) -> Words:
     ends = inside & edge[1:]
     ends[:-1] |= inside[:-1] & ~inside[1:]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    sums = np.zeros(n + 1, U)
-    np.cumsum(_CODES[data] * _power("up", n), out=sums[1:])
-    hashed = (sums[end] - sums[start]) * _power("down", n)[start] if n else np.zeros(0, U)
-    hashed = mix(hashed ^ ((end - start).astype(U) * U(0xD6E8FEB86659FD93)))
-    return Words(np.searchsorted(starts, start, "right") - 1, hashed, start, end)
+    sums = prefix_sums(data)
+    return Words(np.searchsorted(starts, start, "right") - 1, run_hash(sums, start, end), start, end, sums)
 
 
 def _combine(hashes: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
