@@ -9,7 +9,7 @@ from oracle.queries import BASES, SQL, agg_sql, between, kpi_sql, reg, trend_sql
 from tillroll import model as M
 from tillroll.catalog import CUR, LY, REF
 from tillroll.functions import periods as P
-from tillroll.plans.orders import NICE_STEPS_CENTS
+
 
 SUMMARY = M.KPI_GROUPS["Overview Metrics"] + M.KPI_GROUPS["Funnel Metrics"]
 REVERSE = S.inlist([m for m in M.ALL_METRICS if M.metric_polarity(m) == "reverse"])
@@ -260,8 +260,7 @@ _cohort_ctes = (
 )
 SQL["cohort_retention"] = with_ctes("SELECT * FROM ret", "shop_orders", local=_cohort_ctes)
 SQL["cohort_matrix"] = with_ctes(
-    "SELECT cohort, " + ", ".join(f"max(CASE WHEN months_since = {i} THEN pct END) AS m{i}" for i in range(12))
-    + " FROM ret WHERE months_since < 12 GROUP BY cohort", "shop_orders", local=_cohort_ctes)
+    "SELECT cohort, months_since, pct FROM ret", "shop_orders", local=_cohort_ctes)
 
 reg("email_performance", f"""
 SELECT CASE WHEN gid = 3 THEN 'Total' ELSE type END AS type, CASE WHEN gid = 3 THEN '' ELSE name END AS name,
@@ -454,9 +453,9 @@ SQL["order_insight"] = with_ctes(long_rows("s, sc, qq", [
     ("qq", f"SELECT {_q(0.5, 0)}, {_q(0.9, 1)} FROM (SELECT CAST(value AS DOUBLE) AS v, "
            f"row_number() OVER (ORDER BY CAST(value AS DOUBLE)) - 1 AS r FROM o)")))
 
-_steps = "[" + ", ".join(str(s) for s in NICE_STEPS_CENTS) + "]"
+_steps = "[" + ", ".join(str(s) for s in [m * 10 ** e for e in range(17) for m in (1, 2, 5)]) + "]"
 SQL["order_value_histogram"] = with_ctes("""
-SELECT (cents // step) * step / 100.0 AS bin_start, step / 100.0 AS bin_width, count(*) AS orders
+SELECT CAST(floor(CAST(cents AS DECIMAL(30,4)) / step) * step AS BIGINT) / 100.0 AS bin_start, step / 100.0 AS bin_width, count(*) AS orders
 FROM oc, st GROUP BY 1, 2""", "line_items", local=(
     ("oc", f"SELECT order_id, CAST(sum(net_sales) * 100 AS BIGINT) AS cents FROM line_items WHERE {_li_c} GROUP BY 1"),
     ("st", f"SELECT min(s) AS step FROM (SELECT unnest({_steps}) AS s) "

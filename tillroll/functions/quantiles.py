@@ -23,27 +23,32 @@ from pyspark.sql import Window as W
 
 
 def exact_percentiles(df: DataFrame, col: str, ps: list[float],
-                      slices: int | None = None, names: list[str] | None = None) -> DataFrame:
+                      slices: int = 4096, names: list[str] | None = None) -> DataFrame:
     """One-row DataFrame with the exact ``ps`` percentiles of ``df[col]`` (nulls
     ignored); columns ``names`` (default ``p0, p1, ...``)."""
-    spark = df.sparkSession
-    if slices is None:
-        slices = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     names = names or [f"p{i}" for i in range(len(ps))]
     v = F.col(col)
     vals = df.filter(v.isNotNull()).select(v.cast("double").alias("_v"))
     counts = vals.groupBy("_v").agg(F.count(F.lit(1)).alias("_c"))
-    n = counts.select(F.sum("_c")).scalar()          # one scalar subquery, reused below
-    ranged = counts.repartitionByRange(slices, "_v").withColumn("_slice", F.spark_partition_id())
-    ranged = ranged.withColumn(
-        "_run", F.sum("_c").over(W.partitionBy("_slice").orderBy("_v")
-                                 .rowsBetween(W.unboundedPreceding, W.currentRow)))
-    totals = ranged.groupBy("_slice").agg(F.sum("_c").alias("_t"))
-    offsets = totals.select("_slice", F.coalesce(
+    n = counts.select(F.sum("_c")).scalar()
+    low, high = counts.select(F.min("_v")).scalar(), counts.select(F.max("_v")).scalar()
+    # a slice is a function of the value alone, so every evaluation of the plan agrees on it
+    share = F.coalesce(F.try_divide(F.col("_v") - low, high - low), F.lit(0.0))
+    counts = counts.withColumn("_slice", F.least(F.floor(share * slices), F.lit(slices - 1)).cast("int"))
+    totals = counts.groupBy("_slice").agg(F.sum("_c").alias("_t"))       # at most `slices` rows
+    offsets = totals.select("_slice", "_t", F.coalesce(
         F.sum("_t").over(W.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)),
         F.lit(0)).alias("_off"))
-    j = ranged.join(F.broadcast(offsets), "_slice")
-    j = j.withColumn("_end", F.col("_off") + F.col("_run"))   # ranks [_end - _c, _end)
+    wanted = F.lit(False)
+    for p in ps:
+        pos = (n - F.lit(1)).cast("double") * F.lit(float(p))
+        for r in (F.floor(pos), F.ceil(pos)):
+            wanted = wanted | ((F.col("_off") <= r) & (r < F.col("_off") + F.col("_t")))
+    # only the values of the slices that hold a wanted rank are ranked
+    ranged = counts.join(F.broadcast(offsets.filter(wanted)), "_slice").withColumn(
+        "_run", F.sum("_c").over(W.partitionBy("_slice").orderBy("_v")
+                                 .rowsBetween(W.unboundedPreceding, W.currentRow)))
+    j = ranged.withColumn("_end", F.col("_off") + F.col("_run"))   # ranks [_end - _c, _end)
     j = j.withColumn("_n", n)
     picks = [F.max("_n").alias("_n")]
     for i, p in enumerate(ps):

@@ -106,11 +106,9 @@ def cohort_retention(orders: DataFrame, last_n: int = 12) -> DataFrame:
                     F.round(F.col("customers") / F.col("cohort_size") * 100.0, 0).alias("pct"))
 
 
-def cohort_matrix(orders: DataFrame, last_n: int = 12, months: int = 12) -> DataFrame:
-    """The retention table pivoted to columns m0..m{months-1}."""
-    r = cohort_retention(orders, last_n).filter(F.col("months_since") < months)
-    return (r.groupBy("cohort").pivot("months_since", list(range(months))).agg(F.first("pct"))
-            .select("cohort", *[F.col(str(i)).alias(f"m{i}") for i in range(months)]))
+def cohort_matrix(orders: DataFrame, last_n: int = 12) -> DataFrame:
+    """The cells (cohort, months_since, pct) of the retention matrix, every month of the last cohorts."""
+    return cohort_retention(orders, last_n).select("cohort", "months_since", "pct")
 
 
 def email_performance(email: DataFrame, cur, cmp) -> DataFrame:

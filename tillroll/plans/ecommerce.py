@@ -88,8 +88,10 @@ def trend_ty_ly(fact: DataFrame, period_name: str, freq: str, metric: str, ref,
     bases = MX.inputs_for([metric])
     f = C.dim_filter(fact, filters)
     ty_c, ly_c = C.in_range((start, end)), C.in_range((ly_s, ly_e))
+    # a day of both ranges (they overlap when the period is longer than the shift) counts in both
+    sides = F.array_compact(F.array(F.when(ty_c, F.lit("TY")), F.when(ly_c, F.lit("LY"))))
     f = f.filter(ty_c | ly_c).select(
-        F.when(ty_c, F.lit("TY")).otherwise(F.lit("LY")).alias("side"),
+        F.explode(sides).alias("side"),
         period_start("date", freq).alias("period"), *bases)
     g = f.groupBy("side", "period").agg(*C.sums(bases)).select(
         "side", "period", *C.metric_cols([metric]))

@@ -51,19 +51,16 @@ def order_insight(li: DataFrame, cur, cmp, filters=None) -> DataFrame:
     ])
 
 
-# "nice" histogram steps in cents: 1, 2, 5 x 10^k
-NICE_STEPS_CENTS = [m * 10 ** e for e in range(0, 14) for m in (1, 2, 5)]
-
-
 def order_value_histogram(li: DataFrame, cur, filters=None, max_bins: int = 40) -> DataFrame:
     """Orders per value bin; the bin width is the smallest 1/2/5 x 10^k (in
     money units) giving at most ``max_bins`` bins over the value span.  The span
     is a scalar subquery, so the plan is one job with no driver round trip."""
     o = per_order(li, cur, filters).withColumn("cents", (F.col("value") * 100).cast("bigint"))
     o = o.withColumn("_span", o.select((F.max("cents") - F.min("cents")).alias("s")).scalar())
-    steps = F.array(*[F.lit(s).cast("bigint") for s in NICE_STEPS_CENTS])
+    power = F.floor(F.log10(F.greatest(F.col("_span") / F.lit(max_bins), F.lit(1.0)))).cast("int")
+    steps = F.array(*[(F.pow(F.lit(10.0), power + e) * m).cast("bigint") for e in (0, 1) for m in (1, 2, 5)])
     o = o.withColumn("step", F.get(F.filter(steps, lambda s: F.col("_span") <= s * max_bins), 0))
-    b = F.expr("cents div step") * F.col("step")
+    b = F.col("cents") - F.pmod(F.col("cents"), F.col("step"))      # floor, below zero too
     return (o.groupBy((b / 100.0).alias("bin_start"), (F.col("step") / 100.0).alias("bin_width"))
             .agg(F.count(F.lit(1)).alias("orders")).orderBy("bin_start"))
 

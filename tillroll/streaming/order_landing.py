@@ -4,13 +4,12 @@ The batch reporting model refreshes shop orders by pulling a recent window of
 order payloads and rebuilding.  Here the same flattening runs as a stream
 over a landing folder:
 
-* ``orders_stream`` — flatten each new payload file into order rows, drop
-  re-delivered orders (same id) inside the watermark, and keep only orders in
-  the extraction window;
+* ``orders_stream`` — flatten each new payload file into order rows, and
+  drop re-delivered orders (same id) inside the watermark;
 * ``sales_lane_stream`` — the day x country sales lane maintained
   incrementally (event-time watermark on ``created_at``);
 * ``start_orders_sink`` — exactly-once parquet file sink with a checkpoint
-  under the session's shared ``spark.checkpoint.dir``.
+  beside its output folder.
 """
 from __future__ import annotations
 
@@ -18,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tillroll.sources.io import PAYLOAD_SCHEMA, flatten_payload, scratch_path
+from tillroll.sources.io import PAYLOAD_SCHEMA, flatten_payload
 
 MONEY = "decimal(18,2)"
 
@@ -35,20 +34,23 @@ def orders_stream(spark: SparkSession, landing_dir: str, watermark: str = "2 day
 
 
 def sales_lane_stream(orders: DataFrame) -> DataFrame:
-    """Incremental day x country sums of a (deduplicated) order stream."""
-    return (orders.groupBy(F.to_date("created_at").alias("date"), "country")
+    """Incremental day x country sums of a (deduplicated) order stream; a day's state goes with the watermark."""
+    day = F.window("created_at", "1 day")
+    return (orders.groupBy(day.alias("day"), "country")
             .agg(F.count(F.lit(1)).alias("orders"),
                  F.sum("net_sales").cast(MONEY).alias("revenue"),
                  F.sum("gross_sales").cast(MONEY).alias("gross_sales"),
                  F.sum("discounts").cast(MONEY).alias("discounts"),
-                 F.sum("cogs").cast(MONEY).alias("cogs")))
+                 F.sum("cogs").cast(MONEY).alias("cogs"))
+            .select(F.to_date("day.start").alias("date"), "country", "orders", "revenue", "gross_sales", "discounts", "cogs"))
 
 
 def start_orders_sink(orders: DataFrame, out_dir: str, checkpoint: str | None = None,
                       available_now: bool = True) -> StreamingQuery:
-    """Append flat orders to parquet, exactly once (file sink + checkpoint)."""
-    spark = orders.sparkSession
-    checkpoint = checkpoint or scratch_path(spark, "orders_stream_ckpt")
+    """Append flat orders to parquet, exactly once (file sink + checkpoint).
+
+    The checkpoint belongs to the output folder, so a restarted query goes on where it was."""
+    checkpoint = checkpoint or out_dir.rstrip("/") + "_checkpoint"
     w = (orders.writeStream.format("parquet").option("path", out_dir)
          .option("checkpointLocation", checkpoint).outputMode("append"))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
