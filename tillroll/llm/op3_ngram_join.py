@@ -127,15 +127,15 @@ def _emit(kind: int, bucket: int, blob: bytes) -> pa.RecordBatch:
     return pa.record_batch([pa.array([kind], pa.int8()), pa.array([bucket], pa.int32()), pa.array([blob], pa.binary())], schema=OUT)
 
 
-def _map(k: int, percent: int, buckets: int):
+def _map(k: int, percent: int, buckets: int, frequent: int):
     def flush(key: list[np.ndarray], sid: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         key, sid = _sorted_unique(np.concatenate(key) & H.U((1 << 48) - 1), np.concatenate(sid))
         starts, sizes = _runs(key)
-        often = np.repeat(sizes > FREQUENT, sizes)
+        often = np.repeat(sizes > frequent, sizes)
         if often.any():
             members = [B.to48(key[often]), sid[often]]
             yield from (_emit(MEMBERS, b, x) for b, x in B.deal(members, (sid[often] % H.U(buckets)).astype(np.int32)))
-            lead = starts[sizes > FREQUENT]
+            lead = starts[sizes > frequent]
             leaders = [B.to48(key[lead]), sid[lead]]
             yield from (_emit(LEADERS, b, x) for b, x in B.deal(leaders, (key[lead] % H.U(buckets)).astype(np.int32)))
         key, sid = key[~often], sid[~often]
@@ -339,7 +339,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
     spark = docs.sparkSession
     buckets = 4 * tasks(spark)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    met = source.mapInArrow(_map(k, percent, buckets), DDL).repartition("bucket").mapInArrow(_reduce(buckets), DDL)
+    met = source.mapInArrow(_map(k, percent, buckets, FREQUENT), DDL).repartition("bucket").mapInArrow(_reduce(buckets), DDL)
     table = store(met, "blocks")
 
     nodes = _decode(table, DOCS, ["<i8", "u1", "<u4", "<u8"], "doc_id bigint, n bigint, sid bigint", lambda c: [

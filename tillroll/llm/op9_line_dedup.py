@@ -240,12 +240,12 @@ def _packed(columns: list[np.ndarray]) -> list[np.ndarray]:
     return [B.to48(columns[WORD]), *columns[1:]]
 
 
-def _map(order, percent: int, buckets: int, words=None):
+def _map(order, percent: int, buckets: int, frequent: int, words=None):
     """Lines and prefix postings of the texts; with a filter ``words``, postings of those words alone."""
     def flush(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
         columns = [np.concatenate(c) for c in zip(*held, strict=True)]
         words_, sizes = _runs(np.sort(columns[WORD]))
-        words_ = np.sort(columns[WORD])[words_[sizes > FREQUENT]]
+        words_ = np.sort(columns[WORD])[words_[sizes > frequent]]
         if len(words_):
             often = np.isin(columns[WORD], words_)
             hot = _take(columns, often)
@@ -445,7 +445,7 @@ def _lines(table: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
 def _join(source: DataFrame, order, percent: int, limit: int, words=None, queries=None) -> tuple[DataFrame, DataFrame]:
     """The table of lines, where no filter is given, and pairs (a, b); where a line a had more in the list of a word, b is null."""
     buckets = 4 * tasks(source.sparkSession)
-    table = store(source.mapInArrow(_map(order, percent, buckets, words), DDL).repartition("bucket").mapInArrow(_reduce(percent, limit, queries), DDL), "lines")
+    table = store(source.mapInArrow(_map(order, percent, buckets, FREQUENT, words), DDL).repartition("bucket").mapInArrow(_reduce(percent, limit, queries), DDL), "lines")
     pairs = _decode(table, PAIRS, ["<u8", "<u8"], "a bigint, b bigint", lambda c: [("a", _long(c[0])), ("b", _long(c[1]))])
     pairs = pairs.withColumn("word", F.lit(None).cast("long"))
     noted = _decode(table, NOTED, ["<u8", "<u8"], "a bigint, word bigint", lambda c: [("a", _long(c[0])), ("word", _long(c[1]))])
