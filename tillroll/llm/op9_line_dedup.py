@@ -65,7 +65,7 @@ def frequencies(source: DataFrame) -> np.ndarray:
         total = np.zeros(cells, np.int64)
         for batch in batches:
             for chunk in H.chunks(batch.column("text")):
-                found = H.words(chunk.data, chunk.offsets[:-1]).hash
+                found = H.words(chunk.data, chunk.offsets[:-1], rows=False).hash
                 np.add.at(total, (found & H.U(cells - 1)).astype(np.int64), 1)
         if total.any():
             yield from emit(total)
@@ -244,8 +244,9 @@ def _map(order, percent: int, buckets: int, frequent: int, words=None):
     """Lines and prefix postings of the texts; with a filter ``words``, postings of those words alone."""
     def flush(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
         columns = [np.concatenate(c) for c in zip(*held, strict=True)]
-        words_, sizes = _runs(np.sort(columns[WORD]))
-        words_ = np.sort(columns[WORD])[words_[sizes > frequent]]
+        ranked = np.sort(columns[WORD])
+        starts, sizes = _runs(ranked)
+        words_ = ranked[starts[sizes > frequent]]
         if len(words_):
             often = np.isin(columns[WORD], words_)
             hot = _take(columns, often)
@@ -268,24 +269,29 @@ def _map(order, percent: int, buckets: int, frequent: int, words=None):
                 doc, valid = docs[chunk.lo + lines.row], known[chunk.lo + lines.row].astype(np.uint8)
                 if words is None:
                     yield _emit(LINES, int(lines.id[0] % H.U(buckets)), B.pack([doc, valid, lines.number.astype("<u4"), lines.id]))
+                prefix = lines.n - -(-percent * lines.n // 100) + 1
+                at = np.arange(len(lines.key)) - lines.first[lines.line]
+                pick = np.flatnonzero((at < prefix[lines.line]) & lines.shared())
+                word = H.mix(lines.key[pick]) & H.U((1 << 48) - 1)
+                if words is not None:
+                    keep = B.may_contain(words, word)
+                    pick, word = pick[keep], word[keep]
+                if not len(pick):
+                    continue
                 if len(seen) > SEEN:
                     seen.clear()
-                new = np.zeros(len(lines.n), bool)
+                new, asked = np.zeros(len(lines.n), bool), np.unique(lines.line[pick])
                 # an equal line is passed on again only if it occurs earlier
-                for i, (s, at) in enumerate(zip(lines.id.tolist(), zip(doc.tolist(), lines.number.tolist(), strict=True), strict=True)):
+                for i, s, place in zip(asked.tolist(), lines.id[asked].tolist(), zip(doc[asked].tolist(), lines.number[asked].tolist(), strict=True), strict=True):
                     before = seen.get(s)
-                    if before is None or at < before:
-                        seen[s] = at
+                    if before is None or place < before:
+                        seen[s] = place
                         new[i] = True
-                prefix = lines.n - -(-percent * lines.n // 100) + 1
-                at = np.arange(len(lines.key)) - lines.first[lines.line]
-                pick = new[lines.line] & (at < prefix[lines.line]) & lines.shared()
+                keep = new[lines.line[pick]]
+                pick, word = pick[keep], word[keep]
                 own, (low, high) = lines.line[pick], lines.parities()
-                word = H.mix(lines.key[pick]) & H.U((1 << 48) - 1)
                 columns = [word, lines.id[own], doc[own], lines.number[own].astype("<u4"), np.minimum(lines.n[own], MOST).astype("<u2"),
                            np.minimum(at[pick], MOST).astype("<u2"), low[own], high[own]]
-                if words is not None:
-                    columns = _take(columns, B.may_contain(words, word))
                 held.append(columns)
                 size += len(columns[0])
                 if size > FLUSH:

@@ -92,8 +92,8 @@ def run_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray
     return mix(hashed ^ ((end - start).astype(U) * U(0xD6E8FEB86659FD93)))
 
 
-def words(data: np.ndarray, starts: np.ndarray) -> Words:
-    """Words of texts that begin at ``starts`` (ascending, from 0) in ``data``."""
+def words(data: np.ndarray, starts: np.ndarray, rows: bool = True) -> Words:
+    """Words of texts that begin at ``starts`` (ascending, from 0) in ``data``; without ``rows``, they are not told which."""
     n = len(data)
     inside = ~SPACE[data]
     edge = np.zeros(n + 1, bool)
@@ -105,7 +105,8 @@ def words(data: np.ndarray, starts: np.ndarray) -> Words:
     ends[:-1] |= inside[:-1] & ~inside[1:]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     sums = prefix_sums(data)
-    return Words(np.searchsorted(starts, start, "right") - 1, run_hash(sums, start, end), start, end, sums)
+    row = np.searchsorted(starts, start, "right") - 1 if rows else np.zeros(0, np.int64)
+    return Words(row, run_hash(sums, start, end), start, end, sums)
 
 
 def _combine(hashes: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
