@@ -55,32 +55,39 @@ def _is_europe(n: Column) -> Column:
     return n.isin([i.strip().lower() for i in M.EUROPE_COUNTRIES])
 
 
-def geo_region(c) -> Column:
-    n = norm(c)
-    m = _named_market(n)
+# one rule each, from the normalised identifier and its market
+def _region(n: Column, m: Column) -> Column:
     return (F.when(m == "US", "US").when(m == "UK", "UK")
             .when(m.isin(M.EU_MARKETS), "EU").when(m.isin(M.ROW_MARKETS), "ROW")
             .when(_is_europe(n), "EU").otherwise("ROW"))
 
 
-def geo_market(c) -> Column:
-    n = norm(c)
-    m = _named_market(n)
-    region = geo_region(c)
-    return (F.when(region == "US", "US").when(region == "UK", "UK")
+def _market(region: Column, m: Column) -> Column:
+    return (F.when(region.isin("US", "UK"), region)
             .when(region == "EU", F.when(m.isin(M.EU_MARKETS), m).otherwise("ROE"))
             .otherwise(F.when(m.isin(M.ROW_MARKETS), m).otherwise("ROW")))
 
 
-def country_name(c) -> Column:
-    """Canonical country name when the identifier is known, else the raw value."""
-    n = norm(c)
-    m = _named_market(n)
+def _country(m: Column, raw: Column) -> Column:
     canonical = None
     for market, idents in M.GEO_MARKETS.items():
         canonical = (F.when(m == market, F.lit(idents[0])) if canonical is None
                      else canonical.when(m == market, F.lit(idents[0])))
-    return F.coalesce(canonical, _c(c).cast("string"), F.lit(""))
+    return F.coalesce(canonical, raw.cast("string"), F.lit(""))
+
+
+def geo_region(c) -> Column:
+    n = norm(c)
+    return _region(n, _named_market(n))
+
+
+def geo_market(c) -> Column:
+    return _market(geo_region(c), _named_market(norm(c)))
+
+
+def country_name(c) -> Column:
+    """Canonical country name when the identifier is known, else the raw value."""
+    return _country(_named_market(norm(c)), _c(c))
 
 
 def geo_columns(c) -> dict[str, Column]:
@@ -96,21 +103,11 @@ def with_geo(df, country: str = "country"):
     columns, keeping the generated code small (one CASE tree per stage)."""
     df = df.withColumn("_geo_n", norm(country))
     df = df.withColumn("_geo_m", _named_market(F.col("_geo_n")))
-    m = F.col("_geo_m")
-    df = df.withColumn("_geo_r", F.when(m == "US", "US").when(m == "UK", "UK")
-                       .when(m.isin(M.EU_MARKETS), "EU").when(m.isin(M.ROW_MARKETS), "ROW")
-                       .when(_is_europe(F.col("_geo_n")), "EU").otherwise("ROW"))
-    r = F.col("_geo_r")
-    canonical = None
-    for market, idents in M.GEO_MARKETS.items():
-        canonical = (F.when(m == market, F.lit(idents[0])) if canonical is None
-                     else canonical.when(m == market, F.lit(idents[0])))
+    df = df.withColumn("_geo_r", _region(F.col("_geo_n"), F.col("_geo_m")))
     return df.withColumns({
-        "geo_region": r,
-        "geo_market": (F.when(r == "US", "US").when(r == "UK", "UK")
-                       .when(r == "EU", F.when(m.isin(M.EU_MARKETS), m).otherwise("ROE"))
-                       .otherwise(F.when(m.isin(M.ROW_MARKETS), m).otherwise("ROW"))),
-        "geo_country": F.coalesce(canonical, F.col(country).cast("string"), F.lit("")),
+        "geo_region": F.col("_geo_r"),
+        "geo_market": _market(F.col("_geo_r"), F.col("_geo_m")),
+        "geo_country": _country(F.col("_geo_m"), F.col(country)),
     }).drop("_geo_n", "_geo_m", "_geo_r")
 
 

@@ -87,16 +87,20 @@ def pct_change(cur: Column, cmp: Column) -> Column:
     return (F.try_divide(cur, cmp) - F.lit(1.0)) * F.lit(100.0)
 
 
-def is_good(metric: str, delta: Column) -> Column:
+def is_good(metric, delta: Column) -> Column:
     """Favourability of a change: up is good, inverted for reverse-polarity metrics.
 
-    A zero change counts as up, so for a reverse metric it is *not* good."""
-    up = delta >= 0
-    return F.when(delta.isNull(), F.lit(None).cast("boolean")) \
-        .otherwise(~up if M.metric_polarity(metric) == "reverse" else up)
+    A zero change counts as up, so for a reverse metric it is *not* good.
+    ``metric`` is a name or a column of names."""
+    name = F.lit(metric) if isinstance(metric, str) else metric
+    reverse = [m for m in M.ALL_METRICS if M.metric_polarity(m) == "reverse"]
+    return F.when(delta.isNotNull(), (delta >= 0) != name.isin(reverse))
 
 
-def delta_in_units(metric: str, cur: Column, cmp: Column) -> Column:
+def delta_in_units(metric, cur: Column, cmp: Column) -> Column:
     """Absolute change in the metric's own unit: percentage points for percents."""
     d = cur - cmp
-    return d * F.lit(100.0) if M.metric_format(metric) == "percent" else d
+    if isinstance(metric, str):
+        return d * F.lit(100.0) if M.metric_format(metric) == "percent" else d
+    percents = [m for m in M.ALL_METRICS if M.metric_format(m) == "percent"]
+    return F.when(metric.isin(percents), d * F.lit(100.0)).otherwise(d)

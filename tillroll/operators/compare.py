@@ -195,11 +195,7 @@ def kpi_rows(fact: DataFrame, metrics: list[str], cur: Range, cmp: Range | None,
 
 def favourability(rows: DataFrame, delta_col: str = "delta_pct") -> DataFrame:
     """Add ``good``: change >= 0 is good, inverted for reverse-polarity metrics."""
-    reverse = [m for m in M.ALL_METRICS if M.metric_polarity(m) == "reverse"]
-    d = F.col(delta_col)
-    up = d >= 0
-    return rows.withColumn("good", F.when(d.isNull(), F.lit(None).cast("boolean"))
-                           .when(F.col("metric").isin(reverse), ~up).otherwise(up))
+    return rows.withColumn("good", MX.is_good(F.col("metric"), F.col(delta_col)))
 
 
 def ref_date(fact: DataFrame) -> dt.date:

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from tillroll import model as M
 from tillroll.catalog import CUR, LY, REF, query
+from tillroll.functions import metrics as MX
 from tillroll.functions import periods as P
 from tillroll.operators import compare as C
 from tillroll.plans import customers as CU
@@ -51,10 +52,8 @@ def q_kpi_favourability(ws):
 def q_kpi_delta_units(ws):
     """Change in each metric's own unit: percentage points for percent metrics."""
     rows = C.kpi_rows(ws.fact, SUMMARY + ["spend", "roas"], CUR, LY)
-    pct = [m for m in M.ALL_METRICS if M.metric_format(m) == "percent"]
-    d = F.col("value") - F.col("cmp")
     return rows.select("metric", "value", "cmp",
-                       F.when(F.col("metric").isin(pct), d * 100.0).otherwise(d).alias("delta_units"))
+                       MX.delta_in_units(F.col("metric"), F.col("value"), F.col("cmp")).alias("delta_units"))
 
 
 @query("sparkline")
