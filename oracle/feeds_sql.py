@@ -77,7 +77,7 @@ cte("traffic_items", ["lines_base"], """
 SELECT CAST(created_at AS DATE) AS date, product_id, product_title, category,
   sum(quantity) * 20 AS item_views, sum(quantity) * 3 AS item_add_to_carts,
   sum(quantity) AS item_purchases
-FROM lines_base WHERE l_partkey % 10 < 7 GROUP BY ALL""")
+FROM lines_base WHERE o_orderstatus <> 'P' GROUP BY ALL""")
 
 cte("orderbank", ["lines_base"], f"""
 SELECT CAST(date_trunc('week', created_at) AS DATE) AS date, category_l1, warehouse,
@@ -100,7 +100,7 @@ SELECT event_id, user_id, event_type, value, k, d - {FXT.EVENT_SHIFT_A} AS date
 UNION ALL
 SELECT event_id, user_id, event_type, value, k, d - {FXT.EVENT_SHIFT_B} AS date FROM
   (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, CAST(ts AS DATE) AS d FROM events)
-WHERE event_id % 3 <> 0""")
+WHERE event_type <> 'error'""")
 
 
 def _n(cond):

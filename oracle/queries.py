@@ -172,8 +172,9 @@ def rollup_sql(dims: list[str], cur, cmp, where_extra="TRUE") -> str:
 def dim_table_sql(dim: str, metrics: list[str]) -> str:
     return with_ctes(
         f"SELECT CASE WHEN gid = 1 THEN 'Total' ELSE {dim} END AS label, "
-        f"CASE WHEN gid = 1 THEN 'total' ELSE 'row' END AS kind, {comparison_select(metrics)} "
-        f"FROM ({rollup_sql([dim], CUR, LY)}) WHERE n_cur > 0", "fact")
+        f"CASE WHEN gid = 1 THEN 'total' ELSE 'row' END AS kind, {comparison_select(metrics)}, "
+        f"CAST(row_number() OVER (ORDER BY gid = 1, {S.metric(metrics[0], lambda b: f'{b}_cur')} DESC NULLS LAST, {dim}) "
+        f"AS INTEGER) AS pos FROM ({rollup_sql([dim], CUR, LY)}) WHERE n_cur > 0", "fact")
 
 
 SQL["dim_table_market"] = dim_table_sql("geo_market", M.KPI_GROUPS["Overview Metrics"])
@@ -183,7 +184,9 @@ SQL["channel_table"] = with_ctes(
   ELSE 'Total' END AS label,
   CASE WHEN gid = 0 THEN 'row' WHEN gid = 1 THEN 'subtotal' ELSE 'total' END AS kind,
   CASE WHEN gid = 3 THEN NULL ELSE marketing_channel_group END AS channel_group,
-  {comparison_select(M.KPI_GROUPS['Overview Metrics'])}
+  {comparison_select(M.KPI_GROUPS['Overview Metrics'])},
+  CAST(row_number() OVER (ORDER BY list_position(['Paid', 'Unpaid'], CASE WHEN gid < 3 THEN marketing_channel_group END)
+    NULLS LAST, gid, revenue_cur DESC NULLS LAST, marketing_channel) AS INTEGER) AS pos
 FROM ({rollup_sql(['marketing_channel_group', 'marketing_channel'], CUR, LY)})
 WHERE n_cur > 0 AND (gid = 3 OR marketing_channel_group IN ('Paid', 'Unpaid'))""", "fact")
 

@@ -5,7 +5,7 @@ import datetime as dt
 
 from oracle import dims_sql as S
 from oracle.feeds_sql import with_ctes
-from oracle.queries import BASES, SQL, agg_sql, between, kpi_sql, reg, trend_sql
+from oracle.queries import BASES, SQL, agg_sql, between, kpi_query, kpi_sql, reg, trend_sql
 from tillroll import model as M
 from tillroll.catalog import CUR, LY, REF
 from tillroll.functions import periods as P
@@ -59,7 +59,18 @@ def kpi_wrapped(select: str, metrics, cur, cmp, with_cmp=True, tail: str = "") -
 CUR_C, CMP_C = between(CUR), between(LY)
 
 # ── periods, KPIs, targets, trends ─────────────────────────────────────
-_prow = ", ".join(f"('{n}', '{s}', {D(a)}, {D(b)})" for n, s, a, b in P.period_rows(REF))
+# the selectors stated in SQL, from the reference day alone
+_R = D(REF)
+_unit = lambda u, at=_R: f"CAST(date_trunc('{u}', {at}) AS DATE)"
+PERIOD_SQL = {"Yesterday": (_R, _R)}
+for _n in (7, 30, 90):
+    PERIOD_SQL[f"Last {_n} Days"] = (f"({_R} - {_n - 1})", _R)
+for _u in ("week", "month", "quarter", "year"):
+    PERIOD_SQL[f"{_u.title()} to Date"] = (_unit(_u), _R)
+    PERIOD_SQL[f"Last {_u.title()}"] = (_unit(_u, f"{_unit(_u)} - 1"), f"({_unit(_u)} - 1)")
+_prow = ", ".join(
+    f"('{n}', 'current', {a}, {b}), ('{n}', 'last_year', {a} - 364, {b} - 364), "
+    f"('{n}', 'prior', {a} - CAST(1 + ({b} - {a}) AS INTEGER), {a} - 1)" for n, (a, b) in PERIOD_SQL.items())
 _pm = ["revenue", "orders", "visits", "conversion_rate"]
 reg("period_totals", f"""SELECT period, side, {', '.join(f'{S.metric(m)} AS {m}' for m in _pm)} FROM
  (SELECT p.period, p.side, {', '.join(f'{S.base_sum("f." + b)} AS {b}' for b in BASES)}
@@ -103,8 +114,8 @@ SQL["kpi_delta_units"] = with_ctes(
     f"SELECT metric, value, cmp, CASE WHEN metric IN {PCT_METRICS} THEN (value - cmp) * 100.0 "
     f"ELSE value - cmp END AS delta_units FROM ({_du_body}) x", "fact", "targets", local=_du_local)
 
-_ss, _se, _sf = P.spark_window(*P.resolve_period("Last 7 Days", REF))
-reg("sparkline", trend_sql("revenue", _sf, between((_ss, _se))), "fact")
+# a week is shorter than ten days: the trailing thirty, by day
+reg("sparkline", trend_sql("revenue", "D", f"date BETWEEN {_R} - 29 AND {_R}"), "fact")
 
 
 def _tcol(b):
@@ -131,18 +142,28 @@ SQL["target_implied"] = with_ctes("\nUNION ALL\n".join(
     f"SELECT '{m}' AS metric, CAST({_implied(m)} AS DOUBLE) AS target FROM tg"
     for m in M.DERIVED_METRICS), "targets", local=(_tg,))
 
-_ty = P.resolve_period("Year to Date", REF)
-_lyr = P.ly_range(*_ty)
-_wk = "CAST(date_trunc('week', date) AS DATE)"
-SQL["trend_ty_ly"] = with_ctes(f"""
-SELECT ty.pos, ty.period, ty.v AS ty, ly.v AS ly FROM
- (SELECT period, v, CAST(row_number() OVER (ORDER BY period) AS INTEGER) AS pos FROM
-   (SELECT {_wk} AS period, {dsum('revenue')} AS v FROM fact WHERE {between(_ty)} GROUP BY 1)
-  WHERE NOT ({D(_ty[1])} - period + 1 < 7)) ty
-LEFT JOIN
- (SELECT v, CAST(row_number() OVER (ORDER BY period) AS INTEGER) AS pos FROM
-   (SELECT {_wk} AS period, {dsum('revenue')} AS v FROM fact WHERE {between(_lyr)} GROUP BY 1)) ly
-ON ty.pos = ly.pos""", "fact")
+
+
+def ty_ly(period: str, unit: str, more: str = "") -> str:
+    lo, hi = PERIOD_SQL[period]
+    bucket = f"CAST(date_trunc('{unit}', date) AS DATE)"
+
+    def side(shift):
+        return (f"SELECT {bucket} AS period, {dsum('revenue')} AS v FROM fact "
+                f"WHERE date BETWEEN {lo} - {shift} AND {hi} - {shift} GROUP BY 1")
+    whole = f"WHERE {hi} - period + 1 >= 7" if unit == "week" else ""
+    ranked = "CAST(row_number() OVER (ORDER BY period) AS INTEGER) AS pos"
+    return (f"SELECT ty.pos, ty.period, ty.v AS ty, ly.v AS ly{more} FROM "
+            f"(SELECT period, v, {ranked} FROM ({side(0)}) {whole}) ty LEFT JOIN "
+            f"(SELECT v, {ranked} FROM ({side(364)})) ly ON ty.pos = ly.pos")
+
+
+reg("trend_ty_ly", ty_ly("Year to Date", "week"), "fact")
+reg("trend_presets", "\nUNION ALL\n".join(
+    ty_ly(p, {"Weekly": "week", "Daily": "day"}[f], f", '{p} ({f})' AS preset") for p, f in [
+        ("Year to Date", "Weekly"), ("Last Quarter", "Weekly"), ("Last 90 Days", "Weekly"),
+        ("Month to Date", "Daily"), ("Last 30 Days", "Daily"), ("Last Month", "Daily"),
+        ("Last Week", "Daily"), ("Last 7 Days", "Daily")]), "fact")
 
 # ── profitability / forecast / digest ───────────────────────────────────
 _wf = [("Gross Sales", "gross_sales"), ("Less: Discounts", "-discounts"),
@@ -266,6 +287,7 @@ reg("email_performance", f"""
 SELECT CASE WHEN gid = 3 THEN 'Total' ELSE type END AS type, CASE WHEN gid = 3 THEN '' ELSE name END AS name,
   CAST(recipients AS BIGINT) AS recipients, CAST(orders AS BIGINT) AS orders, revenue,
   {ratio('revenue', 'recipients')} AS rev_per_recipient,
+  CAST(row_number() OVER (ORDER BY gid, revenue DESC, type, name) AS INTEGER) AS pos,
   CASE WHEN gid = 3 THEN {S.pct('revenue', 'CASE WHEN n_cmp > 0 THEN revenue_cmp END')} END AS revenue_vs_cmp
 FROM (SELECT type, name, GROUPING_ID(type, name) AS gid, count(CASE WHEN {CUR_C} THEN 1 END) AS n_cur,
         count(CASE WHEN {CMP_C} THEN 1 END) AS n_cmp, {dsum('recipients', CUR_C)} AS recipients,
@@ -507,6 +529,14 @@ _feeds = [("orders", "shop_orders"), ("line_items", "line_items"), ("inventory",
 reg("source_coverage", "\nUNION ALL\n".join(
     f"SELECT '{n}' AS feed, count(*) AS rows, count(*) > 0 AS present FROM {c}" for n, c in _feeds),
     *[c for _, c in _feeds])
+_kinds = {"fact": "fact", "fact_product": "fact", "fact_email": "fact", "fact_seo": "fact"}
+reg("feed_presence", "\nUNION ALL\n".join(
+    f"SELECT '{n}' AS name, '{_kinds.get(n, 'feed')}' AS kind, EXISTS (SELECT 1 FROM {c}) AS present"
+    for n, c in _feeds if n != "orderbank"), *[c for _, c in _feeds])
+reg("source_probe", "\nUNION ALL\n".join(
+    f"SELECT '{t}' AS dataset, true AS present, count(*) AS rows FROM {t}"
+    for t in ("customer", "part", "orders", "lineitem", "events"))
+    + "\nUNION ALL\nSELECT 'no_such_feed', false, 0")
 reg("orders_from_json", """SELECT order_id, CAST(min(created_at) AS DATE) AS order_date,
   min_by(customer_id, created_at) AS customer_id, 'unknown' AS channel, min_by(country, created_at) AS country,
   CAST(sum(gross_sales) AS DOUBLE) AS gross_sales, CAST(sum(discounts) AS DOUBLE) AS discounts,
@@ -520,6 +550,8 @@ _matched = ",".join(sorted(M.TARGET_COLUMNS))
 reg("targets_ingest", f"""SELECT true AS valid, '{_matched}' AS matched, count(*) AS rows, min(date) AS first_day,
   max(date) AS last_day, CAST(sum(target_revenue) AS DOUBLE) AS target_revenue,
   CAST(sum(target_orders) AS DOUBLE) AS target_orders FROM targets""", "targets")
+SQL["kpi_paid"] = kpi_query(["spend", "roas", "cost_per_visit", "cost_per_add_to_cart", "cost_per_checkout",
+                             "cost_per_order"], CUR, LY)
 _ex = ["revenue", "orders", "spend", "roas"]
 reg("export_csv", "SELECT marketing_channel AS \"Marketing Channel\", "
     + ", ".join(f'{m} AS "{M.nice(m)}"' for m in _ex)

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tests.conftest import SF_SMALL
+from tillroll.catalog import QUERIES
+from tillroll.workspace import Workspace
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
 QUICK = ["breakdown", "totals", "kpi_comparison", "channel_table", "dim_table_market",
@@ -137,11 +139,10 @@ def test_streaming_orders_exactly_once(spark):
 
 
 @pytest.mark.parametrize("name", ["channel_table", "customer_kpis", "category_table", "order_insight"])
-def test_stored_facts_equal_lazy_plan(spark, name, monkeypatch):
+def test_stored_facts_equal_lazy_plan(spark, name):
     """Reports on the stored (materialized) facts equal the single lazy plan."""
     stored = entry.queries()[name](spark, SF_SMALL).toPandas()
-    monkeypatch.setenv("TILLROLL_MATERIALIZE", "0")
-    lazy = entry.queries()[name](spark, SF_SMALL).toPandas()
+    lazy = QUERIES[name].of_workspace(Workspace(spark, SF_SMALL, materialize=False)).toPandas()
     assert _rows(stored) == _rows(lazy)
 
 

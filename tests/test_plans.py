@@ -1,9 +1,11 @@
 """Physical-plan properties the design relies on."""
 import re
 
+import pytest
+
 import __spark_entry__ as entry
 from tests.conftest import SF_SMALL
-from tillroll.operators.facts import orders_from_lines
+from tillroll.catalog import QUERIES
 from tillroll.workspace import Workspace
 
 
@@ -19,31 +21,18 @@ def test_report_scan_pushes_date_and_prunes_columns(spark):
         "date", "geo_market", "orders", "revenue", "gross_profit"}
 
 
-def test_order_rollup_reads_bucketed_lines_without_shuffle(spark):
-    ws = Workspace(spark, SF_SMALL)
-    plan = _plan(orders_from_lines(ws.feeds.line_items()))
-    assert "Exchange" not in plan
+@pytest.mark.parametrize("name", ["breakdown", "top_products", "product_kpis", "seo_kpis", "email_performance"])
+def test_reports_read_only_their_months(spark, name):
+    plan = _plan(entry.queries()[name](spark, SF_SMALL))
+    assert re.search(r"PartitionFilters: \[[^\n]*stored_month", plan)
 
 
 def test_no_cartesian_and_bounded_broadcasts(spark):
     Workspace(spark, SF_SMALL).build_all()
     for name, fn in entry.queries().items():
-        if name in ("sink_roundtrip", "orders_from_json", "targets_ingest", "export_csv"):
+        if name in ("sink_roundtrip", "orders_from_json", "targets_ingest", "export_csv") or name not in QUERIES:
             continue        # these write scratch output while planning; covered elsewhere
         plan = _plan(fn(spark, SF_SMALL))
         assert "CartesianProduct" not in plan, name
         if "BroadcastNestedLoopJoin" in plan:
             assert name == "period_totals", name      # 36-row period table only
-
-
-def test_large_fact_is_day_partitioned_and_pruned(spark, monkeypatch):
-    """Above the size threshold the fact is stored by day; date filters prune directories."""
-    monkeypatch.setenv("TILLROLL_PARTITION_BYTES", "0")
-    df = entry.queries()["breakdown"](spark, SF_SMALL)
-    plan = _plan(df)
-    assert re.search(r"PartitionFilters: \[[^\n]*date", plan)
-    monkeypatch.setenv("TILLROLL_PARTITION_BYTES", str(8 << 30))
-    ref = entry.queries()["breakdown"](spark, SF_SMALL)
-    assert sorted(map(tuple, df.collect())) == sorted(map(tuple, ref.collect()))
-    fact = Workspace(spark, SF_SMALL).fact
-    assert fact.columns[:2] == ["date", "source"]

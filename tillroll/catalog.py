@@ -26,6 +26,7 @@ def query(name: str):
     def deco(fn):
         QUERIES[name] = lambda spark, sf_dir: fn(Workspace(spark, sf_dir))
         QUERIES[name].__doc__ = fn.__doc__
+        QUERIES[name].of_workspace = fn
         return fn
     return deco
 

@@ -23,6 +23,13 @@ def _bound(v) -> Column:
     return v if isinstance(v, Column) else F.lit(as_date(v))
 
 
+STORED_MONTH = "stored_month"    # partition column of stored facts: year * 100 + month
+
+
+def month_number(day) -> Column:
+    return F.year(day) * 100 + F.month(day)
+
+
 def in_range(rng: Range | None, date_col: str = "date") -> Column:
     """Inclusive date range; ends are dates/ISO strings or Columns (e.g. scalar subqueries)."""
     if rng is None:
@@ -30,6 +37,21 @@ def in_range(rng: Range | None, date_col: str = "date") -> Column:
     return F.col(date_col).between(_bound(rng[0]), _bound(rng[1]))
 
 
+def in_days(df: DataFrame, *ranges: Range | None, date_col: str = "date") -> DataFrame:
+    """Rows of any of the ranges (None is no range); prunes month folders of a stored table."""
+    keep = F.lit(False)
+    for rng in ranges:
+        if rng is None:
+            continue
+        cond = in_range(rng, date_col)
+        if STORED_MONTH in df.columns:
+            cond = cond & F.col(STORED_MONTH).between(*[
+                month_number(b) if isinstance(b, Column) else F.lit(as_date(b).year * 100 + as_date(b).month)
+                for b in rng])
+        keep = keep | cond
+    return df.filter(keep)
+
+
 def dim_filter(df: DataFrame, filters: dict | None) -> DataFrame:
     """IN-list per dimension, ANDed; an empty list or a column the frame lacks is ignored."""
     for dim, values in (filters or {}).items():
@@ -41,7 +63,7 @@ def dim_filter(df: DataFrame, filters: dict | None) -> DataFrame:
 def apply_filters(df: DataFrame, start, end, filters: dict | None = None,
                   date_col: str = "date") -> DataFrame:
     """Inclusive date range plus dimension IN-lists."""
-    return dim_filter(df.filter(in_range((start, end), date_col)), filters)
+    return dim_filter(in_days(df, (start, end), date_col=date_col), filters)
 
 
 def sums(bases: list[str], cond: Column | None = None, suffix: str = "") -> list[Column]:
@@ -62,9 +84,9 @@ def totals(df: DataFrame, metrics: list[str]) -> DataFrame:
 
 
 def aggregate(df: DataFrame, dims: list[str], metrics: list[str]) -> DataFrame:
-    """Group by several dimensions; metrics evaluated over group sums."""
+    """Group by several dimensions; metrics evaluated over group sums; ordered by the keys."""
     bases = MX.inputs_for(metrics)
-    return df.groupBy(*dims).agg(*sums(bases)).select(*dims, *metric_cols(metrics))
+    return df.groupBy(*dims).agg(*sums(bases)).select(*dims, *metric_cols(metrics)).orderBy(*dims)
 
 
 def breakdown(df: DataFrame, dim: str, metrics: list[str]) -> DataFrame:
@@ -85,9 +107,7 @@ def trend(df: DataFrame, metric: str, freq: str = "D", date_col: str = "date") -
 def compare_frame(fact: DataFrame, cur: Range, cmp: Range | None,
                   filters: dict | None = None) -> DataFrame:
     """Fact rows of the current or comparison range (one scan serves both)."""
-    f = dim_filter(fact, filters)
-    keep = in_range(cur) | in_range(cmp) if cmp is not None else in_range(cur)
-    return f.filter(keep)
+    return dim_filter(in_days(fact, cur, cmp), filters)
 
 
 def side_aggs(bases: list[str], cur: Range, cmp: Range | None) -> list[Column]:

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 
 from tillroll.functions.dims import month_diff, period_start
 from tillroll.functions.metrics import pct_change
-from tillroll.operators.compare import apply_filters, in_range
+from tillroll.operators.compare import apply_filters, in_days, in_range
 from tillroll.plans.common import dsum, long_rows, ratio
 
 
@@ -115,7 +115,7 @@ def email_performance(email: DataFrame, cur, cmp) -> DataFrame:
     """Email sends by (type, name) with revenue per recipient, plus a Total row
     carrying revenue change vs the comparison range."""
     cc, pc = in_range(cur), in_range(cmp)
-    e = email.filter(cc | pc)
+    e = in_days(email, cur, cmp)
     g = e.rollup("type", "name").agg(
         F.grouping_id().alias("_gid"), F.count(F.when(cc, 1)).alias("n_cur"),
         F.count(F.when(pc, 1)).alias("n_cmp"),
@@ -123,11 +123,14 @@ def email_performance(email: DataFrame, cur, cmp) -> DataFrame:
         dsum("revenue", cc).alias("revenue"), dsum("revenue", pc).alias("revenue_cmp"))
     g = g.filter((F.col("n_cur") > 0) & F.col("_gid").isin(0, 3))
     total = F.col("_gid") == 3
+    # one row per send name: a table for reading, so one window may order it
+    pos = F.row_number().over(W.orderBy(total, F.col("revenue").desc(), "type", "name"))
     return g.select(
+        pos.alias("pos"),
         F.when(total, F.lit("Total")).otherwise(F.col("type")).alias("type"),
         F.when(total, F.lit("")).otherwise(F.col("name")).alias("name"),
         F.col("recipients").cast("bigint").alias("recipients"),
         F.col("orders").cast("bigint").alias("orders"), "revenue",
         ratio("revenue", "recipients").alias("rev_per_recipient"),
         F.when(total, pct_change(F.col("revenue"), F.when(F.col("n_cmp") > 0, F.col("revenue_cmp"))))
-        .alias("revenue_vs_cmp"))
+        .alias("revenue_vs_cmp")).orderBy("pos")

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tillroll import model as M
@@ -11,8 +12,15 @@ from tillroll.functions.dims import period_start
 from tillroll.operators import compare as C
 
 
-def _labelled(g: DataFrame, label_expr, metrics: list[str], extra=()) -> DataFrame:
-    return g.select(label_expr, *extra, *C.comparison_cols(metrics, F.col("_n_cmp") > 0))
+def _labelled(g: DataFrame, label_expr, metrics: list[str], extra, blocks: list) -> DataFrame:
+    """Rows with their position ``pos``: by ``blocks``, then the first metric descending, then label.
+
+    A table has a row per value of a rule-made dimension, so one window may order it."""
+    t = g.select(label_expr, *extra, *C.comparison_cols(metrics, F.col("_n_cmp") > 0),
+                 *[b.alias(f"_block{i}") for i, b in enumerate(blocks)])
+    keys = [F.col(f"_block{i}") for i in range(len(blocks))]
+    pos = F.row_number().over(W.orderBy(*keys, F.col(metrics[0]).desc_nulls_last(), "label"))
+    return t.withColumn("pos", pos).drop(*[f"_block{i}" for i in range(len(blocks))]).orderBy("pos")
 
 
 def dimension_table(fact: DataFrame, dim: str, metrics: list[str], cur, cmp,
@@ -24,7 +32,7 @@ def dimension_table(fact: DataFrame, dim: str, metrics: list[str], cur, cmp,
     g = C.comparison_table(fact, [dim], metrics, cur, cmp, filters).filter(F.col("_n_cur") > 0)
     label = F.when(F.col("_gid") == 1, F.lit("Total")).otherwise(F.col(dim)).alias("label")
     kind = F.when(F.col("_gid") == 1, F.lit("total")).otherwise(F.lit("row")).alias("kind")
-    return _labelled(g, label, metrics, [kind])
+    return _labelled(g, label, metrics, [kind], [F.col("_gid")])
 
 
 def channel_table(fact: DataFrame, metrics: list[str], cur, cmp,
@@ -41,7 +49,8 @@ def channel_table(fact: DataFrame, metrics: list[str], cur, cmp,
              .otherwise(F.lit("Total"))).alias("label")
     kind = (F.when(gid == 0, "row").when(gid == 1, "subtotal").otherwise("total")).alias("kind")
     group = F.when(gid == 3, F.lit(None).cast("string")).otherwise(F.col(grp)).alias("channel_group")
-    return _labelled(g, label, metrics, [kind, group])
+    section = F.when(gid == 3, 2).when(F.col(grp) == M.PAID_LABEL, 0).otherwise(1)
+    return _labelled(g, label, metrics, [kind, group], [section, gid])
 
 
 def kpi_summary(fact: DataFrame, cur, cmp, targets=None, filters=None,
@@ -58,10 +67,10 @@ def period_totals(fact: DataFrame, ref, metrics: list[str], filters=None) -> Dat
     spark = fact.sparkSession
     periods = P.period_table(spark, ref)
     bases = MX.inputs_for(metrics)
-    lo = min(r[2] for r in P.period_rows(ref))
-    hi = max(r[3] for r in P.period_rows(ref))
-    f = C.dim_filter(fact, filters).filter(F.col("date").between(F.lit(lo), F.lit(hi)))
-    f = f.select("date", *bases)
+    rows = P.period_rows(ref)
+    f = C.in_days(C.dim_filter(fact, filters), (min(r[2] for r in rows), max(r[3] for r in rows)))
+    # one row per day (bounded by the calendar) before the days meet the periods
+    f = f.groupBy("date").agg(*[F.sum(b).alias(b) for b in bases])
     j = f.join(F.broadcast(periods),
                (f["date"] >= periods["start"]) & (f["date"] <= periods["end"]))
     # every (period, side) appears even when its range has no rows (sums 0)
@@ -86,22 +95,20 @@ def trend_ty_ly(fact: DataFrame, period_name: str, freq: str, metric: str, ref,
     start, end = P.resolve_period(period_name, ref)
     ly_s, ly_e = P.ly_range(start, end)
     bases = MX.inputs_for([metric])
-    f = C.dim_filter(fact, filters)
-    ty_c, ly_c = C.in_range((start, end)), C.in_range((ly_s, ly_e))
+    f = C.in_days(C.dim_filter(fact, filters), (start, end), (ly_s, ly_e))
     # a day of both ranges (they overlap when the period is longer than the shift) counts in both
-    sides = F.array_compact(F.array(F.when(ty_c, F.lit("TY")), F.when(ly_c, F.lit("LY"))))
-    f = f.filter(ty_c | ly_c).select(
-        F.explode(sides).alias("side"),
-        period_start("date", freq).alias("period"), *bases)
+    sides = F.array_compact(F.array(F.when(C.in_range((start, end)), F.lit("TY")),
+                                    F.when(C.in_range((ly_s, ly_e)), F.lit("LY"))))
+    f = f.select(F.explode(sides).alias("side"), period_start("date", freq).alias("period"), *bases)
     g = f.groupBy("side", "period").agg(*C.sums(bases)).select(
         "side", "period", *C.metric_cols([metric]))
     if freq == "W":
         # drop the last TY week if it has fewer than 7 days up to `end`
         open_week = (F.col("side") == "TY") & (F.datediff(F.lit(end), F.col("period")) + 1 < 7)
         g = g.filter(~open_week)
-    from pyspark.sql import Window as W
     g = g.withColumn("pos", F.row_number().over(W.partitionBy("side").orderBy("period")))
-    ty = g.filter(F.col("side") == "TY").select("pos", F.col("period").alias("period"),
-                                                F.col(metric).alias("ty"))
-    ly = g.filter(F.col("side") == "LY").select("pos", F.col(metric).alias("ly"))
-    return ty.join(ly, "pos", "left").select("pos", "period", "ty", "ly").orderBy("pos")
+    # both sides of a position meet in one aggregate; positions without TY go
+    at = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
+    return (g.groupBy("pos").agg(at("TY", "period").alias("period"), at("TY", metric).alias("ty"),
+                                 at("LY", metric).alias("ly"))
+            .filter(F.col("period").isNotNull()).orderBy("pos"))

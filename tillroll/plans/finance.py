@@ -22,7 +22,7 @@ def finance_waterfall(fact: DataFrame, returns: DataFrame, cur, filters=None) ->
     one global aggregate (no join)."""
     f = C.apply_filters(fact, *cur, filters).select(
         "gross_sales", "discounts", "revenue", "cogs", "spend")
-    r = returns.filter(C.in_range(cur)).select(
+    r = C.in_days(returns, cur).select(
         F.when(F.col("kind") == "cancellation", F.col("value")).alias("_canc"),
         F.when(F.col("kind") == "return", F.col("value")).alias("_ret"))
     g = f.unionByName(r, allowMissingColumns=True).agg(

@@ -5,38 +5,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions.quantiles import exact_percentiles
-from tillroll.operators.compare import dim_filter, in_range
+from tillroll.operators.compare import dim_filter, in_days, in_range
 from tillroll.plans.common import dsum, long_rows, ratio
 
 
-def _lines(li: DataFrame, rng, filters) -> DataFrame:
-    l = li.withColumn("date", F.to_date("created_at"))
-    return dim_filter(l.filter(in_range(rng)), filters)
+def _lines(li: DataFrame, filters, *ranges) -> DataFrame:
+    return dim_filter(in_days(li.withColumn("date", F.to_date("created_at")), *ranges), filters)
 
 
 def per_order(li: DataFrame, rng, filters=None) -> DataFrame:
     """Line items of the range -> (order_id, value, items)."""
-    return _lines(li, rng, filters).groupBy("order_id").agg(
+    return _lines(li, filters, rng).groupBy("order_id").agg(
         F.sum("net_sales").alias("value"), F.sum("quantity").alias("items"))
 
 
 def order_insight(li: DataFrame, cur, cmp, filters=None) -> DataFrame:
     """Orders, AOV, median and P90 order value (linear interpolation), items per
-    order, single-item share and units, with comparison where defined."""
-    o = per_order(li, cur, filters)
-    oc = per_order(li, cmp, filters)
-
-    def stats(df, sfx):
-        return df.agg(F.count(F.lit(1)).alias(f"n{sfx}"),
-                      ratio(F.sum("value"), F.count(F.lit(1))).alias(f"aov{sfx}"),
-                      ratio(F.sum("items"), F.count(F.lit(1))).alias(f"items{sfx}"),
-                      F.avg(F.when(F.col("items") == 1, 1.0).otherwise(0.0)).alias(f"single{sfx}"),
-                      dsum("items").alias(f"units{sfx}"))
-
-    q = exact_percentiles(o, "value", [0.5, 0.9], names=["median", "p90"])
-    # three one-row frames merged by union + max: no join
-    g = (stats(o, "").unionByName(stats(oc, "_c"), allowMissingColumns=True)
-         .unionByName(q, allowMissingColumns=True)
+    order, single-item share and units, with comparison where defined.
+
+    One roll-up per order serves both ranges and the percentiles."""
+    sides = {"": in_range(cur), "_c": in_range(cmp)}
+    o = _lines(li, filters, cur, cmp).groupBy("order_id").agg(*[
+        F.sum(F.when(cond, F.col(c))).alias(name + sfx) for sfx, cond in sides.items()
+        for c, name in (("net_sales", "value"), ("quantity", "items"))])
+
+    def stats(sfx):
+        n, value, items = F.count(f"items{sfx}"), F.sum(f"value{sfx}"), F.sum(f"items{sfx}")
+        return [n.alias(f"n{sfx}"), ratio(value, n).alias(f"aov{sfx}"), ratio(items, n).alias(f"items{sfx}"),
+                F.avg(F.when(F.col(f"items{sfx}") == 1, 1.0).when(F.col(f"items{sfx}").isNotNull(), 0.0))
+                .alias(f"single{sfx}"),
+                dsum(f"items{sfx}").alias(f"units{sfx}")]
+
+    q = exact_percentiles(o.filter(F.col("value").isNotNull()), "value", [0.5, 0.9], names=["median", "p90"])
+    g = (o.agg(*stats(""), *stats("_c")).unionByName(q, allowMissingColumns=True)
          .agg(*[F.max(c).alias(c) for c in ["n", "aov", "items", "single", "units", "n_c",
                                              "aov_c", "items_c", "units_c", "median", "p90"]]))
     has = F.col("n_c") > 0
@@ -66,12 +67,12 @@ def order_value_histogram(li: DataFrame, cur, filters=None, max_bins: int = 40)
 
 
 def revenue_by_category(li: DataFrame, cur, filters=None) -> DataFrame:
-    return (_lines(li, cur, filters).groupBy("category").agg(dsum("net_sales").alias("revenue"))
+    return (_lines(li, filters, cur).groupBy("category").agg(dsum("net_sales").alias("revenue"))
             .orderBy(F.desc("revenue"), "category"))
 
 
 def top_products(li: DataFrame, cur, filters=None, k: int = 10) -> DataFrame:
-    return (_lines(li, cur, filters).groupBy("product_title").agg(dsum("net_sales").alias("revenue"))
+    return (_lines(li, filters, cur).groupBy("product_title").agg(dsum("net_sales").alias("revenue"))
             .orderBy(F.desc("revenue"), "product_title").limit(k))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tillroll import model as M
 from tillroll.functions.metrics import pct_change
-from tillroll.operators.compare import compare_frame, in_range
+from tillroll.operators.compare import compare_frame, in_days, in_range
 from tillroll.plans.common import dsum, exact_avg, long_rows, ratio
 
 
@@ -90,7 +90,7 @@ def _pos_mean(cond=None):
 
 def seo_kpis(seo: DataFrame, cur, cmp) -> DataFrame:
     cc, pc = in_range(cur), in_range(cmp)
-    s = seo.filter(cc | pc)
+    s = in_days(seo, cur, cmp)
     g = s.agg(F.count(F.when(pc, 1)).alias("n_cmp"),
               dsum("clicks", cc).alias("clicks"), dsum("impressions", cc).alias("impr"),
               _pos_mean(cc).alias("pos"), dsum("clicks", pc).alias("clicks_cmp"),
@@ -105,7 +105,7 @@ def seo_kpis(seo: DataFrame, cur, cmp) -> DataFrame:
 
 def seo_branded(seo: DataFrame, cur) -> DataFrame:
     from tillroll.functions.dims import branded_label
-    s = seo.filter(in_range(cur))
+    s = in_days(seo, cur)
     return s.groupBy(branded_label("branded").alias("branded")).agg(
         F.sum("clicks").cast("bigint").alias("clicks"))
 
@@ -114,7 +114,7 @@ def seo_top_queries(seo: DataFrame, cur, cmp, k: int = 15) -> DataFrame:
     """Top ``k`` queries by clicks (tiebreak query) with mean position and
     click change vs comparison; Total position is the mean of query means."""
     cc, pc = in_range(cur), in_range(cmp)
-    s = seo.filter(cc | pc)
+    s = in_days(seo, cur, cmp)
     q = s.groupBy("query").agg(
         F.count(F.when(cc, 1)).alias("n_cur"), F.count(F.when(pc, 1)).alias("n_cmp"),
         dsum("clicks", cc).alias("clicks"), dsum("impressions", cc).alias("impressions"),

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions.periods import as_date
-from tillroll.operators.compare import dim_filter, in_range
+from tillroll.operators.compare import dim_filter, in_days, in_range
 from tillroll.plans.common import dsum, exact_avg, long_rows, ratio
 
 SUMS = {"units": "units", "revenue": "revenue", "gross_sales": "gross_sales",
@@ -26,8 +26,7 @@ def _frame(fp: DataFrame, cur, cmp, filters) -> DataFrame:
             fp = fp.withColumn(c, F.lit(0))
     if "on_hand" not in fp.columns:
         fp = fp.withColumn("on_hand", F.lit(0))
-    keep = in_range(cur) | in_range(cmp) if cmp is not None else in_range(cur)
-    return dim_filter(fp, filters).filter(keep)
+    return in_days(dim_filter(fp, filters), cur, cmp)
 
 
 def product_agg(fp: DataFrame, cur, cmp=None, filters=None) -> DataFrame:
@@ -189,5 +188,5 @@ def worst_returners(fp, cur, filters=None, k: int = 15) -> DataFrame:
 
 def return_reasons(returns: DataFrame, cur, filters=None) -> DataFrame:
     """Count of return events (all kinds) by reason in the range."""
-    r = dim_filter(returns.filter(in_range(cur)), filters)
+    r = dim_filter(in_days(returns, cur), filters)
     return r.groupBy("reason").agg(F.count(F.lit(1)).alias("returns")).orderBy(F.desc("returns"))

@@ -14,9 +14,9 @@ from tillroll.plans import ecommerce as E
 
 
 def out(df: DataFrame) -> DataFrame:
-    """Results carry doubles, never decimals (money is summed exactly before)."""
+    """Results carry doubles, never decimals (money is summed exactly before), and no storage column."""
     cols = [F.col(f.name).cast("double").alias(f.name) if isinstance(f.dataType, T.DecimalType)
-            else F.col(f.name) for f in df.schema.fields]
+            else F.col(f.name) for f in df.schema.fields if f.name != C.STORED_MONTH]
     return df.select(*cols)
 
 
@@ -168,18 +168,13 @@ def q_filter_range_inlist(ws):
 
 @query("filter_options")
 def q_filter_options(ws):
-    f = ws.fact
-    parts = [f.select(F.lit(d).alias("dimension"), F.col(d).alias("value"))
-             .filter(F.col("value").isNotNull() & (F.col("value") != M.NA)).distinct()
-             for d in ["marketing_channel_group", "marketing_channel", "paid_ad_platform",
-                       "paid_campaign_type", "geo_region", "geo_market", "device"]]
-    cat = (ws.product_fact.select(F.lit("category").alias("dimension"),
-                                  F.col("category").alias("value"))
-           .filter(F.col("value").isNotNull()).distinct())
-    res = parts[0]
-    for p in parts[1:] + [cat]:
-        res = res.unionByName(p)
-    return res.orderBy("dimension", "value")
+    """Every dimension's values from one scan of the fact, and the categories."""
+    dims = ["marketing_channel_group", "marketing_channel", "paid_ad_platform",
+            "paid_campaign_type", "geo_region", "geo_market", "device"]
+    pair = lambda d: F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value"))
+    values = ws.fact.select(F.inline(F.array(*[pair(d) for d in dims]))).filter(F.col("value") != M.NA)
+    cat = ws.product_fact.select(F.inline(F.array(pair("category")))).filter(F.col("value").isNotNull())
+    return values.unionByName(cat).distinct().orderBy("dimension", "value")
 
 
 @query("trend_day")

@@ -17,6 +17,7 @@ from tillroll.plans import finance as FI
 from tillroll.plans import orders as OR
 from tillroll.plans import paid_seo as PS
 from tillroll.plans import product as PR
+from tillroll.plans.common import union_all
 from tillroll.plans.registry import out
 from tillroll.sources import io as IO
 
@@ -34,11 +35,15 @@ CUSTOM = (dt.date(1998, 1, 20), dt.date(2003, 12, 31))
 
 @query("kpi_custom_range")
 def q_kpi_custom_range(ws):
-    """Custom range clamped into the data bounds, no comparison.
+    """Custom range clamped into the data bounds (scalar subqueries), no comparison."""
+    lo, hi = (ws.fact.select(f("date")).scalar() for f in (F.min, F.max))
+    start, end = (F.greatest(lo, F.least(hi, F.lit(d))) for d in CUSTOM)
+    return C.kpi_rows(ws.fact, SUMMARY, (start, end), None, ws.targets)
 
-    The bounds are one bounded driver fetch (a 1-row min/max aggregate)."""
-    lo, hi = ws.fact.agg(F.min("date"), F.max("date")).first()
-    return C.kpi_rows(ws.fact, SUMMARY, P.clamp_range(CUSTOM, lo, hi), None, ws.targets)
+
+@query("kpi_paid")
+def q_kpi_paid(ws):
+    return E.kpi_summary(ws.fact, CUR, LY, ws.targets, groups=["Paid Metrics"])
 
 
 @query("kpi_favourability")
@@ -78,6 +83,13 @@ def q_trend_ty_ly(ws):
     return E.trend_ty_ly(ws.fact, name, freq, "revenue", REF)
 
 
+@query("trend_presets")
+def q_trend_presets(ws):
+    """Every this-year / last-year preset."""
+    return union_all([E.trend_ty_ly(ws.fact, name, freq, "revenue", REF).withColumn("preset", F.lit(preset))
+                      for preset, (name, freq) in M.TREND_PRESETS.items()])
+
+
 # ── profitability / forecast / digest ───────────────────────────────────
 @query("finance_waterfall")
 def q_finance_waterfall(ws):
@@ -293,16 +305,41 @@ ORDERS_SCHEMA = T.StructType([
 
 @query("scan_parquet")
 def q_scan_parquet(ws):
-    """Declared-schema scan; an absent dataset contributes an empty frame."""
+    """Declared-schema dated load; an absent dataset contributes an empty frame."""
     spark = ws.spark
     present = IO.scan_parquet(spark, f"{ws.sf_dir}/orders.parquet", ORDERS_SCHEMA)
     absent = IO.scan_parquet(spark, f"{ws.sf_dir}/no_such_feed.parquet", ORDERS_SCHEMA)
-    df = present.unionByName(absent).withColumn("date", F.to_date("o_orderdate"))
+    df = IO.load_dated(present.unionByName(absent).withColumn("date", F.col("o_orderdate")))
     return df.groupBy(F.year("date").alias("year"), "o_orderstatus").agg(
         F.count(F.lit(1)).alias("orders"),
         F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total"))
 
 
+PROBED = ["customer", "part", "orders", "lineitem", "events", "no_such_feed"]
+
+
+@query("source_probe")
+def q_source_probe(ws):
+    """Existence probe of the raw datasets, with the rows of those that are there."""
+    def one(name):
+        path = f"{ws.sf_dir}/{name}.parquet"
+        there = IO.path_exists(ws.spark, path)
+        rows = IO.scan_parquet(ws.spark, path, None if there else T.StructType([]))
+        return rows.agg(F.count(F.lit(1)).alias("rows")).select(
+            F.lit(name).alias("dataset"), F.lit(there).alias("present"), "rows")
+    return union_all([one(n) for n in PROBED])
+
+
+@query("feed_presence")
+def q_feed_presence(ws):
+    """Which feeds and facts hold any row: one row of each is looked for, none is counted."""
+    facts = {"fact": ws.fact, "fact_product": ws.product_fact, "fact_email": ws.email_fact,
+             "fact_seo": ws.seo_fact}
+    frames = [(n, "feed", ws.feed(n)) for n in M.FEED_NAMES] + [(n, "fact", facts[n]) for n in M.FACT_NAMES]
+    return union_all([df.limit(1).agg((F.count(F.lit(1)) > 0).alias("present")).select(
+        F.lit(n).alias("name"), F.lit(kind).alias("kind"), "present") for n, kind, df in frames])
+
+
 @query("sink_roundtrip")
 def q_sink_roundtrip(ws):
     """Write the product fact partitioned by month, read it back, aggregate."""
@@ -318,43 +355,52 @@ def q_sink_roundtrip(ws):
 @query("source_coverage")
 def q_source_coverage(ws):
     """Row count and presence of every feed and every fact."""
-    from tillroll.plans.common import union_all
-    frames = [(n, ws.feed(n)) for n in ["orders", "line_items", "inventory", "returns", "traffic",
-                                        "traffic_items", "meta", "google", "microsoft", "tiktok",
-                                        "email", "seo", "orderbank", "targets"]]
+    frames = [(n, ws.feed(n)) for n in M.FEED_NAMES + ["orderbank"]]
     frames += [("fact", ws.fact), ("fact_product", ws.product_fact), ("fact_email", ws.email_fact),
                ("fact_seo", ws.seo_fact)]
-    return union_all([df.agg(F.count(F.lit(1)).alias("rows")).select(
-        F.lit(n).alias("feed"), "rows", (F.col("rows") > 0).alias("present")) for n, df in frames])
-
-
-PAGE_LINES = 1000
+    # tagged rows meet in one partial and final count; a zero row keeps an empty feed in the result
+    names = ws.spark.createDataFrame([(n, 0) for n, _ in frames], "feed string, n int")
+    rows = union_all([names] + [df.select(F.lit(n).alias("feed"), F.lit(1).alias("n")) for n, df in frames])
+    return rows.groupBy("feed").agg(F.sum("n").cast("bigint").alias("rows")).select(
+        "feed", "rows", (F.col("rows") > 0).alias("present"))
+
+
+PAGE_ITEMS = 1000
+
+
+def order_pages(li, page_items: int = PAGE_ITEMS):
+    """Line items -> nested order payloads of about ``page_items`` items.
+
+    Lines of one price become one item with their number as quantity.  An order with
+    more items than a page holds is spread by a hash of the price over as many pages
+    as it needs, so no payload array grows with a huge order."""
+    items = li.groupBy("order_id", "gross_sales").agg(
+        F.count(F.lit(1)).cast("int").alias("quantity"), F.sum("discounts").alias("disc"),
+        F.sum("net_sales").alias("net"), F.min("created_at").alias("created_at"),
+        F.min_by("customer_id", "created_at").alias("cid"), F.min_by("country", "created_at").alias("cc"))
+    large = items.groupBy("order_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > page_items)
+    pages = F.ceil(F.col("n") / page_items)
+    page = F.coalesce(F.pmod(F.xxhash64("gross_sales"), pages), F.lit(0)).cast("int")
+    p = items.join(large, "order_id", "left").groupBy("order_id", page.alias("page")).agg(
+        F.min("created_at").alias("created_at"), F.min_by("cid", "created_at").alias("cid"),
+        F.min_by("cc", "created_at").alias("cc"),
+        F.collect_list(F.struct(F.col("gross_sales").cast("string").alias("price"), "quantity"))
+        .alias("line_items"),
+        F.sum("disc").alias("disc"), F.sum("net").alias("net"))
+    stamp = F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss")
+    return p.select(F.col("order_id").alias("id"), stamp.alias("created_at"),
+                    F.struct(F.col("cid").alias("id")).alias("customer"),
+                    F.struct(F.col("cc").alias("country_code")).alias("shipping_address"),
+                    "line_items", F.col("disc").cast("string").alias("total_discounts"),
+                    F.struct(F.struct(F.lit("0.00").alias("amount")).alias("shop_money"))
+                    .alias("total_shipping_price_set"),
+                    F.col("net").cast("string").alias("total_price"), "page", stamp.alias("updated_at"))
 
 
 def _payload(ws):
-    """Orders as nested JSON payloads, landed under the scratch folder.
-
-    Line items are paged by line position (``PAGE_LINES`` per payload), so a
-    normal order is one payload and no payload array grows with a huge order;
-    pages are merged per order after flattening."""
-    li = ws.feeds.lines_base()
-    page = F.floor((F.col("l_linenumber") - 1) / PAGE_LINES)
-    p = li.groupBy("order_id", page.alias("page")).agg(
-        F.min("created_at").alias("created_at"), F.min_by("customer_id", "created_at").alias("cid"),
-        F.min_by("country", "created_at").alias("cc"),
-        F.collect_list(F.struct(F.col("gross_sales").cast("string").alias("price"),
-                                F.lit(1).alias("quantity"))).alias("line_items"),
-        F.sum("discounts").alias("disc"), F.sum("net_sales").alias("net"))
-    p = p.select(F.col("order_id").alias("id"),
-                 F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss").alias("created_at"),
-                 F.struct(F.col("cid").alias("id")).alias("customer"),
-                 F.struct(F.col("cc").alias("country_code")).alias("shipping_address"),
-                 "line_items", F.col("disc").cast("string").alias("total_discounts"),
-                 F.struct(F.struct(F.lit("0.00").alias("amount")).alias("shop_money"))
-                 .alias("total_shipping_price_set"),
-                 F.col("net").cast("string").alias("total_price"))
+    """Orders as nested JSON payloads, landed under the scratch folder."""
     path = IO.scratch_path(ws.spark, "order_payload")
-    p.write.mode("overwrite").json(path)
+    order_pages(ws.line_items).write.mode("overwrite").json(path)
     return path
 
 
@@ -376,14 +422,13 @@ def q_orders_recent_window(ws):
 
 @query("targets_ingest")
 def q_targets_ingest(ws):
-    """Targets round-trip through CSV: validate columns, normalise, summarise."""
+    """Targets through CSV: validate columns, type them, replace the dataset, summarise it."""
     spark = ws.spark
     path = IO.scratch_path(spark, "targets_csv")
     ws.targets.write.mode("overwrite").option("header", True).csv(path)
     raw = IO.read_targets(spark, path, "csv")
     ok, matched = IO.validate_targets(raw)
-    t = raw.select(F.to_date("date").alias("date"),
-                   *[F.col(c).cast("decimal(18,2)").alias(c) for c in matched])
+    t = IO.replace_targets(raw, IO.scratch_path(spark, "targets"))
     return t.agg(F.lit(ok).alias("valid"), F.lit(",".join(sorted(matched))).alias("matched"),
                  F.count(F.lit(1)).alias("rows"), F.min("date").alias("first_day"),
                  F.max("date").alias("last_day"),

@@ -33,21 +33,15 @@ _LOCAL_FALLBACK: dict[str, str] = {}
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; set a scratch one only if unset.
-
-    On a cluster the setting names a shared folder that survives executor loss;
-    the local fallback is for tests only."""
-    cur = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL_FALLBACK.get("dir")
-    if not cur:
-        cur = tempfile.mkdtemp(prefix="tillroll-ckpt-", dir="/tmp")
-        _LOCAL_FALLBACK["dir"] = cur
-        try:
-            spark.conf.set("spark.checkpoint.dir", cur)
-        except Exception:  # core config may be read-only at runtime; keep the local value
-            pass
-    try:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(cur)
-    except Exception:  # pragma: no cover - Spark Connect has no SparkContext
-        pass
-    return cur
+    """The folder for written intermediate tables: the cluster's ``spark.checkpoint.dir``.
+
+    Only a local master (tests) gets a scratch folder of its own where the
+    setting is missing; a cluster without a shared folder is refused."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL_FALLBACK.get("dir")
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        folder = _LOCAL_FALLBACK["dir"] = tempfile.mkdtemp(prefix="tillroll-ckpt-", dir="/tmp")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder

@@ -15,6 +15,8 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillroll.operators.compare import STORED_MONTH
+
 MONEY = "decimal(18,2)"
 
 # ---------------------------------------------------------------------------
@@ -48,7 +50,7 @@ SEO_BRANDED = 3
 RETURN_REASONS = ["zip broke", "colour differs", "ordered two sizes", "gift not wanted",
                   "parcel damaged", "stitching loose", "no reason given"]
 EVENT_SHIFT_A = 9464      # days: 2024-01-01 -> 1998-02-02 (whole weeks)
-EVENT_SHIFT_B = 9828      # days: 364 more, copy B only for event_id % 3 <> 0
+EVENT_SHIFT_B = 9828      # days: 364 more, copy B, which has no error events
 REF_DATE = "1998-03-03"   # last day of copy A; the reports' "today" in tests
 TARGET_CONSTANTS = {"target_spend": 50, "target_visits": 600, "target_engaged_visits": 400,
                     "target_add_to_carts": 80, "target_checkouts": 40}
@@ -135,7 +137,8 @@ class DriverFeeds:
                          "quantity", "gross_sales", "discounts", "net_sales", "cogs"]
 
     def line_items(self) -> DataFrame:
-        return self.lines_base().select(*self.LINE_ITEM_COLUMNS)
+        b = self.lines_base()
+        return b.select(*self.LINE_ITEM_COLUMNS, *[c for c in [STORED_MONTH] if c in b.columns])
 
     def orders(self) -> DataFrame:
         from tillroll.operators.facts import orders_from_lines
@@ -162,7 +165,9 @@ class DriverFeeds:
         ).distinct()
 
     def traffic_items(self) -> DataFrame:
-        b = self.lines_base().filter(F.col("l_partkey") % 10 < 7)
+        """Item traffic of each day; orders still in progress ('P') have none yet, so some
+        products of the product fact meet no row of this feed."""
+        b = self.lines_base().filter(F.col("o_orderstatus") != "P")
         return (b.groupBy(F.to_date("created_at").alias("date"), "product_id",
                           "product_title", "category")
                 .agg((F.sum("quantity") * 20).alias("item_views"),
@@ -191,14 +196,15 @@ class DriverFeeds:
 
     # ── events-derived feeds ──────────────────────────────────────────────
     def ev(self) -> DataFrame:
-        """Events shifted into the orders' calendar: copy A plus a 364-day-earlier copy B."""
+        """Events shifted into the orders' calendar: all of them (copy A), and 364 days earlier
+        those that are no errors (copy B, the year to compare with)."""
         def build():
             e = self.table("events").select(
                 "event_id", "ts", "user_id", "event_type", "value",
                 F.get_json_object("props", "$.k").cast("int").alias("k"))
             day = F.to_date("ts")
             a = e.withColumn("date", F.date_sub(day, EVENT_SHIFT_A))
-            b = e.filter(F.col("event_id") % 3 != 0).withColumn("date", F.date_sub(day, EVENT_SHIFT_B))
+            b = e.filter(F.col("event_type") != "error").withColumn("date", F.date_sub(day, EVENT_SHIFT_B))
             return a.unionByName(b)
         return self._memo("ev", build, stored=True)
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,30 +18,15 @@ from tillroll import model as M
 MONEY = T.DecimalType(18, 2)
 
 
-def has_jvm(spark: SparkSession) -> bool:
-    """Classic session with a JVM gateway (not Spark Connect)."""
-    return getattr(spark, "_jsc", None) is not None
-
-
 def path_exists(spark: SparkSession, path: str) -> bool:
-    """Dataset existence probe through the Hadoop FileSystem of the path."""
-    if not has_jvm(spark):
-        import os
-        return os.path.exists(path.replace("file:", "", 1))
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    return bool(fs.exists(p))
-
-
-def path_bytes(spark: SparkSession, path: str) -> int | None:
-    """Total bytes under a path, or None when unknown."""
-    if not has_jvm(spark):
-        return None
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    return int(fs.getContentSummary(p).getLength()) if fs.exists(p) else None
+    """Dataset existence probe: Spark resolves the path as it would for a scan."""
+    try:
+        spark.read.text(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+    return True
 
 
 def scan_parquet(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -101,6 +87,9 @@ PAYLOAD_SCHEMA = T.StructType([
         T.StructField("amount", T.StringType())]))])),
     T.StructField("total_price", T.StringType()),
     T.StructField("currency", T.StringType()),
+    # an order of many lines comes in pages; a page sent again carries a later updated_at
+    T.StructField("page", T.IntegerType()),
+    T.StructField("updated_at", T.StringType()),
 ])
 
 
@@ -130,21 +119,32 @@ def flatten_payload(raw: DataFrame) -> DataFrame:
         F.round(gross * F.lit(0.45).cast("decimal(3,2)"), 2).cast(MONEY).alias("cogs"),
         _money_text(F.col("total_shipping_price_set.shop_money.amount")).alias("shipping"),
         _money_text(F.col("total_price")).alias("total_price"),
-        F.coalesce(F.col("currency"), F.lit("GBP")).alias("currency"))
+        F.coalesce(F.col("currency"), F.lit("GBP")).alias("currency"),
+        F.coalesce(F.col("page"), F.lit(0)).alias("page"),
+        F.col("updated_at").cast("timestamp").alias("updated_at"))
+
+
+def latest_pages(flat: DataFrame) -> DataFrame:
+    """Of a page delivered several times the latest delivery (equal times: the larger row)."""
+    rest = [c for c in flat.columns if c not in ("order_id", "page", "updated_at")]
+    return (flat.groupBy("order_id", "page").agg(F.max(F.struct("updated_at", *rest)).alias("r"))
+            .select("order_id", "page", "r.*").select(*flat.columns))
 
 
 def merge_payload_pages(flat: DataFrame) -> DataFrame:
     """Orders whose line items arrive over several payload pages -> one row per
-    order.  Money is re-derived from the merged gross (exact decimal sums), so a
+    order, from each page's latest delivery.  Discounts and totals are amounts of the
+    page; shipping is the order's and stands on every page.
+    Money is re-derived from the merged gross (exact decimal sums), so a
     split order gives the same row as one whole payload.  Partial aggregation
     keeps an order with very many pages cheap."""
-    g = flat.groupBy("order_id").agg(
+    g = latest_pages(flat).groupBy("order_id").agg(
         F.min("created_at").alias("created_at"),
         F.min_by("customer_id", "created_at").alias("customer_id"),
         F.min_by("channel", "created_at").alias("channel"),
         F.min_by("country", "created_at").alias("country"),
         F.sum("gross_sales").alias("gross"), F.sum("discounts").alias("disc"),
-        F.sum("shipping").cast(MONEY).alias("shipping"),
+        F.max("shipping").cast(MONEY).alias("shipping"),
         F.sum("total_price").cast(MONEY).alias("total_price"),
         F.min("currency").alias("currency"))
     return g.select(
@@ -179,12 +179,22 @@ def validate_targets(df: DataFrame) -> tuple[bool, list[str]]:
 
 
 def normalise_targets(df: DataFrame) -> DataFrame:
-    """Typed targets: date as date, target columns as double."""
+    """Typed targets: date as date, target columns as exact decimals."""
     cols = [F.to_date("date").alias("date")]
-    cols += [F.col(c).cast("double").alias(c) for c in df.columns if c in M.TARGET_COLUMNS]
+    cols += [F.col(c).cast(MONEY).alias(c) for c in df.columns if c in M.TARGET_COLUMNS]
     return df.select(*cols)
 
 
+def replace_targets(raw: DataFrame, path: str) -> DataFrame:
+    """Validated, typed targets take the place of the stored dataset; returns the stored one."""
+    ok, matched = validate_targets(raw)
+    if not ok:
+        raise ValueError("targets need a date column and a known target column")
+    typed = normalise_targets(raw)
+    write_parquet(typed, path)
+    return scan_parquet(raw.sparkSession, path, typed.schema)
+
+
 def export_csv(df: DataFrame, path: str) -> None:
     """Write an aggregate as CSV with display column names."""
     df.withColumnsRenamed({c: M.nice(c) for c in df.columns}).write.mode("overwrite") \

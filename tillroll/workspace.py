@@ -1,38 +1,39 @@
 """A workspace: the feeds of one data folder and the facts built from them.
 
 The model-build step (joins of the raw tables, the order roll-up, the six
-lanes of the stacked fact, the product fact) runs once per session and input
-version: its output is written as parquet under the session's
-``spark.checkpoint.dir`` (a shared folder on a cluster), sorted by day within
-each partition so date filters skip row groups, and every report reads it
-back.  That cuts lineage — a lost executor recomputes from the written
-table, not from the raw joins — and lets many reports share one build, as a
-reporting pipeline builds its facts once and serves every page from them.
-Set ``TILLROLL_MATERIALIZE=0`` to keep everything as one lazy plan instead.
+lanes of the stacked fact, the product, email, SEO and order-bank facts) runs
+once per session and input version.  Its output is written as parquet under the
+session's ``spark.checkpoint.dir`` (a shared folder on a cluster) and every
+report reads it back.  That cuts lineage — a lost executor recomputes from the
+written table, not from the raw joins — and lets many reports share one build.
+
+Facts and line items have one layout at every size: a folder per month
+(``stored_month``), rows inside by day and source, files evened out by AQE's
+``rebalance`` so that a hot month is split over tasks.  Date filters then prune
+folders, and row groups inside them.  Intermediate tables that are read whole
+(shifted events, traffic, ads) are written as they come.
 """
 from __future__ import annotations
 
-import os
 import threading
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillroll.operators import facts as FX
 from tillroll.operators import lanes as L
+from tillroll.operators.compare import STORED_MONTH, month_number
 from tillroll.sources.fixtures import REF_DATE, DriverFeeds
+from tillroll.sources.io import path_exists, scratch_path
 
-_BUILT: dict[tuple, str] = {}
+_BUILT: dict[tuple, tuple[str, T.StructType]] = {}
 _LOCK = threading.RLock()
 INPUT_TABLES = ["customer", "part", "orders", "lineitem", "events"]
-# name -> day column: above PARTITION_BYTES (optimizer estimate) the table is
-# stored partitioned by day, so report date filters prune whole directories
-PARTITION_KEYS = {"fact": "date", "fact_product": "date"}
-# name -> bucket column: stored as a bucketed table so grouping by that key
-# (the order roll-up, order payloads) reads it without another shuffle
-BUCKET_KEYS = {"lines_base": "order_id"}
-# name -> column the stored table is sorted by (within partitions)
-SORT_KEYS = {"lines_base": "created_at", "ev": "date", "orders": "created_at",
-             "fact": "date", "fact_product": "date"}
+# stored table -> the columns its rows are ordered by inside a month; the first names the day
+STORED_BY_MONTH = {"lines_base": ["created_at"], "orders": ["created_at"],
+                   "fact": ["date", "source"], "fact_product": ["date", "product_id"],
+                   "fact_email": ["date"], "fact_seo": ["date"], "fact_orderbank": ["date"]}
 
 
 def _fingerprint(spark: SparkSession, sf_dir: str) -> tuple:
@@ -49,31 +50,20 @@ def _fingerprint(spark: SparkSession, sf_dir: str) -> tuple:
     return tuple(out)
 
 
-def partition_threshold() -> int:
-    return int(os.environ.get("TILLROLL_PARTITION_BYTES", str(8 << 30)))
-
-
-def _estimated_bytes(df: DataFrame) -> int | None:
-    try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # pragma: no cover
-        return None
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    from tillroll.sources.io import path_exists
-    return path_exists(spark, path)
+def write_by_month(df: DataFrame, path: str, order: list[str]) -> None:
+    """Write ``df`` with a folder per month of its day column, rows in order inside."""
+    (df.withColumn(STORED_MONTH, month_number(F.col(order[0])))
+     .hint("rebalance", STORED_MONTH).sortWithinPartitions(STORED_MONTH, *order)
+     .write.mode("overwrite").partitionBy(STORED_MONTH).parquet(path))
 
 
 class Workspace:
-    def __init__(self, spark: SparkSession, sf_dir: str, materialize: bool | None = None):
+    def __init__(self, spark: SparkSession, sf_dir: str, materialize: bool = True):
+        """``materialize=False`` keeps every report one lazy plan from the raw tables."""
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
-        if materialize is None:
-            materialize = os.environ.get("TILLROLL_MATERIALIZE", "1") != "0"
-        from tillroll.sources.io import has_jvm
-        materialize = materialize and has_jvm(spark)   # Spark Connect: stay lazy
         self.materialize = materialize
+        self._inputs = _fingerprint(spark, self.sf_dir) if materialize else ()
         self.feeds = DriverFeeds(spark, self.sf_dir, store=self._store if materialize else None)
         self.ref = REF_DATE
         self._facts: dict[str, DataFrame] = {}
@@ -81,45 +71,22 @@ class Workspace:
     # ── model build ──────────────────────────────────────────────────────
     def _store(self, name: str, build) -> DataFrame:
         """Build ``name`` once per (application, inputs) and read it back from parquet."""
-        from tillroll.sources.io import scratch_path
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, name,
-               _fingerprint(self.spark, self.sf_dir), partition_threshold())
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name, self._inputs)
+        order = STORED_BY_MONTH.get(name)
         with _LOCK:
-            path = _BUILT.get(key)
-            if (path is not None and not path.startswith(("table:", "parts:"))
-                    and not _exists(self.spark, path)):
-                path = None                     # scratch folder was cleaned: rebuild
-            if path is None:
+            path, schema = _BUILT.get(key, (None, None))
+            if path is None or not path_exists(self.spark, path):
                 path = scratch_path(self.spark, name)
                 df = build()
-                bucket = BUCKET_KEYS.get(name)
-                sort_key = SORT_KEYS.get(name)
-                if bucket:
-                    n = int(self.spark.conf.get("spark.sql.shuffle.partitions", "200"))
-                    table = "tillroll_" + path.rstrip("/").rsplit("/", 1)[-1].replace("-", "_")
-                    (df.write.mode("overwrite").option("path", path).bucketBy(n, bucket)
-                     .sortBy(bucket).saveAsTable(table))
-                    path = "table:" + table
-                elif (PARTITION_KEYS.get(name) and
-                      (_estimated_bytes(df) or 0) >= partition_threshold()):
-                    day = PARTITION_KEYS[name]
-                    cols = ",".join(df.columns)
-                    # AQE rebalance: evenly sized files per day, a hot day split over tasks
-                    df.hint("rebalance", day).write.mode("overwrite").partitionBy(day).parquet(path)
-                    path = f"parts:{cols}:{path}"
+                schema = T.StructType([T.StructField(f.name, f.dataType) for f in df.schema.fields])
+                if order:
+                    write_by_month(df, path, order)
+                    schema = schema.add(STORED_MONTH, T.IntegerType())
                 else:
-                    if sort_key:
-                        # sort inside the existing partitions: no extra shuffle or sampling
-                        # pass, no hot-day partition; row groups carry tight date ranges
-                        df = df.sortWithinPartitions(sort_key)
                     df.write.mode("overwrite").parquet(path)
-                _BUILT[key] = path
-        if path.startswith("table:"):
-            return self.spark.table(path[len("table:"):])
-        if path.startswith("parts:"):
-            _, cols, real = path.split(":", 2)
-            return self.spark.read.parquet(real).select(*cols.split(","))
-        return self.spark.read.parquet(path)
+                _BUILT[key] = path, schema
+        # the declared schema makes an empty table (no file) legal
+        return self.spark.read.schema(schema).parquet(path)
 
     def _memo(self, key, build):
         if key not in self._facts:
@@ -129,6 +96,7 @@ class Workspace:
     def build_all(self) -> None:
         """Run the model build (all stored tables) eagerly."""
         self.fact, self.product_fact, self.orders  # noqa: B018
+        self.email_fact, self.seo_fact, self.orderbank  # noqa: B018
 
     # ── feeds and facts ──────────────────────────────────────────────────
     def feed(self, name: str) -> DataFrame:
@@ -153,15 +121,15 @@ class Workspace:
 
     @property
     def email_fact(self) -> DataFrame:
-        return FX.email_fact(self.feed("email"))
+        return self._memo("fact_email", lambda: FX.email_fact(self.feed("email")))
 
     @property
     def seo_fact(self) -> DataFrame:
-        return FX.seo_fact(self.feed("seo"))
+        return self._memo("fact_seo", lambda: FX.seo_fact(self.feed("seo")))
 
     @property
     def orderbank(self) -> DataFrame:
-        return FX.orderbank_fact(self.feed("orderbank"))
+        return self._memo("fact_orderbank", lambda: FX.orderbank_fact(self.feed("orderbank")))
 
     @property
     def targets(self) -> DataFrame:
