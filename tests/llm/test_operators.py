@@ -267,6 +267,36 @@ def test_line_dedup(docs, empty, monkeypatch, frequent, chunk, nearest):
     assert op9_line_dedup.dedup(empty).count() == 0
 
 
+def repeats_of_all_sizes(rows):
+    """Places of the lines that an earlier line of any length is similar to."""
+    seen, out = [], {}
+    for d, t in sorted(rows, key=lambda x: x[0]):
+        for k, text in enumerate(t.encode().translate(LOWER).split(b"\n")):
+            x = frozenset(WORD.findall(text))
+            if x and any(100 * len(x & y) >= 80 * len(x | y) for y in seen):
+                out.setdefault(d, []).append(k)
+            if x:
+                seen.append(x)
+    return out
+
+
+def test_line_dedup_of_short_lines(spark, monkeypatch):
+    r = random.Random(8)
+    lines = [" ".join(r.choice("abcdefg") for _ in range(r.randrange(9))) for _ in range(400)] + ["All rights reserved.", "全著作権所有", "do re mi fa " * 50, "  ", ""]
+    rows = [(i, "\n".join(r.choice(lines) for _ in range(r.randrange(1, 6)))) for i in range(150)]
+    rows += [(200, "k l m n"), (201, "k l m n o"), (202, "p q r s t"), (203, "t s r q"), (204, "k l m o")]  # 4 of 5 words, from both sides
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = repeats_of_all_sizes(rows)
+    assert want[201] == [0] and want[203] == [0]
+    for frequent, chunk in ((256, 2048), (2, 8)):
+        monkeypatch.setattr(op9_line_dedup, "FREQUENT", frequent)
+        monkeypatch.setattr(op9_line_dedup, "CHUNK", chunk)
+        assert {x.doc_id: list(x.removed) for x in op9_line_dedup.repeated_lines(docs, min_words=1).collect()} == want
+    texts = ["All rights reserved.\nfirst", "second\nall  rights reserved."]
+    short = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {x.doc_id: x.text for x in corpus_pipeline.line_dedup(spark, short, "").collect()} == {0: texts[0], 1: "second"}
+
+
 def test_pipeline_stages(spark):
     sf_dir = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

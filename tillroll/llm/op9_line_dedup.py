@@ -1,8 +1,13 @@
 """Line deduplication by an exact set-similarity join.
 
-A line is the set of its words.  A line of at least ``MIN_WORDS`` words is removed if an earlier one
-(by document id, then by place) has a Jaccard similarity of at least ``PERCENT``/100; shorter lines
-are left alone.
+A line is the set of its words.  A line of at least ``min_words`` words is removed if an earlier one
+(by document id, then by place) has a Jaccard similarity of at least ``PERCENT``/100.  The query and
+the pipeline ask for 1, every line that has a word; the default of ``MIN_WORDS`` leaves shorter lines
+alone.
+
+Sets of so few words that only an equal one is similar (up to 3 words at 80 percent; one of 4 and one
+of 5 can be) are known by a hash of the whole set: their first place is a minimum by that hash, and
+they take no part in the join of the other lines:
 
 1. Word frequencies of all documents are counted in ``1 << FREQUENCY_BITS`` hash cells, a table of
    fixed size that every task gets.  Words are ordered by the frequency of their cell, then by hash:
@@ -21,7 +26,7 @@ A word that is frequent within a task leaves one representative in the shuffle a
 rows; its list is searched chunk against chunk (``CHUNK`` lines each), so no such list is gathered
 in one task.
 
-Defined cases: null and empty texts have no lines to remove; equal lines in one document are
+Defined cases: null and empty texts, and lines without words, are not removed; equal lines in one document are
 repeats too; rows that repeat an id count as one document; a null id ranks last; an empty table
 gives an empty result; other columns are kept by ``dedup`` and not read otherwise.  Identifiers must
 be integers.
@@ -93,13 +98,14 @@ def ordered(frequency: np.ndarray) -> tuple[np.ndarray, int]:
 
 
 class Lines:
-    """The lines of a chunk of at least MIN_WORDS distinct words: keys of each, rarest first.
+    """The lines of a chunk of at least ``least`` distinct words: keys of each, rarest first.
 
     A line is known by a hash of its bytes, which needs no words: with a filter ``wanted``, words are
-    taken of the lines that it lets through alone.
+    taken of the lines that it lets through alone.  A line of at most ``alike`` words is known by a hash
+    of its set.
     """
 
-    def __init__(self, chunk: H.Chunk, order: tuple[np.ndarray, int], wanted: np.ndarray | None = None) -> None:
+    def __init__(self, chunk: H.Chunk, order: tuple[np.ndarray, int], least: int, alike: int, wanted: np.ndarray | None = None) -> None:
         place, single = order
         data = chunk.data
         breaks = np.flatnonzero(data == 10) + 1
@@ -126,11 +132,16 @@ class Lines:
         key = place[cell].astype(H.U) << H.U(64 - FREQUENCY_BITS) | (found.hash >> H.U(FREQUENCY_BITS))
         line, key = H.distinct(found.row, key, len(number))
         n = np.bincount(line, minlength=len(number))
-        long = n >= MIN_WORDS
+        long = n >= least
         self.key = key[long[line]]
         self.n, self.id = n[long], ids[long]
         self.first = np.cumsum(self.n) - self.n
         self.line = np.repeat(np.arange(len(self.n)), self.n)
+        #: Lines to which only those of the same words are similar.
+        self.alike = self.n <= alike
+        if self.alike.any():
+            sets = np.add.reduceat(H.mix(self.key), self.first)
+            self.id = np.where(self.alike, H.mix(sets), self.id)
         at = starts[number[long]]
         self.row = np.searchsorted(chunk.offsets[:-1], at, "right") - 1
         # a line's number: the line breaks between its text's beginning and its own
@@ -240,7 +251,12 @@ def _packed(columns: list[np.ndarray]) -> list[np.ndarray]:
     return [B.to48(columns[WORD]), *columns[1:]]
 
 
-def _map(order, percent: int, buckets: int, frequent: int, words=None):
+def alike(percent: int) -> int:
+    """The most words of a set to which only an equal one is similar: n of n + 1 are too few."""
+    return (percent - 1) // (100 - percent) if percent < 100 else MOST
+
+
+def _map(order, percent: int, buckets: int, frequent: int, least: int, words=None):
     """Lines and prefix postings of the texts; with a filter ``words``, postings of those words alone."""
     def flush(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
         columns = [np.concatenate(c) for c in zip(*held, strict=True)]
@@ -254,6 +270,8 @@ def _map(order, percent: int, buckets: int, frequent: int, words=None):
             lead = _take(hot, np.unique(hot[WORD], return_index=True)[1])
             yield from (_emit(LEADERS, b, x) for b, x in B.deal(_packed(lead), (lead[WORD] % H.U(buckets)).astype(np.int32)))
             columns = _take(columns, ~often)
+        if not len(columns[WORD]):
+            return
         yield from (_emit(POSTINGS, b, x) for b, x in B.deal(_packed(columns), (columns[WORD] % H.U(buckets)).astype(np.uint16 if buckets < MOST else np.int32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,7 +281,7 @@ def _map(order, percent: int, buckets: int, frequent: int, words=None):
             known = ids.is_valid().to_numpy(False)
             docs = ids.fill_null(int(LAST)).to_numpy(False).astype("<i8")
             for chunk in H.chunks(batch.column("text")):
-                lines = Lines(chunk, order.value)
+                lines = Lines(chunk, order.value, least, alike(percent))
                 if not len(lines.n):
                     continue
                 doc, valid = docs[chunk.lo + lines.row], known[chunk.lo + lines.row].astype(np.uint8)
@@ -271,7 +289,7 @@ def _map(order, percent: int, buckets: int, frequent: int, words=None):
                     yield _emit(LINES, int(lines.id[0] % H.U(buckets)), B.pack([doc, valid, lines.number.astype("<u4"), lines.id]))
                 prefix = lines.n - -(-percent * lines.n // 100) + 1
                 at = np.arange(len(lines.key)) - lines.first[lines.line]
-                pick = np.flatnonzero((at < prefix[lines.line]) & lines.shared())
+                pick = np.flatnonzero((at < prefix[lines.line]) & lines.shared() & ~lines.alike[lines.line])
                 word = H.mix(lines.key[pick]) & H.U((1 << 48) - 1)
                 if words is not None:
                     keep = B.may_contain(words, word)
@@ -348,13 +366,13 @@ def _long(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype("<u8").view("<i8"), pa.int64())
 
 
-def _full_sets(source: DataFrame, bits: np.ndarray, order) -> DataFrame:
+def _full_sets(source: DataFrame, bits: np.ndarray, order, percent: int, least: int) -> DataFrame:
     """(line, members) of the lines that the filter lets through."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             for chunk in H.chunks(batch.column("text")):
-                lines = Lines(chunk, order.value, bits)
+                lines = Lines(chunk, order.value, least, alike(percent), bits)
                 if len(seen) > SEEN:
                     seen.clear()
                 pick = [i for i in range(len(lines.n)) if not (int(lines.id[i]) in seen or seen.add(int(lines.id[i])))]
@@ -448,10 +466,10 @@ def _lines(table: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
     return _decode(table, LINES, ["<i8", "u1", "<u4", "<u8"], "doc bigint, known boolean, number bigint, line bigint", convert)
 
 
-def _join(source: DataFrame, order, percent: int, limit: int, words=None, queries=None) -> tuple[DataFrame, DataFrame]:
+def _join(source: DataFrame, order, percent: int, limit: int, least: int, words=None, queries=None) -> tuple[DataFrame, DataFrame]:
     """The table of lines, where no filter is given, and pairs (a, b); where a line a had more in the list of a word, b is null."""
     buckets = 4 * tasks(source.sparkSession)
-    table = store(source.mapInArrow(_map(order, percent, buckets, FREQUENT, words), DDL).repartition("bucket").mapInArrow(_reduce(percent, limit, queries), DDL), "lines")
+    table = store(source.mapInArrow(_map(order, percent, buckets, FREQUENT, least, words), DDL).repartition("bucket").mapInArrow(_reduce(percent, limit, queries), DDL), "lines")
     pairs = _decode(table, PAIRS, ["<u8", "<u8"], "a bigint, b bigint", lambda c: [("a", _long(c[0])), ("b", _long(c[1]))])
     pairs = pairs.withColumn("word", F.lit(None).cast("long"))
     noted = _decode(table, NOTED, ["<u8", "<u8"], "a bigint, word bigint", lambda c: [("a", _long(c[0])), ("word", _long(c[1]))])
@@ -460,27 +478,28 @@ def _join(source: DataFrame, order, percent: int, limit: int, words=None, querie
     return table, store(found, "pairs")
 
 
-def _held(source: DataFrame, order, pairs: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
+def _held(source: DataFrame, order, pairs: DataFrame, firsts: DataFrame, percent: int, least: int) -> DataFrame:
     """The later lines of the pairs that verification holds."""
     asked = pairs.select(F.explode(F.array("a", "b")).alias("line"))
-    return store(_later(verified(pairs, _full_sets(source, B.membership(asked, "line"), order), percent), firsts), "late")
+    return store(_later(verified(pairs, _full_sets(source, B.membership(asked, "line"), order, percent, least), percent), firsts), "late")
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
     """(id, removed): places, from 0, of the lines to remove from each document that has any."""
     spark = docs.sparkSession
+    least = max(1, min_words)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     order = spark.sparkContext.broadcast(ordered(frequencies(source)))  # of fixed size
-    table, found = _join(source, order, percent, NEAREST)
+    table, found = _join(source, order, percent, NEAREST, least)
     firsts = _lines(table).groupBy("line").agg(F.min(F.struct("doc", "number")).alias("f"), F.count("*").alias("rows"))
     firsts = store(firsts.select("line", "f.doc", "f.number", "rows"), "firsts")
-    late = _held(source, order, found.filter("b IS NOT NULL"), firsts, percent)
+    late = _held(source, order, found.filter("b IS NOT NULL"), firsts, percent, least)
     open_lines = store(found.filter("b IS NULL").select(F.col("a").alias("line"), "word").join(late, "line", "left_anti"), "open")
     if not open_lines.isEmpty():
         queries = B.membership(open_lines, "line")
         words = B.membership(open_lines, "word")
-        _, rest = _join(source, order, percent, 0, words, queries)
-        late = late.unionAll(_held(source, order, rest.select("a", "b").join(found, ["a", "b"], "left_anti"), firsts, percent)).distinct()
+        _, rest = _join(source, order, percent, 0, least, words, queries)
+        late = late.unionAll(_held(source, order, rest.select("a", "b").join(found, ["a", "b"], "left_anti"), firsts, percent, least)).distinct()
 
     told = firsts.join(late.withColumn("late", F.lit(True)), "line", "left").filter("late OR rows > 1")
     told = told.withColumnsRenamed({"doc": "first_doc", "number": "first_number"})
@@ -490,9 +509,9 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return gone.groupBy("doc").agg(F.sort_array(F.collect_set("number")).alias("removed")).withColumnRenamed("doc", id_col)
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` without repeated lines, and without the documents of which nothing is left."""
-    removed = repeated_lines(docs, id_col, text_col, percent).withColumnsRenamed({id_col: "__id", "removed": "__removed"})
+    removed = repeated_lines(docs, id_col, text_col, percent, min_words).withColumnsRenamed({id_col: "__id", "removed": "__removed"})
     both = docs.join(removed, F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left")
     kept = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains("__removed", i)), "\n")
     text = F.when(F.col("__removed").isNull(), F.col(text_col)).otherwise(kept)
@@ -502,7 +521,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", perce
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    removed = repeated_lines(docs).withColumnRenamed("doc_id", "own")
+    removed = repeated_lines(docs, min_words=1).withColumnRenamed("doc_id", "own")
     sizes = docs.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("n_lines"))
     out = sizes.join(removed, F.col("doc_id").eqNullSafe(F.col("own")), "left")
     return out.select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).alias("n_removed"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
