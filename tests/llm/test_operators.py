@@ -235,6 +235,22 @@ def test_pseudonyms(spark, empty):
     assert op8_pii.pseudonymise(empty).count() == 0
 
 
+def test_pseudonyms_of_shorter_readings(spark):
+    card, iban, short = "4279055890764913", "ES91 2100 0418 4502 0005 1332", "BE68 5390 0754 7034"
+    texts = [f"card {card} 123", "card 4279 0558 9076 4913 12/27", f"room 12 {card}", f"{iban} NOW", "BE68539007547034 BIC", f"{short} {short}", " ".join(card)]
+    texts += [f"card {card} {i}" for i in range(100, 160)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    once = op8_pii.pseudonymise(table).select("doc_id", "text", "found").collect()
+    out = {r.doc_id: r for r in once}
+    for i, t in rows:
+        assert len(out[i].found) == (2 if i == 5 else 1) and len(out[i].text) == len(t)
+        assert not any(x in out[i].text for x in (card, "4279 0558 9076 4913", iban, "BE68539007547034", short, " ".join(card)))
+    assert out[1].text.endswith(" 12/27") and out[2].text.startswith("room 12 ") and out[3].text.endswith(" NOW")
+    done = spark.createDataFrame([(r.doc_id, r.text) for r in once], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in op8_pii.pseudonymise(done, restore=True).collect()} == dict(rows)
+
+
 def removed_lines(rows):
     seen, out = [], {}
     for d, t in sorted(((d, t) for d, t, *_ in rows if d is not None), key=lambda x: x[0]):
