@@ -3,6 +3,9 @@
 Each stage takes the documents that its predecessor kept, whole; all but the last return the
 columns of ``documents``.  ``run`` writes each stage's result to the shared folder and reads it
 again, so a lost executor costs one stage's tasks at most.
+
+Identifiers may be null or repeat: a stage that removes something numbers the rows first, in order of
+their ids (null last), and applies its decisions by that number.
 """
 from __future__ import annotations
 
@@ -12,6 +15,16 @@ from tillroll.llm import op3_ngram_join, op5_toxicity, op6_decontamination, op9_
 from tillroll.llm.scratch import store
 
 
+ROW = "__row"
+
+
+def numbered(docs: DataFrame, label: str) -> DataFrame:
+    """``docs`` with a number of each row, ascending with the id; written, so that it stays the same."""
+    order = docs.withColumn(ROW, F.monotonically_increasing_id())  # parts equal rows, so that no group of them is one task's
+    order = order.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), ROW)
+    return store(order.withColumn(ROW, F.monotonically_increasing_id()), label)
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model, trained on the labelled documents among them, does not reject."""
     model = op5_toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -20,19 +33,21 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that nearly repeat an earlier one."""
-    return op9_line_dedup.dedup(docs, min_words=1)
+    return op9_line_dedup.dedup(numbered(docs, "numbered"), id_col=ROW, min_words=1).drop(ROW)
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each component of near duplicates (five words, 0.8)."""
-    groups = op3_ngram_join.linked(docs, k=5, percent=80)
-    dropped = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("__dropped")).distinct()
-    return docs.join(dropped, F.col("doc_id").cast("long") == F.col("__dropped"), "left_anti")
+    rows = numbered(docs, "numbered")
+    groups = op3_ngram_join.linked(rows, id_col=ROW, k=5, percent=80)
+    dropped = groups.filter(F.col(ROW) != F.col("component_id")).select(ROW)
+    return rows.join(dropped, ROW, "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    return op6_decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    rows = store(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+    return op6_decontamination.decontaminate(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=ROW).drop(ROW)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -325,5 +325,25 @@ def test_pipeline_stages(spark):
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
 
 
+def test_pipeline_tells_rows_of_one_id_apart(spark, tmp_path):
+    r = random.Random(9)
+    line = lambda: " ".join("v%d" % r.randrange(9999) for _ in range(12))
+    a, b, c, d, e = (line() for _ in range(5))
+    table = lambda *rows: spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    texts = lambda docs: sorted(x.text for x in docs.collect())
+    # a repeated line is cut where it repeats, not at the same place of other rows of that id
+    docs = table((1, a), (None, f"{b}\n{a}"), (None, f"{c}\n{d}"), (7, f"{line()}\n{e}"), (7, f"{line()}\n{e}"))
+    left = texts(corpus_pipeline.line_dedup(spark, docs, ""))
+    assert left.count(b) == 1 and f"{c}\n{d}" in left and sum(e in t for t in left) == 1 and len(left) == 5
+    # one of each group stays, that of the smallest id
+    docs = table((None, a), (None, a), (3, b), (3, b), (None, c), (2, c), (None, None))
+    kept = corpus_pipeline.ngram_join(spark, docs, "")
+    assert sorted((x.doc_id or 0, x.text or "") for x in kept.collect()) == sorted([(0, a), (3, b), (2, c), (0, "")]) and kept.columns == docs.columns
+    # only the row with the item goes
+    spark.createDataFrame([(1, a)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = table((None, f"x {a} y"), (None, b), (4, a), (4, c))
+    assert texts(corpus_pipeline.decontamination(spark, docs, str(tmp_path))) == sorted([b, c])
+
+
 def test_every_number_has_a_query():
     assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
