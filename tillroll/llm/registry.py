@@ -14,6 +14,7 @@ MODULES = [
     "op8_pii",
     "op9_line_dedup",
     "op10_packing",
+    "op11_conversation_repair",
 ]
 
 QUERIES, SQL = {}, {}
