@@ -15,6 +15,7 @@ MODULES = [
     "op9_line_dedup",
     "op10_packing",
     "op11_conversation_repair",
+    "op12_source_divergence",
 ]
 
 QUERIES, SQL = {}, {}
