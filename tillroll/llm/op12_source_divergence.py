@@ -161,7 +161,9 @@ def recount(docs: DataFrame, shards: DataFrame, shards_of: dict[str, int], limit
             order = np.lexsort((slot[index], shard[index]))
             group, index, times = group[order], index[order], times[order]
             of_shard = shard[index]
-            cuts = np.flatnonzero(np.diff(of_shard, prepend=-1)).tolist() if len(of_shard) else []
+            if not len(of_shard):
+                continue
+            cuts = np.flatnonzero(np.diff(of_shard, prepend=-1)).tolist()
             names = codes.dictionary.to_pylist()
             out = []
             for a, b in zip(cuts, [*cuts[1:], len(of_shard)], strict=True):
@@ -169,8 +171,7 @@ def recount(docs: DataFrame, shards: DataFrame, shards_of: dict[str, int], limit
                 far = terms.take(pa.array(index[a:b])).to_pylist() if slot[index[a]] == -2 else None
                 hits = np.stack([local, slot[index[a:b]], times[a:b]]).astype("<i8" if times[a:b].max() >> 31 else "<i4")
                 out.append((lang, int(of_shard[a]), [names[i] for i in used.tolist()], hits.tobytes(), hits.itemsize, far))
-            if out:
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), SENT.types, strict=True)], schema=SENT)
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), SENT.types, strict=True)], schema=SENT)
 
     SENT = pa.schema([("lang", pa.string()), ("shard", pa.int32()), ("sources", pa.list_(pa.string())), ("hits", pa.binary()),
                       ("width", pa.int32()), ("far", pa.list_(pa.binary()))])

@@ -16,6 +16,7 @@ MODULES = [
     "op10_packing",
     "op11_conversation_repair",
     "op12_source_divergence",
+    "op13_embedding_neardup",
 ]
 
 QUERIES, SQL = {}, {}
