@@ -1,65 +1,100 @@
-"""Exact percentiles (linear interpolation) without a single-task sort.
+"""Exact percentiles (linear interpolation) by successive narrowing.
 
 ``percentile`` / ``percentile_cont`` merge every distinct value into one final
 task, and a global window sorts everything in one partition.  Here instead:
 
 1. distinct values with their counts (``groupBy``; partial aggregation, so a
-   value repeated a billion times is one row),
-2. range-partition the distinct values into fixed, balanced slices and take a
-   running count inside each slice (a window per slice),
-3. offset each slice by the total of the slices before it (a table with one
-   row per slice, broadcast — its size is the slice count),
-4. one aggregate picks the values at the two ranks around each requested
-   position and interpolates: ``lo + (hi - lo) * (pos - floor(pos))`` with
+   value repeated a billion times is one row), written once;
+2. every wanted rank lies in an interval of values, at first the whole line.
+   ``percentile_approx`` over the distinct values of an interval (a sketch of
+   fixed size per task) cuts it into slices of about equally many values, so an
+   outlier takes no slice of its own;
+3. the rows below and inside each slice are counted exactly, the slice that
+   holds the rank becomes its interval, and it is cut again until it has at
+   most ``BOUND`` distinct values;
+4. a running count over those few values gives the values at the two ranks around
+   each position, and ``lo + (hi - lo) * (pos - floor(pos))`` with
    ``pos = (n - 1) * p`` — the same arithmetic as common SQL engines.
 
-Everything stays in one query plan; results are scalar-subquery Columns.
+Each round divides the distinct values by about ``SLICES``; what it brings back
+is a row per slice.  A billion values take three rounds.
 """
 from __future__ import annotations
 
+import math
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tillroll.sources.io import scratch_path
+
+#: Slices of an interval, distinct values that a last interval may have, accuracy of the cuts.
+SLICES, BOUND, ACCURACY = 64, 4096, 10_000
+
+
+class Interval(NamedTuple):
+    """Values ``low`` <= v <= ``high``, of which ``before`` rows lie below."""
+    low: float
+    high: float
+    before: int
+    values: int
+
+    def holds(self, v: Column) -> Column:
+        return v.between(self.low, self.high)
+
 
-def exact_percentiles(df: DataFrame, col: str, ps: list[float],
-                      slices: int = 4096, names: list[str] | None = None) -> DataFrame:
-    """One-row DataFrame with the exact ``ps`` percentiles of ``df[col]`` (nulls
-    ignored); columns ``names`` (default ``p0, p1, ...``)."""
+def _cut(counts: DataFrame, interval: Interval, ranks: list[int]) -> dict[int, Interval]:
+    """For each rank in ``interval`` the slice of it that holds the rank."""
+    inside = counts.filter(interval.holds(F.col("_v")))
+    shares = [i / SLICES for i in range(1, SLICES)]
+    edges = sorted(set(inside.agg(F.percentile_approx("_v", shares, ACCURACY)).first()[0]))
+    number = F.size(F.filter(F.lit(edges), lambda e: e < F.col("_v")))
+    slices = inside.groupBy(number.alias("s")).agg(
+        F.min("_v").alias("low"), F.max("_v").alias("high"), F.sum("_c").alias("rows"), F.count(F.lit(1)).alias("n")).orderBy("s").collect()
+    out, before = {}, interval.before
+    for s in slices:
+        out.update({r: Interval(s.low, s.high, before, s.n) for r in ranks if before <= r < before + s.rows})
+        before += s.rows
+    return out
+
+
+def narrowed(counts: DataFrame, ranks: list[int], whole: Interval, bound: int = BOUND) -> dict[int, Interval]:
+    """For each rank an interval of at most ``bound`` distinct values that holds it."""
+    found = dict.fromkeys(ranks, whole)
+    while wide := {i for i in found.values() if i.values > bound}:
+        for interval in wide:
+            found |= _cut(counts, interval, [r for r, i in found.items() if i == interval])
+    return found
+
+
+def exact_percentiles(df: DataFrame, col: str, ps: list[float], names: list[str] | None = None,
+                      bound: int = BOUND) -> DataFrame:
+    """One-row DataFrame with the exact ``ps`` percentiles of ``df[col]`` (nulls and NaN
+    ignored; null if there is no value); columns ``names`` (default ``p0, p1, ...``)."""
+    spark = df.sparkSession
     names = names or [f"p{i}" for i in range(len(ps))]
-    v = F.col(col)
-    vals = df.filter(v.isNotNull()).select(v.cast("double").alias("_v"))
-    counts = vals.groupBy("_v").agg(F.count(F.lit(1)).alias("_c"))
-    n = counts.select(F.sum("_c")).scalar()
-    low, high = counts.select(F.min("_v")).scalar(), counts.select(F.max("_v")).scalar()
-    # a slice is a function of the value alone, so every evaluation of the plan agrees on it
-    share = F.coalesce(F.try_divide(F.col("_v") - low, high - low), F.lit(0.0))
-    counts = counts.withColumn("_slice", F.least(F.floor(share * slices), F.lit(slices - 1)).cast("int"))
-    totals = counts.groupBy("_slice").agg(F.sum("_c").alias("_t"))       # at most `slices` rows
-    offsets = totals.select("_slice", "_t", F.coalesce(
-        F.sum("_t").over(W.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)),
-        F.lit(0)).alias("_off"))
-    wanted = F.lit(False)
-    for p in ps:
-        pos = (n - F.lit(1)).cast("double") * F.lit(float(p))
-        for r in (F.floor(pos), F.ceil(pos)):
-            wanted = wanted | ((F.col("_off") <= r) & (r < F.col("_off") + F.col("_t")))
-    # only the values of the slices that hold a wanted rank are ranked
-    ranged = counts.join(F.broadcast(offsets.filter(wanted)), "_slice").withColumn(
-        "_run", F.sum("_c").over(W.partitionBy("_slice").orderBy("_v")
-                                 .rowsBetween(W.unboundedPreceding, W.currentRow)))
-    j = ranged.withColumn("_end", F.col("_off") + F.col("_run"))   # ranks [_end - _c, _end)
-    j = j.withColumn("_n", n)
-    picks = [F.max("_n").alias("_n")]
-    for i, p in enumerate(ps):
-        pos = (F.col("_n") - F.lit(1)).cast("double") * F.lit(float(p))
-        for tag, r in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
-            hit = (F.col("_end") - F.col("_c") <= r) & (r < F.col("_end"))
-            picks.append(F.max(F.when(hit, F.col("_v"))).alias(f"_{tag}{i}"))
-    row = j.agg(*picks)
-    out = []
-    for i, p in enumerate(ps):
-        pos = (F.col("_n") - F.lit(1)).cast("double") * F.lit(float(p))
-        lo_v, hi_v = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        out.append((lo_v + (hi_v - lo_v) * (pos - F.floor(pos))).alias(names[i]))
-    return row.select(*out)
+    values = df.select(F.col(col).cast("double").alias("_v")).filter("_v IS NOT NULL AND NOT isnan(_v)")
+    path = scratch_path(spark, "value_counts")
+    values.groupBy("_v").agg(F.count(F.lit(1)).alias("_c")).write.parquet(path)
+    counts = spark.read.schema("_v double, _c bigint").parquet(path)
+    all_ = counts.agg(F.sum("_c").alias("rows"), F.min("_v").alias("low"), F.max("_v").alias("high"), F.count(F.lit(1)).alias("n")).first()
+    if not all_.n:
+        return spark.range(1).select(*[F.lit(None).cast("double").alias(name) for name in names])
+    at = [(all_.rows - 1) * p for p in ps]
+    ranks = sorted({r for x in at for r in (math.floor(x), math.ceil(x))})
+    found = narrowed(counts, ranks, Interval(all_.low, all_.high, 0, all_.n), bound)
+    running = W.partitionBy("_low").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
+    few = [counts.filter(i.holds(F.col("_v"))).withColumns({"_low": F.lit(i.low), "_before": F.lit(i.before)}) for i in set(found.values())]
+    part = few[0]
+    for other in few[1:]:
+        part = part.unionByName(other)
+    part = part.withColumn("_end", F.col("_before") + F.sum("_c").over(running))      # ranks [_end - _c, _end)
+
+    def value(rank: int) -> Column:
+        own = (F.col("_low") == found[rank].low) & (F.col("_end") - F.col("_c") <= rank) & (rank < F.col("_end"))
+        return F.max(F.when(own, F.col("_v")))
+
+    return part.agg(*[(value(math.floor(x)) + (value(math.ceil(x)) - value(math.floor(x))) * F.lit(x - math.floor(x))).alias(name)
+                      for x, name in zip(at, names, strict=True)])
