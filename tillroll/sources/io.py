@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillroll import model as M
+from tillroll.sources.versioned import Versioned
 
 MONEY = T.DecimalType(18, 2)
 
@@ -30,9 +31,13 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def scan_parquet(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Parquet scan where an absent dataset is a legal, empty result.
+    """Parquet scan where an absent dataset is a legal, empty result; of a dataset that
+    ``write_parquet`` made, the newest version.
 
     With a declared schema the result is total: same columns either way."""
+    versioned = Versioned(spark, path)
+    if versioned.exists():
+        return versioned.read() if schema is None else versioned.read().to(schema)
     if path_exists(spark, path):
         reader = spark.read.schema(schema) if schema is not None else spark.read
         return reader.parquet(path)
@@ -57,16 +62,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """Full-overwrite parquet sink, optionally partitioned (e.g. by month)."""
-    if partition_by:
-        # AQE rebalance: evenly sized files per partition value; a hot value is
-        # split across tasks instead of landing in one
-        df = df.hint("rebalance", *partition_by)
-    w = df.write.mode("overwrite")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
+def write_parquet(df: DataFrame, path: str, partition_by: str | None = None) -> int:
+    """Full-overwrite parquet sink, optionally partitioned (e.g. by month): a new version
+    takes the place of the old one when it is complete."""
+    return Versioned(df.sparkSession, path).overwrite(df, partition_by)
 
 
 def with_month(df: DataFrame, date_col: str = "date") -> DataFrame:
@@ -178,21 +177,50 @@ def validate_targets(df: DataFrame) -> tuple[bool, list[str]]:
     return ("date" in df.columns and bool(matched)), matched
 
 
-def normalise_targets(df: DataFrame) -> DataFrame:
-    """Typed targets: date as date, target columns as exact decimals."""
-    cols = [F.to_date("date").alias("date")]
-    cols += [F.col(c).cast(MONEY).alias(c) for c in df.columns if c in M.TARGET_COLUMNS]
-    return df.select(*cols)
+def check_targets(raw: DataFrame) -> DataFrame:
+    """``raw`` with typed target columns beside it: ``typed`` (a struct) and ``reasons``.
 
+    A row is good if its date can be read and each target cell is empty or a number that the
+    column can hold; ``reasons`` names what is wrong with any other row."""
+    matched = [c for c in raw.columns if c in M.TARGET_COLUMNS]
+    cells = {c: F.trim(F.col(c).cast("string")) for c in ["date", *matched]}
+    date = F.coalesce(F.to_date(F.try_to_timestamp(cells["date"])), F.col("date").try_cast("date"))
+    typed = {"date": date, **{c: cells[c].try_cast(MONEY) for c in matched}}
+    reasons = [F.when(date.isNull(), F.concat(F.lit("date: "), F.coalesce(cells["date"], F.lit("missing"))))]
+    reasons += [F.when(typed[c].isNull() & (F.coalesce(cells[c], F.lit("")) != ""), F.concat(F.lit(f"{c}: "), cells[c])) for c in matched]
+    return raw.withColumns({"typed": F.struct(*[v.alias(c) for c, v in typed.items()]),
+                            "reasons": F.array_compact(F.array(*reasons))})
 
-def replace_targets(raw: DataFrame, path: str) -> DataFrame:
-    """Validated, typed targets take the place of the stored dataset; returns the stored one."""
+
+def split_targets(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Typed good rows, and rejected rows: the row as JSON, as it came, and the reason."""
+    checked = check_targets(raw)
+    row = F.to_json(F.struct(*[F.col(c) for c in raw.columns]), {"ignoreNullFields": "false"})
+    return (checked.filter(F.size("reasons") == 0).select("typed.*"),
+            checked.filter(F.size("reasons") > 0).select(row.alias("row"), F.array_join("reasons", "; ").alias("reason")))
+
+
+def replace_targets(raw: DataFrame, path: str, rejects: str | None = None) -> DataFrame:
+    """Good rows take the place of the stored targets, as one new version; returns the stored ones.
+
+    Rejected rows go to the dataset ``rejects`` (default: beside the targets), whose version
+    carries the number of the targets' version in its properties.  They are written first: targets
+    never stand without their rejects."""
     ok, matched = validate_targets(raw)
     if not ok:
         raise ValueError("targets need a date column and a known target column")
-    typed = normalise_targets(raw)
-    write_parquet(typed, path)
-    return scan_parquet(raw.sparkSession, path, typed.schema)
+    spark = raw.sparkSession
+    good, bad = split_targets(raw)
+    targets, side = Versioned(spark, path), Versioned(spark, rejects or path.rstrip("/") + "_rejects")
+    number = (targets.manifest() or {"version": 0})["version"] + 1
+    side.overwrite(bad, properties={"targets_version": number})
+    targets.overwrite(good)
+    return targets.read()
+
+
+def read_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """(row, reason) of the rows that the last upload of the targets at ``path`` left out."""
+    return Versioned(spark, path.rstrip("/") + "_rejects").read()
 
 
 def export_csv(df: DataFrame, path: str) -> None:
