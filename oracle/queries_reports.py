@@ -543,6 +543,7 @@ reg("orders_from_json", """SELECT order_id, CAST(min(created_at) AS DATE) AS ord
   CAST(sum(gross_sales) - sum(discounts) AS DOUBLE) AS net_sales,
   CAST(round(sum(gross_sales) * 0.45, 2) AS DOUBLE) AS cogs, CAST(0 AS DOUBLE) AS shipping,
   CAST(sum(net_sales) AS DOUBLE) AS total_price, 'GBP' AS currency FROM line_items GROUP BY order_id""", "line_items")
+SQL["orders_upsert_stream"] = SQL["orders_from_json"]
 reg("orders_recent_window", f"""SELECT count(*) AS orders, CAST(sum(net_sales) AS DOUBLE) AS net_sales,
   min(CAST(created_at AS DATE)) AS first_day, max(CAST(created_at AS DATE)) AS last_day FROM shop_orders
 WHERE created_at >= TIMESTAMP '{REF} 00:00:00' - INTERVAL 120 DAY""", "shop_orders")

@@ -412,6 +412,24 @@ def q_orders_from_json(ws):
         "created_at", "order_date"))
 
 
+@query("orders_upsert_stream")
+def q_orders_upsert_stream(ws):
+    """The payloads as a stream of two deliveries of every page: a draft without its discount, then, later, the page
+    as it stands; the draft of every seventh order comes last.  The stored orders are the corrected ones."""
+    from tillroll.streaming.order_landing import current_orders, pages_stream, start_orders_upsert
+    spark = ws.spark
+    pages = order_pages(ws.line_items)
+    late = F.col("id") % 7 == 0
+    draft = pages.withColumn("total_discounts", F.lit("0.00"))
+    final = pages.withColumn("updated_at", F.date_format(F.col("created_at").cast("timestamp") + F.expr("INTERVAL 40 DAYS"), "yyyy-MM-dd'T'HH:mm:ss"))
+    land, path = IO.scratch_path(spark, "landing"), IO.scratch_path(spark, "order_pages")
+    for first, last in ((draft, final), (final, draft)):
+        first.filter(~late).unionByName(last.filter(late)).write.mode("append").json(land)
+        start_orders_upsert(pages_stream(spark, land), path).awaitTermination()
+    return out(current_orders(spark, path).withColumn("created_at", F.to_date("created_at")).withColumnRenamed(
+        "created_at", "order_date"))
+
+
 @query("orders_recent_window")
 def q_orders_recent_window(ws):
     o = IO.recent_window(ws.orders, dt.datetime.combine(REF, dt.time()), 120)
