@@ -543,6 +543,14 @@ reg("orders_from_json", """SELECT order_id, CAST(min(created_at) AS DATE) AS ord
   CAST(sum(gross_sales) - sum(discounts) AS DOUBLE) AS net_sales,
   CAST(round(sum(gross_sales) * 0.45, 2) AS DOUBLE) AS cogs, CAST(0 AS DOUBLE) AS shipping,
   CAST(sum(net_sales) AS DOUBLE) AS total_price, 'GBP' AS currency FROM line_items GROUP BY order_id""", "line_items")
+_month = "CAST(year(date) * 100 + month(date) AS INT)"
+_feeds_of = {"fact": [("shop_orders", "CAST(created_at AS DATE)"), ("ev", "date")], "fact_product": [("line_items", "CAST(created_at AS DATE)"), ("shop_returns", "date")],
+             "fact_email": [("email", "date")], "fact_seo": [("seo", "date")], "fact_orderbank": [("orderbank", "date")]}
+reg("incremental_build", " UNION ALL ".join(
+    f"""SELECT '{f}' AS fact, month, count(*) AS rows,
+  coalesce(month = {REF.year * 100 + REF.month} AND ({' OR '.join(f'EXISTS (SELECT 1 FROM {t} WHERE {d} = {D(REF)})' for t, d in feeds)}), false) AS rewritten
+FROM (SELECT {_month} AS month FROM {'orderbank' if f == 'fact_orderbank' else {'fact_email': 'email', 'fact_seo': 'seo'}.get(f, f)}) GROUP BY month"""
+    for f, feeds in _feeds_of.items()), "fact", "fact_product", "email", "seo", "orderbank", "ev", "shop_orders", "shop_returns", "line_items")
 SQL["orders_upsert_stream"] = SQL["orders_from_json"]
 reg("orders_recent_window", f"""SELECT count(*) AS orders, CAST(sum(net_sales) AS DOUBLE) AS net_sales,
   min(CAST(created_at AS DATE)) AS first_day, max(CAST(created_at AS DATE)) AS last_day FROM shop_orders

@@ -120,7 +120,7 @@ def q_map_tiktok(ws):
 
 @query("fact_stacked")
 def q_fact_stacked(ws):
-    return out(ws.fact)
+    return out(ws.fact).orderBy("date", "source")
 
 
 @query("fact_row_counts")
@@ -130,8 +130,8 @@ def q_fact_row_counts(ws):
 
 @query("date_bounds")
 def q_date_bounds(ws):
-    return ws.fact.agg(F.min("date").alias("min_date"), F.max("date").alias("max_date"),
-                       F.count(F.lit(1)).alias("rows"))
+    rows, low, high = ws.from_footers(["fact"], "date")["fact"]
+    return ws.spark.createDataFrame([(low, high, rows)], "min_date date, max_date date, rows bigint")
 
 
 # ── query API ───────────────────────────────────────────────────────────

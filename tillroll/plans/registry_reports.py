@@ -19,6 +19,7 @@ from tillroll.plans import paid_seo as PS
 from tillroll.plans import product as PR
 from tillroll.plans.common import union_all
 from tillroll.plans.registry import out
+from tillroll.plans import refresh as RF
 from tillroll.sources import io as IO
 
 SUMMARY = M.KPI_GROUPS["Overview Metrics"] + M.KPI_GROUPS["Funnel Metrics"]
@@ -332,12 +333,10 @@ def q_source_probe(ws):
 
 @query("feed_presence")
 def q_feed_presence(ws):
-    """Which feeds and facts hold any row: one row of each is looked for, none is counted."""
-    facts = {"fact": ws.fact, "fact_product": ws.product_fact, "fact_email": ws.email_fact,
-             "fact_seo": ws.seo_fact}
-    frames = [(n, "feed", ws.feed(n)) for n in M.FEED_NAMES] + [(n, "fact", facts[n]) for n in M.FACT_NAMES]
-    return union_all([df.limit(1).agg((F.count(F.lit(1)) > 0).alias("present")).select(
-        F.lit(n).alias("name"), F.lit(kind).alias("kind"), "present") for n, kind, df in frames])
+    """Which feeds and facts hold any row, from the footers of the stored tables."""
+    rows = ws.from_footers(M.FEED_NAMES + M.FACT_NAMES)
+    return ws.spark.createDataFrame([(n, "fact" if n in M.FACT_NAMES else "feed", rows[n][0] > 0) for n in M.FEED_NAMES + M.FACT_NAMES],
+                                    "name string, kind string, present boolean")
 
 
 @query("sink_roundtrip")
@@ -352,17 +351,24 @@ def q_sink_roundtrip(ws):
         F.sum("units").alias("units"))
 
 
+@query("incremental_build")
+def q_incremental_build(ws):
+    """The facts built without the reference day, then refreshed with it: rows of each fact's months, and which the
+    refresh rewrote."""
+    spark, root = ws.spark, IO.scratch_path(ws.spark, "facts")
+    feeds = {n: ws.feed(n) for names, _, _ in RF.FACTS.values() for n in names}
+    RF.refresh(spark, {n: f.filter(RF.feed_day(f) != F.lit(REF)) for n, f in feeds.items()}, root)
+    done = RF.refresh(spark, feeds, root)
+    return union_all([RF.read_fact(spark, root, fact).groupBy(F.col(C.STORED_MONTH).alias("month")).agg(F.count(F.lit(1)).alias("rows")).select(
+        F.lit(fact).alias("fact"), "month", "rows", F.coalesce(F.col("month").cast("string").isin(done[fact]), F.lit(False)).alias("rewritten")) for fact in RF.FACTS])
+
+
 @query("source_coverage")
 def q_source_coverage(ws):
-    """Row count and presence of every feed and every fact."""
-    frames = [(n, ws.feed(n)) for n in M.FEED_NAMES + ["orderbank"]]
-    frames += [("fact", ws.fact), ("fact_product", ws.product_fact), ("fact_email", ws.email_fact),
-               ("fact_seo", ws.seo_fact)]
-    # tagged rows meet in one partial and final count; a zero row keeps an empty feed in the result
-    names = ws.spark.createDataFrame([(n, 0) for n, _ in frames], "feed string, n int")
-    rows = union_all([names] + [df.select(F.lit(n).alias("feed"), F.lit(1).alias("n")) for n, df in frames])
-    return rows.groupBy("feed").agg(F.sum("n").cast("bigint").alias("rows")).select(
-        "feed", "rows", (F.col("rows") > 0).alias("present"))
+    """Row count and presence of every feed and every fact, from the footers of the stored tables."""
+    names = M.FEED_NAMES + ["orderbank", "fact", "fact_product", "fact_email", "fact_seo"]
+    found = ws.from_footers(names)
+    return ws.spark.createDataFrame([(n, found[n][0], found[n][0] > 0) for n in names], "feed string, rows bigint, present boolean")
 
 
 PAGE_ITEMS = 1000

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,14 +19,9 @@ MONEY = T.DecimalType(18, 2)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    """Dataset existence probe: Spark resolves the path as it would for a scan."""
-    try:
-        spark.read.text(path)
-    except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":
-            return False
-        raise
-    return True
+    """Dataset existence probe: one question to the path's FileSystem, nothing is listed or read."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
 def scan_parquet(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:

@@ -16,6 +16,9 @@ folders, and row groups inside them.  Intermediate tables that are read whole
 from __future__ import annotations
 
 import threading
+from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +39,33 @@ STORED_BY_MONTH = {"lines_base": ["created_at"], "orders": ["created_at"],
                    "fact_email": ["date"], "fact_seo": ["date"], "fact_orderbank": ["date"]}
 
 
+# feeds that are written as they land, so that their readers share one derivation; others are stored under other names
+LANDED = ["inventory", "returns", "traffic_items", "meta", "google", "microsoft", "tiktok", "email", "seo", "orderbank", "targets"]
+FOOTER_TABLES = {"orders": "orders", "line_items": "lines_base", "traffic": "traffic"}
+FACT_PROPERTIES = {"fact": "fact", "fact_product": "product_fact", "fact_email": "email_fact", "fact_seo": "seo_fact",
+                   "fact_orderbank": "orderbank"}
+FOOTERS = {"spark.sql.sources.useV1SourceList": "avro,csv,json,kafka,orc,text", "spark.sql.parquet.aggregatePushdown": "true"}
+
+
+@contextmanager
+def footers_only(spark: SparkSession) -> Iterator[None]:
+    """Inside, parquet scans push counts, minima and maxima down to the footers."""
+    before = {k: spark.conf.get(k, None) for k in FOOTERS}
+    try:
+        for k, v in FOOTERS.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def _bounds(df: DataFrame, day: str | None, name: str = "") -> DataFrame:
+    days = [F.min(day), F.max(day)] if day else [F.lit(None).cast("date")] * 2
+    return df.agg(F.count(F.lit(1)).alias("rows"), *[d.alias(n) for d, n in zip(days, ("low", "high"), strict=True)]).select(
+        F.lit(name).alias("name"), "rows", "low", "high")
+
+
 def _fingerprint(spark: SparkSession, sf_dir: str) -> tuple:
     """(size, mtime) of every input table, through the path's Hadoop FileSystem."""
     jvm = spark._jvm
@@ -69,9 +99,12 @@ class Workspace:
         self._facts: dict[str, DataFrame] = {}
 
     # ── model build ──────────────────────────────────────────────────────
+    def _key(self, name: str) -> tuple:
+        return self.spark.sparkContext.applicationId, self.sf_dir, name, self._inputs
+
     def _store(self, name: str, build) -> DataFrame:
         """Build ``name`` once per (application, inputs) and read it back from parquet."""
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, name, self._inputs)
+        key = self._key(name)
         order = STORED_BY_MONTH.get(name)
         with _LOCK:
             path, schema = _BUILT.get(key, (None, None))
@@ -95,6 +128,8 @@ class Workspace:
 
     def build_all(self) -> None:
         """Run the model build (all stored tables) eagerly."""
+        for name in LANDED:
+            self.feed(name)
         self.fact, self.product_fact, self.orders  # noqa: B018
         self.email_fact, self.seo_fact, self.orderbank  # noqa: B018
 
@@ -102,8 +137,28 @@ class Workspace:
     def feed(self, name: str) -> DataFrame:
         if name == "orders":
             return self.orders
+        if name in LANDED:
+            return self._memo(f"feed_{name}", getattr(self.feeds, name))
         return getattr(self.feeds, name)()
 
+    def from_footers(self, names: list[str], day: str | None = None) -> dict[str, tuple]:
+        """(rows, first day, last day) of stored tables; parquet footers answer, no data page is read.
+
+        ``names`` are facts or feeds; ``day`` names the column of days, if these are asked for."""
+        def frame(name: str) -> DataFrame:
+            return getattr(self, FACT_PROPERTIES[name]) if name in FACT_PROPERTIES else self.feed(name)
+
+        if not self.materialize:
+            return {n: tuple(_bounds(frame(n), day).first())[1:] for n in names}
+        keys = {n: self._key(FOOTER_TABLES.get(n, n if n in FACT_PROPERTIES else f"feed_{n}")) for n in names}
+        for n, key in keys.items():
+            if key not in _BUILT or not path_exists(self.spark, _BUILT[key][0]):
+                frame(n)
+        stored = {n: _BUILT[key] for n, key in keys.items()}
+        with footers_only(self.spark):
+            parts = [_bounds(self.spark.read.option("recursiveFileLookup", "true").schema(schema).parquet(path), day, n) for n, (path, schema) in stored.items()]
+            return {r[0]: tuple(r)[1:] for r in reduce(DataFrame.unionByName, parts).collect()}
+
     @property
     def fact(self) -> DataFrame:
         return self._memo("fact", lambda: L.stacked_fact(
