@@ -23,6 +23,7 @@ columns are not read.
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -277,13 +278,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     usable = (labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y"))
               .filter(F.col("y").isin(0, 1) & F.col("i").isNotNull() & ~held_out(F.col("i"))))
     n = {r.y: r["count"] for r in usable.groupBy("y").count().collect()}
-    rows = []
-    for y in (0, 1):
-        sample = usable.filter(F.col("y") == y).select("i").distinct().orderBy(F.xxhash64("i"), "i").limit(TRAIN_ROWS[y])
-        texts = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t")).filter(F.length("t") <= TRAIN_CHARS)
-        rows += [(r.d, r.t, y) for r in texts.join(F.broadcast(sample), F.col("d") == F.col("i")).select("d", "t").collect()]
-    rows.sort()
-    return fit([t for _, t, _ in rows], [y for _, _, y in rows], n.get(1, 0) / max(1, sum(n.values())))
+    share = n.get(1, 0) / max(1, sum(n.values()))
+    samples = [usable.filter(F.col("y") == y).groupBy("i", "y").count().orderBy(F.xxhash64("i"), "i").limit(TRAIN_ROWS[y]) for y in (0, 1)]
+    sample = samples[0].unionByName(samples[1])
+    texts = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t")).filter(F.length("t") <= TRAIN_CHARS)
+    rows = texts.join(F.broadcast(sample), F.col("d") == F.col("i")).groupBy("d", "y").agg(F.min("t").alias("t"))  # one row of an id
+
+    def fit_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The sample has a fixed bound; one task fits the model, and the driver gets that alone."""
+        rows_ = sorted(r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        yield pa.record_batch([pa.array([pickle.dumps(fit([t for _, t, _ in rows_], [y for _, _, y in rows_], share))])], names=["model"])
+
+    found = rows.select("d", "t", "y").repartition(1).mapInArrow(fit_sample, "model binary").first()
+    return pickle.loads(found.model) if found else fit([], [], share)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
