@@ -83,6 +83,21 @@ def _search(index: dict, chunk: H.Chunk, threshold: float) -> list[tuple[int, in
     return out
 
 
+def _indexes(items: DataFrame, item_col: str, item_text: str, k: int, threshold: float) -> Iterator[dict]:
+    """An index of each run of at most BLOCK items; at least one."""
+    block: list[tuple] = []
+    listed = items.select(F.col(item_col).alias("i"), F.col(item_text).alias("t")).toLocalIterator()
+    none = True
+    for item in listed:
+        block.append((item.i, item.t))
+        if len(block) == BLOCK:
+            none = False
+            yield _index(block, k, threshold)
+            block = []
+    if block or none:
+        yield _index(block, k, threshold)
+
+
 def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     item_col: str = "item_id", item_text: str = "text", k: int = SHINGLE,
                     threshold: float = THRESHOLD) -> DataFrame:
@@ -103,24 +118,27 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
         return run
 
     batch_item = pa.string() if item_kind == "string" else pa.int32() if item_kind == "int" else pa.int64()
-    parts, block = [], []
-    listed = items.select(F.col(item_col).alias("i"), F.col(item_text).alias("t")).toLocalIterator()
-    for item in listed:
-        block.append((item.i, item.t))
-        if len(block) == BLOCK:
-            parts.append(source.mapInArrow(search(_index(block, k, threshold)), schema))
-            block = []
-    if block or not parts:
-        parts.append(source.mapInArrow(search(_index(block, k, threshold)), schema))
+    parts = [source.mapInArrow(search(index), schema) for index in _indexes(items, item_col, item_text, k, threshold)]
     return (reduce(DataFrame.unionAll, parts)
             .withColumn("containment", F.col("common") / F.col("item_shingles"))
             .withColumnRenamed("doc_id", id_col).withColumnRenamed("item_id", item_col))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that contain a benchmark item."""
-    leaks = contained_items(docs, items, id_col, text_col).select(F.col(id_col).alias("__leak")).distinct()
-    return docs.join(leaks, F.col(id_col).eqNullSafe(F.col("__leak")), "left_anti")
+def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
+                  k: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` without the rows that contain a benchmark item, decided row by row in the pass that reads the text."""
+    def clean(index: dict):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                leaks = np.zeros(batch.num_rows, bool)
+                for chunk in H.chunks(batch.column(text_col)):
+                    leaks[[chunk.lo + row for row, *_ in _search(index, chunk, threshold)]] = True
+                yield batch.filter(pa.array(~leaks))
+        return run
+
+    for index in _indexes(items, item_col, item_text, k, threshold):
+        docs = docs.mapInArrow(clean(index), docs.schema)
+    return docs
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
