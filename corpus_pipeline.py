@@ -4,12 +4,12 @@ Each stage takes the documents that its predecessor kept, whole; all but the las
 columns of ``documents``.  ``run`` writes each stage's result to the shared folder and reads it
 again, so a lost executor costs one stage's tasks at most.
 
-Identifiers may be null or repeat: a stage that removes something numbers the rows first, in order of
-their ids (null last), and applies its decisions by that number.
+Identifiers may be null or repeat: a stage that compares rows then numbers them first, in order of
+their ids (null last), and applies its decisions by that number; the others decide row by row.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tillroll.llm import op3_ngram_join, op5_toxicity, op6_decontamination, op9_line_dedup, op10_packing
 from tillroll.llm.scratch import store
@@ -19,7 +19,14 @@ ROW = "__row"
 
 
 def numbered(docs: DataFrame, label: str) -> DataFrame:
-    """``docs`` with a number of each row, ascending with the id; written, so that it stays the same."""
+    """``docs`` with a number of each row, ascending with the id.
+
+    That is the id itself where all rows have one of their own; else the numbered rows are
+    written, so that the numbers stay the same."""
+    if isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        ids = docs.groupBy("doc_id").count().agg(F.count("*").alias("all"), F.count("doc_id").alias("known"), F.max("count").alias("most")).first()
+        if ids["all"] == ids["known"] and (ids["most"] or 1) == 1:
+            return docs.withColumn(ROW, F.col("doc_id").cast("long"))
     order = docs.withColumn(ROW, F.monotonically_increasing_id())  # parts equal rows, so that no group of them is one task's
     order = order.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), ROW)
     return store(order.withColumn(ROW, F.monotonically_increasing_id()), label)
@@ -46,8 +53,7 @@ def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    rows = store(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
-    return op6_decontamination.decontaminate(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=ROW).drop(ROW)
+    return op6_decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
