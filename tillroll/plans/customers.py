@@ -13,29 +13,24 @@ from pyspark.sql import Window as W
 
 from tillroll.functions.dims import month_diff, period_start
 from tillroll.functions.metrics import pct_change
-from tillroll.operators.compare import apply_filters, in_days, in_range
+from tillroll.operators.compare import in_days, in_range
 from tillroll.plans.common import dsum, long_rows, ratio
+from tillroll.plans.customer_state import per_customer, spends
 
 
 def _orders(orders: DataFrame) -> DataFrame:
     return orders.withColumn("date", F.to_date("created_at"))
 
 
-def customer_kpis(orders: DataFrame, fact: DataFrame, cur, cmp, filters=None) -> DataFrame:
+def customer_kpis(state: DataFrame, fact: DataFrame, cur, cmp, filters=None) -> DataFrame:
     """Customers, new customers, repeat rate, orders per customer, AOV, average
-    lifetime revenue, blended CAC (spend / new) and LTV:CAC, with comparison."""
-    o = _orders(orders)
-    cc, pc = in_range(cur), in_range(cmp)
-    per = o.groupBy("customer_id").agg(
-        F.min("date").alias("first"),
-        F.count(F.when(cc, 1)).alias("n_cur"), F.count(F.when(pc, 1)).alias("n_cmp"),
-        F.sum(F.when(cc, F.col("net_sales"))).alias("rev_cur"),
-        F.sum(F.when(pc, F.col("net_sales"))).alias("rev_cmp"),
-        F.sum("net_sales").alias("ltv"))
+    lifetime revenue, blended CAC (spend / new) and LTV:CAC, with comparison.
+
+    ``state`` is the stored customer state (``customer_state``): any range is answered
+    without the order history; spend of both ranges comes from one scan of the fact."""
+    per = per_customer(state, cur, cmp)
     known = F.col("customer_id").isNotNull()
     first_in = lambda rng: F.col("first").between(F.lit(rng[0]), F.lit(rng[1]))
-    spend = lambda rng: (apply_filters(fact, rng[0], rng[1], filters)
-                         .select(dsum("spend")).scalar())
     g = per.agg(
         F.count(F.when(known & (F.col("n_cur") > 0), 1)).alias("custs"),
         F.count(F.when(known & (F.col("n_cur") > 0) & first_in(cur), 1)).alias("new"),
@@ -45,7 +40,8 @@ def customer_kpis(orders: DataFrame, fact: DataFrame, cur, cmp, filters=None) ->
         F.sum("n_cmp").alias("orders_cmp"), dsum("rev_cmp").alias("revenue_cmp"),
         F.try_divide(F.sum(F.when(known, F.col("ltv"))).cast("double"),
                      F.count(F.when(known, 1)).cast("double")).alias("ltv"))
-    g = g.withColumns({"spend": spend(cur), "spend_cmp": spend(cmp)})
+    g = (g.unionByName(spends(fact, cur, cmp, filters), allowMissingColumns=True)      # two rows of one value each
+         .agg(*[F.max(c).alias(c) for c in [*g.columns, "spend", "spend_cmp"]]))
     has = F.col("orders_cmp") > 0
     cac = ratio("spend", "new")
     cac_cmp = F.when(has, ratio("spend_cmp", "new_cmp"))

@@ -135,7 +135,7 @@ def q_roas_extremes(ws):
 # ── customers ─────────────────────────────────────────────────────────
 @query("customer_kpis")
 def q_customer_kpis(ws):
-    return CU.customer_kpis(ws.orders, ws.fact, CUR, LY)
+    return CU.customer_kpis(ws.customer_state, ws.fact, CUR, LY)
 
 
 @query("new_vs_returning")

@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 from tillroll.operators import facts as FX
 from tillroll.operators import lanes as L
 from tillroll.operators.compare import STORED_MONTH, month_number
+from tillroll.plans.customer_state import customer_state
 from tillroll.sources.fixtures import REF_DATE, DriverFeeds
 from tillroll.sources.io import path_exists, scratch_path
 
@@ -131,7 +132,7 @@ class Workspace:
         for name in LANDED:
             self.feed(name)
         self.fact, self.product_fact, self.orders  # noqa: B018
-        self.email_fact, self.seo_fact, self.orderbank  # noqa: B018
+        self.email_fact, self.seo_fact, self.orderbank, self.customer_state  # noqa: B018
 
     # ── feeds and facts ──────────────────────────────────────────────────
     def feed(self, name: str) -> DataFrame:
@@ -174,6 +175,10 @@ class Workspace:
     def orders(self) -> DataFrame:
         return self._memo("orders", lambda: FX.orders_from_lines(self.feeds.line_items()))
 
+    @property
+    def customer_state(self) -> DataFrame:
+        return self._memo("customer_state", lambda: customer_state(self.orders))
+
     @property
     def email_fact(self) -> DataFrame:
         return self._memo("fact_email", lambda: FX.email_fact(self.feed("email")))
