@@ -92,23 +92,33 @@ def trend_ty_ly(fact: DataFrame, period_name: str, freq: str, metric: str, ref,
 
     A still-open final week is dropped from the weekly TY series; LY is cut or
     null-padded to the TY length.  Both sides come from one scan."""
-    start, end = P.resolve_period(period_name, ref)
-    ly_s, ly_e = P.ly_range(start, end)
+    return trends_ty_ly(fact, {period_name: (period_name, freq)}, metric, ref, filters).drop("preset").orderBy("pos")
+
+
+def trends_ty_ly(fact: DataFrame, presets: dict[str, tuple[str, str]], metric: str, ref,
+                 filters=None) -> DataFrame:
+    """``trend_ty_ly`` of every preset (name -> period, frequency) from one scan of the fact.
+
+    Days are summed first (bounded by the calendar); each then counts in every
+    bucket it belongs to: a day of both ranges of a preset (they overlap when the period is
+    longer than the shift) counts in both."""
     bases = MX.inputs_for([metric])
-    f = C.in_days(C.dim_filter(fact, filters), (start, end), (ly_s, ly_e))
-    # a day of both ranges (they overlap when the period is longer than the shift) counts in both
-    sides = F.array_compact(F.array(F.when(C.in_range((start, end)), F.lit("TY")),
-                                    F.when(C.in_range((ly_s, ly_e)), F.lit("LY"))))
-    f = f.select(F.explode(sides).alias("side"), period_start("date", freq).alias("period"), *bases)
-    g = f.groupBy("side", "period").agg(*C.sums(bases)).select(
-        "side", "period", *C.metric_cols([metric]))
-    if freq == "W":
-        # drop the last TY week if it has fewer than 7 days up to `end`
-        open_week = (F.col("side") == "TY") & (F.datediff(F.lit(end), F.col("period")) + 1 < 7)
-        g = g.filter(~open_week)
-    g = g.withColumn("pos", F.row_number().over(W.partitionBy("side").orderBy("period")))
+    ranges, tags = [], []
+    for preset, (period_name, freq) in presets.items():
+        period = P.resolve_period(period_name, ref)
+        bucket = period_start("date", freq)
+        for side, rng in (("TY", period), ("LY", P.ly_range(*period))):
+            inside = C.in_range(rng)
+            if side == "TY" and freq == "W":        # not the last week if it has fewer than 7 days up to the end
+                inside &= F.datediff(F.lit(rng[1]), bucket) + 1 >= 7
+            ranges.append(rng)
+            tags.append(F.when(inside, F.struct(F.lit(preset).alias("preset"), F.lit(side).alias("side"), bucket.alias("period"))))
+    days = C.in_days(C.dim_filter(fact, filters), *ranges).groupBy("date").agg(*[F.sum(b).alias(b) for b in bases])
+    f = days.select(F.explode(F.array_compact(F.array(*tags))).alias("tag"), *bases).select("tag.*", *bases)
+    g = f.groupBy("preset", "side", "period").agg(*C.sums(bases)).select(
+        "preset", "side", "period", *C.metric_cols([metric]))
+    g = g.withColumn("pos", F.row_number().over(W.partitionBy("preset", "side").orderBy("period")))
     # both sides of a position meet in one aggregate; positions without TY go
     at = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
-    return (g.groupBy("pos").agg(at("TY", "period").alias("period"), at("TY", metric).alias("ty"),
-                                 at("LY", metric).alias("ly"))
-            .filter(F.col("period").isNotNull()).orderBy("pos"))
+    return (g.groupBy("preset", "pos").agg(at("TY", "period").alias("period"), at("TY", metric).alias("ty"),
+                                           at("LY", metric).alias("ly")).filter(F.col("period").isNotNull()))

@@ -86,9 +86,8 @@ def q_trend_ty_ly(ws):
 
 @query("trend_presets")
 def q_trend_presets(ws):
-    """Every this-year / last-year preset."""
-    return union_all([E.trend_ty_ly(ws.fact, name, freq, "revenue", REF).withColumn("preset", F.lit(preset))
-                      for preset, (name, freq) in M.TREND_PRESETS.items()])
+    """Every this-year / last-year preset, from one scan."""
+    return E.trends_ty_ly(ws.fact, M.TREND_PRESETS, "revenue", REF)
 
 
 # ── profitability / forecast / digest ───────────────────────────────────
