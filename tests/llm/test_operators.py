@@ -125,13 +125,65 @@ def test_ngram_join(docs, empty, monkeypatch, k, percent, frequent, chunk):
     assert op3_ngram_join.linked(empty).count() == 0
 
 
+def test_small_sets_meet_whatever_their_hashes(spark):
+    rows, want = [], []
+    for i in range(3000):
+        n = 8 + i % 30  # one word more gives one shingle more: 4 of 5 at the least
+        words = [f"q{i}_{j}" for j in range(n + 1)]
+        rows += [(2 * i, " ".join(words[:n])), (2 * i + 1, " ".join(words))]
+        want += [(2 * i, 2 * i), (2 * i + 1, 2 * i)]
+    rows += [(99_000, "q49848_0 q49848_1 q49848_2 q49848_3 q49848_4 q49848_5 q49848_6 q49848_7"),
+             (99_001, "q49848_0 q49848_1 q49848_2 q49848_3 q49848_4 q49848_5 q49848_6 q49848_7 q49848_8")]
+    got = op3_ngram_join.linked(spark.createDataFrame(rows, "doc_id long, text string"), k=5, percent=80).collect()
+    assert {(g.doc_id, g.component_id) for g in got} == {*want, (99_000, 99_000), (99_001, 99_000)}
+
+
+def test_hot_block_of_different_small_sets(spark, monkeypatch):
+    """A shingle that many sets share is a block of many chunks; only the true links come of it."""
+    monkeypatch.setattr(op3_ngram_join, "FREQUENT", 16)
+    monkeypatch.setattr(op3_ngram_join, "CHUNK", 64)
+    rows = [(i, "all rights reserved here " + " ".join(f"w{i // 2}_{j}" for j in range(12 + i % 2))) for i in range(600)]
+    got = op3_ngram_join.linked(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    sets = [shingle_set(t, 4) for _, t in rows]
+    assert all(100 * len(sets[i] & sets[i + 1]) >= 85 * len(sets[i] | sets[i + 1]) for i in range(0, 600, 2))
+    assert {(g.doc_id, g.component_id) for g in got} == {(i, i - i % 2) for i in range(600)}
+
+
 def test_rtree_loses_no_pair():
-    points = np.random.default_rng(3).integers(0, 6, (500, rtree.GROUPS))
-    points[250:] = np.maximum(points[:250] - np.random.default_rng(4).integers(0, 2, (250, rtree.GROUPS)), 0)
-    found = {(i, j) for i, j in rtree.candidate_pairs(points, np.arange(500), np.arange(500), 70, False, np.arange(500))}
-    size = points.sum(1)
-    want = {(i, j) for i in range(500) for j in range(500) if i != j and np.minimum(points[i], points[j]).sum() >= rtree.least_overlap(size[i], size[j], 70)}
-    assert found == want and want
+    r = np.random.default_rng(3)
+    sets = [np.unique(r.integers(0, 1 << 64, int(n), np.uint64)) for n in r.integers(1, 400, 200)]
+    sets += [np.unique(np.concatenate([s[r.random(len(s)) < 0.93], r.integers(0, 1 << 64, len(s) // 25, np.uint64)])) for s in sets]
+    sets = [s for s in sets if len(s)]
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    points = rtree.vectors(row, np.concatenate(sets), len(sets)).astype(np.int64)
+    members = rtree.Members(points, rtree.folded([rtree.odd_bits(s) for s in sets]), 80)
+    every = np.arange(len(sets))
+    i, j, far = members.candidates(every, every, every)
+    found = set(zip(i.tolist(), j.tolist(), strict=True))
+    real = [set(s.tolist()) for s in sets]
+    want = {(a, b) for a in range(len(sets)) for b in range(len(sets)) if a != b and 100 * len(real[a] & real[b]) >= 80 * len(real[a] | real[b])}
+    assert want and want <= found
+    for a, b, x in zip(i.tolist(), j.tolist(), far.tolist(), strict=True):
+        assert x <= len(real[a] ^ real[b]) / (len(sets[a]) + len(sets[b]))
+
+
+def test_forest_spans_with_least_edges():
+    r = np.random.default_rng(5)
+    a, b = r.integers(0, 60, 300), r.integers(0, 60, 300)
+    a, b = a[a != b], b[a != b]
+    weight = r.integers(0, 9, len(a)) / 9
+    picked = rtree.forest(a, b, weight, 60)
+
+    def kruskal(order):
+        name, total = list(range(60)), []
+        for e in order:
+            p, q = name[a[e]], name[b[e]]
+            if p != q:
+                name, total = [p if x == q else x for x in name], [*total, weight[e]]
+        return len(set(name)), sorted(total)
+
+    assert kruskal(picked) == kruskal(np.argsort(weight, kind="stable")) and len(kruskal(picked)[1]) == len(picked)
+    assert len(rtree.forest(a[:0], b[:0], weight[:0], 60)) == 0
 
 
 def test_chat_formats(spark):

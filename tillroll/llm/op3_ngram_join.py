@@ -3,15 +3,18 @@
 1. Every text becomes its set of k-word shingle hashes; equal sets are one node from here on.
 2. Blocks.  Sets whose sizes allow the similarity fall in a common size class; a class hashes the
    shingles into more groups than two similar sets can differ in shingles, so one group at least
-   holds the same shingles in both.  A block is a class, a group and its content.  (Empty groups
-   are no blocks; a class has spare groups for them, and the odds that a similar pair has no common
-   block are below 1e-5 for the smallest sets and far less for others.)
+   holds the same shingles in both.  A block is a class, a group and its content.  Empty groups
+   are no blocks; a class has spare groups for them.  Sets of up to ``SMALL`` shingles, which have few
+   groups, get a block for each of their first shingles in order of the hash instead, so many that
+   similar sets always share one: no link of theirs depends on odds.  For larger sets the odds that a
+   similar pair has no common block are below 1e-9.
 3. A block of up to three members yields its pairs.  Members of larger blocks are kept as rows
-   (block, set), and an R-tree over their count vectors finds the nearest of each member by the
-   overlap bound.
-4. The pairs that the bound lets through are verified against the full sets; components follow.
-   Blocks inside one component need no more work; those with several are searched in full, by R-tree
-   again, for pairs across components, and survivors are verified.
+   (block, set), and an R-tree over their count vectors finds the pairs whose overlap may suffice;
+   parities of finer counts turn down nearly all of those that are no links, in the same task.  A
+   search gives the edges of a least spanning forest of what is left.
+4. These pairs are verified against the full sets; components follow.  Blocks inside one component
+   need no more work; those with several are searched again for all pairs across components, and the
+   survivors are verified.
 
 No group is expanded into all its pairs, and none is gathered in one task: a block that is frequent
 within a task leaves one representative in the shuffle and its members as rows; blocks of more than
@@ -37,6 +40,8 @@ K, PERCENT = 4, 85
 #: Postings that a task holds before it deals them out; members that make a block frequent in a task.
 FLUSH, FREQUENT, CHUNK = 1 << 21, 256, 2048
 SEEN = 1 << 20
+#: Sets up to this size meet by their first shingles.
+SMALL = 32
 DOCS, POSTINGS, LEADERS, PAIRS, MEMBERS = range(5)
 OUT = pa.schema([("kind", pa.int8()), ("bucket", pa.int32()), ("blob", pa.binary())])
 DDL = "kind tinyint, bucket int, blob binary"
@@ -63,7 +68,7 @@ class Classes:
 
 
 def keys(row: np.ndarray, hashed: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, block key) of every non-empty group of each row's set, in all its classes."""
+    """(row, block key) of every block of each row's set; ``row`` ascends, and ``hashed`` within a row."""
     if not len(row):
         return np.zeros(0, np.int64), np.zeros(0, H.U)
     classes = Classes(percent, int(n.max()))
@@ -71,7 +76,7 @@ def keys(row: np.ndarray, hashed: np.ndarray, n: np.ndarray, percent: int) -> tu
     content = H.mix(hashed ^ H.U(0x2545F4914F6CDD1D))
     rows, out = [], []
     for c, use in ((own, np.ones(len(n), bool)), (upper, upper != own)):
-        use = use & (n > 0)
+        use = use & (n > SMALL)
         pick = use[row]
         r, h = row[pick], hashed[pick]
         groups = np.where(use, classes.groups[c], 0)
@@ -87,6 +92,13 @@ def keys(row: np.ndarray, hashed: np.ndarray, n: np.ndarray, percent: int) -> tu
         number = (np.arange(total) - np.repeat(base, groups))[held]
         rows.append(owner)
         out.append(H.mix(sums[held] ^ H.mix(seed[owner] + number.astype(H.U))))
+    # two similar sets, one of up to SMALL members, share one of the first n - ceil(n * percent / 100) + 1
+    small = n * percent <= SMALL * 100
+    first = np.where(small & (n > 0), n + (-percent * n // 100) + 1, 0)
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    pick = place < first[row]
+    rows.append(row[pick])
+    out.append(H.mix(hashed[pick] ^ H.U(0x8CB92BA72F3D8DD7)))
     return np.concatenate(rows), np.concatenate(out)
 
 
@@ -216,8 +228,8 @@ def _long(x: np.ndarray) -> pa.Array:
 
 
 def _full_sets(source: DataFrame, bits: np.ndarray, k: int) -> DataFrame:
-    """(sid, n, vec, members) of the sets that the filter lets through."""
-    schema = pa.schema([("sid", pa.int64()), ("n", pa.int64()), ("vec", pa.binary()), ("members", pa.binary())])
+    """(sid, n, vec, odd, members) of the sets that the filter lets through."""
+    schema = pa.schema([("sid", pa.int64()), ("n", pa.int64()), ("vec", pa.binary()), ("odd", pa.binary()), ("members", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -233,9 +245,10 @@ def _full_sets(source: DataFrame, bits: np.ndarray, k: int) -> DataFrame:
                 vec = rtree.vectors(row, hashed, len(n))
                 low = np.sort  # sets of 48-bit numbers ascend
                 yield pa.record_batch([_long(own[pick]), pa.array(n[pick], pa.int64()), pa.array([vec[i].tobytes() for i in pick], pa.binary()),
+                                       pa.array([rtree.odd_bits(hashed[ends[i]:ends[i + 1]]) for i in pick], pa.binary()),
                                        pa.array([B.to48(low(hashed[ends[i]:ends[i + 1]] & H.U((1 << 48) - 1))).tobytes() for i in pick], pa.binary())], schema=schema)
 
-    rows = source.select("text").mapInArrow(run, "sid bigint, n bigint, vec binary, members binary")
+    rows = source.select("text").mapInArrow(run, "sid bigint, n bigint, vec binary, odd binary, members binary")
     return rows.dropDuplicates(["sid"])
 
 
@@ -291,10 +304,10 @@ def verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     return _filtered(_with_both(pairs, _asked(full, pairs), "members", percent), test)
 
 
-def _searched(told: DataFrame, full: DataFrame, percent: int, nearest: bool) -> DataFrame:
-    """Pairs of differently labelled sets of a block, by R-trees over its members' count vectors.
+def _searched(told: DataFrame, full: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """Pairs of differently labelled sets of a block that may be links, by R-trees over its members' count vectors.
 
-    ``told`` has (block, sid, label); with ``nearest``, only the best pair of each member by the bound.
+    ``told`` has (block, sid, label); with ``forest``, only a least spanning forest of the pairs of a search.
     """
     mixed = told.groupBy("block").agg(F.count("*").alias("m"), F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most")
     parts = F.ceil(F.col("m") / CHUNK).cast("int")
@@ -303,35 +316,41 @@ def _searched(told: DataFrame, full: DataFrame, percent: int, nearest: bool) ->
     rows = (told.join(mixed.select("block", parts.alias("parts")), "block").withColumn("own", own)
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
             .select("block", F.least("own", "other").cast("int").alias("p"), F.greatest("own", "other").cast("int").alias("q"), F.col("own").cast("int").alias("own"), "sid", "label"))
-    rows = rows.join(full.select("sid", "vec"), "sid").repartition("block", "p", "q").sortWithinPartitions("block", "p", "q")
+    rows = rows.join(full.select("sid", "vec", "odd"), "sid").repartition("block", "p", "q").sortWithinPartitions("block", "p", "q")
 
-    def search(held: list[dict]) -> Iterator[pa.RecordBatch]:
+    def search(held: list[dict], seen: set[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
         points = np.frombuffer(b"".join(h["vec"] for h in held), "<u4").reshape(-1, rtree.GROUPS).astype(np.int64)
+        members = rtree.Members(points, rtree.folded([h["odd"] for h in held]), percent)
         own, p, q = (np.array([h[c] for h in held]) for c in ("own", "p", "q"))
-        label = np.array([h["label"] for h in held])
+        sid, label = (np.array([h[c] for h in held]) for c in ("sid", "label"))
         left, right = np.flatnonzero(own == p[0]), np.flatnonzero(own == q[0])
-        found = list(rtree.candidate_pairs(points, left, right, percent, nearest, label))
-        if nearest and p[0] != q[0]:
-            found += rtree.candidate_pairs(points, right, left, percent, nearest, label)
-        pairs = {(min(held[i]["sid"], held[j]["sid"]), max(held[i]["sid"], held[j]["sid"])) for i, j in found}
-        if pairs:
-            a, b = zip(*sorted(pairs), strict=True)
+        i, j, far = members.candidates(left, right, label)
+        if forest:
+            pick = rtree.forest(i, j, far, len(held))
+            i, j = i[pick], j[pick]
+        least, most = np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j])
+        new = {pair for pair in zip(least.tolist(), most.tolist(), strict=True) if pair not in seen}
+        if len(seen) > SEEN:
+            seen.clear()
+        seen |= new  # a pair of several blocks goes out once from a task, while it is remembered
+        if new:
+            a, b = zip(*sorted(new), strict=True)
             yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, at = [], None
+        held, at, seen = [], None, set()
         for batch in batches:
             for row in batch.to_pylist():
                 here = (row["block"], row["p"], row["q"])
                 if here != at and held:
-                    yield from search(held)
+                    yield from search(held, seen)
                     held = []
                 at = here
                 held.append(row)
         if held:
-            yield from search(held)
+            yield from search(held, seen)
 
-    return rows.select("block", "p", "q", "own", "sid", "label", "vec").mapInArrow(run, "a bigint, b bigint").distinct()
+    return rows.select("block", "p", "q", "own", "sid", "label", "vec", "odd").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, percent: int = PERCENT) -> DataFrame:
@@ -354,11 +373,11 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
     full = store(_full_sets(source, B.membership(asked, "sid"), k), "sets")
 
     alone = members.select("block", "sid", F.col("sid").alias("label"))
-    near = bounded(pairs, full, percent).unionByName(_searched(alone, full, percent, nearest=True)).distinct()
+    near = bounded(pairs, full, percent).unionByName(_searched(alone, full, percent, forest=True)).distinct()
     first = store(verified(near, full, percent), "links")
     labels = components(first)
     told = members.join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("block", "sid", F.coalesce("label", "sid").alias("label"))
-    more = verified(_searched(store(told, "told"), full, percent, nearest=False), full, percent)
+    more = verified(_searched(store(told, "told"), full, percent, forest=False), full, percent)
     labels = components(first.unionByName(more))
 
     # the smallest identifier of every set, then of every component, then back to the sets
