@@ -7,6 +7,12 @@ and each round adds to one half, symbol by symbol modulo its alphabet, a hash of
 the round and the other half.  The permutation is a bijection that depends on nothing but the key,
 so equal values stay linked across documents and the holder of the key can undo it
 (``restore=True``).  Separators, country and network digits stay; check digits are made anew.
+Separators of cards, IBANs and phone numbers are taken out first and put back afterwards, so one
+number has one pseudonym in all its spellings.  The key comes from the caller; there is none by default.
+
+A date with slashes is day/month, or month/day where only that is a date.  The pseudonym of the
+latter is permuted on until its day is above 12 too, so that it reads alike; in other spellings the
+same day is linked to it only where once was enough.  Days from 1900-01-01 to 2099-11-13 are permuted.
 
 A card or IBAN candidate that fails validation is read again from and to each of its separators, the
 leftmost and then the longest valid reading first, and once more behind that.  Its pseudonyms are
@@ -26,7 +32,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 ROUNDS = 6
-DEFAULT_KEY = "tillroll"
+#: Session setting with the key of the query, and the published key it takes where that is unset: good for tests alone.
+KEY_CONF, TEST_KEY = "tillroll.pii.key", "tillroll"
 #: Days from 1900-01-01 that are permuted: EPOCHS x EPOCH_DAYS.
 FIRST_DAY, EPOCHS, EPOCH_DAYS = "1900-01-01", 250, 292
 
@@ -34,6 +41,8 @@ EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9](?:[A-Za
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 CARD = r"(?<![\d.,-])\d(?:[ -]?\d){12,18}(?![\d]|[.,-]\d)"
 PHONE = r"(?<![\d.])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d){5,9}(?!\d)|(?<![\d.+(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.+-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\d-])"
+# fixed values: country calling codes of one and two digits; the others have three, if not written otherwise
+COUNTRY = r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}|\d{1,2}(?=[ .(-])"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 ADDRESS = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"
 DAY = r"(?<![\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d/-]|\.\d)"
@@ -101,13 +110,27 @@ def permute_text(value: Column, tweak: Column, restore: bool) -> Column:
     return let(chars, lambda cs: F.array_join(F.zip_with(cs, feistel(F.transform(cs, code), F.transform(cs, base), tweak, restore), back), ""))
 
 
+def permute_spelled(value: Column, tweak: Column, restore: bool) -> Column:
+    """``permute_text`` of the letters and digits alone; what is between them is put back in its place."""
+    chars = F.filter(F.split(value, ""), lambda c: c != "")
+
+    def spelled(new: Column) -> Column:
+        def add(state: Column, c: Column) -> Column:
+            own = c.rlike("^[0-9A-Za-z]$")
+            return F.struct(F.concat(state["done"], F.when(own, F.substring(new, state["at"], F.lit(1))).otherwise(c)).alias("done"),
+                            (state["at"] + own.cast("int")).alias("at"))
+        return F.aggregate(chars, F.struct(F.lit("").alias("done"), F.lit(1).alias("at")), add, lambda state: state["done"])
+
+    return let(permute_text(F.regexp_replace(value, "[^0-9A-Za-z]", ""), tweak, restore), spelled)
+
+
 def _digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
 
 def _card(value: Column, tweak: Column, restore: bool) -> Column:
     """The network digit stays, the check digit is made anew, separators stay where they are."""
-    body = permute_text(F.substring(value, F.lit(2), F.length(value) - 2), tweak, restore)
+    body = permute_spelled(F.substring(value, F.lit(2), F.length(value) - 2), tweak, restore)
 
     def checked(kept: Column) -> Column:
         good = F.filter(F.split(F.lit("0,1,2,3,4,5,6,7,8,9"), ","), lambda d: F.call_function("luhn_check", F.concat(_digits(kept), d)))
@@ -129,7 +152,7 @@ def _compact(value: Column) -> Column:
 
 def _iban(value: Column, tweak: Column, restore: bool) -> Column:
     """The country stays, check digits are made anew, spaces stay where they are."""
-    body = permute_text(F.substring(value, F.lit(5), F.length(value)), tweak, restore)
+    body = permute_spelled(F.substring(value, F.lit(5), F.length(value)), tweak, restore)
     return let(body, lambda b: F.concat(F.substring(value, 1, 2), F.lpad(
         (98 - _mod97(F.concat(_compact(b), F.substring(value, 1, 2), F.lit("00")))).cast("string"), 2, "0"), b))
 
@@ -143,11 +166,16 @@ def _address(value: Column, tweak: Column, restore: bool) -> Column:
     return F.concat_ws(".", F.transform(moved, lambda x: x.cast("string")))
 
 
-_FORMATS = (("-", "yyyy-MM-dd"), ("/", "dd/MM/yyyy"), (".", "dd.MM.yyyy"))
+_FORMATS = (("-", "yyyy-MM-dd"), ("/", "dd/MM/yyyy"), (".", "dd.MM.yyyy"), ("/", "MM/dd/yyyy"))
+
+
+def _read(value: Column) -> list[Column]:
+    """The date by each format, null where it is none."""
+    return [F.when(F.contains(value, F.lit(mark)), F.try_to_timestamp(value, F.lit(form)).cast("date")) for mark, form in _FORMATS]
 
 
 def _date(value: Column) -> Column:
-    return F.coalesce(*[F.when(F.contains(value, F.lit(mark)), F.try_to_timestamp(value, F.lit(form)).cast("date")) for mark, form in _FORMATS])
+    return F.coalesce(*_read(value))
 
 
 def _day(value: Column, tweak: Column, restore: bool) -> Column:
@@ -155,10 +183,16 @@ def _day(value: Column, tweak: Column, restore: bool) -> Column:
 
     def moved(day: Column) -> Column:
         two = feistel(F.array(F.floor(day / EPOCH_DAYS).cast("int"), (day % EPOCH_DAYS).cast("int")), F.array(F.lit(EPOCHS), F.lit(EPOCH_DAYS)), tweak, restore)
-        return let(two, lambda t: F.date_add(first, t[0] * EPOCH_DAYS + t[1]))
+        return let(two, lambda t: t[0] * EPOCH_DAYS + t[1])
+
+    def month_first(day: Column) -> Column:
+        """Permuted until the day of the month is no month's number."""
+        again = lambda x, i: F.when((i > 1) & (F.dayofmonth(F.date_add(first, x)) > 12), x).otherwise(moved(x))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), day, again)
 
-    new = let(F.datediff(_date(value), first), moved)
-    return let(new, lambda d: F.coalesce(*[F.when(F.contains(value, F.lit(mark)), F.date_format(d, form)) for mark, form in _FORMATS]))
+    day, known = F.datediff(_date(value), first), [d.isNotNull() for d in _read(value)]
+    new = let(day, lambda d: F.date_add(first, F.when(known[0] | known[1] | known[2], moved(d)).otherwise(month_first(d))))
+    return let(new, lambda d: F.coalesce(*[F.when(k, F.date_format(d, form)) for k, (_, form) in zip(known, _FORMATS, strict=True)]))
 
 
 def _is_iban(value: Column) -> Column:
@@ -216,19 +250,21 @@ def _walked(value: Column, cuts: Column, key: str, restore: bool) -> Column:
 def pseudonym(value: Column, kind: Column, key: str, restore: bool = False) -> Column:
     tweak = F.concat_ws("|", F.lit(key), kind)
     local, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
-    national = F.regexp_extract(value, r"^(\+\d{1,3}(?=[ .(-])[ .-]?|\+\d)?(.*)$", 2)
+    national = F.regexp_extract(value, rf"^(\+(?:{COUNTRY})[ .-]?)?(.*)$", 2)
     return (F.when(kind == "email", F.concat(permute_text(local, tweak, restore), F.lit("@"), domain))
             .when(kind == "secret", F.concat(F.lit("AKIA"), permute_text(F.substring(value, F.lit(5), F.length(value)), tweak, restore)))
             .when(kind == "iban", _iban(value, tweak, restore))
             .when(kind == "date", _day(value, tweak, restore))
             .when(kind == "address", _address(value, tweak, restore))
             .when(kind == "card", _card(value, tweak, restore))
-            .when(kind == "phone", F.concat(F.substring(value, F.lit(1), F.length(value) - F.length(national)), permute_text(national, tweak, restore)))
+            .when(kind == "phone", F.concat(F.substring(value, F.lit(1), F.length(value) - F.length(national)), permute_spelled(national, tweak, restore)))
             .when(kind == "ssn", permute_text(value, tweak, restore)))
 
 
-def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = DEFAULT_KEY, restore: bool = False) -> DataFrame:
+def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str | None = None, restore: bool = False) -> DataFrame:
     """(id, text, found): the text with pseudonyms, and the kind of every value that was replaced, in order."""
+    if not key:
+        raise ValueError("a key is needed: whoever knows it can undo the pseudonyms")
     text = F.col("text")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.withColumn("values", F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))))
@@ -246,5 +282,6 @@ def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pseudonymise(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    key = spark.conf.get(KEY_CONF, TEST_KEY)
+    out = pseudonymise(spark.read.parquet(f"{sf_dir}/documents.parquet"), key=key)
     return out.select("doc_id", F.size("found").alias("n_found"), F.concat_ws(",", F.array_sort(F.array_distinct("found"))).alias("kinds"), "text")
