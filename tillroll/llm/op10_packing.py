@@ -3,9 +3,11 @@
 Documents become runs of token ids (an end id after each); a run longer than the capacity is cut,
 from its end, into full pieces, so only its first piece may be shorter.  Pieces below the capacity
 are packed by bin completion: take the largest length left, search the fillings around it by branch
-and bound (larger pieces first, so dominated fillings come later; a branch is pruned when even
-filling it up wastes no less than the incumbent; the incumbent starts as the best-fit filling), and
-repeat that pattern as often as the counts allow.
+and bound, and repeat that pattern as often as the counts allow.  The incumbent starts as the best-fit
+filling; a branch is pruned when all that could still be added wastes no less, and a filling is
+dominated, so not tried, when one piece at hand is as long as two of its pieces.  A search stops with
+its incumbent after ``NODES`` nodes.  The whole plan is held against best-fit decreasing, the first
+incumbent, and the one of fewer sequences is taken, so the result is never the worse of the two.
 
 The search sees only how many pieces there are of each length - at most ``capacity - 1`` numbers,
 whatever the input - and gives patterns over lengths.  Spark counts the lengths, and then deals
@@ -19,8 +21,9 @@ often as they occur; an empty table gives an empty result; other columns are not
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -64,39 +67,75 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
 
 
 def _filling(room: int, sizes: list[int], left: dict[int, int]) -> list[int]:
-    """The pieces that fill ``room`` best, by branch and bound over fillings; sizes ascend."""
+    """The pieces that fill ``room`` best, by branch and bound over undominated fillings; sizes ascend."""
+    volume = list(accumulate(size * left[size] for size in sizes))
     best: list[int] = []
     best_waste, nodes = room, 0
-
-    def grow(rest: int, largest: int, chosen: list[int], used: dict[int, int]) -> bool:
+    at = bisect_right(sizes, room)
+    while at:  # best fit: the largest that fits, again and again
+        size = sizes[at - 1]
+        if k := min(best_waste // size, left[size]):
+            best += [size] * k
+            best_waste -= size * k
+        at = bisect_right(sizes, best_waste, hi=at - 1)
+
+    def grow(rest: int, stop: int, chosen: list[int], used: dict[int, int]) -> bool:
         nonlocal best, best_waste, nodes
         if rest < best_waste:
             best, best_waste = list(chosen), rest
-        at = bisect_right(sizes, min(rest, largest))
-        for i in range(at - 1, -1, -1):
+        for i in range(bisect_right(sizes, rest, hi=stop) - 1, -1, -1):
+            if not best_waste or nodes > NODES:
+                return True
+            # this size and the smaller ones together; the sums shrink with i
+            if rest - volume[i] >= best_waste:
+                break
             size = sizes[i]
-            if used.get(size, 0) >= left[size]:
+            if used.get(size, 0) >= left[size] or any(left.get(c + size, 0) > used.get(c + size, 0) for c in chosen):
                 continue
             nodes += 1
-            # all that can still be added are pieces of at most `size`; too few of them, no better
-            if i == 0 and rest - size * (left[size] - used.get(size, 0)) >= best_waste:
-                break
             chosen.append(size)
             used[size] = used.get(size, 0) + 1
-            done = grow(rest - size, size, chosen, used)
+            grow(rest - size, i + 1, chosen, used)
             chosen.pop()
             used[size] -= 1
-            if done or nodes > NODES:
-                return True
         return best_waste == 0
 
-    grow(room, room, [], {})
+    grow(room, len(sizes), [], {})
     return best
 
 
+def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
+    """The plan of best-fit decreasing, found for all pieces of a length at once.
+
+    A sequence that a piece fits best stays the best for the next of that length, so each sequence
+    of a kind takes as many as it has room for, and at most one of them is left half done."""
+    kinds: list[tuple[int, int, dict[int, int], int]] = []  # (room, number, pattern, times) by room
+    number = 0
+    for size in sorted(counts, reverse=True):
+        n, changed = counts[size], []
+        at = bisect_left(kinds, (size, -1))
+        while n:
+            room, _, pattern, times = kinds.pop(at) if at < len(kinds) else (capacity, 0, {}, n)
+            each = room // size
+            full = min(times, n // each)
+            rest = 0 if full == times else n - full * each
+            for k, many in ((each, full), (rest, 1 if rest else 0)):
+                if many:
+                    number += 1
+                    changed.append((room - k * size, number, {**pattern, size: k}, many))
+            n -= full * each + rest
+            if pattern and (spare := times - full - (1 if rest else 0)):
+                number += 1
+                changed.append((room, number, pattern, spare))
+        for kind in changed:
+            insort(kinds, kind)
+    return [(pattern, times) for _, _, pattern, times in kinds]
+
+
 def patterns(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
     """(pieces of each length, times) in order: what each sequence holds, and how many such there are."""
-    left = {size: n for size, n in counts.items() if n}
+    counts = {size: n for size, n in counts.items() if n}
+    left = dict(counts)
     sizes, out = sorted(left), []
     while sizes:
         top = sizes[-1]
@@ -109,7 +148,7 @@ def patterns(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int]
             left[size] -= k * times
         sizes = [size for size in sizes if left[size]]
         out.append((pattern, times))
-    return out
+    return min(out, best_fit(counts, capacity), key=lambda plan: sum(times for _, times in plan))
 
 
 def slots(plan: list[tuple[dict[int, int], int]], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
@@ -142,7 +181,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
                                    "length long, from_rank long, to_rank long, first long, per long, place long")
     own = Window.partitionBy("bucket", "length").orderBy("doc_id", "piece", "ids_crc32")
     ranked = (cut.withColumn("own_rank", F.row_number().over(own) - 1)
-              .join(by_bucket.select("bucket", "length", "before"), ["bucket", "length"])
+              .join(by_bucket.select("bucket", "length", "before").hint("merge"), ["bucket", "length"])  # grows with the buckets: not to be broadcast
               .withColumn("rank", F.col("before") + F.col("own_rank")))
     at = F.col("rank") - F.col("from_rank")
     out = (ranked.join(F.broadcast(places.withColumnRenamed("length", "size")),
