@@ -113,7 +113,7 @@ def _v(cond):
 
 cte("traffic", ["ev"], f"""
 SELECT strftime(date, '%Y%m%d') AS event_date,
-  {pick(FXT.SOURCE_MEDIUMS, 'k % 25')} AS source_medium,
+  {pick(FXT.SOURCE_MEDIUMS, f'k % {len(FXT.SOURCE_MEDIUMS)}')} AS source_medium,
   {pick(FXT.SOCIAL_CAMPAIGNS, 'k // 25')} AS campaign,
   {pick(FXT.DEVICES, 'u % 4')} AS device,
   {pick(FXT.COUNTRIES, 'u % 25')} AS country,
@@ -127,7 +127,7 @@ FROM (SELECT date, k, user_id % 100 AS u, count(*) * 10 AS sessions,
       FROM ev GROUP BY date, k, user_id % 100)""")
 
 cte("ads", ["ev"], f"""
-SELECT date, k % 4 AS platform, (k // 4) % 4 AS ci, {pick(FXT.COUNTRIES, 'user_id % 25')} AS country,
+SELECT date, k % 4 AS platform, (k // 4) % {len(FXT.SEARCH_CAMPAIGNS)} AS ci, {pick(FXT.COUNTRIES, 'user_id % 25')} AS country,
   CAST(sum(CAST(value AS {M2})) AS {M2}) AS spend, count(*) * 100 AS impressions, count(*) * 3 AS clicks,
   {_n("event_type = 'purchase'")} AS conv,
   CAST({_v("event_type = 'purchase'")} * 2 AS {M2}) AS conv_value,
@@ -136,10 +136,10 @@ SELECT date, k % 4 AS platform, (k // 4) % 4 AS ci, {pick(FXT.COUNTRIES, 'user_i
   {_n("event_type = 'purchase'")} + {_n("event_type = 'signup'")} AS conv_28d,
   CAST({_v("event_type = 'purchase'")} * 2 + {_v("event_type = 'signup'")} AS {M2}) AS conv_value_28d,
   {_n("event_type = 'click'")} * 2 AS link_clicks, count(*) * 60 AS reach
-FROM ev GROUP BY date, k % 4, (k // 4) % 4, user_id % 25""")
+FROM ev GROUP BY date, k % 4, (k // 4) % {len(FXT.SEARCH_CAMPAIGNS)}, user_id % 25""")
 
 cte("meta", ["ads"], f"""
-SELECT date, {pick(FXT.SOCIAL_CAMPAIGNS, 'ci')} AS campaign_name, country, spend, impressions, clicks,
+SELECT date, {pick(FXT.SOCIAL_CAMPAIGNS, 'ci % 4')} AS campaign_name, country, spend, impressions, clicks,
   link_clicks, reach, conv_1d AS purchase_1d, conv AS purchase_7d, conv_28d AS purchase_28d,
   conv_value_1d AS purchase_value_1d, conv_value AS purchase_value_7d, conv_value_28d AS purchase_value_28d
 FROM ads WHERE platform = 0""")
@@ -152,7 +152,7 @@ SELECT date, {pick(FXT.SEARCH_CAMPAIGNS, 'ci')} AS campaign_name,
 FROM ads WHERE platform = {_p}""")
 
 cte("tiktok", ["ads"], f"""
-SELECT date, {pick(FXT.SOCIAL_CAMPAIGNS, 'ci')} AS campaign_name, country, spend, impressions, clicks,
+SELECT date, {pick(FXT.SOCIAL_CAMPAIGNS, 'ci % 4')} AS campaign_name, country, spend, impressions, clicks,
   conv AS conversions_7d, conv_value AS conversion_value_7d
 FROM ads WHERE platform = 3""")
 

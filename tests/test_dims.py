@@ -7,16 +7,7 @@ from pyspark.sql import functions as F
 
 from tillroll import model as M
 from tillroll.functions import dims as D
-from tillroll.sources.fixtures import SOURCE_MEDIUMS
-
-# expected channel for each test source/medium string, in order
-EXPECTED_CHANNELS = [
-    "Organic Search", "Direct", "Paid Search", "Paid Social", "Paid Social", "Email",
-    "Paid Search", "Organic Social", "Paid Shopping", "Paid Social", "Display",
-    "Organic Shopping", "Organic Social", "Organic Video", "Affiliates", "Referral", "SMS",
-    "Paid Other", "Organic Social", "Unassigned", "Paid Video", "Paid Social", "Paid Other",
-    "Paid Social", "Unassigned"]
-
+from tillroll.sources.fixtures import SEARCH_CAMPAIGNS_BY_TYPE, SOURCE_MEDIUMS, TRAFFIC_BY_CHANNEL
 
 def _eval(spark, values, fn, schema="v string"):
     df = spark.createDataFrame([(v,) for v in values], schema)
@@ -25,13 +16,25 @@ def _eval(spark, values, fn, schema="v string"):
 
 def test_channel_every_branch(spark):
     got = _eval(spark, SOURCE_MEDIUMS, D.channel)
-    assert got == EXPECTED_CHANNELS
+    assert got == [channel for channel, texts in TRAFFIC_BY_CHANNEL.items() for _ in texts]
     assert set(got) >= {"Direct", "Paid Search", "Paid Shopping", "Paid Social", "Paid Video",
                         "Display", "Paid Other", "Organic Shopping", "Organic Social",
                         "Organic Video", "Organic Search", "Email", "Affiliates", "Referral",
                         "SMS", "Unassigned"}
 
 
+def test_search_campaigns_of_every_type(spark):
+    cases = [(name, kind, want) for want, group in SEARCH_CAMPAIGNS_BY_TYPE.items() for name, kind in group]
+    df = spark.createDataFrame(cases, "name string, kind string, want string")
+    assert [r.got for r in df.select(D.campaign_type(F.col("name"), "Paid Search", F.col("kind")).alias("got")).collect()] == [c[2] for c in cases]
+
+
+def test_fixture_strings_meet_every_platform_rule(spark):
+    pairs = [tuple(part.strip() for part in text.split("/", 1)) for text in SOURCE_MEDIUMS if text.count("/") == 1]
+    assert all(any(word in s and m in mediums for s, m in pairs) for word, mediums, _ in M.PLATFORM_RULES)
+    assert set(_eval(spark, SOURCE_MEDIUMS, D.platform)) == {p for _, _, p in M.PLATFORM_RULES} | {M.PLATFORM_FALLBACK}
+
+
 def test_channel_staged_equals_expression(spark):
     df = spark.createDataFrame([(v,) for v in SOURCE_MEDIUMS + [None, "  Google / CPC\t"]],
                                "source_medium string")

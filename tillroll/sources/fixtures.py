@@ -25,19 +25,41 @@ MONEY = "decimal(18,2)"
 COUNTRIES = ["GB", "United States", "us", " DE ", "France", "IE", "Australia", "CA", "IT",
              "Spain", "NO", "Poland", "JP", "Brazil", "USA", "United Kingdom", "UK",
              "Germany", "FR", "XK", "NZ", "IN", "", "Vatican City", None]
-SOURCE_MEDIUMS = ["google / organic", "(direct) / (none)", "google / cpc",
-                  "facebook / paid_social", "tiktok / paid_social", "klaviyo / email",
-                  "bing / cpc", "instagram / referral", "amazon / cpc", "youtube / paid",
-                  "partner / cpm", "etsy / referral", "t.co / social", "vimeo / video",
-                  "awin / affiliate", "blog.example / referral", "sms / text",
-                  "newsletter / retargeting", "www.youtube.com / referral", "foo",
-                  "vimeo / cpc", "instagram / paid_social", "microsoft / ppc",
-                  "fb / paid_social", "a / b / c"]
+#: traffic strings by the channel whose rule each must meet (first match wins), some of them at the
+#: edge of two rules: a subdomain, a paid medium at a source without category, a display medium at a
+#: video source, a string without or with a second slash
+TRAFFIC_BY_CHANNEL = {
+    "Direct": ["direct / none", "(direct) / (not set)"],
+    "Paid Search": ["bing / ppc", "google.co.uk / cpc", "ecosia / paidsearch"],
+    "Paid Shopping": ["ebay / cpc", "shopping.example / ppc"],
+    "Paid Social": ["pinterest / paid", "reddit / cpc", "m.facebook.com / paid_social",
+                    "instagram.com / paid_social", "fb / paid_social", "tiktok.com / paid_social"],
+    "Paid Video": ["dailymotion / cpv", "twitch / cpm"],
+    "Display": ["outdoorclub / interstitial", "trailmap / cpm"],
+    "Paid Other": ["microsoft / cpc", "slopeweekly / retargeting"],
+    "Organic Shopping": ["ebay.de / referral"],
+    "Organic Social": ["reddit / link", "bikeforum / sm", "www.pinterest.com / referral"],
+    "Organic Video": ["twitch / referral", "campervlog / video"],
+    "Organic Search": ["qwant / referral", "metasearch / organic", "search.brave / web"],
+    "Email": ["spring-letter / e-mail", "klaviyo / flow"],
+    "Affiliates": ["dealfinder / affiliates"],
+    "Referral": ["slopeguide.example / link", "partnershop / app"],
+    "SMS": ["textline / sms", "sms / reminder"],
+    "Unassigned": ["(unknown)", "qr-code / flyer / window"],
+}
+SOURCE_MEDIUMS = [text for texts in TRAFFIC_BY_CHANNEL.values() for text in texts]
 DEVICES = ["mobile", "Desktop", "tablet", "smarttv"]
 SOCIAL_CAMPAIGNS = ["Harbour_tofu_video", "Harbour_bofu_basket", "Lantern_mofu_stories",
                     "Lantern"]
-SEARCH_CAMPAIGNS = ["tillroll brand exact", "hillwalking terms", "whole catalogue", "price feed"]
-SEARCH_CAMPAIGN_TYPES = ["SEARCH", "SEARCH", "PERFORMANCE_MAX", "SHOPPING"]
+#: (name, platform type) by the campaign type that the rules must give
+SEARCH_CAMPAIGNS_BY_TYPE = {
+    "Other": [("Clearance shelf", "DISPLAY"), ("Winter demand", "DEMAND_GEN"), ("untyped trial", None)],
+    "Search": [("helmets near me", "search"), ("base layers, long tail", "SEARCH")],
+    "Brand": [("Branded waterproofs", "PERFORMANCE_MAX"), ("rival brandnames", None)],
+    "PMAX": [("Gloves, all regions", "Performance_Max")],
+}
+SEARCH_CAMPAIGNS = [name for group in SEARCH_CAMPAIGNS_BY_TYPE.values() for name, _ in group]
+SEARCH_CAMPAIGN_TYPES = [kind for group in SEARCH_CAMPAIGNS_BY_TYPE.values() for _, kind in group]
 WAREHOUSES = ["UK", "EU", "US"]
 EMAIL_SENDS = [("campaign", "Monday picks"), ("flow", "Size guide"), ("flow", "Birthday"),
                ("campaign", "Autumn lookbook"), ("flow", "Loyalty tier reached"),
@@ -231,7 +253,7 @@ class DriverFeeds:
             self._v(et == "purchase").alias("purchase_revenue"))
         return g.select(
             F.date_format("date", "yyyyMMdd").alias("event_date"),
-            pick(SOURCE_MEDIUMS, F.col("k") % 25).alias("source_medium"),
+            pick(SOURCE_MEDIUMS, F.col("k") % len(SOURCE_MEDIUMS)).alias("source_medium"),
             pick(SOCIAL_CAMPAIGNS, F.floor(F.col("k") / 25)).alias("campaign"),
             pick(DEVICES, F.col("u") % 4).alias("device"),
             pick(COUNTRIES, F.col("u") % 25).alias("country"),
@@ -245,7 +267,7 @@ class DriverFeeds:
             et = F.col("event_type")
             purchase = et == "purchase"
             g = e.groupBy("date", (F.col("k") % 4).alias("platform"),
-                          (F.floor(F.col("k") / 4) % 4).alias("ci"),
+                          (F.floor(F.col("k") / 4) % len(SEARCH_CAMPAIGNS)).alias("ci"),
                           (F.col("user_id") % 25).alias("ui")).agg(
                 F.sum(money("value")).cast(MONEY).alias("spend"),
                 (F.count(F.lit(1)) * 100).alias("impressions"),
@@ -267,7 +289,7 @@ class DriverFeeds:
 
     def meta(self) -> DataFrame:
         g = self._ads(0)
-        return g.select("date", pick(SOCIAL_CAMPAIGNS, F.col("ci")).alias("campaign_name"),
+        return g.select("date", pick(SOCIAL_CAMPAIGNS, F.col("ci") % 4).alias("campaign_name"),
                         "country", "spend", "impressions", "clicks", "link_clicks", "reach",
                         F.col("conv_1d").alias("purchase_1d"), F.col("conv").alias("purchase_7d"),
                         F.col("conv_28d").alias("purchase_28d"),
@@ -291,7 +313,7 @@ class DriverFeeds:
 
     def tiktok(self) -> DataFrame:
         g = self._ads(3)
-        return g.select("date", pick(SOCIAL_CAMPAIGNS, F.col("ci")).alias("campaign_name"),
+        return g.select("date", pick(SOCIAL_CAMPAIGNS, F.col("ci") % 4).alias("campaign_name"),
                         "country", "spend", "impressions", "clicks",
                         F.col("conv").alias("conversions_7d"),
                         F.col("conv_value").alias("conversion_value_7d"))
