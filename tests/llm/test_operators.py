@@ -232,6 +232,43 @@ def test_decontamination(spark, docs, empty):
     assert op6_decontamination.contained_items(empty, items).count() == 0 and op6_decontamination.contained_items(docs, items.limit(0)).count() == 0
 
 
+def test_decontamination_equals_brute_force(spark):
+    r = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(60)] + ["é", "ÄÖ", "日本"]
+
+    def shingles(text, k):
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        return {tuple(w[i:i + k]) for i in range(len(w) - k + 1)}, len(w)
+
+    items = [(i, " ".join(r.choices(vocabulary, k=size))) for i, size in enumerate([1, 1, 2, 3, 4, 5, 6, 7, 8, 9, 12, 16, 17, 31, 40, 80, 200])]
+    items += [(100, items[10][1].upper()), (101, items[10][1]), (None, items[8][1]), (102, " ".join(["same"] * 30)), (103, None), (104, " \t ")]
+    docs = [(0, None), (1, ""), (None, items[5][1]), (2, " ".join(i[1] or "" for i in items))]  # the last holds the whole benchmark
+    for n in range(120):
+        _, text = r.choice(items[:17])
+        words = text.split()
+        for _ in range(r.randint(0, 1 + len(words) // 12)):
+            words[r.randrange(len(words))] = r.choice(["other", "more"])
+        around = r.choices(vocabulary + ["x", "y"], k=r.randint(0, 400))
+        docs.append((n + 3, " ".join(around + words + around[:50])))
+    docs += docs[10:20]
+    want = []
+    for doc, text in docs:
+        for item, inside in items:
+            n = shingles(inside, 1)[1]
+            if n:
+                full = shingles(inside, min(n, 5))[0]
+                common = len(full & shingles(text, min(n, 5))[0])
+                if 5 * common >= 4 * len(full):
+                    want.append((doc, item, common, len(full), common / len(full)))
+    table = spark.createDataFrame([(*d, "extra") for d in docs], "doc_id long, text string, digest string")
+    benchmark = spark.createDataFrame(items, "item_id int, text string")
+    got = op6_decontamination.contained_items(table, benchmark)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    kept = op6_decontamination.decontaminate(table, benchmark.filter("item_id >= 10"))
+    leaking = {doc for doc, item, *_ in want if item is not None and item >= 10}
+    assert kept.columns == table.columns and sorted(x.doc_id or -1 for x in kept.collect()) == sorted(d or -1 for d, _ in docs if d is None or d not in leaking)
+
+
 def test_token_counts_and_packing(spark, docs, empty):
     import public_tokenizers
     from tokenizers import Tokenizer
