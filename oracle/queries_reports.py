@@ -77,6 +77,23 @@ reg("period_totals", f"""SELECT period, side, {', '.join(f'{S.metric(m)} AS {m}'
   FROM (VALUES {_prow}) p(period, side, s, e) LEFT JOIN fact f ON f.date BETWEEN p.s AND p.e
   GROUP BY p.period, p.side)""", "fact")
 
+# custom ranges, stated as dates
+_ranges = ", ".join(f"('{n}', DATE '{a}', DATE '{b}')" for n, a, b in [
+    ("inside", "1997-11-05", "1998-02-14"), ("from before", "1980-01-01", "1996-07-04"), ("to after", "1998-01-20", "2031-05-06"),
+    ("one day", "1998-03-03", "1998-03-03"), ("before all", "1970-01-01", "1971-01-01"), ("after all", "2040-01-01", "2041-01-01"),
+    ("turned round", "1998-03-03", "1998-02-01"), ("everything", "1900-01-01", "2100-01-01")])
+reg("range_totals", f"""SELECT label, {', '.join(f'{S.metric(m)} AS {m}' for m in M.ALL_METRICS)} FROM
+ (SELECT r.label, {', '.join(f'{S.base_sum("f." + b)} AS {b}' for b in BASES)}
+  FROM (VALUES {_ranges}) r(label, s, e) LEFT JOIN fact f ON f.date BETWEEN r.s AND r.e
+  GROUP BY r.label)""", "fact")
+
+_explored = [["geo_market"], ["marketing_channel_group", "device"], ["source", "geo_region"],
+             ["source", "marketing_channel_group", "marketing_channel", "paid_ad_platform", "paid_campaign_type",
+              "geo_region", "geo_market", "device"]]
+reg("explorer_lattice", "\nUNION ALL\n".join(
+    f"SELECT '{'+'.join(d)}' AS dims, concat_ws('|', {', '.join(d)}) AS key, {', '.join(M.ALL_METRICS)} FROM "
+    f"({agg_sql(d, M.ALL_METRICS, 'fact', between(CUR))})" for d in _explored), "fact")
+
 _lo = "(SELECT min(date) FROM fact)"
 _hi = "(SELECT max(date) FROM fact)"
 _custom = (f"greatest({_lo}, least({_hi}, DATE '1998-01-20'))",

@@ -10,6 +10,7 @@ from tillroll.functions import metrics as MX
 from tillroll.functions import periods as P
 from tillroll.functions.dims import period_start
 from tillroll.operators import compare as C
+from tillroll.plans.prefix_sums import range_totals
 
 
 def _labelled(g: DataFrame, label_expr, metrics: list[str], extra, blocks: list) -> DataFrame:
@@ -59,25 +60,9 @@ def kpi_summary(fact: DataFrame, cur, cmp, targets=None, filters=None,
     return C.kpi_rows(fact, metrics, cur, cmp, targets, filters)
 
 
-def period_totals(fact: DataFrame, ref, metrics: list[str], filters=None) -> DataFrame:
-    """Every quick selector (current, last year, prior) from one scan.
-
-    The 36-row period table is broadcast into a range join on date (its size is
-    fixed by the selector list), then one aggregate by (period, side)."""
-    spark = fact.sparkSession
-    periods = P.period_table(spark, ref)
-    bases = MX.inputs_for(metrics)
-    rows = P.period_rows(ref)
-    f = C.in_days(C.dim_filter(fact, filters), (min(r[2] for r in rows), max(r[3] for r in rows)))
-    # one row per day (bounded by the calendar) before the days meet the periods
-    f = f.groupBy("date").agg(*[F.sum(b).alias(b) for b in bases])
-    j = f.join(F.broadcast(periods),
-               (f["date"] >= periods["start"]) & (f["date"] <= periods["end"]))
-    # every (period, side) appears even when its range has no rows (sums 0)
-    j = j.select("period", "side", *bases).unionByName(
-        periods.select("period", "side"), allowMissingColumns=True)
-    g = j.groupBy("period", "side").agg(*C.sums(bases))
-    return g.select("period", "side", *C.metric_cols(metrics))
+def period_totals(prefix: DataFrame, ref, metrics: list[str]) -> DataFrame:
+    """Every quick selector (current, last year, prior) from a table of day prefix sums: two rows a range."""
+    return range_totals(prefix, P.period_rows(ref), metrics, ["period", "side"])
 
 
 def sparkline(fact: DataFrame, metric: str, start, end, filters=None) -> DataFrame:

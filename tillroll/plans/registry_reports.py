@@ -16,8 +16,10 @@ from tillroll.plans import ecommerce as E
 from tillroll.plans import finance as FI
 from tillroll.plans import orders as OR
 from tillroll.plans import paid_seo as PS
+from tillroll.plans import lattice as LT
 from tillroll.plans import product as PR
 from tillroll.plans.common import union_all
+from tillroll.plans.prefix_sums import range_totals
 from tillroll.plans.registry import out
 from tillroll.plans import refresh as RF
 from tillroll.sources import io as IO
@@ -28,7 +30,36 @@ SUMMARY = M.KPI_GROUPS["Overview Metrics"] + M.KPI_GROUPS["Funnel Metrics"]
 # ── periods, KPIs, targets, trends ─────────────────────────────────────
 @query("period_totals")
 def q_period_totals(ws):
-    return E.period_totals(ws.fact, REF, ["revenue", "orders", "visits", "conversion_rate"])
+    return E.period_totals(ws.prefix_sums, REF, ["revenue", "orders", "visits", "conversion_rate"])
+
+
+# ranges as a user may pick them: inside, across the first and the last day, one day, outside, turned round
+RANGES = [("inside", dt.date(1997, 11, 5), dt.date(1998, 2, 14)), ("from before", dt.date(1980, 1, 1), dt.date(1996, 7, 4)),
+          ("to after", dt.date(1998, 1, 20), dt.date(2031, 5, 6)), ("one day", dt.date(1998, 3, 3), dt.date(1998, 3, 3)),
+          ("before all", dt.date(1970, 1, 1), dt.date(1971, 1, 1)), ("after all", dt.date(2040, 1, 1), dt.date(2041, 1, 1)),
+          ("turned round", dt.date(1998, 3, 3), dt.date(1998, 2, 1)), ("everything", dt.date(1900, 1, 1), dt.date(2100, 1, 1))]
+
+
+@query("range_totals")
+def q_range_totals(ws):
+    """Every metric over custom ranges, two rows of the prefix sums each."""
+    return range_totals(ws.prefix_sums, RANGES, M.ALL_METRICS, ["label"])
+
+
+EXPLORER_DIMS = list(LT.ROLLUPS["explorer"])
+EXPLORED = [["geo_market"], ["marketing_channel_group", "device"], ["source", "geo_region"], EXPLORER_DIMS]
+
+
+@query("explorer_lattice")
+def q_explorer_lattice(ws):
+    """All metrics by sets of dimensions, each from the smallest roll-up that has them."""
+    parts = []
+    for dims in EXPLORED:
+        table = ws.lattice.choose(dims)[1]
+        bases = list(M.BASE_METRICS)
+        sums = C.apply_filters(table, *CUR).groupBy(*dims).agg(*C.sums(bases))
+        parts.append(sums.select(F.lit("+".join(dims)).alias("dims"), F.concat_ws("|", *dims).alias("key"), *C.metric_cols(M.ALL_METRICS)))
+    return union_all(parts)
 
 
 CUSTOM = (dt.date(1998, 1, 20), dt.date(2003, 12, 31))

@@ -24,10 +24,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tillroll import model as M
 from tillroll.operators import facts as FX
 from tillroll.operators import lanes as L
 from tillroll.operators.compare import STORED_MONTH, month_number
+from tillroll.plans import lattice as LT
 from tillroll.plans.customer_state import customer_state
+from tillroll.plans.prefix_sums import prefix_sums
 from tillroll.sources.fixtures import REF_DATE, DriverFeeds
 from tillroll.sources.io import path_exists, scratch_path
 
@@ -45,6 +48,8 @@ LANDED = ["inventory", "returns", "traffic_items", "meta", "google", "microsoft"
 FOOTER_TABLES = {"orders": "orders", "line_items": "lines_base", "traffic": "traffic"}
 FACT_PROPERTIES = {"fact": "fact", "fact_product": "product_fact", "fact_email": "email_fact", "fact_seo": "seo_fact",
                    "fact_orderbank": "orderbank"}
+# small tables by day: files and row groups follow the days
+BY_DAY = ("rollup_", "prefix_sums")
 FOOTERS = {"spark.sql.sources.useV1SourceList": "avro,csv,json,kafka,orc,text", "spark.sql.parquet.aggregatePushdown": "true"}
 
 
@@ -98,6 +103,7 @@ class Workspace:
         self.feeds = DriverFeeds(spark, self.sf_dir, store=self._store if materialize else None)
         self.ref = REF_DATE
         self._facts: dict[str, DataFrame] = {}
+        self._lattice: LT.Lattice | None = None
 
     # ── model build ──────────────────────────────────────────────────────
     def _key(self, name: str) -> tuple:
@@ -117,6 +123,8 @@ class Workspace:
                     write_by_month(df, path, order)
                     schema = schema.add(STORED_MONTH, T.IntegerType())
                 else:
+                    if name.startswith(BY_DAY):
+                        df = df.repartitionByRange("date").sortWithinPartitions("date")
                     df.write.mode("overwrite").parquet(path)
                 _BUILT[key] = path, schema
         # the declared schema makes an empty table (no file) legal
@@ -133,6 +141,9 @@ class Workspace:
             self.feed(name)
         self.fact, self.product_fact, self.orders  # noqa: B018
         self.email_fact, self.seo_fact, self.orderbank, self.customer_state  # noqa: B018
+        for name in LT.ROLLUPS:
+            self.lattice.rollup(name)
+        self.prefix_sums  # noqa: B018
 
     # ── feeds and facts ──────────────────────────────────────────────────
     def feed(self, name: str) -> DataFrame:
@@ -179,6 +190,26 @@ class Workspace:
     def customer_state(self) -> DataFrame:
         return self._memo("customer_state", lambda: customer_state(self.orders))
 
+    @property
+    def lattice(self) -> LT.Lattice:
+        """Roll-ups of the stacked fact, each stored when it is first asked for."""
+        def store(name: str, build) -> tuple[DataFrame, int]:
+            table = self._memo(f"rollup_{name}", build)
+            if not self.materialize:
+                return table, len(LT.ROLLUPS[name])  # nothing is written to count: fewer dimensions count as smaller
+            with footers_only(self.spark):
+                path, schema = _BUILT[self._key(f"rollup_{name}")]
+                return table, self.spark.read.schema(schema).parquet(path).agg(F.count(F.lit(1))).first()[0]
+
+        if self._lattice is None:
+            self._lattice = LT.Lattice(lambda: self.fact, store)
+        return self._lattice
+
+    @property
+    def prefix_sums(self) -> DataFrame:
+        """Running sums of every base metric by day, from the roll-up by day."""
+        return self._memo("prefix_sums", lambda: prefix_sums(self.lattice.rollup("day"), list(M.BASE_METRICS)))
+
     @property
     def email_fact(self) -> DataFrame:
         return self._memo("fact_email", lambda: FX.email_fact(self.feed("email")))
