@@ -125,6 +125,31 @@ def test_ngram_join(docs, empty, monkeypatch, k, percent, frequent, chunk):
     assert op3_ngram_join.linked(empty).count() == 0
 
 
+@pytest.mark.parametrize("k,percent", [(4, 85), (5, 80)])
+def test_every_link_and_the_number_of_links(spark, docs, empty, monkeypatch, k, percent):
+    monkeypatch.setattr(op3_ngram_join, "FREQUENT", 8)
+    monkeypatch.setattr(op3_ngram_join, "CHUNK", 16)
+    r = random.Random(7)
+    base = [f"g{i}" for i in range(120)]
+    group = []
+    for i in range(60):  # a group of near copies that reach each other, not all of them directly
+        words = list(base)
+        for at in r.sample(range(120), r.randint(0, 4)):
+            words[at] = f"edit{i}_{at}"
+        group.append((10_000 + i, " ".join(words)))
+    table = docs.select("doc_id", "text").unionAll(spark.createDataFrame(group + group[:5], docs.select("doc_id", "text").schema))
+    rows = [(d.doc_id, frozenset(shingle_set(d.text, k))) for d in table.collect()]
+    want = [sum(i != j and bool(x) and bool(y) and 100 * len(x & y) >= percent * len(x | y) for j, (_, y) in enumerate(rows)) for i, (_, x) in enumerate(rows)]
+    pairs, got = op3_ngram_join.links(table, k=k, percent=percent)
+    held = got.collect()
+    assert sorted(((g.doc_id or -1), g.n_shingles, g.n_links) for g in held) == sorted(((d or -1), len(x), n) for (d, x), n in zip(rows, want, strict=True))
+    sets = {x for _, x in rows if x}
+    links = {frozenset((x, y)) for x in sets for y in sets if x != y and 100 * len(x & y) >= percent * len(x | y)}
+    listed = [(p.a, p.b) for p in pairs.collect()]
+    assert links and len(listed) == len(set(listed)) == len(links) and {x for p in listed for x in p} <= {g.set_id for g in held}
+    assert [x.count() for x in op3_ngram_join.links(empty)] == [0, 0]
+
+
 def test_small_sets_meet_whatever_their_hashes(spark):
     rows, want = [], []
     for i in range(3000):

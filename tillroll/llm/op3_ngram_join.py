@@ -353,8 +353,8 @@ def _searched(told: DataFrame, full: DataFrame, percent: int, forest: bool) -> D
     return rows.select("block", "p", "q", "own", "sid", "label", "vec", "odd").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, percent: int = PERCENT) -> DataFrame:
-    """(id, n_shingles, component_id) of every row; the component is the smallest id reachable by links."""
+def _blocked(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Nodes (doc_id, n, sid), pairs (a, b) of small blocks, members (block, sid) of larger ones, and the sets in either."""
     spark = docs.sparkSession
     buckets = 4 * tasks(spark)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -371,7 +371,12 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
 
     asked = pairs.select(F.explode(F.array("a", "b")).alias("sid")).unionAll(members.select("sid"))
     full = store(_full_sets(source, B.membership(asked, "sid"), k), "sets")
+    return nodes, pairs, members, full
+
 
+def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, percent: int = PERCENT) -> DataFrame:
+    """(id, n_shingles, component_id) of every row; the component is the smallest id reachable by links."""
+    nodes, pairs, members, full = _blocked(docs, id_col, text_col, k, percent)
     alone = members.select("block", "sid", F.col("sid").alias("label"))
     near = bounded(pairs, full, percent).unionByName(_searched(alone, full, percent, forest=True)).distinct()
     first = store(verified(near, full, percent), "links")
@@ -389,5 +394,23 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
     return nodes.join(found, "sid", "left").select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """The whole join: every link (a, b) between different sets, a < b, and (id, n_shingles, set_id, n_links) of every row.
+
+    ``set_id`` is null for an empty set; ``n_links`` counts the other rows linked directly, copies among
+    them.  All blocks are searched for all their pairs, so the work grows with the number of links."""
+    nodes, pairs, members, full = _blocked(docs, id_col, text_col, k, percent)
+    alone = members.select("block", "sid", F.col("sid").alias("label"))
+    near = bounded(pairs, full, percent).unionByName(_searched(alone, full, percent, forest=False))
+    near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()  # the two order sets apart
+    found = store(verified(near, full, percent), "all-links")
+    copies = nodes.filter("sid IS NOT NULL").groupBy("sid").agg(F.count("*").alias("rows"))
+    both = found.select(F.col("a").alias("sid"), F.col("b").alias("other")).unionByName(found.select(F.col("b").alias("sid"), F.col("a").alias("other")))
+    far = both.join(copies.withColumnsRenamed({"sid": "other", "rows": "others"}), "other").groupBy("sid").agg(F.sum("others").alias("others"))
+    counts = copies.join(far, "sid", "left").select("sid", (F.col("rows") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    rows = nodes.join(counts, "sid", "left").select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.col("sid").alias("set_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return found, rows
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked(spark.read.parquet(f"{sf_dir}/documents.parquet"))
