@@ -142,6 +142,8 @@ def test_every_link_and_the_number_of_links(spark, docs, empty, monkeypatch, k,
     want = [sum(i != j and bool(x) and bool(y) and 100 * len(x & y) >= percent * len(x | y) for j, (_, y) in enumerate(rows)) for i, (_, x) in enumerate(rows)]
     pairs, got = op3_ngram_join.links(table, k=k, percent=percent)
     held = got.collect()
+    names = {(g.doc_id or -1, g.n_shingles, g.component_id or -1) for g in held}
+    assert names == {(g.doc_id or -1, g.n_shingles, g.component_id or -1) for g in op3_ngram_join.linked(table, k=k, percent=percent).collect()}
     assert sorted(((g.doc_id or -1), g.n_shingles, g.n_links) for g in held) == sorted(((d or -1), len(x), n) for (d, x), n in zip(rows, want, strict=True))
     sets = {x for _, x in rows if x}
     links = {frozenset((x, y)) for x in sets for y in sets if x != y and 100 * len(x & y) >= percent * len(x | y)}

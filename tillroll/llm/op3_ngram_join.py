@@ -374,6 +374,14 @@ def _blocked(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int)
     return nodes, pairs, members, full
 
 
+def _named(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """(sid, component): the smallest identifier of every set, then of every component, then back to the sets."""
+    least = nodes.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("least"))
+    told = least.join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "least", F.coalesce("label", "sid").alias("label"))
+    told = store(told, "labels")
+    return told.join(told.groupBy("label").agg(F.min("least").alias("component")), "label").select("sid", "component")
+
+
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, percent: int = PERCENT) -> DataFrame:
     """(id, n_shingles, component_id) of every row; the component is the smallest id reachable by links."""
     nodes, pairs, members, full = _blocked(docs, id_col, text_col, k, percent)
@@ -385,17 +393,12 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
     more = verified(_searched(store(told, "told"), full, percent, forest=False), full, percent)
     labels = components(first.unionByName(more))
 
-    # the smallest identifier of every set, then of every component, then back to the sets
-    nodes = nodes.select("doc_id", "n", "sid")
-    least = nodes.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("least"))
-    told = least.join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "least", F.coalesce("label", "sid").alias("label"))
-    told = store(told, "labels")
-    found = told.join(told.groupBy("label").agg(F.min("least").alias("component")), "label").select("sid", "component")
+    found = _named(nodes, labels)
     return nodes.join(found, "sid", "left").select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """The whole join: every link (a, b) between different sets, a < b, and (id, n_shingles, set_id, n_links) of every row.
+    """The whole join: every link (a, b) between different sets, a < b, and (id, n_shingles, component_id, set_id, n_links) of every row.
 
     ``set_id`` is null for an empty set; ``n_links`` counts the other rows linked directly, copies among
     them.  All blocks are searched for all their pairs, so the work grows with the number of links."""
@@ -408,9 +411,11 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: in
     both = found.select(F.col("a").alias("sid"), F.col("b").alias("other")).unionByName(found.select(F.col("b").alias("sid"), F.col("a").alias("other")))
     far = both.join(copies.withColumnsRenamed({"sid": "other", "rows": "others"}), "other").groupBy("sid").agg(F.sum("others").alias("others"))
     counts = copies.join(far, "sid", "left").select("sid", (F.col("rows") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
-    rows = nodes.join(counts, "sid", "left").select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.col("sid").alias("set_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    rows = nodes.join(_named(nodes, components(found)).join(counts, "sid"), "sid", "left").select(
+        F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"),
+        F.col("sid").alias("set_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     return found, rows
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linked(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return links(spark.read.parquet(f"{sf_dir}/documents.parquet"))[1]
