@@ -28,11 +28,14 @@ Feeds = dict[str, DataFrame]
 FACTS: dict[str, tuple[list[str], Callable[[Feeds], DataFrame], tuple[str, ...]]] = {
     "fact": ([name for name, _ in L.LANE_MAPPERS], L.stacked_fact, ("date", "source")),
     "fact_product": (["line_items", "traffic_items", "inventory", "returns"],
-                     lambda f: FX.product_fact(*[f[n] for n in ("line_items", "traffic_items", "inventory", "returns")]), ("date", "product_id")),
+                     lambda f: FX.product_fact(*[f[n] for n in ("line_items", "traffic_items", "inventory", "returns")],
+                                               parts=FX.month_parts(f["line_items"], "created_at")), ("date", "product_id")),
     "fact_email": (["email"], lambda f: FX.email_fact(f["email"]), ("date", "name")),
     "fact_seo": (["seo"], lambda f: FX.seo_fact(f["seo"]), ("date", "query")),
     "fact_orderbank": (["orderbank"], lambda f: FX.orderbank_fact(f["orderbank"]), ("date", "warehouse")),
 }
+#: facts whose rows come dealt by month: their files need no evening out
+BY_MONTH = ("fact_product",)
 NO_MONTH = "__HIVE_DEFAULT_PARTITION__"
 
 
@@ -74,10 +77,12 @@ def refresh(spark: SparkSession, feeds: Feeds, root: str) -> dict[str, list[str]
             continue
         rows = build({name: in_months(feeds[name], changed) if was is not None else feeds[name] for name in names})
         rows = rows.drop(STORED_MONTH).withColumn(STORED_MONTH, month_number(F.col(order[0])))
-        if was is None:
-            stored.overwrite(rows, STORED_MONTH, {"digests": now}, order)
-        else:
-            stored.replace(rows, sorted(changed), {"digests": now}, order)
+        even = fact not in BY_MONTH
+        with FX.dealt_joins(spark):
+            if was is None:
+                stored.overwrite(rows, STORED_MONTH, {"digests": now}, order, even)
+            else:
+                stored.replace(rows, sorted(changed), {"digests": now}, order, even)
     return done
 
 
