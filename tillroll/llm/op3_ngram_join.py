@@ -38,7 +38,7 @@ from tillroll.llm.scratch import store, tasks
 
 K, PERCENT = 4, 85
 #: Postings that a task holds before it deals them out; members that make a block frequent in a task.
-FLUSH, FREQUENT, CHUNK = 1 << 21, 256, 2048
+FLUSH, FREQUENT, CHUNK = 1 << 19, 256, 2048
 SEEN = 1 << 20
 #: Sets up to this size meet by their first shingles.
 SMALL = 32
