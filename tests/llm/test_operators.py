@@ -521,6 +521,26 @@ def test_line_dedup_of_short_lines(spark, monkeypatch):
     assert {x.doc_id: x.text for x in corpus_pipeline.line_dedup(spark, short, "").collect()} == {0: texts[0], 1: "second"}
 
 
+def test_line_dedup_searches_again_without_the_texts(spark, monkeypatch):
+    """Lines that had more candidates than were verified are settled from the postings that the first search kept."""
+    r = random.Random(12)
+    words = ["w%d" % i for i in range(172)]  # more than parity has bits: pairs that are not similar pass, some nearer than similar ones
+    rows = [(i, " ".join(r.sample(words, 150))) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(op9_line_dedup, "NEAREST", 1)
+    reads, mapped = [], op9_line_dedup._map
+    monkeypatch.setattr(op9_line_dedup, "_map", lambda *x: reads.append(x) or mapped(*x))
+    rounds, held = [], op9_line_dedup._held
+    monkeypatch.setattr(op9_line_dedup, "_held", lambda *x: rounds.append(held(*x)) or rounds[-1])
+    want = repeats_of_all_sizes(rows)
+    for frequent in (256, 2):
+        monkeypatch.setattr(op9_line_dedup, "FREQUENT", frequent)
+        reads.clear(), rounds.clear()
+        assert {x.doc_id: list(x.removed) for x in op9_line_dedup.repeated_lines(docs, min_words=1).collect()} == want
+        assert len(rounds) == 2 and rounds[1].join(rounds[0], "line", "left_anti").count() > 0
+        assert len(reads) == 1
+
+
 def test_pipeline_stages(spark):
     sf_dir = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

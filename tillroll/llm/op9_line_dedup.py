@@ -20,7 +20,8 @@ they take no part in the join of the other lines:
    parity filters allow.  One earlier similar line suffices, so a line gets its ``NEAREST`` of them
    by parity; a line that had more is noted.
 4. Pairs are verified against full word sets.  Noted lines of which no pair held are searched again,
-   without that limit, in the lists of their words alone; so nothing is lost.
+   without that limit, among the postings that they were allowed to pair with, which the first search
+   kept, and in the lists of frequent words; so nothing is lost, and no text is read for it again.
 
 A word that is frequent within a task leaves one representative in the shuffle and its lines as
 rows; its list is searched chunk against chunk (``CHUNK`` lines each), so no such list is gathered
@@ -48,7 +49,7 @@ FLUSH, FREQUENT, CHUNK, SEEN = 1 << 20, 256, 2048, 1 << 19
 #: Candidate pairs that a task looks at in one go.
 SLAB = 1 << 17
 LAST = np.iinfo(np.int64).max
-LINES, POSTINGS, LEADERS, PAIRS, MEMBERS, NOTED = range(6)
+LINES, POSTINGS, LEADERS, PAIRS, MEMBERS, NOTED, NEAR = range(7)
 OUT = pa.schema([("kind", pa.int8()), ("bucket", pa.int32()), ("blob", pa.binary())])
 DDL = "kind tinyint, bucket int, blob binary"
 POSTING = ["u6", "<u8", "<i8", "<u4", "<u2", "<u2", "<u8", "<u8"]
@@ -215,25 +216,27 @@ def _passing(columns: list[np.ndarray], right: np.ndarray, start: np.ndarray, co
     return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
 
 
-def _nearest(columns: list[np.ndarray], left: np.ndarray, right: np.ndarray, limit: int, queries=None) -> tuple[np.ndarray, np.ndarray]:
+def _nearest(columns: list[np.ndarray], left: np.ndarray, right: np.ndarray, limit: int, queries=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of the pairs, those of each later posting with its ``limit`` nearest earlier ones by parity (0: all), as
-    distinct pairs of lines; and the postings that had more.  ``queries`` filters the later lines."""
+    distinct pairs of lines; the postings that had more; and these with all the earlier ones that they had.
+    ``queries`` filters the later lines."""
     doc, number, line = columns[DOC], columns[NUMBER], columns[LINE]
     swap = (doc[left] > doc[right]) | ((doc[left] == doc[right]) & (number[left] > number[right]))
     left, right = np.where(swap, right, left), np.where(swap, left, right)
     if queries is not None:
         keep = B.may_contain(queries, line[right])
         left, right = left[keep], right[keep]
-    noted = np.zeros(0, np.int64)
+    noted = near = np.zeros(0, np.int64)
     if limit and len(left):
         order = np.lexsort((number[left], doc[left], _differ(columns, left, right), right))
         left, right = left[order], right[order]
         first, size = _runs(right)
         rank = np.arange(len(right)) - np.repeat(first, size)
         noted = right[rank == limit]
+        near = np.unique(np.concatenate([noted, left[np.repeat(size > limit, size)]]))
         left, right = left[rank < limit], right[rank < limit]
     a, b = line[left], line[right]
-    return _distinct(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)), noted
+    return _distinct(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)), noted, near
 
 
 def _distinct(pairs: np.ndarray) -> np.ndarray:
@@ -256,8 +259,8 @@ def alike(percent: int) -> int:
     return (percent - 1) // (100 - percent) if percent < 100 else MOST
 
 
-def _map(order, percent: int, buckets: int, frequent: int, least: int, words=None):
-    """Lines and prefix postings of the texts; with a filter ``words``, postings of those words alone."""
+def _map(order, percent: int, buckets: int, frequent: int, least: int):
+    """Lines and prefix postings of the texts."""
     def flush(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
         columns = [np.concatenate(c) for c in zip(*held, strict=True)]
         ranked = np.sort(columns[WORD])
@@ -285,15 +288,11 @@ def _map(order, percent: int, buckets: int, frequent: int, least: int, words=Non
                 if not len(lines.n):
                     continue
                 doc, valid = docs[chunk.lo + lines.row], known[chunk.lo + lines.row].astype(np.uint8)
-                if words is None:
-                    yield _emit(LINES, int(lines.id[0] % H.U(buckets)), B.pack([doc, valid, lines.number.astype("<u4"), lines.id]))
+                yield _emit(LINES, int(lines.id[0] % H.U(buckets)), B.pack([doc, valid, lines.number.astype("<u4"), lines.id]))
                 prefix = lines.n - -(-percent * lines.n // 100) + 1
                 at = np.arange(len(lines.key)) - lines.first[lines.line]
                 pick = np.flatnonzero((at < prefix[lines.line]) & lines.shared() & ~lines.alike[lines.line])
                 word = H.mix(lines.key[pick]) & H.U((1 << 48) - 1)
-                if words is not None:
-                    keep = B.may_contain(words, word)
-                    pick, word = pick[keep], word[keep]
                 if not len(pick):
                     continue
                 if len(seen) > SEEN:
@@ -320,8 +319,17 @@ def _map(order, percent: int, buckets: int, frequent: int, least: int, words=Non
     return run
 
 
-def _reduce(percent: int, limit: int, queries=None):
-    """Pairs within the lists of words; with a filter ``queries``, those of its lines with earlier ones."""
+def _in_lists(columns: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The allowed pairs of sorted postings, each within the list of a word."""
+    # smaller lines of the list that are long enough: those before it, from there on
+    key, size = columns[WORD] << H.U(16), columns[SIZE].astype(np.int64)
+    start = np.searchsorted(key | size.astype(H.U), key | (-(-size * percent // 100)).astype(H.U))
+    right = np.arange(len(key))
+    return _passing(columns, right, start, right - start, percent)
+
+
+def _reduce(percent: int, limit: int):
+    """Pairs within the lists of words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[int, bytes]]] = {}
         for batch in batches:
@@ -339,16 +347,12 @@ def _reduce(percent: int, limit: int, queries=None):
                 yield _emit(MEMBERS, bucket, B.pack(_packed(_take(columns, wide))))
                 columns = _take(columns, ~wide)
                 starts, sizes = _runs(columns[WORD])
-            # smaller lines of the list that are long enough: those before it, from there on
-            key, size = columns[WORD] << H.U(16), columns[SIZE].astype(np.int64)
-            start = np.searchsorted(key | size.astype(H.U), key | (-(-size * percent // 100)).astype(H.U))
-            right = np.arange(len(key))
-            left, right = _passing(columns, right, start, right - start, percent)
-            pairs, noted = _nearest(columns, left, right, limit, queries)
+            pairs, noted, near = _nearest(columns, *_in_lists(columns, percent), limit)
             if len(pairs):
                 yield _emit(PAIRS, bucket, B.pack([pairs[:, 0], pairs[:, 1]]))
             if len(noted):
                 yield _emit(NOTED, bucket, B.pack([columns[LINE][noted], columns[WORD][noted]]))
+                yield _emit(NEAR, bucket, B.pack(_packed(_take(columns, near))))
     return run
 
 
@@ -408,11 +412,17 @@ def _later(links: DataFrame, firsts: DataFrame) -> DataFrame:
     return both.select(F.when(F.col("x") < F.col("y"), F.col("b")).otherwise(F.col("a")).alias("line")).distinct()
 
 
-def _searched(table: DataFrame, percent: int, limit: int, queries=None) -> DataFrame:
-    """(a, b, word) within the lists of frequent words, chunk against chunk, as ``_join`` has them."""
+def _searched(table: DataFrame, percent: int, limit: int, words=None, queries=None) -> DataFrame:
+    """(a, b, word) within the lists of frequent words, chunk against chunk, as ``_join`` has them; with the
+    filters, within the lists of ``words`` alone and of the later lines that ``queries`` lets through."""
     kinds = ["word", "line", "doc", "number", "n", "place", "parity", "parity_up"]
-    rows = _decode(table, MEMBERS, POSTING, ", ".join(f"{c} bigint" for c in kinds), lambda c: [
-        (name, _long(x) if x.dtype.kind == "u" else pa.array(x, pa.int64())) for name, x in zip(kinds, c, strict=True)])
+
+    def convert(c: list[np.ndarray]) -> list[tuple[str, pa.Array]]:
+        if words is not None:
+            c = _take(c, B.may_contain(words, c[WORD]))
+        return [(name, _long(x) if x.dtype.kind == "u" else pa.array(x, pa.int64())) for name, x in zip(kinds, c, strict=True)]
+
+    rows = _decode(table, MEMBERS, POSTING, ", ".join(f"{c} bigint" for c in kinds), convert)
     rows = rows.groupBy("word", "line").agg(F.min(F.struct("doc", "number", "n", "place", "parity", "parity_up")).alias("p")).select("word", "line", "p.*")
     parts = rows.groupBy("word").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts"))
     rows = (rows.join(parts, "word").withColumn("own", F.pmod(F.xxhash64("line"), F.col("parts")).cast("int"))
@@ -431,7 +441,7 @@ def _searched(table: DataFrame, percent: int, limit: int, queries=None) -> DataF
             both = _take(columns, np.concatenate([left, right]))
             at = len(left) + np.arange(len(right))
             columns, (left, right) = both, _passing(both, at, np.zeros(len(right), int), np.full(len(right), len(left)), percent)
-        pairs, noted = _nearest(columns, left, right, limit, queries)
+        pairs, noted, _ = _nearest(columns, left, right, limit, queries)
         more = np.arange(len(pairs) + len(noted)) >= len(pairs)
         return pa.record_batch({"a": _long(np.concatenate([pairs[:, 0], columns[LINE][noted]])),
                                 "b": pa.array(np.concatenate([pairs[:, 1], columns[LINE][noted]]).view("<i8"), pa.int64(), mask=more),
@@ -466,18 +476,29 @@ def _lines(table: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
     return _decode(table, LINES, ["<i8", "u1", "<u4", "<u8"], "doc bigint, known boolean, number bigint, line bigint", convert)
 
 
-def _join(source: DataFrame, order, percent: int, limit: int, least: int, words=None, queries=None) -> tuple[DataFrame, DataFrame]:
-    """The table of lines, where no filter is given, and pairs (a, b); where a line a had more in the list of a word, b is null."""
+def _join(source: DataFrame, order, percent: int, limit: int, least: int) -> tuple[DataFrame, DataFrame]:
+    """The table of lines and postings, and pairs (a, b); where a line a had more in the list of a word, b is null."""
     buckets = 4 * tasks(source.sparkSession)
-    table = store(source.mapInArrow(_map(order, percent, buckets, FREQUENT, least, words), DDL).repartition("bucket").mapInArrow(_reduce(percent, limit, queries), DDL), "lines")
+    table = store(source.mapInArrow(_map(order, percent, buckets, FREQUENT, least), DDL).repartition("bucket").mapInArrow(_reduce(percent, limit), DDL), "lines")
     pairs = _decode(table, PAIRS, ["<u8", "<u8"], "a bigint, b bigint", lambda c: [("a", _long(c[0])), ("b", _long(c[1]))])
     pairs = pairs.withColumn("word", F.lit(None).cast("long"))
     noted = _decode(table, NOTED, ["<u8", "<u8"], "a bigint, word bigint", lambda c: [("a", _long(c[0])), ("word", _long(c[1]))])
     noted = noted.select("a", F.lit(None).cast("long").alias("b"), "word")
-    found = pairs.unionAll(noted).unionAll(_searched(table, percent, limit, queries)).distinct()
+    found = pairs.unionAll(noted).unionAll(_searched(table, percent, limit)).distinct()
     return table, store(found, "pairs")
 
 
+def _rest(table: DataFrame, percent: int, words: np.ndarray, queries: np.ndarray) -> DataFrame:
+    """All pairs (a, b) of the later lines ``queries`` within the lists of ``words``."""
+    def convert(c: list[np.ndarray]) -> list[tuple[str, pa.Array]]:
+        columns = _sorted(_take(c, B.may_contain(words, c[WORD])))
+        pairs = _nearest(columns, *_in_lists(columns, percent), 0, queries)[0]
+        return [("a", _long(pairs[:, 0])), ("b", _long(pairs[:, 1]))]
+
+    near = _decode(table, NEAR, POSTING, "a bigint, b bigint", convert)
+    return store(near.unionAll(_searched(table, percent, 0, words, queries).select("a", "b")).distinct(), "rest")
+
+
 def _held(source: DataFrame, order, pairs: DataFrame, firsts: DataFrame, percent: int, least: int) -> DataFrame:
     """The later lines of the pairs that verification holds."""
     asked = pairs.select(F.explode(F.array("a", "b")).alias("line"))
@@ -498,8 +519,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if not open_lines.isEmpty():
         queries = B.membership(open_lines, "line")
         words = B.membership(open_lines, "word")
-        _, rest = _join(source, order, percent, 0, least, words, queries)
-        late = late.unionAll(_held(source, order, rest.select("a", "b").join(found, ["a", "b"], "left_anti"), firsts, percent, least)).distinct()
+        rest = _rest(table, percent, words, queries)
+        late = late.unionAll(_held(source, order, rest.join(found, ["a", "b"], "left_anti"), firsts, percent, least)).distinct()
 
     told = firsts.join(late.withColumn("late", F.lit(True)), "line", "left").filter("late OR rows > 1")
     told = told.withColumnsRenamed({"doc": "first_doc", "number": "first_number"})
