@@ -574,4 +574,4 @@ def test_pipeline_tells_rows_of_one_id_apart(spark, tmp_path):
 
 
 def test_every_number_has_a_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 14))
