@@ -541,6 +541,34 @@ def test_line_dedup_searches_again_without_the_texts(spark, monkeypatch):
         assert len(reads) == 1
 
 
+def test_line_dedup_takes_word_sets_once(spark, monkeypatch):
+    """The second search verifies its pairs with the word sets that were stored for the first."""
+    r = random.Random(12)
+    words = ["w%d" % i for i in range(172)]
+    rows = [(i, " ".join(r.sample(words, 150))) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(op9_line_dedup, "NEAREST", 1)
+    reads, taken = [], op9_line_dedup._full_sets
+    monkeypatch.setattr(op9_line_dedup, "_full_sets", lambda *x: reads.append(x) or taken(*x))
+    rounds, held = [], op9_line_dedup._held
+    monkeypatch.setattr(op9_line_dedup, "_held", lambda *x: rounds.append(held(*x)) or rounds[-1])
+    assert {x.doc_id: list(x.removed) for x in op9_line_dedup.repeated_lines(docs, min_words=1).collect()} == repeats_of_all_sizes(rows)
+    assert len(rounds) == 2 and len(reads) == 1
+
+
+def test_line_dedup_of_places_in_many_tasks(spark, monkeypatch):
+    """First places are found across flushes, tasks, null, largest and repeated ids."""
+    long, last = "one two three four five six seven eight nine ten", op9_line_dedup.LAST
+    near = long.replace("ten", "more")
+    rows = [(None, f"a b\n{long}"), (None, f"a b\n{near}"), (last, f"a b\n{long}"), (7, f"{near}\nx\nx"), (7, f"{near}\ny"), (9, long), (9, "x\ny"), (8, long)]
+    want = {None: [0, 1], last: [0, 1], 7: [2], 9: [0, 1], 8: [0]}
+    want[None], want[last] = [1], [1]  # one place, line 0 of the last document, has "a b" first
+    for flush, parts in ((1 << 20, 1), (1 << 20, 5), (1, 1), (1, 3)):
+        monkeypatch.setattr(op9_line_dedup, "FLUSH", flush)
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        assert {x.doc_id: list(x.removed) for x in op9_line_dedup.repeated_lines(docs, min_words=1).collect()} == want
+
+
 def test_pipeline_stages(spark):
     sf_dir = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -14,14 +14,17 @@ they take no part in the join of the other lines:
    any fixed order keeps the join exact, and this one puts rare words first.  A cell that counts one
    occurrence holds no word that two lines share.
 2. Prefix filter: two similar lines share a word among the first ``n - ceil(t n) + 1`` of each.  Each
-   task deals these postings to buckets by word, equal lines once, with length, position and a 128-bit
-   parity of the line's words: lines of different parity in b bits differ in b words at least.
+   task deals these postings to buckets by word, equal lines once, from their first place, with length,
+   position and a 128-bit parity of the line's words: lines of different parity in b bits differ in b
+   words at least.  It passes on the first place of each line by a hash of the line; the others repeat it.
 3. In the list of a word, each line is paired with the earlier lines that the length, positional and
    parity filters allow.  One earlier similar line suffices, so a line gets its ``NEAREST`` of them
-   by parity; a line that had more is noted.
-4. Pairs are verified against full word sets.  Noted lines of which no pair held are searched again,
-   without that limit, among the postings that they were allowed to pair with, which the first search
-   kept, and in the lists of frequent words; so nothing is lost, and no text is read for it again.
+   by parity; a line that had more is noted.  Each list has a line's first place, as the task that met
+   it passed on all the line's postings; so the list tells which line of a pair is the earlier.
+4. Pairs are verified against full word sets, stored once for both searches.  Noted lines of which no
+   pair held are searched again, without that limit, among the postings that they were allowed to pair
+   with, which the first search kept, and in the lists of frequent words; so nothing is lost.  Texts are
+   read for it again only for lines of such lists whose sets were not stored.
 
 A word that is frequent within a task leaves one representative in the shuffle and its lines as
 rows; its list is searched chunk against chunk (``CHUNK`` lines each), so no such list is gathered
@@ -49,11 +52,13 @@ FLUSH, FREQUENT, CHUNK, SEEN = 1 << 20, 256, 2048, 1 << 19
 #: Candidate pairs that a task looks at in one go.
 SLAB = 1 << 17
 LAST = np.iinfo(np.int64).max
-LINES, POSTINGS, LEADERS, PAIRS, MEMBERS, NOTED, NEAR = range(7)
+FIRSTS, POSTINGS, LEADERS, PAIRS, MEMBERS, NOTED, NEAR, GONE = range(8)
 OUT = pa.schema([("kind", pa.int8()), ("bucket", pa.int32()), ("blob", pa.binary())])
 DDL = "kind tinyint, bucket int, blob binary"
 POSTING = ["u6", "<u8", "<i8", "<u4", "<u2", "<u2", "<u8", "<u8"]
 WORD, LINE, DOC, NUMBER, SIZE, PLACE, PARITY, PARITY_UP = range(8)
+#: A place of a line: its hash, document, whether that has an id, and number.
+AT = ["<u8", "<i8", "u1", "<u4"]
 #: A size or place of this many words or more is only known to be so.
 MOST = (1 << 16) - 1
 
@@ -218,10 +223,12 @@ def _passing(columns: list[np.ndarray], right: np.ndarray, start: np.ndarray, co
 
 def _nearest(columns: list[np.ndarray], left: np.ndarray, right: np.ndarray, limit: int, queries=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of the pairs, those of each later posting with its ``limit`` nearest earlier ones by parity (0: all), as
-    distinct pairs of lines; the postings that had more; and these with all the earlier ones that they had.
-    ``queries`` filters the later lines."""
+    distinct pairs (earlier line, later line); the postings that had more; and these with all the earlier ones
+    that they had.  ``queries`` filters the later lines."""
     doc, number, line = columns[DOC], columns[NUMBER], columns[LINE]
-    swap = (doc[left] > doc[right]) | ((doc[left] == doc[right]) & (number[left] > number[right]))
+    # rows that repeat an id may have two lines in one place: of these, that of the smaller hash counts as later
+    tie = (doc[left] == doc[right]) & ((number[left] > number[right]) | ((number[left] == number[right]) & (line[left] < line[right])))
+    swap = (doc[left] > doc[right]) | tie
     left, right = np.where(swap, right, left), np.where(swap, left, right)
     if queries is not None:
         keep = B.may_contain(queries, line[right])
@@ -235,8 +242,7 @@ def _nearest(columns: list[np.ndarray], left: np.ndarray, right: np.ndarray, lim
         noted = right[rank == limit]
         near = np.unique(np.concatenate([noted, left[np.repeat(size > limit, size)]]))
         left, right = left[rank < limit], right[rank < limit]
-    a, b = line[left], line[right]
-    return _distinct(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)), noted, near
+    return _distinct(np.stack([line[left], line[right]], 1)), noted, near
 
 
 def _distinct(pairs: np.ndarray) -> np.ndarray:
@@ -259,10 +265,52 @@ def alike(percent: int) -> int:
     return (percent - 1) // (100 - percent) if percent < 100 else MOST
 
 
+def _earliest(places: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """Of the places of lines, the first of each line and the others; and which row has each line's first place."""
+    line, doc, known, number = places
+    order = np.lexsort((known, number, doc, line))
+    line, doc, known, number = (c[order] for c in places)
+    starts, sizes = _runs(line)
+    first = np.repeat(starts, sizes)
+    same = (doc == doc[first]) & (number == number[first])
+    new = np.ones(len(line), bool)
+    new[1:] = (line[1:] != line[:-1]) | (doc[1:] != doc[:-1]) | (number[1:] != number[:-1]) | (known[1:] != known[:-1])
+    at = [line, doc, known, number]
+    return _take(at, same & new), _take(at, ~same & new), order[starts]
+
+
+def _once(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """Of the postings that have word and line in common, the earliest."""
+    hashed = H.mix(columns[WORD] * H.U(0x9E3779B97F4A7C15) ^ columns[LINE])
+    order = np.argsort(hashed)
+    equal = hashed[order[1:]] == hashed[order[:-1]]
+    if not equal.any():
+        return columns
+    some = order[np.append(equal, False) | np.append(False, equal)]
+    word, line = columns[WORD][some], columns[LINE][some]
+    by = np.lexsort((columns[NUMBER][some], columns[DOC][some], line, word))
+    again = (word[by[1:]] == word[by[:-1]]) & (line[by[1:]] == line[by[:-1]])
+    keep = np.ones(len(order), bool)
+    keep[some[by[1:][again]]] = False
+    return _take(columns, keep)
+
+
 def _map(order, percent: int, buckets: int, frequent: int, least: int):
-    """Lines and prefix postings of the texts."""
-    def flush(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+    """First places, repeats and prefix postings of the lines of the texts."""
+    def flush(held: list[tuple[list[np.ndarray], list[np.ndarray]]]) -> Iterator[pa.RecordBatch]:
+        lines, postings = ([np.concatenate(c) for c in zip(*part, strict=True)] for part in zip(*held, strict=True))
+        firsts, gone, at = _earliest(lines[:4])
+        yield from (_emit(FIRSTS, b, x) for b, x in B.deal(firsts, (firsts[0] % H.U(buckets)).astype(np.int32)))
+        if len(gone[0]):
+            yield _emit(GONE, int(gone[0][0] % H.U(buckets)), B.pack(gone[1:]))
+        # an equal line is passed on once, from its first place
+        once = np.zeros(len(lines[0]), bool)
+        once[at] = True
+        word, place, own = _take(postings, once[postings[2]])
+        line, doc, _, number, n, low, high = _take(lines, own)
+        columns = [word, line, doc, number, n, place, low, high]
+        if not len(word):
+            return
         ranked = np.sort(columns[WORD])
         starts, sizes = _runs(ranked)
         words_ = ranked[starts[sizes > frequent]]
@@ -278,7 +326,7 @@ def _map(order, percent: int, buckets: int, frequent: int, least: int):
         yield from (_emit(POSTINGS, b, x) for b, x in B.deal(_packed(columns), (columns[WORD] % H.U(buckets)).astype(np.uint16 if buckets < MOST else np.int32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, seen = [], 0, {}
+        held, size, rows = [], 0, 0
         for batch in batches:
             ids = batch.column("doc_id")
             known = ids.is_valid().to_numpy(False)
@@ -288,32 +336,17 @@ def _map(order, percent: int, buckets: int, frequent: int, least: int):
                 if not len(lines.n):
                     continue
                 doc, valid = docs[chunk.lo + lines.row], known[chunk.lo + lines.row].astype(np.uint8)
-                yield _emit(LINES, int(lines.id[0] % H.U(buckets)), B.pack([doc, valid, lines.number.astype("<u4"), lines.id]))
                 prefix = lines.n - -(-percent * lines.n // 100) + 1
                 at = np.arange(len(lines.key)) - lines.first[lines.line]
                 pick = np.flatnonzero((at < prefix[lines.line]) & lines.shared() & ~lines.alike[lines.line])
                 word = H.mix(lines.key[pick]) & H.U((1 << 48) - 1)
-                if not len(pick):
-                    continue
-                if len(seen) > SEEN:
-                    seen.clear()
-                new, asked = np.zeros(len(lines.n), bool), np.unique(lines.line[pick])
-                # an equal line is passed on again only if it occurs earlier
-                for i, s, place in zip(asked.tolist(), lines.id[asked].tolist(), zip(doc[asked].tolist(), lines.number[asked].tolist(), strict=True), strict=True):
-                    before = seen.get(s)
-                    if before is None or place < before:
-                        seen[s] = place
-                        new[i] = True
-                keep = new[lines.line[pick]]
-                pick, word = pick[keep], word[keep]
-                own, (low, high) = lines.line[pick], lines.parities()
-                columns = [word, lines.id[own], doc[own], lines.number[own].astype("<u4"), np.minimum(lines.n[own], MOST).astype("<u2"),
-                           np.minimum(at[pick], MOST).astype("<u2"), low[own], high[own]]
-                held.append(columns)
-                size += len(columns[0])
+                held.append(([lines.id, doc, valid, lines.number.astype("<u4"), np.minimum(lines.n, MOST).astype("<u2"), *lines.parities()],
+                             [word, np.minimum(at[pick], MOST).astype("<u2"), rows + lines.line[pick]]))
+                rows += len(lines.n)
+                size += len(lines.n) + len(pick)
                 if size > FLUSH:
                     yield from flush(held)
-                    held, size = [], 0
+                    held, size, rows = [], 0, 0
         if size:
             yield from flush(held)
     return run
@@ -329,18 +362,26 @@ def _in_lists(columns: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.n
 
 
 def _reduce(percent: int, limit: int):
-    """Pairs within the lists of words."""
+    """First places and repeats of lines, and pairs within the lists of words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[int, bytes]]] = {}
+        places: dict[int, list[list[np.ndarray]]] = {}
         for batch in batches:
             for kind, bucket, blob in zip(batch.column("kind").to_pylist(), batch.column("bucket").to_pylist(), batch.column("blob"), strict=True):
                 if kind in (POSTINGS, LEADERS):
                     held.setdefault(bucket, []).append((kind, blob.as_py()))
+                elif kind == FIRSTS:
+                    places.setdefault(bucket, []).append(B.unpack(blob.as_py(), AT))
                 else:
                     yield _emit(kind, bucket, blob.as_py())
+        for bucket in list(places):
+            firsts, gone, _ = _earliest([np.concatenate(c) for c in zip(*places.pop(bucket), strict=True)])
+            yield _emit(FIRSTS, bucket, B.pack(firsts))
+            if len(gone[0]):
+                yield _emit(GONE, bucket, B.pack(gone[1:]))
         for bucket in list(held):
             read = [(kind, B.unpack(blob, POSTING)) for kind, blob in held.pop(bucket)]
-            columns = _sorted([np.concatenate([c[i] for _, c in read]) for i in range(len(POSTING))])
+            columns = _sorted(_once([np.concatenate([c[i] for _, c in read]) for i in range(len(POSTING))]))
             starts, sizes = _runs(columns[WORD])
             if led := [c[WORD] for kind, c in read if kind == LEADERS]:
                 wide = np.repeat(np.isin(columns[WORD][starts], np.concatenate(led)), sizes)
@@ -379,7 +420,7 @@ def _full_sets(source: DataFrame, bits: np.ndarray, order, percent: int, least:
                 lines = Lines(chunk, order.value, least, alike(percent), bits)
                 if len(seen) > SEEN:
                     seen.clear()
-                pick = [i for i in range(len(lines.n)) if not (int(lines.id[i]) in seen or seen.add(int(lines.id[i])))]
+                pick = [i for i, s in enumerate(lines.id.tolist()) if not (s in seen or seen.add(s))]
                 if pick:
                     yield pa.record_batch({"line": _long(lines.id[pick]), "members": pa.array([lines.key[lines.first[i]:lines.first[i] + lines.n[i]].tobytes() for i in pick], pa.binary())})
 
@@ -405,13 +446,6 @@ def verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "a bigint, b bigint")
 
 
-def _later(links: DataFrame, firsts: DataFrame) -> DataFrame:
-    """The lines that have an earlier similar line."""
-    at = firsts.select("line", F.struct("doc", "number").alias("at"))
-    both = links.join(at.withColumnsRenamed({"line": "a", "at": "x"}), "a").join(at.withColumnsRenamed({"line": "b", "at": "y"}), "b")
-    return both.select(F.when(F.col("x") < F.col("y"), F.col("b")).otherwise(F.col("a")).alias("line")).distinct()
-
-
 def _searched(table: DataFrame, percent: int, limit: int, words=None, queries=None) -> DataFrame:
     """(a, b, word) within the lists of frequent words, chunk against chunk, as ``_join`` has them; with the
     filters, within the lists of ``words`` alone and of the later lines that ``queries`` lets through."""
@@ -467,17 +501,24 @@ def _searched(table: DataFrame, percent: int, limit: int, words=None, queries=No
     return rows.select(*names).mapInArrow(run, "a bigint, b bigint, word bigint")
 
 
-def _lines(table: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
-    """(doc, known, number, line) of the lines, those alone that the filter ``wanted`` lets through."""
+def _places(table: DataFrame, late: np.ndarray) -> DataFrame:
+    """(line, doc, known, number) of the first places of the lines that the filter lets through."""
     def convert(c: list[np.ndarray]) -> list[tuple[str, pa.Array]]:
-        if wanted is not None:
-            c = _take(c, B.may_contain(wanted, c[3]))
-        return [("doc", pa.array(c[0], pa.int64())), ("known", pa.array(c[1] == 1)), ("number", pa.array(c[2].astype(np.int64))), ("line", _long(c[3]))]
-    return _decode(table, LINES, ["<i8", "u1", "<u4", "<u8"], "doc bigint, known boolean, number bigint, line bigint", convert)
+        c = _take(c, B.may_contain(late, c[0]))
+        return [("line", _long(c[0])), ("doc", pa.array(c[1], pa.int64())), ("known", pa.array(c[2] == 1)), ("number", pa.array(c[3].astype(np.int32)))]
+    return _decode(table, FIRSTS, AT, "line bigint, doc bigint, known boolean, number int", convert)
+
+
+def _repeats(table: DataFrame) -> DataFrame:
+    """(doc, known, number) of the lines that an earlier one is equal to."""
+    def convert(c: list[np.ndarray]) -> list[tuple[str, pa.Array]]:
+        return [("doc", pa.array(c[0], pa.int64())), ("known", pa.array(c[1] == 1)), ("number", pa.array(c[2].astype(np.int32)))]
+    return _decode(table, GONE, AT[1:], "doc bigint, known boolean, number int", convert)
 
 
 def _join(source: DataFrame, order, percent: int, limit: int, least: int) -> tuple[DataFrame, DataFrame]:
-    """The table of lines and postings, and pairs (a, b); where a line a had more in the list of a word, b is null."""
+    """The table of lines and postings, and pairs (a, b), a the earlier; where a line a had more in the list of a
+    word, b is null."""
     buckets = 4 * tasks(source.sparkSession)
     table = store(source.mapInArrow(_map(order, percent, buckets, FREQUENT, least), DDL).repartition("bucket").mapInArrow(_reduce(percent, limit), DDL), "lines")
     pairs = _decode(table, PAIRS, ["<u8", "<u8"], "a bigint, b bigint", lambda c: [("a", _long(c[0])), ("b", _long(c[1]))])
@@ -499,10 +540,15 @@ def _rest(table: DataFrame, percent: int, words: np.ndarray, queries: np.ndarray
     return store(near.unionAll(_searched(table, percent, 0, words, queries).select("a", "b")).distinct(), "rest")
 
 
-def _held(source: DataFrame, order, pairs: DataFrame, firsts: DataFrame, percent: int, least: int) -> DataFrame:
+def _asked(table: DataFrame, found: DataFrame) -> DataFrame:
+    """The lines of the pairs, and those that a second search in the kept postings may pair."""
+    near = _decode(table, NEAR, POSTING, "line bigint", lambda c: [("line", _long(np.unique(c[LINE])))])
+    return found.filter("b IS NOT NULL").select(F.explode(F.array("a", "b")).alias("line")).unionAll(near)
+
+
+def _held(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """The later lines of the pairs that verification holds."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("line"))
-    return store(_later(verified(pairs, _full_sets(source, B.membership(asked, "line"), order, percent, least), percent), firsts), "late")
+    return store(verified(pairs, full, percent).select(F.col("b").alias("line")).distinct(), "late")
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
@@ -512,21 +558,22 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     order = spark.sparkContext.broadcast(ordered(frequencies(source)))  # of fixed size
     table, found = _join(source, order, percent, NEAREST, least)
-    firsts = _lines(table).groupBy("line").agg(F.min(F.struct("doc", "number")).alias("f"), F.count("*").alias("rows"))
-    firsts = store(firsts.select("line", "f.doc", "f.number", "rows"), "firsts")
-    late = _held(source, order, found.filter("b IS NOT NULL"), firsts, percent, least)
+    full = store(_full_sets(source, B.membership(_asked(table, found), "line"), order, percent, least), "sets")
+    late = _held(found.filter("b IS NOT NULL"), full, percent)
     open_lines = store(found.filter("b IS NULL").select(F.col("a").alias("line"), "word").join(late, "line", "left_anti"), "open")
     if not open_lines.isEmpty():
         queries = B.membership(open_lines, "line")
         words = B.membership(open_lines, "word")
-        rest = _rest(table, percent, words, queries)
-        late = late.unionAll(_held(source, order, rest.join(found, ["a", "b"], "left_anti"), firsts, percent, least)).distinct()
-
-    told = firsts.join(late.withColumn("late", F.lit(True)), "line", "left").filter("late OR rows > 1")
-    told = told.withColumnsRenamed({"doc": "first_doc", "number": "first_number"})
-    told = store(told.drop("rows"), "told")
-    gone = _lines(table, B.membership(told, "line")).join(told, "line").filter(F.col("late").isNotNull() | (F.col("doc") != F.col("first_doc")) | (F.col("number") != F.col("first_number")))
-    gone = gone.select(F.when(F.col("known"), F.col("doc")).alias("doc"), F.col("number").cast("int").alias("number"))
+        rest = _rest(table, percent, words, queries).join(found, ["a", "b"], "left_anti")
+        # only lists of frequent words pair lines whose sets were not taken
+        lacking = store(rest.select(F.explode(F.array("a", "b")).alias("line")).distinct().join(full, "line", "left_anti"), "lacking")
+        if not lacking.isEmpty():
+            more = _full_sets(source, B.membership(lacking, "line"), order, percent, least)
+            full = store(full.unionAll(more.join(lacking, "line", "left_semi")), "sets")
+        late = late.unionAll(_held(rest, full, percent)).distinct()
+
+    firsts = _places(table, B.membership(late, "line")).join(late, "line", "left_semi").drop("line")
+    gone = _repeats(table).unionAll(firsts).select(F.when(F.col("known"), F.col("doc")).alias("doc"), "number")
     return gone.groupBy("doc").agg(F.sort_array(F.collect_set("number")).alias("removed")).withColumnRenamed("doc", id_col)
 
 
