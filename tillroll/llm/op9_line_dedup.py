@@ -52,7 +52,7 @@ FLUSH, FREQUENT, CHUNK, SEEN = 1 << 20, 256, 2048, 1 << 19
 #: Candidate pairs that a task looks at in one go.
 SLAB = 1 << 17
 LAST = np.iinfo(np.int64).max
-FIRSTS, POSTINGS, LEADERS, PAIRS, MEMBERS, NOTED, NEAR, GONE = range(8)
+FIRSTS, POSTINGS, LEADERS, PAIRS, MEMBERS, NOTED, NEAR, GONE, TEXTS = range(9)
 OUT = pa.schema([("kind", pa.int8()), ("bucket", pa.int32()), ("blob", pa.binary())])
 DDL = "kind tinyint, bucket int, blob binary"
 POSTING = ["u6", "<u8", "<i8", "<u4", "<u2", "<u2", "<u8", "<u8"]
@@ -153,6 +153,8 @@ class Lines:
         # a line's number: the line breaks between its text's beginning and its own
         self.number = np.searchsorted(breaks, at, "right") - np.searchsorted(breaks, chunk.offsets[self.row], "right")
         self.single = single
+        #: Line breaks of each text.
+        self.breaks = np.diff(np.searchsorted(breaks, chunk.offsets, "right"))
 
     def shared(self) -> np.ndarray:
         """Whether the cell of each key has more than one occurrence: they come after the others."""
@@ -296,7 +298,7 @@ def _once(columns: list[np.ndarray]) -> list[np.ndarray]:
 
 
 def _map(order, percent: int, buckets: int, frequent: int, least: int):
-    """First places, repeats and prefix postings of the lines of the texts."""
+    """First places, repeats and prefix postings of the lines of the texts, and how many lines each text has."""
     def flush(held: list[tuple[list[np.ndarray], list[np.ndarray]]]) -> Iterator[pa.RecordBatch]:
         lines, postings = ([np.concatenate(c) for c in zip(*part, strict=True)] for part in zip(*held, strict=True))
         firsts, gone, at = _earliest(lines[:4])
@@ -331,8 +333,10 @@ def _map(order, percent: int, buckets: int, frequent: int, least: int):
             ids = batch.column("doc_id")
             known = ids.is_valid().to_numpy(False)
             docs = ids.fill_null(int(LAST)).to_numpy(False).astype("<i8")
+            texts = np.ones(len(docs), "<u4")
             for chunk in H.chunks(batch.column("text")):
                 lines = Lines(chunk, order.value, least, alike(percent))
+                texts[chunk.lo:chunk.hi] += lines.breaks.astype("<u4")
                 if not len(lines.n):
                     continue
                 doc, valid = docs[chunk.lo + lines.row], known[chunk.lo + lines.row].astype(np.uint8)
@@ -347,6 +351,8 @@ def _map(order, percent: int, buckets: int, frequent: int, least: int):
                 if size > FLUSH:
                     yield from flush(held)
                     held, size, rows = [], 0, 0
+            if len(docs):
+                yield _emit(TEXTS, int(docs[0] % buckets), B.pack([docs, known.astype(np.uint8), texts]))
         if size:
             yield from flush(held)
     return run
@@ -516,6 +522,13 @@ def _repeats(table: DataFrame) -> DataFrame:
     return _decode(table, GONE, AT[1:], "doc bigint, known boolean, number int", convert)
 
 
+def _texts(table: DataFrame) -> DataFrame:
+    """(doc_id, n_lines) of each text."""
+    def convert(c: list[np.ndarray]) -> list[tuple[str, pa.Array]]:
+        return [("doc_id", pa.array(c[0], pa.int64(), mask=c[1] == 0)), ("n_lines", pa.array(c[2].astype(np.int32)))]
+    return _decode(table, TEXTS, ["<i8", "u1", "<u4"], "doc_id bigint, n_lines int", convert)
+
+
 def _join(source: DataFrame, order, percent: int, limit: int, least: int) -> tuple[DataFrame, DataFrame]:
     """The table of lines and postings, and pairs (a, b), a the earlier; where a line a had more in the list of a
     word, b is null."""
@@ -551,11 +564,9 @@ def _held(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     return store(verified(pairs, full, percent).select(F.col("b").alias("line")).distinct(), "late")
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, removed): places, from 0, of the lines to remove from each document that has any."""
-    spark = docs.sparkSession
-    least = max(1, min_words)
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def _repeated(source: DataFrame, percent: int, least: int) -> tuple[DataFrame, DataFrame]:
+    """The table of lines and postings, and (doc, removed)."""
+    spark = source.sparkSession
     order = spark.sparkContext.broadcast(ordered(frequencies(source)))  # of fixed size
     table, found = _join(source, order, percent, NEAREST, least)
     full = store(_full_sets(source, B.membership(_asked(table, found), "line"), order, percent, least), "sets")
@@ -574,7 +585,13 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     firsts = _places(table, B.membership(late, "line")).join(late, "line", "left_semi").drop("line")
     gone = _repeats(table).unionAll(firsts).select(F.when(F.col("known"), F.col("doc")).alias("doc"), "number")
-    return gone.groupBy("doc").agg(F.sort_array(F.collect_set("number")).alias("removed")).withColumnRenamed("doc", id_col)
+    return table, gone.groupBy("doc").agg(F.sort_array(F.collect_set("number")).alias("removed"))
+
+
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
+    """(id, removed): places, from 0, of the lines to remove from each document that has any."""
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return _repeated(source, percent, max(1, min_words))[1].withColumnRenamed("doc", id_col)
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
@@ -589,7 +606,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", perce
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    removed = repeated_lines(docs, min_words=1).withColumnRenamed("doc_id", "own")
-    sizes = docs.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("n_lines"))
-    out = sizes.join(removed, F.col("doc_id").eqNullSafe(F.col("own")), "left")
+    table, removed = _repeated(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), PERCENT, 1)
+    sizes = _texts(table).withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
+    out = sizes.join(removed, F.col("doc_id").eqNullSafe(F.col("doc")), "left")
     return out.select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).alias("n_removed"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
