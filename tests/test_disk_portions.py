@@ -1,9 +1,13 @@
 """Disk of the model build: shuffles go with their job, and many lines are joined, rolled up and dealt in portions."""
 import datetime as dt
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from tillroll.operators import facts as FX
+from tillroll.plans import refresh as R
+from tillroll.sources.versioned import COMMIT, Versioned
 from tillroll.workspace import Workspace
 
 
@@ -55,3 +59,37 @@ def test_tables_built_in_portions_hold_the_same_rows(spark, folder, monkeypatch)
     assert len(written["lines_base"]) == FX.PORTIONS and len(written["orders"]) == 3 and len(written["fact_product"]) > 1
     names = ["line_items", "inventory", "fact_product"]
     assert {n: r[0] for n, r in cut.from_footers(names).items()} == {n: r[0] for n, r in plain.from_footers(names).items()}
+
+
+def test_a_fact_refreshed_in_portions_is_one_version_with_the_same_rows(spark, folder, tmp_path, monkeypatch):
+    ws = Workspace(spark, folder)
+    feeds = {n: ws.feed(n) for names, _, _ in R.FACTS.values() for n in names}
+    R.refresh(spark, feeds, str(tmp_path / "whole"))
+    monkeypatch.setattr(FX, "PORTION_ROWS", 7)
+    without = {n: f.filter(R.feed_day(f) != F.lit(dt.date(1998, 3, 3))) for n, f in feeds.items()}
+    for root, steps in (("cut", [feeds]), ("twice", [without, feeds])):
+        for given in steps:
+            R.refresh(spark, given, str(tmp_path / root))
+        stored = Versioned(spark, str(tmp_path / root / "fact_product"))
+        assert len(stored.versions()) == len(steps)
+        assert len({f.split("/")[0] for f in stored.manifest()["folders"] if f.startswith(COMMIT)}) > 1
+        for fact in R.FACTS:
+            assert counted(R.read_fact(spark, str(tmp_path / root), fact)) == counted(R.read_fact(spark, str(tmp_path / "whole"), fact)), fact
+
+
+def shuffles(spark) -> set:
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+
+def test_shuffles_of_stored_tables_go_with_their_job(spark, tmp_path):
+    before = shuffles(spark)
+    t = Versioned(spark, str(tmp_path / "t"))
+    rows = spark.range(1000).select((F.col("id") % 3).cast("int").alias("m"), "id").groupBy("m", "id").count()
+    t.overwrite(rows, "m")
+    for _ in range(50):
+        left = shuffles(spark) - before
+        if not left:
+            break
+        time.sleep(0.2)
+    assert not left and t.read().count() == 1000

@@ -61,6 +61,16 @@ def in_months(feed: DataFrame, months: set[str]) -> DataFrame:
     return feed.filter(number.isin(known) | (number.isNull() & F.lit(NO_MONTH in months)))
 
 
+def in_portions(feeds: Feeds, rows: dict[str, list[str]]) -> list[Feeds]:
+    """Feeds of days and products, in portions by month where the lines (digests ``rows``) are many."""
+    portions = FX.month_portions({FX.NO_MONTH if m == NO_MONTH else int(m): int(n) for m, (n, _) in rows.items()})
+
+    def some(feed: DataFrame, portion: FX.Portion) -> DataFrame:
+        month = F.col(STORED_MONTH) if STORED_MONTH in feed.columns else month_number(feed_day(feed))
+        return feed.filter(FX.within(portion, month, F.col("product_id")))
+    return [{n: some(f, p) for n, f in feeds.items()} for p in portions] if len(portions) > 1 else [feeds]
+
+
 def refresh(spark: SparkSession, feeds: Feeds, root: str) -> dict[str, list[str]]:
     """Bring the facts under ``root`` up to date with ``feeds``; the months rewritten of each fact."""
     used = sorted({name for names, _, _ in FACTS.values() for name in names})
@@ -75,9 +85,10 @@ def refresh(spark: SparkSession, feeds: Feeds, root: str) -> dict[str, list[str]
         done[fact] = sorted(changed)
         if was is not None and not changed:
             continue
-        rows = build({name: in_months(feeds[name], changed) if was is not None else feeds[name] for name in names})
-        rows = rows.drop(STORED_MONTH).withColumn(STORED_MONTH, month_number(F.col(order[0])))
+        some = {name: in_months(feeds[name], changed) if was is not None else feeds[name] for name in names}
         even = fact not in BY_MONTH
+        portions = [some] if even else in_portions(some, {m: d for m, d in now["line_items"].items() if m in changed})
+        rows = [build(p).drop(STORED_MONTH).withColumn(STORED_MONTH, month_number(F.col(order[0]))) for p in portions]
         with FX.dealt_joins(spark):
             if was is None:
                 stored.overwrite(rows, STORED_MONTH, {"digests": now}, order, even)

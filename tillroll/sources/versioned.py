@@ -22,6 +22,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from tillroll.session import stored_writes
+
 COMMIT = "__commit"
 
 
@@ -81,33 +83,38 @@ class Versioned:
     def _write(self, df: DataFrame, partition_by: str | None, order: list[str], even: bool = True) -> list[str]:
         """The folders of a new commit, relative to ``data``; rows in ``order`` inside each file."""
         folder = f"{COMMIT}={uuid.uuid4().hex}"
-        if partition_by is None:
-            (df.sortWithinPartitions(*order) if order else df).write.parquet(f"{self.path}/data/{folder}")
-            return [folder]
-        # AQE rebalance: evenly sized files per partition value; a hot value is split across tasks
-        rows = (df.hint("rebalance", partition_by) if even else df).sortWithinPartitions(partition_by, *order)
-        rows.write.partitionBy(partition_by).parquet(f"{self.path}/data/{folder}")
+        with stored_writes(df.sparkSession):
+            if partition_by is None:
+                (df.sortWithinPartitions(*order) if order else df).write.parquet(f"{self.path}/data/{folder}")
+                return [folder]
+            # AQE rebalance: evenly sized files per partition value; a hot value is split across tasks
+            rows = (df.hint("rebalance", partition_by) if even else df).sortWithinPartitions(partition_by, *order)
+            rows.write.partitionBy(partition_by).parquet(f"{self.path}/data/{folder}")
         return [f"{folder}/{name}" for name in self._children(f"data/{folder}") if "=" in name]
 
     # ── writing ──────────────────────────────────────────────────────────
-    def overwrite(self, df: DataFrame, partition_by: str | None = None, properties: dict | None = None, order: tuple[str, ...] = (), even: bool = True) -> int:
-        """The rows of ``df`` are the next version; its number is returned.  ``even=False``: no shuffle to even out files."""
-        base = self.manifest()
-        return self._commit(base, df, partition_by, self._write(df, partition_by, [*order], even), properties or {})
+    def overwrite(self, df: DataFrame | list[DataFrame], partition_by: str | None = None, properties: dict | None = None, order: tuple[str, ...] = (), even: bool = True) -> int:
+        """The rows of ``df`` are the next version; its number is returned.  ``even=False``: no shuffle to even out files.
+
+        A list holds portions of the rows, written one after the other."""
+        base, portions = self.manifest(), df if isinstance(df, list) else [df]
+        folders = [f for p in portions for f in self._write(p, partition_by, [*order], even)]
+        return self._commit(base, portions[0], partition_by, folders, properties or {})
 
-    def replace(self, df: DataFrame, values: list, properties: dict | None = None, order: tuple[str, ...] = (), even: bool = True) -> int:
+    def replace(self, df: DataFrame | list[DataFrame], values: list, properties: dict | None = None, order: tuple[str, ...] = (), even: bool = True) -> int:
         """The rows of ``df`` take the place of the partitions ``values``; a value without rows goes."""
         base = self.manifest()
         if base is None or base["partition_by"] is None:
             raise ValueError("only partitions of a partitioned dataset can be replaced")
         column = base["partition_by"]
         gone = {f"{column}={v}" for v in values}
-        new = self._write(df.select(*[f["name"] for f in base["schema"]["fields"]]), column, [*order], even)
+        portions = df if isinstance(df, list) else [df]
+        new = [f for p in portions for f in self._write(p.select(*[x["name"] for x in base["schema"]["fields"]]), column, [*order], even)]
         strange = {f.split("/")[1] for f in new} - gone
         if strange:
             raise ValueError(f"rows outside the partitions to replace: {sorted(strange)[:5]}")
         kept = [f for f in base["folders"] if f.split("/")[1] not in gone]
-        return self._commit(base, df, column, kept + new, properties or {})
+        return self._commit(base, portions[0], column, kept + new, properties or {})
 
     # ── reading ──────────────────────────────────────────────────────────
     def read(self, version: int | None = None) -> DataFrame:
